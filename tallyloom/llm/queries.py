@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, mixing, simhash, token_counts, token_files
+from tallyloom.llm import bpe, chat, line_dedup, mixing, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,48 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_lines(documents).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+
+
+OP4_SQL = r"""
+WITH pages AS (SELECT source, text FROM documents),
+lines AS (SELECT source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0))) AS line FROM pages),
+counts AS (SELECT source, line, count(*) AS n FROM lines GROUP BY ALL HAVING count(*) >= 5),
+totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY ALL),
+lists AS (SELECT c.source, list(line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n > 0.02 * pages GROUP BY ALL),
+met AS (
+  SELECT doc_id, string_split(d.text, chr(10)) AS own, list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), x)) AS stay
+  FROM documents d LEFT JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
+)
+SELECT doc_id, array_to_string(stay, chr(10)) AS text, CAST(coalesce(len(own), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(own) - len(stay), 0) AS BIGINT) AS n_dropped FROM met
+"""
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mark = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), mark.alias("text"))
+    return chat.digest(chat.format_turns(turns.unionByName(extra)))
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT *, row_number() OVER w AS turn_no, sum(15 + length(role || text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g'))) OVER (w ROWS UNBOUNDED PRECEDING) AS stop
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn_no)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn_no) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(stop) FILTER (role = 'assistant'), 0) + CASE WHEN max(stop) > coalesce(max(stop) FILTER (role = 'assistant'), 0) THEN max(stop) ELSE 0 END AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -72,6 +114,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
@@ -79,5 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+    "op6_chat": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
