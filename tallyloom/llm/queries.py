@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat, line_dedup, mixing, simhash, token_counts, token_files
+from tallyloom.llm import bpe, chat, digests, line_dedup, mixing, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -113,6 +117,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_digests": op1_digests,
     "op2_token_counts": op2_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op6_chat": op6_chat,
