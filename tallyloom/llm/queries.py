@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat, digests, line_dedup, mixing, simhash, token_counts, token_files
+from tallyloom.llm import bpe, chat, digests, language, line_dedup, mixing, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ SELECT doc_id, array_to_string(stay, chr(10)) AS text, CAST(coalesce(len(own), 0
 """
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, pages, none = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"), F.lit(None).cast("long")
+    model = language.fit(documents)
+    texts = language.from_documents(documents, F.col("doc_id"), none.alias("page_id"))
+    return language.identify(texts.unionByName(language.from_pages(pages, none.alias("doc_id"), F.col("page_id"))), model)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     mark = F.lit("\\### Assistant: </turn> ok")
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_digests": op1_digests,
     "op2_token_counts": op2_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language": op5_language,
     "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
