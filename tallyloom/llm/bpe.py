@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import map_rows, named, use_text_batches, utf8
-from tallyloom.llm.pieces import Ids, PieceCache, splitter
+from tallyloom.llm.pieces import Pieces
 
 #: Answers about pairs of tokens that a worker remembers: some 40 MB at most.
 MOST_TRIED = 250_000
@@ -157,18 +157,17 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.split = splitter(pattern)
-        self.cache = PieceCache(self.encode_piece)
+        self.pieces = Pieces(pattern, self.encode_piece, lambda parts: tuple(chain.from_iterable(parts)))
         self.digits = {rank: str(rank) for rank in self.vocabulary.tokens}
 
-    def encode_piece(self, piece: str) -> Ids:
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         if (whole := self.vocabulary.ranks.get(data)) is not None:
             return (whole,)
         return tuple(PrefixEncoding(self.vocabulary, data).ids())
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.split(text))))
+        return list(chain.from_iterable(self.pieces.values(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from typing import Any
 
 import regex
 
-#: Entries of each of the two generations of a worker's cache, and the longest piece that is kept: some 180 MB at most.
-MOST_PIECES = 350_000
-LONGEST_KEPT = 48
+#: Fixed value: the usual pattern of byte-level BPE, in which a space belongs to the piece after it.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space before white space or the end.
+_UNEVEN = re.compile(r" (?:\s|\Z)").search
 
-Ids = tuple[int, ...]
+#: Entries of each of the two generations of a worker's caches, and the longest piece that is kept: some 200 MB at most.
+MOST_PIECES = 200_000
+LONGEST_KEPT = 48
 
 
 class PieceCache(dict):
-    """piece -> ids; what is missing is encoded and kept.
+    """piece -> what it is encoded to; what is missing is encoded and kept.
 
     A full cache becomes the older generation, from which pieces still in use are taken over; the one before is
     dropped. So memory stays bounded and frequent pieces stay.
     """
 
-    def __init__(self, encode: Callable[[str], Ids], most: int = MOST_PIECES):
+    def __init__(self, encode: Callable[[str], Any], most: int = MOST_PIECES):
         super().__init__()
         self.encode, self.most, self.older = encode, most, {}
 
-    def __missing__(self, piece: str) -> Ids:
+    def __missing__(self, piece: str) -> Any:
         if (ids := self.older.get(piece)) is None:
             ids = self.encode(piece)
         if len(piece) <= LONGEST_KEPT:
@@ -35,5 +40,23 @@ class PieceCache(dict):
         return ids
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    return regex.compile(pattern).findall
+class Pieces:
+    """What the pieces of a text are encoded to, in order.
+
+    ``encode`` encodes one match of the pattern; ``join`` makes one value of several. With the usual pattern, a single
+    space before a visible character always starts a piece, whatever stands before it. So the words that such spaces
+    cut off are looked up whole, and only words not seen lately are cut by the pattern.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[str], Any], join: Callable[[Iterable[Any]], Any]):
+        self.split, self.by_word = regex.compile(pattern).findall, pattern == SPACE_LED
+        self.pieces = PieceCache(encode)
+        self.words = PieceCache(lambda word: join(map(self.pieces.__getitem__, self.split(" " + word))))
+
+    def values(self, text: str) -> list[Any]:
+        if not self.by_word or _UNEVEN(text):
+            return list(map(self.pieces.__getitem__, self.split(text)))
+        first, *rest = text.split(" ")
+        out = list(map(self.pieces.__getitem__, self.split(first)))
+        out.extend(map(self.words.__getitem__, rest))
+        return out

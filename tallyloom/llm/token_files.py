@@ -7,7 +7,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.llm.common import checkpoint, named, scratch_path, use_text_batches, utf8
-from tallyloom.llm.pieces import Ids, PieceCache, splitter
+from tallyloom.llm.pieces import Pieces
 from tallyloom.llm.ranges import bounds, range_count, range_of
 
 #: Layout of a block: magic, then as unsigned numbers the documents, ids and distinct ids; then the documents' numbers
@@ -97,17 +96,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(model)
-        self.split = splitter(pattern)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self._piece)
+        self.pieces = Pieces(pattern, self._bytes, b"".join)
 
-    def _piece(self, piece: str) -> Ids:
-        return tuple(self.library.encode(piece, add_special_tokens=False).ids)
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
         if any(x in text for x in self.added) or BEYOND_PLAIN(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.split(text))))
+            return self._bytes(text)
+        return b"".join(self.pieces.values(text))
 
 
 #: Below U+0370 all Unicode versions in use agree on letters, numbers and spaces.
@@ -137,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
         shared = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value, pattern)
+        own, end = encoder(shared.value, pattern), struct.pack("<I", end_id)
         now, part, held, doc_ids, ids = None, 0, 0, [], []
 
         def block() -> pa.RecordBatch:
@@ -150,11 +149,9 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
                     yield block()
                     part, held, doc_ids, ids = part + 1 if where == now else 0, 0, [], []
                 now = where
-                found = own.encode(raw.decode())
-                found.append(end_id)
                 doc_ids.append(doc_id)
-                ids.append(np.array(found, np.uint32))
-                held += len(found)
+                ids.append(np.frombuffer(own.encode(raw.decode()) + end, "<u4"))
+                held += len(ids[-1])
         if doc_ids:
             yield block()
 
