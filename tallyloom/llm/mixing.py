@@ -22,7 +22,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     Sources by code point, null last, get the weights in turn. ``share`` of all sizes is dealt out by weight; a target
     stops at ``most_repeats`` times its source's size and the excess goes to the others by weight until none is
     above. That level is found in one pass: with sources ordered by cap / weight, the first k are full, where k is
-    the first at which the level of the others is below the next cap. Rows here are sources, never documents.
+    the first at which the level of the others fits under the next cap; after it the level only falls. Rows here are sources, never documents.
     """
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(in_order) - 1) % len(weights)
@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     whole = Window.partitionBy()
     level = (F.sum("source_size").over(whole).cast("double") * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     leveled = weighed.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    reached = leveled.withColumn("final", F.min(F.when(F.col("fits"), F.col("level"))).over(whole))
+    reached = leveled.withColumn("final", F.max(F.when(F.col("fits"), F.col("level"))).over(whole))
     return reached.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 

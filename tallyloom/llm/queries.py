@@ -98,7 +98,7 @@ WITH sized AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM weighed WINDOW w AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goal AS (
-  SELECT *, coalesce(least(cap, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target FROM leveled
+  SELECT *, coalesce(least(cap, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()), cap) AS target FROM leveled
 ), placed AS (
   SELECT s.*, g.source_size, g.target, row_number() OVER (PARTITION BY s.source ORDER BY
       CASE WHEN size > 0 THEN CAST(floor(log2(size) * 4) AS INT) ELSE -1 END, substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 2), size, doc_id ASC NULLS LAST) AS place,
