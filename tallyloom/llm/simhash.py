@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import checkpoint, map_rows, named, use_text_batches, utf8
+from tallyloom.llm.common import checkpoint, map_rows, named, packed, unpacked, use_text_batches, utf8
 from tallyloom.llm.components import connected_components
 
 BITS = 64
@@ -43,16 +43,20 @@ def simhash64(raw: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit SimHash of every whole text. No shuffle; null and blank texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keys: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit SimHash of every whole text. No shuffle; null and blank texts get 0.
+
+    ``keys`` are further columns of type long that come along.
+    """
     use_text_batches(docs.sparkSession)
+    names = ["doc_id", *(keys or {})]
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([simhash64(x, width) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(values)], ["doc_id", "fp"])
+        values = np.array([simhash64(x, width) for x in part.column("text").to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*[part.column(c).cast(pa.int64()) for c in names], pa.array(values)], [*names, "fp"])
 
-    rows = docs.select(named(docs, id_col).cast("long").alias("doc_id"), utf8(named(docs, text_col)).alias("text"))
-    return map_rows(rows, "doc_id long, fp long", batch)
+    rows = docs.select(named(docs, id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in (keys or {}).items()], utf8(named(docs, text_col)).alias("text"))
+    return map_rows(rows, ", ".join(f"{c} long" for c in [*names, "fp"]), batch)
 
 
 def _segments(parts: int) -> list[tuple[int, int]]:
@@ -167,5 +171,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3, most_compared: int = MOST_COMPARED, most_broadcast: int = 200_000) -> DataFrame:
+    """One row of each group of ``near_duplicates``, that of the smallest id, with the columns of ``docs`` unchanged.
+
+    Rows are recognised by two 64-bit digests of id and text; of equal ids the smaller digest stays, null ids come last,
+    and of wholly equal rows one stays. What goes is broadcast if a count shows that it is little (some 10 MB at most).
+    """
+    digests = {f"d{k}": F.xxhash64(F.lit(k), named(docs, id_col), named(docs, text_col)) for k in (1, 2)}
+    prints = checkpoint(fingerprints(docs, id_col, text_col, width, digests))
+    nodes = prints.select("fp").distinct()
+    components = connected_components(near_edges(nodes, max_bits, most_compared)).withColumnRenamed("node", "fp")
+    rows = prints.groupBy("fp", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    rows = checkpoint(rows.join(components, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "d1", "d2", "n", F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2").alias("order")))
+    first = rows.groupBy("component").agg(F.min("order").alias("first"))
+    gone = checkpoint(rows.join(first, "component").withColumn("stays", F.col("order") == F.col("first")).where("not stays or n > 1").select("d1", "d2", "stays"))
+    small = gone.count() <= most_broadcast
+    hinted = lambda x: F.broadcast(x) if small else x
+    packed_rows = docs.select(packed(docs), *[c.alias(k) for k, c in digests.items()])
+    kept = packed_rows.join(hinted(gone.select("d1", "d2")), ["d1", "d2"], "left_anti")
+    again = packed_rows.join(hinted(gone.where("stays").select("d1", "d2")), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    return kept.unionByName(again).select(*unpacked(docs.columns))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
