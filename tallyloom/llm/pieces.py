@@ -10,11 +10,13 @@ import regex
 
 #: Fixed value: the usual pattern of byte-level BPE, in which a space belongs to the piece after it.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that are a piece by themselves after a letter and before a space or the end.
+MARKS = frozenset(".,;:!?)\"")
 #: A space before white space or the end.
 _UNEVEN = re.compile(r" (?:\s|\Z)").search
 
 #: Entries of each of the two generations of a worker's caches, and the longest piece that is kept: some 200 MB at most.
-MOST_PIECES = 200_000
+MOST_PIECES = 300_000
 LONGEST_KEPT = 48
 
 
@@ -45,13 +47,22 @@ class Pieces:
 
     ``encode`` encodes one match of the pattern; ``join`` makes one value of several. With the usual pattern, a single
     space before a visible character always starts a piece, whatever stands before it. So the words that such spaces
-    cut off are looked up whole, and only words not seen lately are cut by the pattern.
+    cut off are looked up whole. Of those not seen lately, one of letters alone is one piece, one of letters and a mark
+    is the word without it and the mark, and only the rest are cut by the pattern.
     """
 
     def __init__(self, pattern: str, encode: Callable[[str], Any], join: Callable[[Iterable[Any]], Any]):
         self.split, self.by_word = regex.compile(pattern).findall, pattern == SPACE_LED
-        self.pieces = PieceCache(encode)
-        self.words = PieceCache(lambda word: join(map(self.pieces.__getitem__, self.split(" " + word))))
+        self.encode, self.join = encode, join
+        self.pieces = PieceCache(encode, MOST_PIECES // 4)
+        self.words = PieceCache(self._word)
+
+    def _word(self, word: str) -> Any:
+        if word.isalpha():
+            return self.encode(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.join((self.words[word[:-1]], self.pieces[word[-1]]))
+        return self.join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def values(self, text: str) -> list[Any]:
         if not self.by_word or _UNEVEN(text):

@@ -25,6 +25,8 @@ MAGIC = b"TLIDS1\0\0"
 HEADER = struct.Struct("<8sQQQ")
 #: Ids in a block after which the next document starts another. Bounds the memory of writing and reading.
 BLOCK_IDS = 1 << 20
+#: Ids below this are counted in a table; larger ones are sorted.
+MOST_COUNTED = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -61,12 +63,21 @@ def unpack_numbers(raw: memoryview, count: int) -> tuple[np.ndarray, int]:
 def pack_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """Documents with their token ids as one self-contained block."""
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    distinct, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -count))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    if len(flat) and flat.max() < MOST_COUNTED:
+        counts = np.bincount(flat)
+        distinct = np.nonzero(counts)[0].astype(np.uint32)
+        order = np.lexsort((distinct, -counts[distinct]))
+        ranks = np.zeros(len(counts), np.uint32)
+        ranks[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+        ranked = ranks[flat]
+    else:
+        distinct, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((distinct, -count))
+        ranks = np.empty(len(order), np.uint32)
+        ranks[order] = np.arange(len(order), dtype=np.uint32)
+        ranked = ranks[place]
     parts = [HEADER.pack(MAGIC, len(doc_ids), len(flat), len(distinct)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes()]
-    return b"".join([*parts, pack_numbers(np.array([len(x) for x in ids], np.uint32)), distinct[order].astype("<u4").tobytes(), pack_numbers(rank[place])])
+    return b"".join([*parts, pack_numbers(np.array([len(x) for x in ids], np.uint32)), distinct[order].astype("<u4").tobytes(), pack_numbers(ranked)])
 
 
 def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -84,11 +95,19 @@ def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if gone else x for x, gone in zip(numbers, missing, strict=True)], lengths.astype(np.int64), table[ranks]
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: visible Latin-1 characters stand for themselves, other bytes for those from 256 on."""
+    visible = {*range(33, 127), *range(161, 256)} - {173}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does; words seen before come from a bounded memory.
 
     The byte-level pre-tokenizer cuts a text into pieces by its pattern, and merging stays within a piece; so the ids of
-    a text are those of its pieces, each encoded by the library. A text that holds an added token's string goes to the
+    a text are those of its pieces, each merged by the library's model. A text that holds an added token's string goes to the
     library whole, which finds such tokens first, and so does one with characters on which Unicode versions may differ.
     """
 
@@ -96,8 +115,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(model)
+        self.merge = self.library.model.tokenize
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(pattern, self._bytes, b"".join)
+        self.pieces = Pieces(pattern, self._piece, b"".join)
+
+    def _piece(self, piece: str) -> bytes:
+        found = [token.id for token in self.merge(piece.encode().decode("latin-1").translate(_byte_letters()))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -158,24 +182,27 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
     dealt.mapInArrow(run, "range int, part int, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
-def read_token_files(blocks: DataFrame) -> DataFrame:
+def read_token_files(blocks: DataFrame, digest: bool = False) -> DataFrame:
     """(range, part, place, doc_id, before, n_tokens, ids): one row for each document, read back from its block.
 
-    ``before`` is the number of ids before it in the block; ids are the little-endian unsigned 32-bit ids as bytes.
+    ``before`` is the number of ids before it in the block; ids are the little-endian unsigned 32-bit ids as bytes, or
+    with ``digest`` only their CRC-32, so that what follows moves short rows.
     """
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    name, kind, sql = ("ids_crc32", pa.int64(), "long") if digest else ("ids", pa.binary(), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, part, payload in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 doc_ids, lengths, ids = unpack_block(payload)
                 n, ends = len(doc_ids), np.cumsum(lengths)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 own = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                arrays = [pa.array([where] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["range", "part", "place", "doc_id", "before", "n_tokens", "ids"])
+                values = pa.array([zlib.crc32(x) for x in own] if digest else [bytes(x) for x in own], kind)
+                arrays = [pa.array([where] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), values]
+                yield pa.RecordBatch.from_arrays(arrays, ["range", "part", "place", "doc_id", "before", "n_tokens", name])
 
-    return blocks.select("range", "part", "payload").mapInArrow(run, "range int, part int, place int, doc_id long, before long, n_tokens long, ids binary")
+    return blocks.select("range", "part", "payload").mapInArrow(run, f"range int, part int, place int, doc_id long, before long, n_tokens long, {name} {sql}")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -196,9 +223,5 @@ def token_offsets(docs: DataFrame, model_path: str, pattern: str, end_id: int =
     write_token_files(docs, path, model_path, pattern, end_id, id_col, text_col, block_ids)
     blocks = spark.read.parquet(path)
     starts = checkpoint(block_starts(blocks))
-    found = read_token_files(blocks)
-    return found.join(starts, ["range", "part"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+    found = read_token_files(blocks, digest=True)
+    return found.join(starts, ["range", "part"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
