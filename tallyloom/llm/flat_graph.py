@@ -15,35 +15,67 @@ def medoid(vectors: np.ndarray) -> int:
     return int(np.argmax(vectors @ vectors.mean(axis=0)))
 
 
-def walk(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, radius: np.ndarray | float = 2.0, beam: int = BEAM) -> np.ndarray:
-    """Cosines of the nodes that greedy searches for ``queries`` visit, -2 where they don't: one row for each query.
+def _fresh(vectors: np.ndarray, queries: np.ndarray, visited: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the (query, node) pairs those not met before, once each and in order, marked as met, with their cosines."""
+    n = len(vectors)
+    keys = rows * n + ids
+    keys = np.unique(keys[~visited.ravel()[keys]])
+    visited.ravel()[keys] = True
+    rows, ids = np.divmod(keys, n)
+    return rows, ids, np.einsum("ij,ij->i", queries[rows], vectors[ids])
+
+
+def walk(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int = BEAM, radius: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy searches for ``queries`` that take their steps together.
 
-    Each search opens its best unopened node until that is neither among its ``beam`` best nor within ``radius``: around
-    a query that has neighbours in range the search so widens until all nodes in range that edges lead to are open.
-    ``edges`` holds -1 where a node has fewer. All searches take a step together.
+    Each search opens its best unopened node until all of its ``beam`` best are open. With a ``radius`` it then widens:
+    all nodes in range are opened too, and those that they lead to, as long as any is in range. ``edges`` holds -1
+    where a node has fewer. Returns the beams' nodes (-1 where empty), best first, and the (query, node) pairs in range.
     """
-    n, q = len(vectors), len(queries)
-    seen, opened = np.full((q, n), -2.0), np.zeros((q, n), bool)
-    seen[:, start] = queries @ vectors[start]
-    alive = np.arange(q)
-    bound = np.broadcast_to(np.asarray(radius, np.float64), (q,))
-    while len(alive):
-        own = np.where(opened[alive], -3.0, seen[alive])
-        best = own.argmax(axis=1)
-        value = own[np.arange(len(alive)), best]
-        kth = np.partition(seen[alive], n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(alive), -2.0)
-        go = (value > -2.0) & (value >= np.minimum(kth, bound[alive]))
-        alive, best = alive[go], best[go]
+    q, n = len(queries), len(vectors)
+    visited = np.zeros((q, n), bool)
+    ids, close, opened = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0), np.ones((q, beam), bool)
+    rows, first, value = _fresh(vectors, queries, visited, np.arange(q), np.full(q, start))
+    ids[:, 0], close[:, 0], opened[:, 0] = first, value, False
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]
+
+    def keep(rows: np.ndarray, nodes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = value >= radius if radius is not None else np.zeros(len(rows), bool)
+        found.append((rows[near], nodes[near]))
+        return found[-1]
+
+    keep(rows, first, value)
+    while True:
+        best = np.where(opened, -3.0, close).argmax(axis=1)
+        alive = np.nonzero(~opened[np.arange(q), best])[0]
         if not len(alive):
             break
+        best = best[alive]
         opened[alive, best] = True
-        near = edges[best]
-        rows, columns = np.nonzero(near >= 0)
-        ids = near[rows, columns]
-        new = seen[alive[rows], ids] == -2.0
-        rows, ids = alive[rows[new]], ids[new]
-        seen[rows, ids] = np.einsum("ij,ij->i", queries[rows], vectors[ids])
-    return seen
+        near = edges[ids[alive, best]]
+        r, c = np.nonzero(near >= 0)
+        rows, nodes, value = _fresh(vectors, queries, visited, alive[r], near[r, c])
+        if not len(rows):
+            continue
+        keep(rows, nodes, value)
+        changed, at = np.unique(rows, return_index=True)
+        counts = np.diff(np.append(at, len(rows)))
+        place = np.arange(len(rows)) - np.repeat(at, counts)
+        own = np.repeat(np.arange(len(changed)), counts)
+        more_ids, more_close = np.full((len(changed), counts.max()), -1, np.int64), np.full((len(changed), counts.max()), -2.0)
+        more_ids[own, place], more_close[own, place] = nodes, value
+        all_ids, all_close = np.concatenate([ids[changed], more_ids], axis=1), np.concatenate([close[changed], more_close], axis=1)
+        all_open = np.concatenate([opened[changed], more_ids < 0], axis=1)
+        top = np.argsort(-all_close, axis=1, kind="stable")[:, :beam]
+        ids[changed], close[changed], opened[changed] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_close, all_open))
+    front = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    while radius is not None and len(front[0]):
+        near = edges[front[1]]
+        r, c = np.nonzero(near >= 0)
+        front = keep(*_fresh(vectors, queries, visited, front[0][r], near[r, c]))
+    rows, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
+    return ids, rows, nodes
 
 
 def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, slack: float = SLACK, degree: int = DEGREE) -> np.ndarray:
@@ -84,11 +116,7 @@ def build(vectors: np.ndarray, seed: int = 0, rounds: int = 2) -> np.ndarray:
         order = random.permutation(n)
         for at in range(0, n, TOGETHER):
             nodes = order[at : at + TOGETHER]
-            seen = walk(vectors, edges, start, vectors[nodes])
-            seen[np.arange(len(nodes)), nodes] = -2.0
-            most = min(n, 2 * BEAM)
-            pool = np.argpartition(-seen, most - 1, axis=1)[:, :most]
-            pool[np.take_along_axis(seen, pool, 1) == -2.0] = -1
+            pool, _, _ = walk(vectors, edges, start, vectors[nodes])
             edges[nodes] = prune(vectors, nodes, np.concatenate([pool, edges[nodes]], axis=1), SLACK if turn else 1.0)
         edges = _mutual(vectors, edges)
     return _joined(vectors, edges, start)

@@ -16,7 +16,7 @@ from tallyloom.llm.components import connected_components
 
 #: Vectors that a shard should hold, shards of a label, shards that a vector is put into, vectors of a label that
 #: centres are fitted on, and vectors from whose cell leaders are taken in one task.
-SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_CELL = 1000, 256, 3, 4096, 4096
+SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_CELL = 1000, 256, 2, 4096, 4096
 #: Vectors of a ball that are compared with another's at once.
 MEMBERS = 256
 #: Queries of the recall audit at most, and the recall below which shards are built anew with more overlap.
@@ -110,15 +110,15 @@ def _in_range(shards: DataFrame, single: float, several: float) -> DataFrame:
         lists = [np.searchsorted(ids, x) for x in (np.intersect1d(near, ids) for near in pdf["near"])]
         start, none = graph.medoid(vectors), np.zeros(0, np.int64)
         edges = graph._joined(vectors, graph._padded(lists, max([1, *map(len, lists)])), start)
-        a, b = [none], [none]
+        bound, a, b = (single if alone.all() else several), [none], [none]
         for at in range(0, len(ids), graph.TOGETHER):
             own = np.arange(at, min(len(ids), at + graph.TOGETHER))
-            bound = single if alone.all() else several
-            seen = graph.walk(vectors, edges, start, vectors[own], bound)
-            rows, columns = np.nonzero(seen >= np.where(alone[own][:, None] & alone[None, :], single, several))
-            keep = own[rows] != columns
-            a.append(ids[own[rows[keep]]])
-            b.append(ids[columns[keep]])
+            _, rows, nodes = graph.walk(vectors, edges, start, vectors[own], radius=bound)
+            rows = own[rows]
+            close = np.einsum("ij,ij->i", vectors[rows], vectors[nodes])
+            keep = (rows != nodes) & (close >= np.where(alone[rows] & alone[nodes], single, several))
+            a.append(ids[rows[keep]])
+            b.append(ids[nodes[keep]])
         left, right = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}).drop_duplicates()
 
@@ -144,7 +144,15 @@ def _widened(pairs: DataFrame, lists: DataFrame, heads: DataFrame, single: float
 def _verified(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, node, links): for each member of ball a how many vectors of ball b it is linked with, copies counted, if any.
 
-    Members are compared block by block in double precision; only counts come out, a row for each member and block."""
+    Two single vectors in range are linked, as the search compared them exactly. Members of larger balls are compared
+    block by block in double precision; only counts come out, a row for each member and block."""
+    sizes = members.groupBy("leader").agg(F.first("members").alias("members"), F.sum("mult").alias("mult"))
+    of = lambda name: sizes.select(F.col("leader").alias(name), F.col("members").alias(f"m{name}"), F.col("mult").alias(f"w{name}"))
+    sized = checkpoint(pairs.join(of("a"), "a").join(of("b"), "b"))
+    alone = (F.col("ma") == 1) & (F.col("mb") == 1)
+    ends = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("a").alias("node"), F.col("wb").alias("links")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b").alias("node"), F.col("wa").alias("links")))
+    singles = sized.where(alone).select(F.explode(ends).alias("e")).select("e.*")
+    pairs = sized.where(~alone).select("a", "b")
     numbered = members.withColumn("block", F.floor(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / MEMBERS))))
     blocks = numbered.groupBy("leader", "block").agg(F.collect_list(F.struct("node", "mult", "vec")).alias("rows"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -161,7 +169,8 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in arrays], ["a", "b", "node", "links"])
 
     both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
-    return checkpoint(both.join(end("a"), "a").join(end("b"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, node long, links long"))
+    compared = both.join(end("a"), "a").join(end("b"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, node long, links long")
+    return checkpoint(singles.unionByName(compared))
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = MOST_AUDITED) -> float:
