@@ -123,14 +123,12 @@ def _forest_udf(max_bits: int):
 
 
 def _ball_edges(rows: DataFrame, max_bits: int) -> DataFrame:
-    """Exact links inside buckets of any size, without pairs (for ``max_bits`` of 2 or less).
+    """Exact links inside buckets of any size, without pairs, for ``max_bits`` of 2 or less.
 
     Two values differ in 2 bits or fewer exactly if a third lies within 1 bit of both. So each fingerprint goes to
     the group of itself and of each of its one-bit neighbours, and all members of such a group are linked to its
     smallest: 65 rows for a fingerprint, whatever the bucket's size.
     """
-    if max_bits > 2:
-        raise ValueError("buckets beyond most_compared are handled for max_bits up to 2")
     flips = [0] + [_signed(1 << k) for k in range(BITS)] if max_bits == 2 else [0]
     near = rows.select("fp").distinct().select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x).cast("long")) for x in flips])).alias("centre"))
     if max_bits == 1:
@@ -145,15 +143,17 @@ def near_edges(prints: DataFrame, max_bits: int = 2, most_compared: int = MOST_C
 
     The fingerprint is cut into ``max_bits + 1`` segments on a ring. Of two fingerprints within ``max_bits``, some chain
     of segments starts with an equal one and keeps all its running sums within budget, so each fingerprint is dealt
-    once for each segment by that segment's value, and ``ring_forest`` follows the chain inside the bucket.
+    once for each segment by that segment's value, and ``ring_forest`` follows the chain inside the bucket. Buckets of
+    more than ``most_compared`` take the way of ``_ball_edges``, if ``max_bits`` is 2 or less; otherwise all are compared.
     """
     parts = max_bits + 1
+    most_compared = most_compared if max_bits <= 2 else (1 << 62)
     keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(_mask(s))).cast("long")), s[0]).alias("v")) for k, s in enumerate(_segments(parts))]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.v")
     counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "v")))
     buckets = counted.where((F.col("n") > 1) & (F.col("n") <= most_compared)).groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     edges = buckets.select(F.explode(_forest_udf(max_bits)("k", "fps")).alias("e")).select("e.a", "e.b")
-    return edges.unionByName(_ball_edges(counted.where(F.col("n") > most_compared), max_bits))
+    return edges.unionByName(_ball_edges(counted.where(F.col("n") > most_compared), max_bits)) if max_bits <= 2 else edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3, most_compared: int = MOST_COMPARED) -> DataFrame:
