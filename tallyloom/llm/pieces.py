@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
+from functools import partial
 from typing import Any
 
 import regex
 
 #: Fixed value: the usual pattern of byte-level BPE, in which a space belongs to the piece after it.
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Marks that are a piece by themselves after a letter and before a space or the end.
-MARKS = frozenset(".,;:!?)\"")
+#: Marks of which any run is one piece after a letter and before white space or the end.
+MARKS = string.punctuation
 #: A space before white space or the end.
 _UNEVEN = re.compile(r" (?:\s|\Z)").search
 
@@ -47,27 +49,34 @@ class Pieces:
 
     ``encode`` encodes one match of the pattern; ``join`` makes one value of several. With the usual pattern, a single
     space before a visible character always starts a piece, whatever stands before it. So the words that such spaces
-    cut off are looked up whole. Of those not seen lately, one of letters alone is one piece, one of letters and a mark
-    is the word without it and the mark, and only the rest are cut by the pattern.
+    cut off are looked up whole. Of those not seen lately, one of letters alone is one piece; marks at the end are one
+    piece after the letters before them; a line feed between visible characters is one, and what follows it is a
+    word without a space; only the rest are cut by the pattern.
     """
 
     def __init__(self, pattern: str, encode: Callable[[str], Any], join: Callable[[Iterable[Any]], Any]):
         self.split, self.by_word = regex.compile(pattern).findall, pattern == SPACE_LED
         self.encode, self.join = encode, join
         self.pieces = PieceCache(encode, MOST_PIECES // 4)
-        self.words = PieceCache(self._word)
+        self.words = PieceCache(partial(self._word, " "))
+        self.bare = PieceCache(partial(self._word, ""), MOST_PIECES // 4)
 
-    def _word(self, word: str) -> Any:
+    def _word(self, space: str, word: str) -> Any:
         if word.isalpha():
-            return self.encode(" " + word)
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return self.join((self.words[word[:-1]], self.pieces[word[-1]]))
-        return self.join(map(self.pieces.__getitem__, self.split(" " + word)))
+            return self.encode(space + word)
+        own = self.words if space else self.bare
+        body = word.rstrip(MARKS)
+        if body.isalpha():
+            return self.join((own[body], self.pieces[word[len(body) :]]))
+        head, feed, rest = word.partition("\n")
+        if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
+            return self.join((own[head], self.pieces[feed], self.bare[rest]))
+        return self.join(map(self.pieces.__getitem__, self.split(space + word)))
 
     def values(self, text: str) -> list[Any]:
         if not self.by_word or _UNEVEN(text):
             return list(map(self.pieces.__getitem__, self.split(text)))
         first, *rest = text.split(" ")
-        out = list(map(self.pieces.__getitem__, self.split(first)))
+        out = [self.bare[first]] if first else []
         out.extend(map(self.words.__getitem__, rest))
         return out

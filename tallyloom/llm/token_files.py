@@ -116,12 +116,17 @@ class Encoder:
 
         self.library = Tokenizer.from_buffer(model)
         self.merge = self.library.model.tokenize
+        self.space = _byte_letters()[32]
+        self.packed = [struct.pack("<I", k) for k in range(self.library.get_vocab_size())]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces = Pieces(pattern, self._piece, b"".join)
 
     def _piece(self, piece: str) -> bytes:
-        found = [token.id for token in self.merge(piece.encode().decode("latin-1").translate(_byte_letters()))]
-        return struct.pack(f"<{len(found)}I", *found)
+        if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            letters = piece.replace(" ", self.space)
+        else:
+            letters = piece.encode().decode("latin-1").translate(_byte_letters())
+        return b"".join([self.packed[token.id] for token in self.merge(letters)])
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
