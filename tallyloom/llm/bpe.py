@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from functools import lru_cache
-from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,6 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
-        #: Lengths, longest first, of the tokens that end in these two bytes. Tokens that merging never makes are left out.
-        self.lengths: dict[bytes, tuple[int, ...]] = {}
-        by_tail: dict[bytes, set[int]] = {}
         unreachable = set()
         for rank, token in sorted(self.tokens.items()):
             if len(token) > 1:
@@ -42,12 +41,15 @@ class Vocabulary:
                     unreachable.add(rank)
                     continue
                 self.halves[rank] = halves
-                by_tail.setdefault(token[-2:], set()).add(len(token))
-        self.reachable = {token: rank for token, rank in ranks.items() if rank not in unreachable}
-        self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in by_tail.items()}
-        self.longest = max(map(len, self.reachable))
+        #: Finds the tokens that end at each byte, the longest first. Tokens that merging never makes are left out.
+        self.finder = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if rank not in unreachable:
+                self.finder.add_word(token.decode("latin-1"), (len(token), rank))
+        self.finder.make_automaton()
+        self.longest = max(len(token) for token, rank in ranks.items() if rank not in unreachable)
         #: Pairs that ``extend`` has tried, with the answer; emptied when it is full.
-        self._tried: dict[tuple[int, int], bool] = {}
+        self._tried: dict[int, bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The halves that merging leaves just before ``token`` is made, or None if it is never made."""
@@ -83,22 +85,23 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], stop: int) -> None:
         """Appends to ``last`` the last token of each prefix of ``data`` that ends at ``len(last) + 1`` to ``stop``."""
-        lengths, reachable, ranks, tried = self.lengths, self.reachable, self.ranks, self._tried
-        for end in range(len(last) + 1, stop + 1):
-            for length in lengths.get(data[end - 2 if end > 1 else 0 : end], ()):
-                if length <= end and (token := reachable.get(data[end - length : end])) is not None:
-                    if length == end:
-                        break
-                    pair = (last[end - length - 1], token)
-                    if (stays := tried.get(pair)) is None:
-                        if len(tried) >= MOST_TRIED:
-                            tried.clear()
-                        stays = tried[pair] = self.stays(*pair)
-                    if stays:
-                        break
-            else:
-                token = ranks[data[end - 1 : end]]
+        tried, known = self._tried, len(last)
+        low = max(0, known + 1 - self.longest)
+        for end, (length, token) in self.finder.iter(data[low:stop].decode("latin-1")):
+            end += low
+            if end < known:
+                continue
+            if end >= length > 1:
+                left = last[end - length]
+                pair = left << 32 | token
+                if (stays := tried.get(pair)) is None:
+                    if len(tried) >= MOST_TRIED:
+                        tried.clear()
+                    stays = tried[pair] = self.stays(left, token)
+                if not stays:
+                    continue
             last.append(token)
+            known += 1
 
 
 class PrefixEncoding:
@@ -130,14 +133,13 @@ class PrefixEncoding:
         self._data = self._data[:start] + data + self._data[stop:]
         del self._last[start:]
         same = done = 0
-        for end in range(start + 1, len(self._data) + 1):
-            if same >= self._v.longest:
-                self._last.extend(after[end - 1 - start - len(data) :])
-                break
-            self._v.extend(self._data, self._last, end)
-            done += 1
-            at = end - 1 - start - len(data)
-            same = same + 1 if at >= 0 and after[at] == self._last[-1] else 0
+        while (end := len(self._last)) < len(self._data) and same < self._v.longest:
+            self._v.extend(self._data, self._last, min(len(self._data), end + self._v.longest))
+            for token in self._last[end:]:
+                at = done - len(data)
+                same = same + 1 if at >= 0 and after[at] == token else 0
+                done += 1
+        self._last.extend(after[len(self._last) - start - len(data) :])
         return done
 
     @property
@@ -157,20 +159,27 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.pieces = Pieces(pattern, self.encode_piece, lambda parts: tuple(chain.from_iterable(parts)))
-        self.digits = {rank: str(rank) for rank in self.vocabulary.tokens}
+        self.pieces = Pieces(pattern, self.encode_piece, b"".join)
+        #: By id, so that looking one up is indexing.
+        self.digits = [str(k) for k in range(max(ranks.values()) + 1)]
+        self.texts = [self.vocabulary.tokens.get(k, b"") for k in range(max(ranks.values()) + 1)]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of one match as native 32-bit numbers, a compact form for the memory of words."""
         data = piece.encode()
         if (whole := self.vocabulary.ranks.get(data)) is not None:
-            return (whole,)
-        return tuple(PrefixEncoding(self.vocabulary, data).ids())
+            return self.packed(whole)
+        return array("I", PrefixEncoding(self.vocabulary, data).ids()).tobytes()
+
+    @staticmethod
+    def packed(token: int) -> bytes:
+        return token.to_bytes(4, sys.byteorder)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces.values(text)))
+        return memoryview(b"".join(self.pieces.values(text))).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+        return b"".join(map(self.texts.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
