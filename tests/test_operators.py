@@ -265,3 +265,23 @@ def test_typed_errors(weekly):
 def test_sales_facts_lose_no_row(spark, sf_dir):
     f = sales(spark, sf_dir)
     assert f.load(set(f.dimensions)).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+def test_the_overview_holds_together(weekly):
+    from tallyloom.operators.observe import default_kpi, observe
+
+    assert default_kpi(weekly) == "revenue"
+    got = observe(weekly, "revenue", A)
+    value = got["value"].first()
+    assert value["change"] == pytest.approx(sum(r["effect"] for r in got["members_region"].collect()))
+    assert {r["kpi"] for r in got["scoreboard"].collect()} == set(weekly.catalog.kpis)
+    assert got["focus"].where("member = 'North'").count() == 1 and got["weeks"].count() <= 41
+
+
+def test_questions_are_grounded(weekly):
+    from tallyloom.plans.grounding import ground, periods
+
+    got = ground(weekly, "Why did revenue in the north fall in Q2 2026 versus Q1 2026?")
+    assert got["kpi"] == "revenue" and got["members"][0]["member"] == "North" and [p["quarter"] for p in got["periods"]] == [2, 1] and len(got["sides"]) == 2
+    assert periods("from 1999 to 2001, May 2000 and the last 3 weeks") == [{"type": "years", "values": [1999, 2000, 2001]}, {"type": "months", "start": "2000-05", "end": "2000-05"}, {"type": "latest", "grain": "week", "n": 3}]
+    assert ground(weekly, "nothing known here")["kpi"] is None
