@@ -263,7 +263,7 @@ _LINE = f"WITH s AS (SELECT qord AS ord, {_v('revenue')} AS value FROM {F_SQL} G
 _add("seasonal_phases", lambda f: relate.seasonal_phases(f, "revenue"), f"{_LINE}, m AS (SELECT (ord - 1) % 4 + 1 AS phase, count(*) AS points, median(value - intercept - slope * ord) AS m FROM s, i GROUP BY 1) SELECT phase, points, m - avg(m) OVER () AS effect FROM m", "effect", "phase")
 _add("seasonal_autocorrelation", lambda f: relate.autocorrelation(f, "revenue"), f"{_LINE}, d AS (SELECT ord, value - slope * ord - (SELECT avg(value - slope * ord) FROM s, l) AS away FROM s, l) SELECT count(*) AS points, sum(p.away * q.away) / sum(p.away * p.away) AS acf FROM d p LEFT JOIN d q ON q.ord = p.ord - 4", "acf")
 _add("left_out_correlation", lambda f: relate.left_out(f, "revenue", "avg_selling_price", "nation", Q2, Q1),
-     f"WITH m AS ({_changes(['revenue', 'avg_selling_price'], 'nation')}) SELECT a.member, corr(b.revenue, b.avg_selling_price) AS r_without FROM m a JOIN m b ON a.member <> b.member GROUP BY a.member", "r_without")
+     f"WITH m AS (SELECT * FROM ({_changes(['revenue', 'avg_selling_price'], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL) SELECT a.member, corr(b.revenue, b.avg_selling_price) AS r_without FROM m a JOIN m b ON a.member <> b.member GROUP BY a.member", "r_without")
 
 # -- profiles, sources, text -------------------------------------------------------------------------------------------
 

@@ -32,4 +32,4 @@ def write_canonical(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(document_name, text) of text files, one row for each."""
     rows = spark.read.format("binaryFile").load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_name"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_name"), F.decode("content", "UTF-8").alias("text"))
