@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,18 @@ MAD_SCALE = 1.4826
 TINY = 1e-9
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there or in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
-    at = lambda k: F.get(ordered, k.cast("int"))
-    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        at = lambda k: F.get(ordered, k.cast("int"))
+        return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+    return let(F.sort_array(values), middle)
 
 
 def total(values: Column) -> Column:
@@ -26,19 +36,17 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Sample standard deviation; null for fewer than two values."""
-    centre = mean(values)
-    return F.when(F.size(values) > 1, F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - centre) * (x - centre)) / (F.size(values) - 1)))
+    squares = let(mean(values), lambda centre: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - centre) * (x - centre)))
+    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1)))
 
 
 def mad(values: Column) -> Column:
-    centre = median(values)
-    return median(F.transform(values, lambda x: F.abs(x - centre)))
+    return let(median(values), lambda centre: median(F.transform(values, lambda x: F.abs(x - centre))))
 
 
 def sigma(values: Column) -> Column:
     """Scaled median absolute deviation, or the standard deviation where that is nil."""
-    scaled = mad(values) * MAD_SCALE
-    return F.when(scaled <= TINY, F.coalesce(deviation(values), F.lit(0.0))).otherwise(scaled)
+    return let(mad(values) * MAD_SCALE, lambda scaled: F.when(scaled <= TINY, F.coalesce(deviation(values), F.lit(0.0))).otherwise(scaled))
 
 
 def pct(value: Column, base: Column) -> Column:
