@@ -14,9 +14,9 @@ from tallyloom.llm import flat_graph as graph
 from tallyloom.llm.common import checkpoint, named
 from tallyloom.llm.components import connected_components
 
-#: Vectors that a shard should hold, shards of a label, shards that a vector is put into, vectors of a label that
-#: centres are fitted on, and vectors from whose cell leaders are taken in one task.
-SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_CELL = 1000, 256, 2, 4096, 4096
+#: Vectors that a shard should hold, shards of a label, shards that a vector is put into, vectors of a label and of all
+#: that centres are fitted on, labels that are cut into shards, and vectors of a cell whose leaders are taken in one task.
+SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_TOTAL, MOST_GROUPS, MOST_CELL = 1000, 256, 2, 4096, 65_536, 2000, 4096
 #: Vectors of a ball that are compared with another's at once.
 MEMBERS = 256
 #: Queries of the recall audit at most, and the recall below which shards are built anew with more overlap.
@@ -43,15 +43,23 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
 
 
 def _fit_cells(nodes: DataFrame, shard: int) -> dict[str, np.ndarray]:
-    """Centres for each group larger than a shard, fitted on at most MOST_SAMPLE of its vectors, those with the least digests."""
-    sizes = {r["grp"]: r["n"] for r in nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).collect()}
-    found = {}
-    for name, n in sorted(sizes.items()):
-        k = min(MOST_CELLS, -(-n // shard))
-        wanted = min(MOST_SAMPLE, 32 * k)
-        rows = nodes.where(F.col("grp") == name).orderBy(F.xxhash64("node"), "node").limit(wanted).select("vec").toArrow()
-        found[name] = graph.centres(unit(rows.column(0).to_pylist()), k)
-    return found
+    """Centres for groups larger than a shard, of which the MOST_GROUPS largest are cut.
+
+    They are fitted on a sample of at most about MOST_SAMPLE vectors of a group and MOST_TOTAL of all, those whose digest is
+    below the group's share; so what reaches the driver, and the centres that are broadcast, have a fixed bound.
+    """
+    large = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).orderBy(F.desc("n"), "grp").limit(MOST_GROUPS).collect()
+    if not large:
+        return {}
+    most = min(MOST_SAMPLE, MOST_TOTAL // len(large))
+    cells = {r["grp"]: min(MOST_CELLS, -(-r["n"] // shard), max(2, most // 8)) for r in large}
+    shares = [(r["grp"], min(most, 32 * cells[r["grp"]]) / r["n"]) for r in large]
+    shares = F.broadcast(nodes.sparkSession.createDataFrame(shares, "grp string, share double"))
+    digest = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30)) / float(1 << 30)
+    found: dict[str, list] = {}
+    for r in nodes.join(shares, "grp").where(digest < F.col("share")).select("grp", "node", "vec").toArrow().to_pylist():
+        found.setdefault(r["grp"], []).append((r["node"], r["vec"]))
+    return {g: graph.centres(unit([v for _, v in sorted(own, key=lambda x: x[0])]), cells[g]) for g, own in sorted(found.items())}
 
 
 def _assign(nodes: DataFrame, cells: dict[str, np.ndarray], overlap: int) -> DataFrame:
