@@ -19,7 +19,9 @@ from tallyloom.llm.components import connected_components
 SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_TOTAL, MOST_GROUPS, MOST_CELL = 1000, 256, 2, 4096, 65_536, 2000, 4096
 #: Vectors of a ball that are compared with another's at once.
 MEMBERS = 256
-#: Queries of the recall audit at most, and the recall below which shards are built anew with more overlap.
+#: Leaders of a block that are compared with another's at once where a label's searches miss too much.
+BLOCK = 1024
+#: Queries of the recall audit at most, and the recall of a label below which shards are built anew with more overlap.
 MOST_AUDITED, LEAST_RECALL = 500, 0.98
 
 
@@ -133,6 +135,30 @@ def _in_range(shards: DataFrame, single: float, several: float) -> DataFrame:
     return shards.select("grp", "cell", "node", "vec", "near", "members").groupBy("grp", "cell").applyInPandas(search, "a long, b long").distinct()
 
 
+def _every_pair(heads: DataFrame, single: float, several: float) -> DataFrame:
+    """(a, b), a < b: all leaders of a label in range of each other, as ``_in_range`` has it, without a search.
+
+    Leaders are compared block by block, so the work grows with the square of a label's leaders, the tasks do not."""
+    sizes = checkpoint(heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+    placed = heads.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = placed.groupBy("grp", "block").agg(F.collect_list(F.struct("node", (F.col("members") == 1).alias("alone"), "vec")).alias("r"))
+    blocks = checkpoint(rows.select("grp", "block", F.col("r.node").alias("n"), F.col("r.alone").alias("s"), F.flatten("r.vec").alias("v")))
+    end = lambda name: blocks.select("grp", F.col("block").alias(name), *[F.col(c).alias(f"{c}{name}") for c in "nsv"])
+    both = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("parts") - 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y, ids, others, alone, too, left, right = (c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[k].as_py() for c in batch.columns)
+                near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= np.where(alone[:, None] & too[None, :], single, several)
+                p, q = np.nonzero(np.triu(near, 1) if x == y else near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], others[q])), pa.array(np.maximum(ids[p], others[q]))], ["a", "b"])
+
+    heads.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    met = both.join(end("x"), ["grp", "x"]).join(end("y"), ["grp", "y"])
+    return checkpoint(met.select("x", "y", "nx", "ny", "sx", "sy", "vx", "vy").mapInArrow(run, "a long, b long"))
+
+
 def _cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a))) / F.sqrt(dot(F.col(b), F.col(b)))
@@ -181,8 +207,17 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFra
     return checkpoint(singles.unionByName(compared))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = MOST_AUDITED) -> float:
-    """Share of the true links of a bounded sample of vectors, by comparison with all, that ``found(node, others)`` counts."""
+def _counted(pairs: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The links of ``pairs`` of balls, and (node, leader, mult, others): how many vectors other than its copies each node is linked with."""
+    links = _verified(pairs, members, threshold)
+    ball = members.groupBy("leader").agg(F.sum("mult").alias("ball"))
+    outside = links.groupBy("node").agg(F.sum("links").alias("outside"))
+    others = F.col("ball") - F.col("mult") + F.coalesce("outside", F.lit(0))
+    return links, members.select("node", "leader", "mult").join(ball, "leader").join(outside, "node", "left").withColumn("others", others)
+
+
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = MOST_AUDITED) -> DataFrame:
+    """(grp, recall): by label the share of the true links of a bounded sample of vectors, by comparison with all, that ``found(node, others)`` counts."""
     rows = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "grp", "vec").toArrow().to_pylist()
     by_group: dict[str, list[dict]] = {}
     for r in rows:
@@ -198,11 +233,10 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = MOST
                 near &= np.array(asked)[:, None] != np.array([node[k] for k in at])[None, :]
                 counts = near @ np.array([mult[k] for k in at], np.int64)
                 some = np.nonzero(counts)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([asked[k] for k in some], pa.int64()), pa.array(counts[some].tolist(), pa.int64())], ["node", "true"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array([asked[k] for k in some], pa.int64()), pa.array(counts[some].tolist(), pa.int64())], ["grp", "node", "true"])
 
-    true = nodes.select("node", "grp", "vec", "mult").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(found, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("others", F.lit(0)), "true")).alias("f")).first()
-    return (row["f"] or 0) / row["t"] if row["t"] else 1.0
+    true = nodes.select("node", "grp", "vec", "mult").mapInArrow(run, "grp string, node long, true long").groupBy("grp", "node").agg(F.sum("true").alias("true"))
+    return true.join(found, "node", "left").groupBy("grp").agg((F.sum(F.least(F.coalesce("others", F.lit(0)), "true")) / F.sum("true")).alias("recall"))
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
@@ -214,8 +248,9 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     leader that any two around it are linked form a ball, whose links follow from its size. Leaders are put into
     overlapping cluster shards; a pruned graph is built in each, the lists of all are united, and searches by range from
     the shards' medoids, then a step across shards, find balls in range. Their members are compared exactly, so no
-    link below the threshold comes out. A bounded sample is audited against all vectors; below LEAST_RECALL the
-    shards are built anew with twice the overlap.
+    link below the threshold comes out. A bounded sample is audited against all vectors after every
+    build; where a label's recall is below LEAST_RECALL the shards are built anew with twice the overlap, at most twice,
+    and a label that still misses links, or is one shard that would be built the same again, is compared in full.
 
     A repeated id is a vector of its own with that id. An empty table gives no rows.
     """
@@ -240,11 +275,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         lists = checkpoint(_lists(shards))
         pairs = checkpoint(_in_range(shards.join(lists, "node"), threshold, wide))
         pairs = checkpoint(_widened(pairs, lists, heads, threshold, wide))
-        links = _verified(pairs, members, threshold)
-        ball = members.groupBy("leader").agg(F.sum("mult").alias("ball"))
-        outside = links.groupBy("node").agg(F.sum("links").alias("outside"))
-        counted = members.select("node", "leader", "mult").join(ball, "leader").join(outside, "node", "left").withColumn("others", F.col("ball") - F.col("mult") + F.coalesce("outside", F.lit(0)))
-        if not cells or attempt == 2 or audit(nodes, counted.select("node", "others"), threshold) >= LEAST_RECALL:
+        links, counted = _counted(pairs, members, threshold)
+        low = checkpoint(audit(nodes, counted.select("node", "others"), threshold).where(F.col("recall") < LEAST_RECALL).select("grp"))
+        if low.isEmpty():
+            break
+        if attempt == 2 or not cells or low.where(F.col("grp").isin(list(cells))).isEmpty():
+            pairs = checkpoint(pairs.unionByName(_every_pair(heads.join(low, "grp", "left_semi"), threshold, wide)).distinct())
+            links, counted = _counted(pairs, members, threshold)
             break
     joined = connected_components(links.select("a", "b").distinct())
     counted = counted.join(joined.withColumnRenamed("node", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))

@@ -270,6 +270,16 @@ def test_vectors_by_brute_force(spark, shard, cell, monkeypatch):
     assert vector_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [1000, 40])
+def test_links_that_every_search_misses_are_found_by_comparison(spark, shard, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 30, raising=False)
+    monkeypatch.setattr(vector_dedup, "_in_range", lambda shards, single, several: spark.createDataFrame([], "a long, b long"))
+    own = np.random.default_rng(5)
+    rows = [(6 * k + n, (own.normal(size=16) * 0.1 + centre).astype(np.float32).tolist(), k % 2) for k, centre in enumerate(own.normal(size=(40, 16))) for n in range(6)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=shard).collect()
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=str) == brute_vectors(rows)
+
+
 def test_search_finds_what_is_in_range():
     own = np.random.default_rng(8)
     vectors = own.normal(size=(700, 24))
