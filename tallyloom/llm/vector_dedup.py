@@ -19,9 +19,9 @@ from tallyloom.llm.components import connected_components
 SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_TOTAL, MOST_GROUPS, MOST_CELL = 1000, 256, 2, 4096, 65_536, 2000, 4096
 #: Vectors of a ball that are compared with another's at once.
 MEMBERS = 256
-#: Leaders of a block that are compared with another's at once where a label's searches miss too much.
+#: Vectors of a block that are compared with a label's audited ones, or with another block's, at once.
 BLOCK = 1024
-#: Queries of the recall audit at most, and the recall of a label below which shards are built anew with more overlap.
+#: Queries of the recall audit in a label, about, and the recall of a label below which shards are built anew with more overlap.
 MOST_AUDITED, LEAST_RECALL = 500, 0.98
 
 
@@ -135,6 +135,13 @@ def _in_range(shards: DataFrame, single: float, several: float) -> DataFrame:
     return shards.select("grp", "cell", "node", "vec", "near", "members").groupBy("grp", "cell").applyInPandas(search, "a long, b long").distinct()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows one by one, lists as arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[k].as_py() for c in batch.columns]
+
+
 def _every_pair(heads: DataFrame, single: float, several: float) -> DataFrame:
     """(a, b), a < b: all leaders of a label in range of each other, as ``_in_range`` has it, without a search.
 
@@ -147,12 +154,10 @@ def _every_pair(heads: DataFrame, single: float, several: float) -> DataFrame:
     both = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("parts") - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y, ids, others, alone, too, left, right = (c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[k].as_py() for c in batch.columns)
-                near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= np.where(alone[:, None] & too[None, :], single, several)
-                p, q = np.nonzero(np.triu(near, 1) if x == y else near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], others[q])), pa.array(np.maximum(ids[p], others[q]))], ["a", "b"])
+        for x, y, ids, others, alone, too, left, right in _rows(batches):
+            near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= np.where(alone[:, None] & too[None, :], single, several)
+            p, q = np.nonzero(np.triu(near, 1) if x == y else near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], others[q])), pa.array(np.maximum(ids[p], others[q]))], ["a", "b"])
 
     heads.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     met = both.join(end("x"), ["grp", "x"]).join(end("y"), ["grp", "y"])
@@ -216,27 +221,35 @@ def _counted(pairs: DataFrame, members: DataFrame, threshold: float) -> tuple[Da
     return links, members.select("node", "leader", "mult").join(ball, "leader").join(outside, "node", "left").withColumn("others", others)
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = MOST_AUDITED) -> DataFrame:
-    """(grp, recall): by label the share of the true links of a bounded sample of vectors, by comparison with all, that ``found(node, others)`` counts."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "grp", "vec").toArrow().to_pylist()
-    by_group: dict[str, list[dict]] = {}
-    for r in rows:
-        by_group.setdefault(r["grp"], []).append(r)
-    shared = nodes.sparkSession.sparkContext.broadcast({g: ([r["node"] for r in own], unit([r["vec"] for r in own])) for g, own in by_group.items()})
+def audit(members: DataFrame, links: DataFrame, threshold: float, most: int = MOST_AUDITED) -> DataFrame:
+    """(grp, recall): by label how much of the links between balls ``links(a, b, node)`` holds.
+
+    About ``most`` vectors of each label are compared with all of it. For each that is linked with other balls, the share of
+    these that ``links`` has for it counts, whatever their sizes; recall is the mean of the shares. Links inside balls are
+    certain and don't count; a label whose audited vectors have no other links has no row. Cosines within 1e-12 of the
+    threshold are no misses.
+    """
+    sizes = checkpoint(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+    placed = members.select("grp", "node", "leader", "vec").join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    listed = lambda by, frame: frame.groupBy(*by).agg(F.collect_list(F.struct("node", "leader", "vec")).alias("r"))
+    parts = lambda name, *extra: [*extra, F.col("r.node").alias(f"n{name}"), F.col("r.leader").alias(f"l{name}"), F.flatten("r.vec").alias(f"v{name}")]
+    digest = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 30)) / float(1 << 30)
+    asked = listed(["grp"], placed.where(digest < most / F.col("n"))).select(*parts("x", "grp"))
+    asked = asked.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = asked.join(listed(["grp", "block"], placed).select(*parts("y", "grp", "block")), ["grp", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, group, vec, mult in _frames(batches):
-            for name in set(group) & set(shared.value):
-                at = [k for k, g in enumerate(group) if g == name]
-                asked, vectors = shared.value[name]
-                near = vectors @ unit([vec[k] for k in at]).T >= threshold
-                near &= np.array(asked)[:, None] != np.array([node[k] for k in at])[None, :]
-                counts = near @ np.array([mult[k] for k in at], np.int64)
-                some = np.nonzero(counts)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array([asked[k] for k in some], pa.int64()), pa.array(counts[some].tolist(), pa.int64())], ["grp", "node", "true"])
+        for group, ids, others, own, led, left, right in _rows(batches):
+            near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= threshold + 1e-12
+            p, q = np.nonzero(near & (own[:, None] != led[None, :]))
+            pairs = np.unique(np.stack([ids[p], led[q]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(pairs), pa.string()), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["grp", "node", "b"])
 
-    true = nodes.select("node", "grp", "vec", "mult").mapInArrow(run, "grp string, node long, true long").groupBy("grp", "node").agg(F.sum("true").alias("true"))
-    return true.join(found, "node", "left").groupBy("grp").agg((F.sum(F.least(F.coalesce("others", F.lit(0)), "true")) / F.sum("true")).alias("recall"))
+    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    true = checkpoint(met.select("grp", "nx", "ny", "lx", "ly", "vx", "vy").mapInArrow(run, "grp string, node long, b long").distinct())
+    held = links.select("node", "b", F.lit(1.0).alias("held")).distinct()
+    shares = true.join(held, ["node", "b"], "left").groupBy("grp", "node").agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("share"))
+    return shares.groupBy("grp").agg(F.avg("share").alias("recall"))
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
@@ -248,8 +261,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     leader that any two around it are linked form a ball, whose links follow from its size. Leaders are put into
     overlapping cluster shards; a pruned graph is built in each, the lists of all are united, and searches by range from
     the shards' medoids, then a step across shards, find balls in range. Their members are compared exactly, so no
-    link below the threshold comes out. A bounded sample is audited against all vectors after every
-    build; where a label's recall is below LEAST_RECALL the shards are built anew with twice the overlap, at most twice,
+    link below the threshold comes out. A bounded sample of each label is audited against all its
+    vectors after every build; where a label's recall of links between balls is below LEAST_RECALL the shards are built anew with twice the overlap, at most twice,
     and a label that still misses links, or is one shard that would be built the same again, is compared in full.
 
     A repeated id is a vector of its own with that id. An empty table gives no rows.
@@ -266,17 +279,18 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tight = float(np.cos(np.arccos(threshold) / 2)) + 1e-12
     wide = float(np.cos(min(np.pi, 2 * np.arccos(threshold)))) - 1e-12
     for attempt in range(3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
         assigned = checkpoint(nodes.join(_assign(nodes, cells, overlap << attempt), "node"))
         led = checkpoint(_balls(assigned.withColumn("home", F.col("cells")[0]), tight))
         sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-        members = assigned.select("node", "mult", "vec").join(led.join(sizes, "leader"), "node")
+        members = assigned.select("node", "grp", "mult", "vec").join(led.join(sizes, "leader"), "node")
         heads = assigned.join(sizes.withColumnRenamed("leader", "node"), "node").select("node", "grp", "vec", "cells", "members")
         shards = heads.withColumn("cell", F.explode("cells"))
         lists = checkpoint(_lists(shards))
         pairs = checkpoint(_in_range(shards.join(lists, "node"), threshold, wide))
         pairs = checkpoint(_widened(pairs, lists, heads, threshold, wide))
         links, counted = _counted(pairs, members, threshold)
-        low = checkpoint(audit(nodes, counted.select("node", "others"), threshold).where(F.col("recall") < LEAST_RECALL).select("grp"))
+        low = checkpoint(audit(members, links, threshold).where(F.col("recall") < LEAST_RECALL).select("grp"))
         if low.isEmpty():
             break
         if attempt == 2 or not cells or low.where(F.col("grp").isin(list(cells))).isEmpty():

@@ -280,6 +280,16 @@ def test_links_that_every_search_misses_are_found_by_comparison(spark, shard, mo
     assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=str) == brute_vectors(rows)
 
 
+def test_a_large_group_of_near_copies_does_not_hide_lost_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "_in_range", lambda shards, single, several: spark.createDataFrame([], "a long, b long"))
+    own = np.random.default_rng(6)
+    near = lambda centre, spread: (centre + spread * own.normal(size=16)).astype(np.float32).tolist()
+    large, pairs = own.normal(size=16), own.normal(size=(20, 16))
+    rows = [(k, near(large, 0.01), 1) for k in range(300)] + [(300 + 2 * k + n, near(c, 0.1), 2 if k < 2 else 1) for k, c in enumerate(pairs) for n in range(2)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=str) == brute_vectors(rows)
+
+
 def test_search_finds_what_is_in_range():
     own = np.random.default_rng(8)
     vectors = own.normal(size=(700, 24))
