@@ -234,6 +234,13 @@ def test_a_host_prior_is_smoothed_by_its_domain_and_leaves_out_the_document_itse
     assert got["h", unit] == pytest.approx((0 + 2 * wide) / (1 + 2)) and got["h", 0] == pytest.approx((1 + 2 * wide) / (1 + 2)) and got["g", unit] == pytest.approx(wide)
 
 
+def test_declared_language_is_found_wherever_the_html_element_stands(spark):
+    late = "<!-- " + "licence " * 1000 + "-->" + " " * 5000 + "<html class=x lang='De-at'><p>Text</p></html>"
+    pages = spark.createDataFrame([(1, "http://a.b.at/x", late), (2, "http://a.b.at/y", "<html><p>Text</p></html>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["declared"] for r in language.from_pages(pages, F.col("page_id")).collect()}
+    assert got == {1: "de", 2: None}
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
 
