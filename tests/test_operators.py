@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.errors import InvalidArgument
 from tallyloom.functions import stats
@@ -249,6 +250,23 @@ def test_no_arguments_make_a_tool_raise(weekly, seed):
     assert engine.call("no_such_tool")["error"]["code"] == "invalid_argument" and engine.call("query_kpi", 5)["status"] == "error"
 
 
+@pytest.fixture(scope="module")
+def wide(spark):
+    rows = spark.range(24_000).select((F.col("id") % 12_000).alias("k"), (F.col("id") < 12_000).alias("before"))
+    days = F.when(F.col("before"), F.lit("2026-02-01")).otherwise(F.lit("2026-05-01")).cast("timestamp_ntz")
+    amount = F.when(F.col("before"), 1.0).otherwise(2.0 + F.col("k") % 7)
+    frame = rows.select(days.alias("date"), F.format_string("Item %05d", "k").alias("item"), amount.alias("amount"))
+    return from_frame(frame.cache(), ["item"], ["amount"], [kpi("total", "sum", "{amount}")])
+
+
+@pytest.mark.parametrize("most", [None, 0, 3])
+def test_folded_members_are_all_of_the_rest(wide, most):
+    got = Engine(wide).call("decompose_by_dimension", {"kpi_key": "total", "dimension": "item", "period_a": A, "period_b": B} | ({} if most is None else {"max_items": most}))
+    shown = 5 if most is None else most
+    assert len(got["members"]) == shown and got["others"]["members"] == 12_000 - shown
+    assert sum(r["effect"] for r in got["members"]) + got["others"]["effect"] == pytest.approx(sum(1.0 + k % 7 for k in range(12_000)))
+
+
 def test_typed_errors(weekly):
     engine = Engine(weekly)
     code = lambda name, **a: engine.call(name, a)["error"]["code"]
