@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.errors import EmptyPeriod, InvalidArgument, UnknownDimension, UnknownMember
-from tallyloom.functions.text import normalise
+from tallyloom.functions.text import normalise, normalised
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, Kpi, kpi
 
-#: Members of a dimension that are indexed on the driver for lookups by spelling.
+#: Members of a dimension that are indexed on the driver for lookups by spelling; others are looked up in the frame.
 MOST_INDEXED = 10_000
 PERIODS = {"_year": "year", "_period": "quarter", "_month": "month", "_week": "week", "_day": "day"}
 
@@ -31,6 +31,7 @@ class Facts:
     measures: list[str]
     catalog: Catalog
     _members: dict[str, dict[str, str]] = field(default_factory=dict)
+    _wide: set[str] = field(default_factory=set)
 
     def kpi(self, key: str) -> Kpi:
         return self.catalog.resolve(key, self.measures)
@@ -41,23 +42,37 @@ class Facts:
         return name
 
     def members(self, dimension: str) -> dict[str, str]:
-        """Normal form to spelling of a dimension's members, up to MOST_INDEXED of them."""
+        """Normal form to smallest spelling of a dimension's members, up to MOST_INDEXED of them; for search in free text."""
         if dimension not in self._members:
-            rows = self.load({self.dimension(dimension)}).select(F.col(dimension).cast("string").alias("m")).where("m is not null").distinct().orderBy("m").limit(MOST_INDEXED).collect()
-            self._members[dimension] = {normalise(r["m"]): r["m"] for r in rows}
+            rows = self._spellings(dimension).distinct().orderBy("m").limit(MOST_INDEXED + 1).collect()
+            if len(rows) > MOST_INDEXED:
+                self._wide.add(dimension)
+            self._members[dimension] = {normalise(r["m"]): r["m"] for r in reversed(rows[:MOST_INDEXED])}
         return self._members[dimension]
 
+    def _spellings(self, dimension: str) -> DataFrame:
+        return self.load({self.dimension(dimension)}).select(F.col(dimension).cast("string").alias("m")).where("m is not null")
+
+    def spellings(self, dimension: str, texts: Iterable[str]) -> list[str]:
+        """The frame's own spelling of each member, the smallest of several; those beyond the index are sought in the frame."""
+        wanted = {str(t): normalise(str(t)) for t in texts}
+        known = self.members(dimension)
+        if dimension in self._wide and (rest := sorted(set(wanted.values()) - known.keys())):
+            found = self._spellings(dimension).select(normalised(F.col("m")).alias("n"), "m").where(F.col("n").isin(rest)).groupBy("n").agg(F.min("m").alias("m")).collect()
+            known = known | {r["n"]: r["m"] for r in found}
+        for text, form in wanted.items():
+            if form not in known:
+                raise UnknownMember(dimension, text, list(self.members(dimension).values()))
+        return [known[form] for form in wanted.values()]
+
     def member(self, dimension: str, text: str) -> str:
         """The frame's own spelling of a member."""
-        known = self.members(dimension)
-        if (found := known.get(normalise(str(text)))) is None:
-            raise UnknownMember(dimension, str(text), list(known.values()))
-        return found
+        return self.spellings(dimension, [text])[0]
 
     def filter(self, filters: dict | None) -> Column | None:
         test = None
         for name, wanted in (filters or {}).items():
-            own = [self.member(self.dimension(name), w) for w in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]
+            own = self.spellings(self.dimension(name), wanted if isinstance(wanted, (list, tuple)) else [wanted])
             here = F.col(name).isin(own) if len(own) > 1 else F.col(name) == own[0]
             test = here if test is None else test & here
         return test

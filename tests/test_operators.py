@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.errors import InvalidArgument
+from tallyloom.errors import InvalidArgument, UnknownMember
 from tallyloom.functions import stats
 from tallyloom.operators import documents, investigate, noise, profile, reconcile, relate, retrieve
 from tallyloom.plans.kpi import kpi
@@ -267,6 +267,13 @@ def test_folded_members_are_all_of_the_rest(wide, most):
     assert sum(r["effect"] for r in got["members"]) + got["others"]["effect"] == pytest.approx(sum(1.0 + k % 7 for k in range(12_000)))
 
 
+def test_members_beyond_the_index_are_found(wide):
+    assert wide.member("item", "item-11999") == "Item 11999"
+    assert wide.rows(["amount"], filters={"item": ["item 00001", "ITEM 11998"]}).count() == 4
+    with pytest.raises(UnknownMember):
+        wide.member("item", "item 12000")
+
+
 def test_typed_errors(weekly):
     engine = Engine(weekly)
     code = lambda name, **a: engine.call(name, a)["error"]["code"]
