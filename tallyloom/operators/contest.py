@@ -56,8 +56,10 @@ def statistical_significance(f: Facts, kpi_key: str, cause_kpi: str | None = Non
 
 
 def confounders(f: Facts, kpi_key: str, cause_kpi: str, candidates: list[str], min_n: int = 6, alpha: float = 0.05, **scope) -> dict:
-    """r of KPI and cause, what remains of it given each candidate alone, and given all of them."""
-    controls = [c for c in candidates if c not in (kpi_key, cause_kpi)][:MOST_CONTROLS]
+    """r of KPI and cause, what remains of it given each candidate alone, and given all of them; more than MOST_CONTROLS are refused."""
+    controls = [c for c in dict.fromkeys(candidates) if c not in (kpi_key, cause_kpi)]
+    if len(controls) > MOST_CONTROLS:
+        raise InvalidArgument(f"at most {MOST_CONTROLS} candidates may be tested at once, not {len(controls)}")
     own = aligned(f, [kpi_key, cause_kpi, *controls], **scope)
     base = judged(own[kpi_key], own[cause_kpi], min_n, alpha)
 

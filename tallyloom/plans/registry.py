@@ -20,6 +20,8 @@ from tallyloom.sources.facts import Facts
 
 #: Rows that a payload carries at most; operators themselves have no cap.
 MOST_ROWS = 500
+#: KPIs that one is correlated with at most; a payload says how many were considered and whether some were left out.
+MOST_CANDIDATES = 30
 #: Kinds of arguments and what they accept.
 KINDS = {"kpi": str, "kpis": list, "dimension": str, "dimensions": list, "time": (str, dict), "filters": dict, "text": str, "integer": int, "number": (int, float), "flag": bool, "list": list, "grain": str, "mode": str, "order": str}
 
@@ -486,7 +488,8 @@ def correlate_kpis(e: Engine, kpi_a: str, kpi_b: str, min_n=6, **scope) -> dict:
 @tool("investigate", "How a KPI's changes go with those of many.", kpi_key="kpi!", candidates="kpis", min_n="integer", limit="integer", **SAMPLE)
 def correlate_kpi_matrix(e: Engine, kpi_key: str, candidates=None, min_n=6, limit=None, **scope) -> dict:
     own = candidates or catalogue.neighbours(e.facts.catalog, kpi_key, e.facts.measures) or [k for k in e.keys if k != kpi_key]
-    return rows(relate.correlations(e.facts, kpi_key, own[:30], min_n, **_scope(e, scope)).orderBy(F.abs("r").desc_nulls_last(), "other"), limit or MOST_ROWS)
+    found = rows(relate.correlations(e.facts, kpi_key, own[:MOST_CANDIDATES], min_n, **_scope(e, scope)).orderBy(F.abs("r").desc_nulls_last(), "other"), limit or MOST_ROWS)
+    return found | {"considered": len(own), "truncated": found["truncated"] or len(own) > MOST_CANDIDATES}
 
 
 def _scope(e: Engine, scope: dict) -> dict:

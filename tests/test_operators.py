@@ -274,6 +274,21 @@ def test_members_beyond_the_index_are_found(wide):
         wide.member("item", "item 12000")
 
 
+def test_candidates_are_not_cut_unseen(spark):
+    days = F.when(F.col("id") < 8, F.lit("2026-02-01")).otherwise(F.lit("2026-05-01")).cast("timestamp_ntz")
+    frame = spark.range(16).select(days.alias("date"), F.format_string("m%d", F.col("id") % 8).alias("item"), (1 + F.col("id") * F.col("id") % 11).cast("double").alias("amount"))
+    engine = Engine(from_frame(frame, ["item"], ["amount"], [kpi(f"k{n}", "sum", "{amount}") for n in range(34)]))
+    scope = {"mode": "cross_sectional", "dimension": "item", "period_a": A, "period_b": B}
+    refused = engine.call("test_confounders", {"kpi_key": "k0", "cause_kpi": "k1", "candidates": [f"k{n}" for n in range(2, 13)], **scope})
+    assert refused["error"]["code"] == "invalid_argument"
+    asked = [f"k{n}" for n in range(2, 12)]
+    assert len(engine.call("test_confounders", {"kpi_key": "k0", "cause_kpi": "k1", "candidates": ["k0", *asked, *asked], **scope})["each"]) == 10
+    cut = engine.call("correlate_kpi_matrix", {"kpi_key": "k0", "candidates": [f"k{n}" for n in range(1, 33)], **scope})
+    assert (cut["considered"], cut["truncated"], len(cut["rows"])) == (32, True, 30)
+    whole = engine.call("correlate_kpi_matrix", {"kpi_key": "k0", "candidates": [f"k{n}" for n in range(1, 5)], **scope})
+    assert (whole["considered"], whole["truncated"], len(whole["rows"])) == (4, False, 4)
+
+
 def test_typed_errors(weekly):
     engine = Engine(weekly)
     code = lambda name, **a: engine.call(name, a)["error"]["code"]
