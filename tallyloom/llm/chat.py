@@ -56,37 +56,44 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
 
 
+def _written(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with prompt and reply: in examples the whole context and the trainable text, written out; else null."""
+    before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = formatted.withColumn("stream", F.when(F.col("example_no").isNotNull(), F.array_join(F.collect_list("segment").over(before), "")))
+    return rows.withColumns({"prompt": F.expr("substring(stream, 1, cast(loss_start as int))"), "reply": F.expr("substring(stream, cast(loss_start as int) + 1, cast(loss_stop - loss_start as int))")}).drop("stream")
+
+
 def render(formatted: DataFrame) -> DataFrame:
     """(conv_id, example_no, prompt, reply): every example written out, ready for a trainer.
 
     Each row holds its whole context, so this grows with the square of a conversation's turns; it suits conversations of
     ordinary length, and longer ones are better read by their spans.
     """
-    before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stream = formatted.withColumn("stream", F.array_join(F.collect_list("segment").over(before), "")).where("example_no is not null")
-    return stream.select("conv_id", "example_no", F.expr("substring(stream, 1, cast(loss_start as int))").alias("prompt"), F.expr("substring(stream, cast(loss_start as int) + 1, cast(loss_stop - loss_start as int))").alias("reply"))
+    return _written(formatted).where("example_no is not null").select("conv_id", "example_no", "prompt", "reply")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``formatted`` with the role, the text and, in examples, the trainable text that its own segments and spans give."""
+    """``formatted`` with the role and the text of its segments and, in examples, prompt, reply and the trainable text of the written example."""
     parts = F.split("segment", BODY, -1)
     role, text = F.substr(parts[0], F.lit(len(OPEN) + 1)), parts[1]
-    loss = F.expr("substring(segment, cast(loss_start - start as int) + 1, cast(loss_stop - loss_start as int))")
-    return formatted.withColumns({"role": unescape(role), "text": unescape(F.substr(text, F.lit(1), F.length(text) - (len(CLOSE) - 2))), "loss": unescape(loss)})
+    return _written(formatted).withColumns({"role": unescape(role), "text": unescape(F.substr(text, F.lit(1), F.length(text) - (len(CLOSE) - 2))), "loss": unescape(F.col("reply"))})
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its formatted rows: turns, digests of all turns and of all trainable text, and sizes.
 
+    The trainable text and the sizes of examples are taken from the examples written out, each with its whole context.
+
     formatted_chars is the length of all examples, each with its context, and of the whole stream once more where turns
     follow the last example, which then are in no example.
     """
+    example = F.length("prompt").cast("long") + F.length("reply") + len(CLOSE)
     turn = F.struct("turn_no", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "loss")
     rows = read_back(formatted).groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("turns"),
         F.coalesce(F.sum(F.length("loss").cast("long")), F.lit(0)).alias("loss_chars"),
-        F.coalesce(F.sum(F.when(F.col("example_no").isNotNull(), F.col("stop"))), F.lit(0)).alias("in_examples"),
-        F.max("stop").alias("last"), F.coalesce(F.max(F.when(F.col("example_no").isNotNull(), F.col("stop"))), F.lit(0)).alias("last_example"),
+        F.coalesce(F.sum(example), F.lit(0)).alias("in_examples"),
+        F.sum(F.length("segment").cast("long")).alias("last"), F.coalesce(F.max(example), F.lit(0)).alias("last_example"),
     )
     sha = lambda name: F.sha2(F.array_join(F.transform("turns", lambda x: x[name]), "").cast("binary"), 256)
     rest = F.when(F.col("last") > F.col("last_example"), F.col("last")).otherwise(0)

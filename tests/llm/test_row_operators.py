@@ -114,6 +114,13 @@ def test_chats_by_brute_force(spark):
     assert chat.digest(chat.format_turns(table.limit(0))).count() == 0
 
 
+def test_chat_sizes_are_those_of_the_written_examples(spark):
+    turns = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"t<{t}>" * t) for c in (1, 2) for t in range(6 + c)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(turns)
+    want = sorted(chat.digest(formatted).collect())
+    assert sorted(chat.digest(formatted.withColumn("stop", F.lit(None).cast("long"))).collect()) == want and all(r["formatted_chars"] for r in want)
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 
 
