@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_rows, named, use_text_batches, utf8
+from tallyloom.llm.common import map_rows, named, utf8
 from tallyloom.llm.pieces import Pieces
 
 #: Answers about pairs of tokens that a worker remembers: some 40 MB at most.
@@ -196,7 +196,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     repeat. The vocabulary file is read on the driver and broadcast; its size does not depend on the documents.
     """
     spark = docs.sparkSession
-    use_text_batches(spark)
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     with open(ranks_path, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())

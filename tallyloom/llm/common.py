@@ -10,30 +10,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts. A batch is held several times (JVM, pipe, Python), so its size
-#: bounds a worker's memory; with texts of some kilobytes it stays at a few megabytes.
-TEXT_BATCH_ROWS = 256
-
-
-def use_text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows of an Arrow batch that are worked on at once where they hold whole texts. Spark bounds a batch by its bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session is touched.
+TEXT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one of our own in
+    local mode, as in tests; on a cluster, whose executors can't see such a folder, an error."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
+    context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder; later reads survive the loss of any executor.
+
+    A table is read back with the size that its files have. Spark's own checkpoints keep the size that their plan was
+    guessed to have, which each join multiplies: in loops the guesses grow to numbers of millions of digits.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,12 +66,13 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
-def map_rows(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Applies ``batch`` to each Arrow batch on the executors; nothing is kept from batch to batch."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``rows`` rows, without copying; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                yield batch(part)
 
-    return df.mapInArrow(run, schema)
+def map_rows(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Applies ``batch`` to slices of the Arrow batches on the executors; nothing is kept from one to the next."""
+    return df.mapInArrow(lambda batches: map(batch, slices(batches)), schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import named, use_text_batches, utf8
+from tallyloom.llm.common import named, slices, utf8
 from tallyloom.llm.ranges import bounds, range_count, range_of
 
 #: Bytes of a window, neighbouring windows among which it must be the rarest, and in how many such neighbourhoods.
@@ -72,11 +72,10 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
 
 def fit_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Ranks by how often each entropy level occurs among all windows of all documents. Some 1,000 sums reach the driver."""
-    use_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for raw in batch.column(0).to_pylist():
                 total += level_counts(raw)
         held = np.nonzero(total)[0]
@@ -219,12 +218,11 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty. A single document is its own next. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    use_text_batches(spark)
     ranks = fit_ranks(docs, text_col) if ranks is None else ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for place, tail, doc_id, raw in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 text, own = raw.decode(), digest(raw, ranks)

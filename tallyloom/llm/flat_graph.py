@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Out-edges of a node, candidates that a search keeps, and by how much farther an edge must be to be pruned.
-DEGREE, BEAM, SLACK = 16, 32, 1.2
+#: Out-edges of a node, others that they are pruned from, candidates that a search keeps, and by how much farther an edge must be to be pruned.
+DEGREE, POOL, BEAM, SLACK = 20, 48, 32, 1.5
+#: Nearest others of a node that always have an edge to it.
+KEPT = 3
 #: Queries that walk the graph together; bounds memory.
 TOGETHER = 256
 
@@ -25,40 +27,29 @@ def _fresh(vectors: np.ndarray, queries: np.ndarray, visited: np.ndarray, rows:
     return rows, ids, np.einsum("ij,ij->i", queries[rows], vectors[ids])
 
 
-def walk(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int = BEAM, radius: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy searches for ``queries`` that take their steps together.
+def walk(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, radius, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) of all that searches over the graph find in range.
 
-    Each search opens its best unopened node until all of its ``beam`` best are open. With a ``radius`` it then widens:
-    all nodes in range are opened too, and those that they lead to, as long as any is in range. ``edges`` holds -1
-    where a node has fewer. Returns the beams' nodes (-1 where empty), best first, and the (query, node) pairs in range.
+    The searches take their steps together. Each starts from its row of ``starts`` and opens its best unopened node until
+    all of its ``beam`` best are open. Then it widens: all nodes in range are opened too, and those that they lead to, as
+    long as any is in range. ``radius(rows, nodes)`` is the cosine from which a node is in range of a query. ``edges``
+    and ``starts`` hold -1 where there are fewer.
     """
     q, n = len(queries), len(vectors)
     visited = np.zeros((q, n), bool)
     ids, close, opened = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0), np.ones((q, beam), bool)
-    rows, first, value = _fresh(vectors, queries, visited, np.arange(q), np.full(q, start))
-    ids[:, 0], close[:, 0], opened[:, 0] = first, value, False
     none = np.zeros(0, np.int64)
-    found = [(none, none)]
+    found = [(none, none, np.zeros(0, queries.dtype))]
 
-    def keep(rows: np.ndarray, nodes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = value >= radius if radius is not None else np.zeros(len(rows), bool)
-        found.append((rows[near], nodes[near]))
-        return found[-1]
+    def meet(rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The new ones of these pairs; those in range are kept."""
+        rows, nodes, value = _fresh(vectors, queries, visited, rows, nodes)
+        near = value >= radius(rows, nodes)
+        found.append((rows[near], nodes[near], value[near]))
+        return rows, nodes, value
 
-    keep(rows, first, value)
-    while True:
-        best = np.where(opened, -3.0, close).argmax(axis=1)
-        alive = np.nonzero(~opened[np.arange(q), best])[0]
-        if not len(alive):
-            break
-        best = best[alive]
-        opened[alive, best] = True
-        near = edges[ids[alive, best]]
-        r, c = np.nonzero(near >= 0)
-        rows, nodes, value = _fresh(vectors, queries, visited, alive[r], near[r, c])
-        if not len(rows):
-            continue
-        keep(rows, nodes, value)
+    def rank(rows: np.ndarray, nodes: np.ndarray, value: np.ndarray) -> None:
+        """Puts newly met nodes, in order of their queries, into the queries' beams."""
         changed, at = np.unique(rows, return_index=True)
         counts = np.diff(np.append(at, len(rows)))
         place = np.arange(len(rows)) - np.repeat(at, counts)
@@ -69,13 +60,29 @@ def walk(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray
         all_open = np.concatenate([opened[changed], more_ids < 0], axis=1)
         top = np.argsort(-all_close, axis=1, kind="stable")[:, :beam]
         ids[changed], close[changed], opened[changed] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_close, all_open))
+
+    r, c = np.nonzero(starts >= 0)
+    rank(*meet(r, starts[r, c]))
+    while True:
+        best = np.where(opened, -3.0, close).argmax(axis=1)
+        alive = np.nonzero(~opened[np.arange(q), best])[0]
+        if not len(alive):
+            break
+        best = best[alive]
+        opened[alive, best] = True
+        near = edges[ids[alive, best]]
+        r, c = np.nonzero(near >= 0)
+        rows, nodes, value = meet(alive[r], near[r, c])
+        if len(rows):
+            rank(rows, nodes, value)
     front = tuple(np.concatenate(x) for x in zip(*found, strict=True))
-    while radius is not None and len(front[0]):
+    while len(front[0]):
         near = edges[front[1]]
         r, c = np.nonzero(near >= 0)
-        front = keep(*_fresh(vectors, queries, visited, front[0][r], near[r, c]))
-    rows, nodes = (np.concatenate(x) for x in zip(*found, strict=True))
-    return ids, rows, nodes
+        meet(front[0][r], near[r, c])
+        front = found[-1]
+    rows, nodes, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows, nodes, value
 
 
 def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, slack: float = SLACK, degree: int = DEGREE) -> np.ndarray:
@@ -83,6 +90,7 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, slack: float
     valid = (pool >= 0) & (pool != nodes[:, None])
     of_pool = vectors[np.where(valid, pool, 0)]
     away = np.where(valid, 1 - np.einsum("ijk,ik->ij", of_pool, vectors[nodes]), np.inf)
+    between = 1 - of_pool @ of_pool.transpose(0, 2, 1)
     out = np.full((len(nodes), degree), -1, np.int64)
     rows = np.arange(len(nodes))
     for k in range(degree):
@@ -91,8 +99,7 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, slack: float
         if not some.any():
             break
         out[some, k] = pool[rows[some], first[some]]
-        between = 1 - np.einsum("ijk,ik->ij", of_pool, of_pool[rows, first])
-        away[(slack * between <= away) & some[:, None]] = np.inf
+        away[(slack * between[rows, first] <= away) & some[:, None]] = np.inf
         away[rows[some], first[some]] = np.inf
     return out
 
@@ -104,22 +111,29 @@ def _padded(lists: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def build(vectors: np.ndarray, seed: int = 0, rounds: int = 2) -> np.ndarray:
-    """Edges of a graph over unit ``vectors``: nodes are searched for from the medoid, in batches, over the graph so far,
-    and their edges pruned from what the search saw; edges are made mutual and pruned where a node then has too many."""
-    n, random = len(vectors), np.random.default_rng(seed)
+def build(vectors: np.ndarray) -> np.ndarray:
+    """Edges of a graph over the unit ``vectors`` of one shard, whose size is bounded.
+
+    A node's edges are pruned from its nearest POOL others, found block by block; edges are then made mutual and pruned
+    again where a node has too many. Its KEPT nearest lead back to a node even so, and loose parts are joined up.
+    """
+    n = len(vectors)
     if n <= DEGREE:
         return np.array([[j if j != i else -1 for j in range(n)] for i in range(n)], np.int64).reshape(n, n)
-    edges = random.integers(0, n, (n, DEGREE))
-    start = medoid(vectors)
-    for turn in range(rounds):
-        order = random.permutation(n)
-        for at in range(0, n, TOGETHER):
-            nodes = order[at : at + TOGETHER]
-            pool, _, _ = walk(vectors, edges, start, vectors[nodes])
-            edges[nodes] = prune(vectors, nodes, np.concatenate([pool, edges[nodes]], axis=1), SLACK if turn else 1.0)
-        edges = _mutual(vectors, edges)
-    return _joined(vectors, edges, start)
+    edges = np.empty((n, DEGREE), np.int64)
+    for at in range(0, n, TOGETHER):
+        nodes = np.arange(at, min(n, at + TOGETHER))
+        close = vectors[nodes] @ vectors.T
+        close[np.arange(len(nodes)), nodes] = -np.inf
+        pool = np.argpartition(-close, min(POOL, n - 1) - 1, axis=1)[:, :POOL]
+        edges[nodes] = prune(vectors, nodes, pool)
+    back = edges[:, :KEPT]
+    edges = _mutual(vectors, edges)
+    out = np.concatenate([edges[edges >= 0], np.repeat(np.arange(n), KEPT)[back.ravel() >= 0]])
+    owner = np.concatenate([np.nonzero(edges >= 0)[0], back[back >= 0]])
+    owner, out = np.divmod(np.unique(owner * n + out), n)
+    edges = local_edges(np.arange(n), out, np.bincount(owner, minlength=n))
+    return _joined(vectors, edges, medoid(vectors))
 
 
 def _mutual(vectors: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -169,6 +183,32 @@ def _joined(vectors: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
     return _padded(lists, max(map(len, lists)))
 
 
+def local_edges(ids: np.ndarray, near: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edges by place, -1 where there are fewer, of lists of ids in a row; ids that are not among the ascending ``ids`` are left out."""
+    owner = np.repeat(np.arange(len(ids)), lengths)
+    at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+    own = ids[at] == near
+    owner, at = owner[own], at[own]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((len(ids), int(place.max(initial=0)) + 1), -1, np.int64)
+    out[owner, place] = at
+    return out
+
+
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest that the links a - b connect it with."""
+    root = np.arange(n)
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
 def leaders(vectors: np.ndarray, least: float) -> np.ndarray:
     """For each vector the place of its leader: the first leader with a cosine of ``least`` or more, or itself."""
     out, found = np.full(len(vectors), -1, np.int64), np.zeros(0, np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpoint, named, packed, unpacked, use_text_batches, utf8
+from tallyloom.llm.common import checkpoint, named, packed, slices, unpacked, utf8
 
 #: The class of texts in none of the known languages: letters in no likely order.
 NOISE = "und"
@@ -71,7 +71,6 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
     Only the ids of the sample and sums for each language and hash class reach the driver; both have a fixed bound.
     """
-    use_text_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(named(docs, id_col)).alias("key"), named(docs, label_col).cast("string").alias("label"), utf8(named(docs, text_col)).alias("text")).where("label is not null and length(text) > 0")
     keys = [r["key"] for r in rows.select("key").orderBy("key").limit(most_labelled).collect()]
     if keys:
@@ -79,7 +78,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = found.setdefault(label, np.zeros(CLASSES, np.int64))
                 for block in triples(raw):
@@ -100,14 +99,13 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
 def text_evidence(items: DataFrame, model: TextModel) -> DataFrame:
     """``items(text binary, markup boolean, ...)`` with the text replaced by n, evidence and belief (in millionths)."""
-    use_text_batches(items.sparkSession)
     shared = items.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in items.columns if c not in ("text", "markup")]
     kinds = dict(items.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [own.evidence(visible(raw) if markup else raw) for raw, markup in zip(batch.column("text").to_pylist(), batch.column("markup").to_pylist(), strict=True)]
             belief = [np.rint(own.posterior(e) * UNIT).astype(np.int64) for _, e in found]
             arrays = [*[batch.column(c) for c in rest], pa.array([n for n, _ in found], pa.int64()), pa.array([e.tolist() for _, e in found], pa.list_(pa.float64())), pa.array([b.tolist() for b in belief], pa.list_(pa.int64()))]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import checkpoint, map_rows, named, packed, unpacked, use_text_batches, utf8
+from tallyloom.llm.common import checkpoint, map_rows, named, packed, unpacked, utf8
 from tallyloom.llm.components import connected_components
 
 BITS = 64
@@ -48,7 +48,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``keys`` are further columns of type long that come along.
     """
-    use_text_batches(docs.sparkSession)
     names = ["doc_id", *(keys or {})]
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:

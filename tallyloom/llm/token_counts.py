@@ -8,7 +8,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.common import map_rows, named, use_text_batches, utf8
+from tallyloom.llm.common import map_rows, named, utf8
 from tallyloom.llm.pieces import LONGEST_KEPT, MOST_PIECES
 
 SPACE, BREAK = "▁", "\n"
@@ -94,7 +94,6 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     and broadcast; its size does not depend on the documents. What a worker remembers of merged words is bounded.
     """
     spark = docs.sparkSession
-    use_text_batches(spark)
     with open(model_path, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import checkpoint, named, scratch_path, use_text_batches, utf8
+from tallyloom.llm.common import checkpoint, named, scratch_path, slices, utf8
 from tallyloom.llm.pieces import Pieces
 from tallyloom.llm.ranges import bounds, range_count, range_of
 
@@ -156,7 +156,6 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
     of the block, so no pass over all documents precedes. Null ids come first; of equal ids the smaller text does.
     """
     spark = docs.sparkSession
-    use_text_batches(spark)
     keyed = docs.select(named(docs, id_col).cast("long").alias("doc_id"), utf8(named(docs, text_col)).alias("text"))
     ranges = range_count(docs)
     dealt = keyed.withColumn("range", range_of(F.col("doc_id"), bounds(keyed, "doc_id", ranges)))
@@ -172,7 +171,7 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
             row = [[now], [part], [len(doc_ids)], [held], [pack_block(doc_ids, ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "part", "n_docs", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for where, doc_id, raw in zip(*[batch.column(k).to_pylist() for k in (2, 0, 1)], strict=True):
                 if doc_ids and (where != now or held >= block_ids):
                     yield block()
@@ -193,11 +192,10 @@ def read_token_files(blocks: DataFrame, digest: bool = False) -> DataFrame:
     ``before`` is the number of ids before it in the block; ids are the little-endian unsigned 32-bit ids as bytes, or
     with ``digest`` only their CRC-32, so that what follows moves short rows.
     """
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
     name, kind, sql = ("ids_crc32", pa.int64(), "long") if digest else ("ids", pa.binary(), "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for where, part, payload in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 doc_ids, lengths, ids = unpack_block(payload)
                 n, ends = len(doc_ids), np.cumsum(lengths)

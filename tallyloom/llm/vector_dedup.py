@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,294 +14,416 @@ from tallyloom.llm import flat_graph as graph
 from tallyloom.llm.common import checkpoint, named
 from tallyloom.llm.components import connected_components
 
-#: Vectors that a shard should hold, shards of a label, shards that a vector is put into, vectors of a label and of all
-#: that centres are fitted on, labels that are cut into shards, and vectors of a cell whose leaders are taken in one task.
-SHARD, MOST_CELLS, OVERLAP, MOST_SAMPLE, MOST_TOTAL, MOST_GROUPS, MOST_CELL = 1000, 256, 2, 4096, 65_536, 2000, 4096
-#: Vectors of a ball that are compared with another's at once.
-MEMBERS = 256
-#: Vectors of a block that are compared with a label's audited ones, or with another block's, at once.
+#: Vectors that a shard should hold and shards of a cluster that a vector is put into; a cluster of more than twice the
+#: first is cut again.
+SHARD, OVERLAP = 2000, 2
+#: Clusters that one is cut into at once, vectors for each that their centres are fitted on, and the deepest cut; what is
+#: larger even then (vectors in one direction) is cut by a digest.
+CHILDREN, SAMPLE, DEEPEST = 64, 32, 8
+#: Vectors that one task deals to clusters, and searches from elsewhere that one task takes in.
+MOST_ROUTED, MOST_GUESTS = 16_384, 4096
+#: Vectors of a block that are compared with another block's at once.
 BLOCK = 1024
-#: Queries of the recall audit in a label, about, and the recall of a label below which shards are built anew with more overlap.
-MOST_AUDITED, LEAST_RECALL = 500, 0.98
-
-
-def unit(vectors: list) -> np.ndarray:
-    """Unit vectors in double precision; scaled first, so that no square overflows."""
+#: Queries of the recall audit in a label, about, and the recall of a label below which it is searched anew.
+MOST_AUDITED, LEAST_RECALL, ATTEMPTS = 500, 0.995, 3
+#: How far single precision may be off: what a walk finds this near its bound is compared in double precision.
+LOOSE = 1e-5
+#: A ball's greatest angle from its leader, as a part of the threshold's. Any up to 2 is right; narrow balls leave few
+#: pairs whose members have to be compared.
+NARROW = 8
+#: What is added to angles to leaders, many times the error of an arc cosine near 1, so that no certain link is wrong.
+SURE = 1e-7
+#: Kinds of rows that searches give: links counted, connected leaders, balls to compare, partners of audited leaders, visits.
+COUNT, STAR, BALLS, AUDITED, VISIT = range(5)
+_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("cell", pa.string())])
+FOUND = "kind byte, a long, b long, n long, cell string"
+
+
+def unit(vectors: np.ndarray | list) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
     out = np.array(vectors, np.float64)
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """The unit vectors of a column of lists of one length."""
+    return unit(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1))
+
+
 def _usable(vector: Column) -> Column:
     """Not null or empty, no null or non-finite component, not all zero."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(finite(x), F.lit(False))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield tuple(c.to_pylist() for c in batch.columns)
+def _share(seed: int, key: str) -> Column:
+    """A number in [0, 1) from a digest."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _fit_cells(nodes: DataFrame, shard: int) -> dict[str, np.ndarray]:
-    """Centres for groups larger than a shard, of which the MOST_GROUPS largest are cut.
-
-    They are fitted on a sample of at most about MOST_SAMPLE vectors of a group and MOST_TOTAL of all, those whose digest is
-    below the group's share; so what reaches the driver, and the centres that are broadcast, have a fixed bound.
-    """
-    large = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).orderBy(F.desc("n"), "grp").limit(MOST_GROUPS).collect()
-    if not large:
-        return {}
-    most = min(MOST_SAMPLE, MOST_TOTAL // len(large))
-    cells = {r["grp"]: min(MOST_CELLS, -(-r["n"] // shard), max(2, most // 8)) for r in large}
-    shares = [(r["grp"], min(most, 32 * cells[r["grp"]]) / r["n"]) for r in large]
-    shares = F.broadcast(nodes.sparkSession.createDataFrame(shares, "grp string, share double"))
-    digest = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30)) / float(1 << 30)
-    found: dict[str, list] = {}
-    for r in nodes.join(shares, "grp").where(digest < F.col("share")).select("grp", "node", "vec").toArrow().to_pylist():
-        found.setdefault(r["grp"], []).append((r["node"], r["vec"]))
-    return {g: graph.centres(unit([v for _, v in sorted(own, key=lambda x: x[0])]), cells[g]) for g, own in sorted(found.items())}
-
-
-def _assign(nodes: DataFrame, cells: dict[str, np.ndarray], overlap: int) -> DataFrame:
-    """Adds cells: the nearest centres of each vector's group, best first; 0 in groups that are one shard."""
-    shared = nodes.sparkSession.sparkContext.broadcast(cells)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, group, vec in _frames(batches):
-            out: list[list[int]] = [[0]] * len(node)
-            for name in set(group) & set(shared.value):
-                at = [k for k, g in enumerate(group) if g == name]
-                close = unit([vec[k] for k in at]) @ shared.value[name].T
-                for k, row in zip(at, np.argsort(-close, axis=1, kind="stable")[:, :overlap].tolist(), strict=True):
-                    out[k] = row
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["node", "cells"])
+# -- shards -----------------------------------------------------------------------------------------------------------
 
-    found = nodes.select("node", "grp", "vec").mapInArrow(run, "node long, cells array<int>")
-    return found
 
+def _fit(table: pa.Table) -> pa.Table:
+    """Centres of one cluster's sample."""
+    table = table.sort_by("node")
+    found = graph.centres(_matrix(table["vec"], len(table)), table["k"][0].as_py())
+    return pa.table({"cell": table["cell"].slice(0, 1), "centres": pa.array([found.ravel()], pa.list_(pa.float64()))})
 
-def _balls(placed: DataFrame, least: float) -> DataFrame:
-    """(node, leader): vectors of a cell gathered around leaders so close that any two of a ball are linked.
 
-    A cell of more than MOST_CELL vectors is split by a digest, so that no task grows with a dense place."""
-    sizes = placed.groupBy("grp", "home").agg(F.ceil(F.count(F.lit(1)) / MOST_CELL).alias("parts"))
-    salted = placed.join(sizes, ["grp", "home"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
+def _route(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The cluster's vectors dealt to their nearest centres: those at home to several, the others to one."""
+    vectors = _matrix(left["vec"], len(left))
+    centres = right["centres"].combine_chunks().flatten().to_numpy().reshape(-1, vectors.shape[1])
+    home, overlap = left["home"].to_numpy(), left["overlap"][0].as_py()
+    order = np.argsort(-(vectors @ centres.T), axis=1, kind="stable")[:, :overlap]
+    parent, nodes = left["cell"][0].as_py(), left["node"].to_numpy()
+    rows, at = np.nonzero(home[:, None] | (np.arange(order.shape[1]) == 0))
+    cells = [f"{k}/{parent}" for k in order[rows, at]]
+    return pa.table({"node": nodes[rows], "grp": left["grp"].take(pa.array(rows)), "cell": pa.array(cells, pa.string()), "home": home[rows] & (at == 0)})
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        own = graph.leaders(unit(pdf["vec"].tolist()), least)
-        return pd.DataFrame({"node": pdf["node"], "leader": pdf["node"].to_numpy()[own]})
 
-    return salted.select("grp", "home", "salt", "node", "vec").groupBy("grp", "home", "salt").applyInPandas(lead, "node long, leader long")
+def shards(nodes: DataFrame, shard: int, overlap: int) -> DataFrame:
+    """(node, grp, cell, home): each vector's shards, one of which is its home.
 
+    Clusters are cut until none holds more than ``2 * shard`` rows, CHILDREN at a time, in every label alike. Centres
+    are fitted in tasks on a bounded sample of each cluster, and vectors are dealt in tasks of a bounded size, so no
+    step depends on how many or how large the labels are. At each cut a vector at home goes to its ``overlap`` nearest
+    clusters and is at home in the nearest; a vector elsewhere goes on to one.
+    """
+    placed = nodes.select("node", "grp", F.concat(F.lit("|"), "grp").alias("cell"), F.lit(True).alias("home"))
+    done = []
+    for level in range(DEEPEST + 1):
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        large = checkpoint(sizes.where(F.col("n") > 2 * shard).withColumn("k", F.least(F.lit(CHILDREN), F.ceil(F.col("n") * overlap / shard)).cast("int")))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, placed])
+        done.append(placed.join(large, "cell", "left_anti"))
+        own = placed.join(large, "cell").join(nodes.select("node", "vec"), "node")
+        if level == DEEPEST:
+            piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / shard)).cast("string")
+            return reduce(DataFrame.unionByName, [*done, own.select("node", "grp", F.concat(piece, F.lit("/"), "cell").alias("cell"), "home")])
+        sample = own.where((_share(7, "node") < F.col("k") * SAMPLE / F.col("n")) | (F.col("n") <= F.col("k") * SAMPLE))
+        centres = sample.select("cell", "node", "k", "vec").groupBy("cell").applyInArrow(_fit, "cell string, centres array<double>")
+        parts = F.ceil(F.col("n") / MOST_ROUTED)
+        spread = centres.join(large, "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+        left = own.select("cell", F.pmod(F.xxhash64("node"), parts).alias("salt"), "node", "grp", "home", "vec", F.lit(overlap).alias("overlap"))
+        placed = checkpoint(left.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInArrow(_route, "node long, grp string, cell string, home boolean"))
+    raise AssertionError
+
+
+def _balls(homes: DataFrame, least: float) -> DataFrame:
+    """(node, leader, away): vectors at home in a shard gathered around leaders so close that any two of a ball are linked, and their angles to these."""
+
+    def lead(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        vectors = _matrix(table["vec"], len(table))
+        own = graph.leaders(vectors, least)
+        away = np.where(own == np.arange(len(own)), 0.0, np.arccos(np.minimum(1.0, np.einsum("ij,ij->i", vectors, vectors[own]))) + SURE)
+        return pa.table({"node": table["node"], "leader": table["node"].to_numpy()[own], "away": away})
+
+    return homes.select("cell", "node", "vec").groupBy("cell").applyInArrow(lead, "node long, leader long, away double")
+
+
+def _bounds(threshold: float, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For two balls whose angles from leader to rim add up to ``reach``: the cosine of the leaders from which members may be linked, and that from which all are."""
+    angle, exact = np.arccos(threshold), reach == 0
+    some = np.where(exact, threshold, np.cos(np.minimum(np.pi, angle + reach)) - 1e-12)
+    return some, np.where(exact, threshold, np.where(reach < angle, np.cos(np.maximum(0.0, angle - reach)), np.inf))
+
+
+def _lists(members: DataFrame) -> DataFrame:
+    """(node, near): each leader's adjacency lists from all its shards, united."""
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        ids = table["node"].to_numpy()
+        edges = graph.build(_matrix(table["vec"], len(table)).astype(np.float32))
+        near = [ids[row[row >= 0]] for row in edges]
+        return pa.table({"node": ids, "near": pa.array(near, pa.list_(pa.int64()))})
+
+    built = members.select("cell", "node", "vec").groupBy("cell").applyInArrow(link, "node long, near array<bigint>")
+    return built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
-def _lists(shards: DataFrame) -> DataFrame:
-    """(node, near): each node's adjacency lists from all shards, united."""
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        ids = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": ids, "near": [ids[row[row >= 0]] for row in graph.build(unit(pdf["vec"].tolist()))]})
+# -- searches ---------------------------------------------------------------------------------------------------------
 
-    built = shards.select("grp", "cell", "node", "vec").groupBy("grp", "cell").applyInPandas(link, "node long, near array<bigint>")
-    return built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
+def _rows(kind: int, a, b=None, n=None, cell=None) -> pa.RecordBatch:
+    size = len(a)
+    none = lambda t: pa.nulls(size, t)
+    columns = [pa.array(np.full(size, kind, np.int8)), pa.array(a, pa.int64()), none(pa.int64()) if b is None else pa.array(b, pa.int64()), none(pa.int64()) if n is None else pa.array(n, pa.int64()), none(pa.string()) if cell is None else pa.array(cell, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
-def _in_range(shards: DataFrame, single: float, several: float) -> DataFrame:
-    """(a, b), a < b: leaders that searches from each shard's medoid over the united lists find in range of each other.
 
-    Two single vectors must be within ``single``; if one leads a ball, ``several`` is far enough for any two members."""
+def _linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links among places of ``ids`` as stars around the smallest place of each connected part."""
+    root = graph.stars(len(ids), a, b)
+    some = np.nonzero(root != np.arange(len(ids)))[0]
+    return _rows(STAR, ids[some], ids[root[some]])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        vectors, ids, alone = unit(pdf["vec"].tolist()), pdf["node"].to_numpy(), (pdf["members"] == 1).to_numpy()
-        lists = [np.searchsorted(ids, x) for x in (np.intersect1d(near, ids) for near in pdf["near"])]
-        start, none = graph.medoid(vectors), np.zeros(0, np.int64)
-        edges = graph._joined(vectors, graph._padded(lists, max([1, *map(len, lists)])), start)
-        bound, a, b = (single if alone.all() else several), [none], [none]
-        for at in range(0, len(ids), graph.TOGETHER):
-            own = np.arange(at, min(len(ids), at + graph.TOGETHER))
-            _, rows, nodes = graph.walk(vectors, edges, start, vectors[own], radius=bound)
-            rows = own[rows]
-            close = np.einsum("ij,ij->i", vectors[rows], vectors[nodes])
-            keep = (rows != nodes) & (close >= np.where(alone[rows] & alone[nodes], single, several))
-            a.append(ids[rows[keep]])
-            b.append(ids[nodes[keep]])
-        left, right = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}).drop_duplicates()
 
-    return shards.select("grp", "cell", "node", "vec", "near", "members").groupBy("grp", "cell").applyInPandas(search, "a long, b long").distinct()
+def _searcher(threshold: float, beam: int):
+    """The search of one shard, for its own leaders or for guests from other shards.
 
+    The walk goes over the united lists, as far as they lead inside the shard, from its medoid and from the query's own
+    place, or from a guest's partner. A leader so near that its whole ball is linked with the query's is counted where it
+    is at home, so each pair is counted once for each side; one whose members may be linked is named. Where a leader
+    in range belongs to other shards, its list leads there: the query is to visit these.
+    """
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("guest", "ascending"), ("node", "ascending")])
+        everyone, m = table["node"].to_numpy(), len(table) - int(np.count_nonzero(table["guest"].to_numpy()))
+        vectors, reach = _matrix(table["vec"], len(table)), table["reach"].to_numpy()
+        ids, home, weight = everyone[:m], table["home"].to_numpy()[:m], table["weight"].to_numpy()[:m]
+        asked, single_precision = table["asked"].to_numpy(), vectors.astype(np.float32)
+        lists = table["near"].slice(0, m).combine_chunks()
+        edges = graph.local_edges(ids, lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+        start = graph.medoid(single_precision[:m])
+        edges = graph._joined(single_precision[:m], edges, start)
+        queries = np.arange(m, len(table)) if m < len(table) else np.arange(m)
+        entry = np.searchsorted(ids, table["entry"].slice(m).to_numpy()) if m < len(table) else queries
+        names = {c: k for k, c in enumerate(sorted({c for row in table["cells"].to_pylist() for c in row}))}
+        by_code, own_cells = np.array(list(names), object), [[names[c] for c in row] for row in table["cells"].to_pylist()]
+        belongs = np.zeros((len(table), len(names)), bool)
+        for k, row in enumerate(own_cells):
+            belongs[k, row] = True
+        this = names.get(table["cell"][0].as_py(), -1)
+        out, pairs = [], [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(queries), graph.TOGETHER):
+            own = queries[at : at + graph.TOGETHER]
+            bound = lambda rows, nodes, own=own: _bounds(threshold, reach[own[rows]] + reach[nodes])[0]
+            starts = np.stack([np.full(len(own), start), entry[at : at + len(own)]], axis=1)
+            rows, nodes, value = graph.walk(single_precision[:m], edges, starts, single_precision[own], lambda r, c: bound(r, c) - LOOSE, beam)
+            some, whole = _bounds(threshold, reach[own[rows]] + reach[nodes])
+            exact = value.astype(np.float64)
+            unsure = np.nonzero((np.abs(exact - some) < LOOSE) | (np.abs(exact - whole) < LOOSE))[0]
+            exact[unsure] = np.einsum("ij,ij->i", vectors[own[rows[unsure]]], vectors[nodes[unsure]])
+            keep = (exact >= some) & (everyone[own[rows]] != ids[nodes])
+            rows, nodes, one = rows[keep], nodes[keep], (exact >= whole)[keep]
+            a, here = own[rows], home[nodes]
+            counts = np.bincount(rows[one & here], weight[nodes[one & here]], len(own)).astype(np.int64)
+            some = np.nonzero(counts)[0]
+            out.append(_rows(COUNT, everyone[own[some]], n=counts[some]))
+            pairs.append(np.stack([a[one], nodes[one]], axis=1))
+            ball = np.stack([everyone[a[~one]], ids[nodes[~one]]], axis=1)
+            ball = np.unique(np.sort(ball, axis=1), axis=0)
+            out.append(_rows(BALLS, ball[:, 0], ball[:, 1]))
+            audited = asked[a] & here
+            out.append(_rows(AUDITED, everyone[a[audited]], ids[nodes[audited]]))
+            away = belongs[nodes] & ~belongs[a]
+            if this >= 0:
+                away[:, this] = False
+            p, code = np.nonzero(away)
+            _, first = np.unique(a[p] * len(names) + code, return_index=True)
+            out.append(_rows(VISIT, everyone[a[p[first]]], ids[nodes[p[first]]], cell=by_code[code[first]]))
+        linked = np.concatenate(pairs)
+        out.append(_linked(everyone, linked[:, 0], linked[:, 1]))
+        return pa.Table.from_batches(out)
+
+    return search
+
+
+def _explore(members: DataFrame, heads: DataFrame, threshold: float, beam: int) -> DataFrame:
+    """What the searches of all leaders of ``members`` find: first in their own shards, then, round by round, in those that partners lead to.
+
+    No leader visits a shard twice, and a visit moves one vector. A shard's guests are split among tasks.
+    """
+    search, columns = _searcher(threshold, beam), ["cell", "node", "vec", "weight", "reach", "home", "asked", "cells", "near", "guest", "entry"]
+    hosts = members.withColumn("guest", F.lit(False)).withColumn("entry", F.lit(None).cast("long"))
+    found = [checkpoint(hosts.select(*columns).groupBy("cell").applyInArrow(search, FOUND))]
+    visited = None
+    while True:
+        fresh = found[-1].where(F.col("kind") == VISIT).groupBy(F.col("a").alias("node"), "cell").agg(F.min("b").alias("entry"))
+        fresh = checkpoint(fresh if visited is None else fresh.join(visited, ["node", "cell"], "left_anti"))
+        if fresh.isEmpty():
+            return reduce(DataFrame.unionByName, found).where(F.col("kind") != VISIT)
+        visited = fresh.select("node", "cell") if visited is None else visited.unionByName(fresh.select("node", "cell"))
+        parts = checkpoint(fresh.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / MOST_GUESTS).alias("parts")))
+        salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        here = hosts.join(parts, "cell").select(salt.alias("salt"), *columns)
+        none = F.array().cast("array<bigint>").alias("near")
+        guests = fresh.join(heads, "node").join(parts, "cell").select(F.pmod(F.xxhash64("node"), F.col("parts")).alias("salt"), "cell", "node", "vec", "weight", "reach", F.lit(False).alias("home"), "asked", "cells", none, F.lit(True).alias("guest"), "entry")
+        found.append(checkpoint(here.unionByName(guests).groupBy("cell", "salt").applyInArrow(search, FOUND)))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     """Rows one by one, lists as arrays."""
     for batch in batches:
         for k in range(batch.num_rows):
             yield [c[k].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[k].as_py() for c in batch.columns]
 
 
-def _every_pair(heads: DataFrame, single: float, several: float) -> DataFrame:
-    """(a, b), a < b: all leaders of a label in range of each other, as ``_in_range`` has it, without a search.
+def _blocks(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Rows of each key and block with their columns as arrays in one order, the vectors one after another."""
+    listed = rows.groupBy(*keys, "block").agg(F.collect_list(F.struct(*columns, "vec")).alias("r"))
+    return listed.select(*keys, "block", *[F.col(f"r.{c}").alias(c) for c in columns], F.flatten("r.vec").alias("vec"))
 
-    Leaders are compared block by block, so the work grows with the square of a label's leaders, the tasks do not."""
+
+def _in_blocks(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The number of blocks of each label, and ``heads`` with their block."""
     sizes = checkpoint(heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
-    placed = heads.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = placed.groupBy("grp", "block").agg(F.collect_list(F.struct("node", (F.col("members") == 1).alias("alone"), "vec")).alias("r"))
-    blocks = checkpoint(rows.select("grp", "block", F.col("r.node").alias("n"), F.col("r.alone").alias("s"), F.flatten("r.vec").alias("v")))
-    end = lambda name: blocks.select("grp", F.col("block").alias(name), *[F.col(c).alias(f"{c}{name}") for c in "nsv"])
-    both = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("parts") - 1)))
+    return sizes, heads.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, y, ids, others, alone, too, left, right in _rows(batches):
-            near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= np.where(alone[:, None] & too[None, :], single, several)
-            p, q = np.nonzero(np.triu(near, 1) if x == y else near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], others[q])), pa.array(np.maximum(ids[p], others[q]))], ["a", "b"])
 
-    heads.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
-    met = both.join(end("x"), ["grp", "x"]).join(end("y"), ["grp", "y"])
-    return checkpoint(met.select("x", "y", "nx", "ny", "sx", "sy", "vx", "vy").mapInArrow(run, "a long, b long"))
+def _compare_all(heads: DataFrame, threshold: float) -> DataFrame:
+    """What ``_explore`` finds, by comparing all leaders of a label without a search, block by block.
 
+    The work grows with the square of a label's leaders, the tasks do not."""
+    sizes, placed = _in_blocks(heads)
+    blocks = checkpoint(_blocks(placed, ["grp"], "node", "reach", "weight"))
+    end = lambda name: blocks.select("grp", F.col("block").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "reach", "weight", "vec")])
+    both = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("parts") - 1)))
+    met = both.join(end("x"), ["grp", "x"]).join(end("y"), ["grp", "y"])
 
-def _cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a))) / F.sqrt(dot(F.col(b), F.col(b)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, p, q, reach, too, weigh_p, weigh_q, left, right in _batches(batches):
+            close, same = unit(left.reshape(len(p), -1)) @ unit(right.reshape(len(q), -1)).T, x == y
+            some, whole = _bounds(threshold, reach[:, None] + too[None, :])
+            near = close >= some
+            if same:
+                near[np.arange(len(p)), np.arange(len(p))] = False
+            linked = near & (close >= whole)
+            for ids, counts in ((p, linked @ weigh_q), *([] if same else [(q, linked.T @ weigh_p)])):
+                yield _rows(COUNT, ids[counts > 0], n=counts[counts > 0])
+            i, j = np.nonzero(linked)
+            yield _linked(p, i, j) if same else _linked(np.concatenate([p, q]), i, j + len(p))
+            i, j = np.nonzero(near & ~linked)
+            balls = np.unique(np.sort(np.stack([p[i], q[j]], axis=1), axis=1), axis=0)
+            yield _rows(BALLS, balls[:, 0], balls[:, 1])
+
+    columns = ["x", "y", *[f"{c}_{e}" for c in ("node", "reach", "weight", "vec") for e in ("x", "y")]]
+    return checkpoint(met.select(*columns).mapInArrow(run, FOUND))
+
+
+def audit(heads: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(grp, recall): by label how much of what is in range of its audited leaders ``found(a, b)`` holds.
+
+    The audited leaders are compared with all leaders of their label, block by block. For each that has others in range
+    the share of these that was found counts; recall is the mean of the shares. A label whose audited leaders have
+    nothing in range has no row. Cosines within 1e-12 of the bound are no misses.
+    """
+    sizes, placed = _in_blocks(heads)
+    asked = _blocks(placed.where("asked").withColumn("block", F.lit(0)), ["grp"], "node", "reach").drop("block")
+    asked = asked.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = _blocks(placed, ["grp"], "node", "reach").select("grp", "block", F.col("node").alias("node_y"), F.col("reach").alias("reach_y"), F.col("vec").alias("vec_y"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, p, q, reach, too, left, right in _batches(batches):
+            close = unit(left.reshape(len(p), -1)) @ unit(right.reshape(len(q), -1)).T
+            i, j = np.nonzero((close >= _bounds(threshold, reach[:, None] + too[None, :])[0] + 1e-12) & (p[:, None] != q[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(i), pa.string()), pa.array(p[i], pa.int64()), pa.array(q[j], pa.int64())], ["grp", "a", "b"])
 
-def _widened(pairs: DataFrame, lists: DataFrame, heads: DataFrame, single: float, several: float) -> DataFrame:
-    """``pairs`` and those a step further along the united lists, across shards, that are in range."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    step = both.join(lists.withColumnRenamed("node", "b"), "b").select(F.col("a"), F.explode("near").alias("b")).where("a <> b")
-    step = step.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    end = lambda name: heads.select(F.col("node").alias(name), F.col("vec").alias(f"v{name}"), F.col("members").alias(f"m{name}"))
-    met = step.join(end("a"), "a").join(end("b"), "b")
-    bound = F.when((F.col("ma") == 1) & (F.col("mb") == 1), single).otherwise(several)
-    return pairs.unionByName(met.where(_cosine("va", "vb") >= bound).select("a", "b"))
+    true = asked.join(every, ["grp", "block"]).select("grp", "node", "node_y", "reach", "reach_y", "vec", "vec_y").mapInArrow(run, "grp string, a long, b long")
+    held = found.select("a", "b", F.lit(1.0).alias("held")).distinct()
+    shares = true.join(held, ["a", "b"], "left").groupBy("grp", "a").agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("share"))
+    return checkpoint(shares.groupBy("grp").agg(F.avg("share").alias("recall")))
 
 
 def _verified(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, node, links): for each member of ball a how many vectors of ball b it is linked with, copies counted, if any.
 
-    Two single vectors in range are linked, as the search compared them exactly. Members of larger balls are compared
-    block by block in double precision; only counts come out, a row for each member and block."""
-    sizes = members.groupBy("leader").agg(F.first("members").alias("members"), F.sum("mult").alias("mult"))
-    of = lambda name: sizes.select(F.col("leader").alias(name), F.col("members").alias(f"m{name}"), F.col("mult").alias(f"w{name}"))
-    sized = checkpoint(pairs.join(of("a"), "a").join(of("b"), "b"))
-    alone = (F.col("ma") == 1) & (F.col("mb") == 1)
-    ends = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("a").alias("node"), F.col("wb").alias("links")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b").alias("node"), F.col("wa").alias("links")))
-    singles = sized.where(alone).select(F.explode(ends).alias("e")).select("e.*")
-    pairs = sized.where(~alone).select("a", "b")
-    numbered = members.withColumn("block", F.floor(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / MEMBERS))))
-    blocks = numbered.groupBy("leader", "block").agg(F.collect_list(F.struct("node", "mult", "vec")).alias("rows"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    end = lambda name: blocks.select(F.col("leader").alias(name), F.col("rows").alias(f"r{name}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, ra, rb in _frames(batches):
-            for x, y, mine, theirs in zip(a, b, ra, rb, strict=True):
-                near = unit([r["vec"] for r in mine]) @ unit([r["vec"] for r in theirs]).T >= threshold
-                counts = near @ np.array([r["mult"] for r in theirs], np.int64)
-                some = np.nonzero(counts)[0]
-                if len(some):
-                    arrays = [[x] * len(some), [y] * len(some), [mine[k]["node"] for k in some], counts[some].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in arrays], ["a", "b", "node", "links"])
-
-    both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
-    compared = both.join(end("a"), "a").join(end("b"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, node long, links long")
-    return checkpoint(singles.unionByName(compared))
-
-
-def _counted(pairs: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The links of ``pairs`` of balls, and (node, leader, mult, others): how many vectors other than its copies each node is linked with."""
-    links = _verified(pairs, members, threshold)
-    ball = members.groupBy("leader").agg(F.sum("mult").alias("ball"))
-    outside = links.groupBy("node").agg(F.sum("links").alias("outside"))
-    others = F.col("ball") - F.col("mult") + F.coalesce("outside", F.lit(0))
-    return links, members.select("node", "leader", "mult").join(ball, "leader").join(outside, "node", "left").withColumn("others", others)
-
-
-def audit(members: DataFrame, links: DataFrame, threshold: float, most: int = MOST_AUDITED) -> DataFrame:
-    """(grp, recall): by label how much of the links between balls ``links(a, b, node)`` holds.
-
-    About ``most`` vectors of each label are compared with all of it. For each that is linked with other balls, the share of
-    these that ``links`` has for it counts, whatever their sizes; recall is the mean of the shares. Links inside balls are
-    certain and don't count; a label whose audited vectors have no other links has no row. Cosines within 1e-12 of the
-    threshold are no misses.
-    """
-    sizes = checkpoint(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
-    placed = members.select("grp", "node", "leader", "vec").join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    listed = lambda by, frame: frame.groupBy(*by).agg(F.collect_list(F.struct("node", "leader", "vec")).alias("r"))
-    parts = lambda name, *extra: [*extra, F.col("r.node").alias(f"n{name}"), F.col("r.leader").alias(f"l{name}"), F.flatten("r.vec").alias(f"v{name}")]
-    digest = F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 30)) / float(1 << 30)
-    asked = listed(["grp"], placed.where(digest < most / F.col("n"))).select(*parts("x", "grp"))
-    asked = asked.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = asked.join(listed(["grp", "block"], placed).select(*parts("y", "grp", "block")), ["grp", "block"])
+    Members are compared block by block in double precision; only counts come out, a row for each member and block."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+    block = F.floor(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))).cast("int")
+    blocks = checkpoint(_blocks(members.join(pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct(), "leader").withColumn("block", block), ["leader"], "node", "mult"))
+    end = lambda name: blocks.select(F.col("leader").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("node", "mult", "vec")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, ids, others, own, led, left, right in _rows(batches):
-            near = unit(left.reshape(len(ids), -1)) @ unit(right.reshape(len(others), -1)).T >= threshold + 1e-12
-            p, q = np.nonzero(near & (own[:, None] != led[None, :]))
-            pairs = np.unique(np.stack([ids[p], led[q]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([group] * len(pairs), pa.string()), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["grp", "node", "b"])
-
-    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
-    true = checkpoint(met.select("grp", "nx", "ny", "lx", "ly", "vx", "vy").mapInArrow(run, "grp string, node long, b long").distinct())
-    held = links.select("node", "b", F.lit(1.0).alias("held")).distinct()
-    shares = true.join(held, ["node", "b"], "left").groupBy("grp", "node").agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("share"))
-    return shares.groupBy("grp").agg(F.avg("share").alias("recall"))
+        for x, y, nodes, weights, left, right in _batches(batches):
+            near = unit(left.reshape(len(nodes), -1)) @ unit(right.reshape(len(weights), -1)).T >= threshold
+            counts = near @ weights
+            some = np.nonzero(counts)[0]
+            arrays = [np.full(len(some), x), np.full(len(some), y), nodes[some], counts[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in arrays], ["a", "b", "node", "links"])
+
+    met = ends.join(end("a"), "a").join(end("b"), "b").select("a", "b", "node_a", "mult_b", "vec_a", "vec_b")
+    return checkpoint(met.mapInArrow(run, "a long, b long, node long, links long"))
+
+
+# -- the operator -----------------------------------------------------------------------------------------------------
+
+
+def _tried(nodes: DataFrame, threshold: float, shard: int, overlap: int, beam: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One attempt: what was found, the members of all balls, and the audited recall by label.
+
+    With ``last``, labels that the search leaves below LEAST_RECALL are compared in full; their recall is 1 then."""
+    tight = float(np.cos(np.arccos(threshold) / NARROW)) + 1e-12
+    placed = checkpoint(shards(nodes, shard, overlap))
+    led = checkpoint(_balls(placed.where("home").join(nodes.select("node", "vec"), "node"), tight))
+    every = nodes.select("node", "grp", "mult", "vec").join(led, "node")
+    balls = every.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("mult").alias("ball"), F.max("away").alias("reach"))
+    members = checkpoint(every.join(balls, "leader"))
+    cells = placed.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    heads = members.where("node = leader").select("node", "grp", F.col("ball").alias("weight"), "vec", "reach")
+    many = heads.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    heads = checkpoint(heads.join(cells, "node").join(many, "grp").withColumn("asked", _share(11, "node") < MOST_AUDITED / F.col("n")).drop("n"))
+    own = placed.select("node", "cell", "home").join(heads, "node")
+    lists = checkpoint(_lists(own))
+    found = _explore(checkpoint(own.join(lists, "node")), heads, threshold, beam)
+    recall = audit(heads, found.where(F.col("kind") == AUDITED).select("a", "b"), threshold)
+    low = recall.where(F.col("recall") < LEAST_RECALL)
+    if last and not low.isEmpty():
+        grp = heads.select(F.col("node").alias("a"), "grp")
+        found = found.join(grp, "a").join(low, "grp", "left_anti").drop("grp").unionByName(_compare_all(heads.join(low, "grp", "left_semi"), threshold))
+        recall = recall.withColumn("recall", F.when(F.col("recall") < LEAST_RECALL, 1.0).otherwise(F.col("recall")))
+    return found, members, recall
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row for each row of ``table``.
+    """(vec_id, n_links, component_id, kept, recall), one row for each row of ``table``.
 
     Vectors are linked if their labels are equal and not null and their cosine, in double precision, is ``threshold`` or
     more. Null vectors, zero ones, those with null or non-finite components, and rows without an id or a label link with
     nothing, nor do vectors of different lengths. Exact copies are one node that counts for each. Nodes so close to a
     leader that any two around it are linked form a ball, whose links follow from its size. Leaders are put into
-    overlapping cluster shards; a pruned graph is built in each, the lists of all are united, and searches by range from
-    the shards' medoids, then a step across shards, find balls in range. Their members are compared exactly, so no
-    link below the threshold comes out. A bounded sample of each label is audited against all its
-    vectors after every build; where a label's recall of links between balls is below LEAST_RECALL the shards are built anew with twice the overlap, at most twice,
-    and a label that still misses links, or is one shard that would be built the same again, is compared in full.
+    overlapping cluster shards; a pruned graph is built in each, the lists of all are united, and searches by range over
+    them go from the shards' medoids through every shard that partners lead to. What is near the threshold, and all
+    members of larger balls, are compared in double precision, so no link below it comes out. Pairs are counted where
+    they are found; what leaves a task are counts and stars that connect the same vectors, not pairs.
+
+    Some vectors of each label are audited against all its leaders after every build (``recall``, null where they have
+    no partners). Labels with a recall below LEAST_RECALL are built anew with twice the overlap and searched
+    twice as widely, and those that still miss links are compared in full.
 
     A repeated id is a vector of its own with that id. An empty table gives no rows.
     """
-    spark = table.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
-    rows = table.select(named(table, id_col).cast("long").alias("vec_id"), named(table, vector_col).alias("vec"), named(table, label_col).cast("string").alias("label"))
+    vector = named(table, vector_col)
+    if dict(table.dtypes)[vector_col] != "array<float>":
+        vector = vector.cast("array<double>")
+    rows = table.select(named(table, id_col).cast("long").alias("vec_id"), vector.alias("vec"), named(table, label_col).cast("string").alias("label"))
     rows = rows.withColumn("ok", _usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumn("grp", F.when(F.col("ok"), F.concat_ws(":", F.size("vec").cast("string"), "label"))).withColumn("h", F.xxhash64("vec"))
-    nodes = checkpoint(rows.where("ok").groupBy("grp", "h", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("mult")))
-    # rows that share their smallest id but not their vector would be one node: tell them apart by a number of their own
-    nodes = checkpoint(nodes.withColumn("least", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
-    cells = _fit_cells(nodes, shard)
-    tight = float(np.cos(np.arccos(threshold) / 2)) + 1e-12
-    wide = float(np.cos(min(np.pi, 2 * np.arccos(threshold)))) - 1e-12
-    for attempt in range(3):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
-        assigned = checkpoint(nodes.join(_assign(nodes, cells, overlap << attempt), "node"))
-        led = checkpoint(_balls(assigned.withColumn("home", F.col("cells")[0]), tight))
-        sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-        members = assigned.select("node", "grp", "mult", "vec").join(led.join(sizes, "leader"), "node")
-        heads = assigned.join(sizes.withColumnRenamed("leader", "node"), "node").select("node", "grp", "vec", "cells", "members")
-        shards = heads.withColumn("cell", F.explode("cells"))
-        lists = checkpoint(_lists(shards))
-        pairs = checkpoint(_in_range(shards.join(lists, "node"), threshold, wide))
-        pairs = checkpoint(_widened(pairs, lists, heads, threshold, wide))
-        links, counted = _counted(pairs, members, threshold)
-        low = checkpoint(audit(members, links, threshold).where(F.col("recall") < LEAST_RECALL).select("grp"))
+    nodes = checkpoint(rows.where("ok").groupBy("grp", "h", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult")))
+    # vectors that share their smallest id would be one node: then nodes are told apart by a number of their own
+    unique = nodes.groupBy("least").count().where("count > 1").isEmpty()
+    nodes = checkpoint(nodes.withColumn("node", F.col("least") if unique else F.monotonically_increasing_id()))
+    left, attempts = nodes, []
+    for attempt in range(ATTEMPTS):
+        found, members, recall = _tried(left, threshold, shard, overlap << attempt, graph.BEAM << attempt, attempt == ATTEMPTS - 1)
+        low = checkpoint(recall.where(F.col("recall") < LEAST_RECALL).select("grp"))
+        attempts.append((found, members, recall, low))
         if low.isEmpty():
             break
-        if attempt == 2 or not cells or low.where(F.col("grp").isin(list(cells))).isEmpty():
-            pairs = checkpoint(pairs.unionByName(_every_pair(heads.join(low, "grp", "left_semi"), threshold, wide)).distinct())
-            links, counted = _counted(pairs, members, threshold)
-            break
-    joined = connected_components(links.select("a", "b").distinct())
-    counted = counted.join(joined.withColumnRenamed("node", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
-    counted = checkpoint(counted.select("node", "others", "component").join(nodes.select("node", "grp", "h", "vec", "mult", "least"), "node"))
+        left = left.join(low, "grp", "left_semi")
+    good = lambda frame, k: frame if k == len(attempts) - 1 else frame.join(attempts[k][3], "grp", "left_anti")
+    members = reduce(DataFrame.unionByName, [good(m, k) for k, (_, m, _, _) in enumerate(attempts)])
+    recall = reduce(DataFrame.unionByName, [good(r, k) for k, (_, _, r, _) in enumerate(attempts)])
+    found = reduce(DataFrame.unionByName, [f if k == len(attempts) - 1 else good(f.join(m.select(F.col("node").alias("a"), "grp"), "a"), k).drop("grp") for k, (f, m, _, _) in enumerate(attempts)])
+    links = _verified(checkpoint(found.where(F.col("kind") == BALLS).select("a", "b").distinct()), members, threshold)
+    edges = found.where(F.col("kind") == STAR).select("a", "b").unionByName(links.where("a < b").select("a", "b")).distinct()
+    joined = connected_components(edges)
+    outside = links.groupBy("node").agg(F.sum("links").alias("outside"))
+    whole = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("leader")).agg(F.sum("n").alias("whole"))
+    counted = members.select("node", "leader", "grp", "ball").join(whole, "leader", "left").join(outside, "node", "left").join(joined.withColumnRenamed("node", "leader"), "leader", "left").join(recall, "grp", "left")
+    others = F.col("ball") - 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("outside", F.lit(0))
+    counted = counted.select("node", others.alias("n_links"), F.coalesce("component", "leader").alias("component"), "recall")
+    counted = checkpoint(counted.join(nodes.select("node", "grp", "h", "vec", "least"), "node"))
     smallest = counted.groupBy("component").agg(F.min("least").alias("component_id"))
-    counted = counted.join(smallest, "component").select("grp", "h", "vec", (F.col("others") + F.col("mult") - 1).alias("n_links"), "component_id")
-    linked = rows.where("ok").join(counted, ["grp", "h", "vec"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    counted = counted.join(smallest, "component").select("grp", "h", "vec", "n_links", "component_id", "recall")
+    linked = rows.where("ok").join(counted, ["grp", "h", "vec"]).select("vec_id", "n_links", "component_id", "recall")
+    none = F.lit(None).cast("double")
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), none.alias("recall"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")

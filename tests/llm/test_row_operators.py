@@ -257,6 +257,7 @@ def brute_vectors(rows, threshold=0.98):
     for x, a in enumerate(good):
         for b in good[:x]:
             u, w = np.array(rows[a][1], float), np.array(rows[b][1], float)
+            u, w = u / np.abs(u).max(), w / np.abs(w).max()
             if rows[a][2] == rows[b][2] and len(u) == len(w) and u @ w / np.sqrt(u @ u) / np.sqrt(w @ w) >= threshold:
                 links[a] += 1
                 links[b] += 1
@@ -268,9 +269,9 @@ def brute_vectors(rows, threshold=0.98):
     return sorted([(rows[k][0], links[k], min(least[root.get(k, k)]) if k in good else rows[k][0]) for k in range(len(rows))], key=str)
 
 
-@pytest.mark.parametrize(("shard", "cell"), [(1000, 4096), (40, 30)])
-def test_vectors_by_brute_force(spark, shard, cell, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "MOST_CELL", cell)
+@pytest.mark.parametrize(("shard", "children"), [(1000, 64), (20, 2)])
+def test_vectors_by_brute_force(spark, shard, children, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "CHILDREN", children)
     own, rows = np.random.default_rng(3), []
     for label in (1, 2):
         for spread in (0.0, 0.01, 0.025, 0.05, 0.3):
@@ -287,7 +288,7 @@ def test_vectors_by_brute_force(spark, shard, cell, monkeypatch):
 @pytest.mark.parametrize("shard", [1000, 40])
 def test_links_that_every_search_misses_are_found_by_comparison(spark, shard, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 30, raising=False)
-    monkeypatch.setattr(vector_dedup, "_in_range", lambda shards, single, several: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vector_dedup, "_explore", lambda members, heads, threshold, beam: spark.createDataFrame([], vector_dedup.FOUND))
     own = np.random.default_rng(5)
     rows = [(6 * k + n, (own.normal(size=16) * 0.1 + centre).astype(np.float32).tolist(), k % 2) for k, centre in enumerate(own.normal(size=(40, 16))) for n in range(6)]
     got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=shard).collect()
@@ -295,7 +296,7 @@ def test_links_that_every_search_misses_are_found_by_comparison(spark, shard, mo
 
 
 def test_a_large_group_of_near_copies_does_not_hide_lost_links(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "_in_range", lambda shards, single, several: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vector_dedup, "_explore", lambda members, heads, threshold, beam: spark.createDataFrame([], vector_dedup.FOUND))
     own = np.random.default_rng(6)
     near = lambda centre, spread: (centre + spread * own.normal(size=16)).astype(np.float32).tolist()
     large, pairs = own.normal(size=16), own.normal(size=(20, 16))
@@ -304,6 +305,43 @@ def test_a_large_group_of_near_copies_does_not_hide_lost_links(spark, monkeypatc
     assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got], key=str) == brute_vectors(rows)
 
 
+def test_shards_stay_bounded_whatever_the_labels(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "CHILDREN", 4)
+    monkeypatch.setattr(vector_dedup, "DEEPEST", 3)
+    own = np.random.default_rng(7)
+    rows = [(k, own.normal(size=8).tolist(), "large") for k in range(1500)] + [(2000 + k, [float(k + 1)] * 8, "line") for k in range(300)] + [(3000 + k, own.normal(size=8).tolist(), f"l{k // 2}") for k in range(600)]
+    nodes = spark.createDataFrame(rows, "node long, vec array<double>, grp string")
+    placed = vector_dedup.shards(nodes, 25, 2).collect()
+    sizes, homes = Counter(r["cell"] for r in placed), Counter(r["node"] for r in placed if r["home"])
+    assert max(sizes.values()) <= 50 and set(homes.values()) == {1} and len(homes) == len(rows)
+    assert all(r["cell"].endswith("|" + r["grp"]) for r in placed)
+
+
+def test_vectors_of_many_labels_and_of_any_scale(spark):
+    own, rows = np.random.default_rng(10), []
+    for label in range(3000):
+        centre = own.normal(size=4)
+        rows += [(len(rows) + k, (scale * (centre + own.choice([0.02, 0.3]) * own.normal(size=4))).tolist(), f"{label}/|") for k, scale in enumerate([1.0, 1e200][: 1 + label % 2])]
+    rows += [(9000, [1e200, 0.0], "far"), (9001, [0.0, 1e200], "far"), (9002, [1e-200, 0.0], "far"), (9003, [5e-324, 0.0], "far"), (9004, [1e-200, 1e-200], "far")]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    want = []
+    for label in {r[2] for r in rows}:
+        want += brute_vectors([r for r in rows if r[2] == label])
+    assert sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in got]) == sorted(want)
+
+
+def test_a_dense_label_over_many_shards_is_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "LEAST_RECALL", 0.0)
+    own = np.random.default_rng(12)
+    centre = own.normal(size=16)
+    rows = [(k, (centre + own.choice([0.05, 0.12, 0.2]) * own.normal(size=16)).tolist(), 1) for k in range(700)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=60).collect()
+    want = {i: (n, c) for i, n, c in brute_vectors(rows)}
+    found, true = sum(r["n_links"] for r in got), sum(n for n, _ in want.values())
+    assert all(r["n_links"] <= want[r["vec_id"]][0] and r["recall"] >= 0.98 for r in got) and found >= 0.98 * true
+    assert [r["component_id"] for r in got].count(0) >= 0.98 * [c for _, c in want.values()].count(0)
+
+
 def test_search_finds_what_is_in_range():
     own = np.random.default_rng(8)
     vectors = own.normal(size=(700, 24))
@@ -311,7 +349,9 @@ def test_search_finds_what_is_in_range():
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     edges = flat_graph.build(vectors)
     assert flat_graph.reached(edges, flat_graph.medoid(vectors)).all()
-    _, rows, nodes = flat_graph.walk(vectors, edges, flat_graph.medoid(vectors), vectors, radius=0.98)
+    starts = np.stack([np.full(700, flat_graph.medoid(vectors)), np.full(700, -1)], axis=1)
+    rows, nodes, value = flat_graph.walk(vectors, edges, starts, vectors, lambda rows, nodes: 0.98)
+    assert np.allclose(value, (vectors[rows] * vectors[nodes]).sum(axis=1))
     true = {(a, b) for a, b in zip(*np.nonzero(vectors @ vectors.T >= 0.98), strict=True)}
     assert len(true & set(zip(rows.tolist(), nodes.tolist(), strict=True))) >= 0.98 * len(true)
 
