@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ NOISE_PRIOR, PRIOR_WEIGHT = 0.01, 20.0
 UNIT = 1_000_000
 
 _PLAIN = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
-_MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: What opens a stretch of markup that ends elsewhere than at the next angle bracket, and what ends it.
+_OPENS = re.compile(rb"<(?:!(?=--)|script\b|style\b)", re.I)
+_ENDS = {b"<!": re.compile(rb"-->"), b"<script": re.compile(rb"</script\s*>", re.I), b"<style": re.compile(rb"</style\s*>", re.I)}
 _BLOCK = 1 << 16
 
 
@@ -38,8 +41,26 @@ def triples(raw: bytes) -> Iterator[np.ndarray]:
 
 
 def visible(raw: bytes) -> bytes:
-    """The text of a web page without its markup."""
-    return _MARKUP.sub(b" ", raw)
+    """The text of a web page with a blank for each tag, comment, script and style.
+
+    One pass, whatever the page holds: the ends of each kind are listed once, so none is sought again for each opening.
+    A comment or script without an end is a plain tag; an angle bracket without one is text.
+    """
+    out, at, ends = [], 0, {}
+    while (start := raw.find(b"<", at)) >= 0:
+        stop = -1
+        if opens := _OPENS.match(raw, start):
+            kind = opens[0].lower()
+            if kind not in ends:
+                found = [m.span() for m in _ENDS[kind].finditer(raw)]
+                ends[kind] = [a for a, _ in found], [b for _, b in found]
+            k = bisect_left(ends[kind][0], opens.end() + 2 * (kind == b"<!"))
+            stop = ends[kind][1][k] if k < len(ends[kind][1]) else -1
+        if stop < 0 and (stop := raw.find(b">", start) + 1) == 0:
+            break
+        out.append(raw[at:start])
+        at = stop
+    return b" ".join([*out, raw[at:]])
 
 
 class TextModel:
@@ -67,14 +88,17 @@ class TextModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most_labelled: int = MOST_LABELLED) -> TextModel:
-    """A text model of the labelled rows, of ``most_labelled`` of them at most: those with the least digest of their id.
+    """A text model of the labelled rows, of about ``most_labelled`` of them at most: those whose digest of id and text is below a share.
 
-    Only the ids of the sample and sums for each language and hash class reach the driver; both have a fixed bound.
+    Wholly equal rows count once. What reaches the driver are sums for each language and hash class, whose number is
+    fixed, however many rows or partitions there are. Null ids and empty tables are allowed; rows without a label or
+    a text are left out.
     """
-    rows = docs.select(F.xxhash64(named(docs, id_col)).alias("key"), named(docs, label_col).cast("string").alias("label"), utf8(named(docs, text_col)).alias("text")).where("label is not null and length(text) > 0")
-    keys = [r["key"] for r in rows.select("key").orderBy("key").limit(most_labelled).collect()]
-    if keys:
-        rows = rows.where(F.col("key") <= keys[-1])
+    rows = docs.select(F.xxhash64(named(docs, id_col), named(docs, text_col)).alias("key"), named(docs, label_col).cast("string").alias("label"), utf8(named(docs, text_col)).alias("text")).where("label is not null and length(text) > 0")
+    share = min(1.0, most_labelled / max(1, rows.count()))
+    if share < 1:
+        rows = rows.where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30))
+    rows = rows.dropDuplicates(["key", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -127,31 +151,31 @@ def fuse(rows: DataFrame, languages: list[str], prior_weight: float = PRIOR_WEIG
     """Adds lang, confidence and n-best evidence to ``rows(host, domain, declared, suffix, n, evidence, belief)``.
 
     The prior of a host is its documents' summed beliefs over its domain's, these over all documents', each coarser one
-    weighing as ``prior_weight`` documents; a document's own belief is taken out of its host's. Declared language and
-    address suffix each contribute how likely they are given the language, by the same sums with one document of
-    smoothing for each value. What is null contributes nothing. All tables joined here hold a row for each host, domain,
+    weighing as ``prior_weight`` documents. Declared language and address suffix each contribute how likely they are
+    given the language, by the same sums with one document of smoothing for each value. A document's own belief is
+    taken out of every sum, so its text does not count twice. What is null contributes nothing. All tables joined here hold a row for each host, domain,
     declared language or suffix.
     """
     size = len(languages)
     totals = rows.agg(*[F.coalesce(F.sum(F.col("belief")[k]), F.lit(0)).alias(f"t{k}") for k in range(size)], F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
-    whole = sum(totals[f"t{k}"] for k in range(size)) + size * UNIT
-    overall = [(totals[f"t{k}"] + UNIT) / whole for k in range(size)]
+    whole, own = sum(totals[f"t{k}"] for k in range(size)) + size * UNIT, F.col("belief")
+    overall = lambda k: (totals[f"t{k}"] + UNIT - own[k]) / (whole - sum((own[j] for j in range(1, size)), own[0]))
     weight = F.lit(prior_weight * UNIT)
     for key in ("host", "domain", "declared", "suffix"):
         rows = rows.join(_sums(rows, key, size), key, "left")
 
-    def share(sums: Column, own: Column | None, above) -> Column:
-        """The smoothed share of each language in ``sums`` less ``own``; that of ``above`` where there are none."""
-        less = lambda k: sums[k] - (own[k] if own is not None else F.lit(0))
+    def share(sums: Column, above) -> Column:
+        """The smoothed share of each language in ``sums`` less the document's own; that of ``above`` where there are none."""
+        less = lambda k: sums[k] - own[k]
         count = sum((less(k) for k in range(1, size)), less(0))
         return _each(size, lambda k: F.coalesce((less(k) + weight * above(k)) / (count + weight), above(k)))
 
-    rows = rows.withColumn("wide", share(F.col("of_domain"), None, lambda k: F.lit(overall[k])))
-    rows = rows.withColumn("prior", share(F.col("of_host"), F.col("belief"), lambda k: F.col("wide")[k]))
+    rows = rows.withColumn("wide", share(F.col("of_domain"), overall))
+    rows = rows.withColumn("prior", share(F.col("of_host"), lambda k: F.col("wide")[k]))
 
     def likely(key: str, k: int) -> Column:
-        seen = F.coalesce(F.col(f"of_{key}")[k], F.lit(0))
-        return F.when(F.col(key).isNull(), 0.0).otherwise(F.log((seen + UNIT) / F.lit(float(totals[f"t{k}"] + UNIT * max(1, totals[key])))))
+        seen = F.col(f"of_{key}")[k] - own[k]
+        return F.when(F.col(key).isNull(), 0.0).otherwise(F.log((seen + UNIT) / (totals[f"t{k}"] - own[k] + UNIT * max(1, totals[key])).cast("double")))
 
     rows = rows.withColumn("score", _each(size, lambda k: F.log(F.greatest(F.col("prior")[k], F.lit(1e-9))) + F.col("evidence")[k] + likely("declared", k) + likely("suffix", k)))
     top = F.array_max("score")
