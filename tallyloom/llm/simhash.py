@@ -9,7 +9,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tallyloom.llm.common import checkpoint, map_rows, named, packed, unpacked, utf8
 from tallyloom.llm.components import connected_components
@@ -143,16 +142,28 @@ def near_edges(prints: DataFrame, max_bits: int = 2, most_compared: int = MOST_C
     The fingerprint is cut into ``max_bits + 1`` segments on a ring. Of two fingerprints within ``max_bits``, some chain
     of segments starts with an equal one and keeps all its running sums within budget, so each fingerprint is dealt
     once for each segment by that segment's value, and ``ring_forest`` follows the chain inside the bucket. Buckets of
-    more than ``most_compared`` take the way of ``_ball_edges``, if ``max_bits`` is 2 or less; otherwise all are compared.
+    more than ``most_compared`` take the way of ``_ball_edges`` if ``max_bits`` is 2 or less; otherwise they are cut into
+    pieces, any two of which are compared in one task. Sizes are counted before anything is gathered.
     """
     parts = max_bits + 1
-    most_compared = most_compared if max_bits <= 2 else (1 << 62)
     keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(_mask(s))).cast("long")), s[0]).alias("v")) for k, s in enumerate(_segments(parts))]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.v")
-    counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "v")))
-    buckets = counted.where((F.col("n") > 1) & (F.col("n") <= most_compared)).groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    edges = buckets.select(F.explode(_forest_udf(max_bits)("k", "fps")).alias("e")).select("e.a", "e.b")
-    return edges.unionByName(_ball_edges(counted.where(F.col("n") > most_compared), max_bits)) if max_bits <= 2 else edges
+    large = checkpoint(dealt.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_compared))
+    some = not large.isEmpty()
+    small = dealt.join(large, ["k", "v"], "left_anti") if some else dealt
+    buckets = small.groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    forest = lambda rows: rows.select(F.explode(_forest_udf(max_bits)("k", "fps")).alias("e")).select("e.a", "e.b")
+    if not some:
+        return forest(buckets)
+    hot = dealt.join(large, ["k", "v"])
+    if max_bits <= 2:
+        return forest(buckets).unionByName(_ball_edges(hot, max_bits))
+    pieces = F.ceil(2 * F.col("n") / most_compared).cast("int")
+    cut = checkpoint(hot.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int")).groupBy("k", "v", "piece", "n").agg(F.collect_list("fp").alias("own")))
+    first = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("piece"))))
+    second = cut.select("k", "v", F.col("piece").alias("other"), F.col("own").alias("others"))
+    both = first.join(second, ["k", "v", "other"]).select("k", F.sort_array(F.array_union("own", "others")).alias("fps"))
+    return forest(buckets).unionByName(forest(both))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3, most_compared: int = MOST_COMPARED) -> DataFrame:
@@ -174,18 +185,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of ``near_duplicates``, that of the smallest id, with the columns of ``docs`` unchanged.
 
     Rows are recognised by two 64-bit digests of id and text; of equal ids the smaller digest stays, null ids come last,
-    and of wholly equal rows one stays. What goes is broadcast if a count shows that it is little (some 10 MB at most).
+    and of wholly equal rows one stays. Null texts count as empty, and all documents without words are one group. An
+    empty table gives no rows. Tables of what is linked and of what goes are broadcast if a count shows that they are
+    small (some 10 MB at most), so that a large group's rows need not meet.
     """
+    hinted = lambda x: F.broadcast(x) if x.count() <= most_broadcast else x
     digests = {f"d{k}": F.xxhash64(F.lit(k), named(docs, id_col), named(docs, text_col)) for k in (1, 2)}
     prints = checkpoint(fingerprints(docs, id_col, text_col, width, digests))
     nodes = prints.select("fp").distinct()
-    components = connected_components(near_edges(nodes, max_bits, most_compared)).withColumnRenamed("node", "fp")
+    components = hinted(connected_components(near_edges(nodes, max_bits, most_compared)).withColumnRenamed("node", "fp"))
     rows = prints.groupBy("fp", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     rows = checkpoint(rows.join(components, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "d1", "d2", "n", F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2").alias("order")))
-    first = rows.groupBy("component").agg(F.min("order").alias("first"))
-    gone = checkpoint(rows.join(first, "component").withColumn("stays", F.col("order") == F.col("first")).where("not stays or n > 1").select("d1", "d2", "stays"))
-    small = gone.count() <= most_broadcast
-    hinted = lambda x: F.broadcast(x) if small else x
+    first = checkpoint(rows.groupBy("component").agg(F.min("order").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all"))
+    gone = checkpoint(rows.join(hinted(first), "component").withColumn("stays", F.col("order") == F.col("first")).where("not stays or n > 1").select("d1", "d2", "stays"))
     packed_rows = docs.select(packed(docs), *[c.alias(k) for k, c in digests.items()])
     kept = packed_rows.join(hinted(gone.select("d1", "d2")), ["d1", "d2"], "left_anti")
     again = packed_rows.join(hinted(gone.where("stays").select("d1", "d2")), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
