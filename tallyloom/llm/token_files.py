@@ -209,9 +209,14 @@ def read_token_files(blocks: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
-    """(range, part, start): ids in all blocks before each. One small row for each block; the payload is not read."""
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("range", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    """(range, part, start): ids in all blocks before each. One small row for each block; the payload is not read.
+
+    Blocks are summed by range first. Only the ranges, whose number is fixed by the partitions, are one sorted run.
+    """
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = blocks.groupBy("range").agg(F.sum("n_ids").alias("n_ids")).select("range", before(Window.orderBy("range")).alias("above"))
+    inside = blocks.select("range", "part", before(Window.partitionBy("range").orderBy("part")).alias("inside"))
+    return inside.join(ranges, "range").select("range", "part", (F.col("above") + F.col("inside")).alias("start"))
 
 
 def token_offsets(docs: DataFrame, model_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
