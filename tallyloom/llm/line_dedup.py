@@ -34,8 +34,10 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
     return over.groupBy("c.host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.02, min_pages: int = 5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and the columns _n_lines and _n_dropped after its own.
+def drop_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.02, min_pages: int = 5, most_broadcast: int = MOST_BROADCAST, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text and, with ``counts``, the columns _n_lines and _n_dropped after its own.
+
+    Columns of ``docs`` that have these two names give way to them.
 
     Every row stays, one whose lines are all dropped with an empty text; null texts stay null with no lines. A null host
     is a host of its own. Lines end at a line feed and are compared as they are. Repeated rows count as pages each. The
@@ -51,6 +53,9 @@ def drop_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     some = F.coalesce(F.size("out"), F.lit(0)) > 0
     met = met.withColumn("stay", F.when(some, F.filter("own", lambda x: ~F.array_contains("out", _digest(x)))).otherwise(F.col("own")))
     text = F.when(some, F.array_join("stay", "\n")).otherwise(F.col("row").getField(text_col).cast("string")).alias(text_col)
-    columns = [text if c == text_col else x for c, x in zip(docs.columns, unpacked(docs.columns), strict=True)]
-    number = F.coalesce(F.size("own"), F.lit(0))
-    return met.select(*columns, F.when(F.col("own").isNull(), 0).otherwise(number).cast("long").alias("_n_lines"), F.when(some, F.size("own") - F.size("stay")).otherwise(0).cast("long").alias("_n_dropped"))
+    added = {
+        "_n_lines": F.when(F.col("own").isNull(), 0).otherwise(F.coalesce(F.size("own"), F.lit(0))),
+        "_n_dropped": F.when(some, F.size("own") - F.size("stay")).otherwise(0),
+    } if counts else {}
+    columns = [text if c == text_col else x for c, x in zip(docs.columns, unpacked(docs.columns), strict=True) if c not in added]
+    return met.select(*columns, *[x.cast("long").alias(name) for name, x in added.items()])
