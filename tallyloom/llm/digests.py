@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import named, slices, utf8
@@ -88,6 +88,15 @@ def fit_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return ranks_of(counts)
 
 
+def write_ranks(spark: SparkSession, ranks: np.ndarray, path: str) -> None:
+    """Keeps ranks as a table, for fingerprints of other corpora that are to be compared with these."""
+    spark.createDataFrame(list(enumerate(ranks.tolist())), "level int, rank long").coalesce(1).write.parquet(path)
+
+
+def read_ranks(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r["rank"] for r in spark.read.parquet(path).orderBy("level").collect()], np.int64)
+
+
 def _positions(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Starts of the feature windows: the rarest, leftmost of ties, of POPULAR of the neighbourhoods they lie in."""
     windows, out = len(data) - WIDTH + 1, []
@@ -158,16 +167,23 @@ def digest(raw: bytes, ranks: np.ndarray) -> Digest:
 
 
 def likeness(one: Digest, other: Digest) -> float:
-    """0 to 1: for each filter of the shorter chain the best overlap with one of the other's, beyond chance.
+    """0 to 1, the same for either order: for each filter of the shorter chain the best overlap with one of the other's, beyond chance.
 
     Overlap counts from a cutoff somewhat above what as many random bits share to the most that can be shared. Filters
-    weigh by their features. Equal digests give 1; of two of which one has no feature, 0.
+    weigh by their features. Of two with equally many features both ways count half. Equal digests give 1; of two of
+    which one has no feature, 0.
     """
     if one.features == other.features and np.array_equal(one.filters, other.filters):
         return 1.0
     if not one.features or not other.features:
         return 0.0
-    a, b = (one, other) if one.features <= other.features else (other, one)
+    if one.features == other.features:
+        return (_found_in(one, other) + _found_in(other, one)) / 2
+    return _found_in(one, other) if one.features < other.features else _found_in(other, one)
+
+
+def _found_in(a: Digest, b: Digest) -> float:
+    """How much of digest ``a`` is found in ``b``."""
     of_a, of_b = (np.bitwise_count(x.filters).sum(axis=1, dtype=np.int64) for x in (a, b))
     weights = np.full(len(of_a), FILTER_FEATURES)
     weights[-1] = a.features - FILTER_FEATURES * (len(of_a) - 1)
@@ -215,7 +231,9 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Each whole text is fingerprinted, and so is it with its last half replaced by the start of the next document's,
     in descending id, after the last the first. near_edited and near_next are the likeness of its fingerprint to the edited
     text's and the next document's. ``ranks`` are those of ``fit_ranks`` over ``docs`` unless given. Null texts count as
-    empty. A single document is its own next. An empty table gives no rows.
+    empty. A single document is its own next. An empty table gives no rows. Of equal ids the one with the smaller text
+    comes first, null ids come last; equal rows follow each other and have a row each. Very long texts are read in
+    blocks, and only two of a task's texts are held at a time. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     ranks = fit_ranks(docs, text_col) if ranks is None else ranks
