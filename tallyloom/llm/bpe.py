@@ -11,7 +11,6 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyloom.llm.common import map_rows, named, utf8
 from tallyloom.llm.pieces import Pieces
@@ -214,9 +213,3 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     rows = docs.select(named(docs, id_col).cast("long").alias("doc_id"), utf8(named(docs, text_col)).alias("text"))
     return map_rows(rows, ", ".join(["doc_id long", "n_tokens long", *[f"{k} {kinds[k][0]}" for k in keep]]), batch)
-
-
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose ids decode to their text again, as ``encode_decode`` gives them."""
-    out = encode_decode(docs, ranks_path, pattern, id_col, text_col, ("decoded",))
-    return out.where(F.col("decoded").isNotNull())
