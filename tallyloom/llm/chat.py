@@ -67,13 +67,17 @@ def render(formatted: DataFrame) -> DataFrame:
     """(conv_id, example_no, prompt, reply): every example written out, ready for a trainer.
 
     Each row holds its whole context, so this grows with the square of a conversation's turns; it suits conversations of
-    ordinary length, and longer ones are better read by their spans.
+    ordinary length, and longer ones are better read by their spans. Null roles and texts were written as empty ones;
+    a conversation without a turn of the target role, and an empty table, give no rows.
     """
     return _written(formatted).where("example_no is not null").select("conv_id", "example_no", "prompt", "reply")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``formatted`` with the role and the text of its segments and, in examples, prompt, reply and the trainable text of the written example."""
+    """``formatted`` with the role and the text of its segments and, in examples, prompt, reply and the trainable text of the written example.
+
+    Every text comes back as it was, a null one as empty. An empty table gives no rows.
+    """
     parts = F.split("segment", BODY, -1)
     role, text = F.substr(parts[0], F.lit(len(OPEN) + 1)), parts[1]
     return _written(formatted).withColumns({"role": unescape(role), "text": unescape(F.substr(text, F.lit(1), F.length(text) - (len(CLOSE) - 2))), "loss": unescape(F.col("reply"))})

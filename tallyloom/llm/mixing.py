@@ -89,7 +89,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of the mix itself, with the columns of ``docs``; a text taken twice is there twice.
 
     Rows with equal ids are told apart by a digest of their source and text; among wholly equal rows each takes the
-    same number of copies up to one.
+    same number of copies up to one. Null or blank texts have no words and are taken like others of their source, a
+    source without any words never; a null source is the last. An empty table gives no rows.
     """
     key = F.concat_ws(":", F.coalesce(named(docs, id_col).cast("string"), F.lit("~")), F.xxhash64(named(docs, source_col), named(docs, text_col)).cast("string"))
     rows = docs.select(packed(docs), key.alias("key"))
