@@ -72,6 +72,28 @@ def test_tokens_and_run(spark, sf_dir, staged):
     want = []
     for i, text, *_ in rows(staged[4]):
         ids = library.encode_ordinary(text)
-        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        want.append((i, len(ids), ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted([tuple(r) for r in staged[5].collect()]) == sorted(want)
     assert sorted([tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()]) == sorted(want)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, row string, _n_lines string, fp string, key string, size int, copies string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, sf_dir, empty):
+    clean = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 200").select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").limit(60).collect()]
+    junk = [(None, None, None, None, None), (9001, "", "en", None, 0), (9002, "12 34 ...", None, "a", 9), (9003, "xqzj vkwq zzxq qjxw wvkz qxqx jzkq " * 9, None, "a", 315), (9004, None, "en", "a", None)]
+    clash = ("h", "r", "n", "f", "k", 7, "c")
+    own = [] if empty else [(*r, *clash) for r in [*clean, clean[0], clean[0], *junk, (None, *clean[1][1:])]]
+    docs = spark.createDataFrame(own, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+        after = spark.createDataFrame(after.collect(), SCHEMA)
+        if name == "language" and not empty:
+            kept = {r["doc_id"] for r in after.collect()}
+            assert not kept & {9001, 9002, 9003, 9004} and {r["doc_id"] for r in clean} <= kept
+        docs = after
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert len(got) == docs.count() and (bool(got) != empty)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -231,14 +232,68 @@ def test_page_evidence_decides_where_the_text_does_not(spark, model):
     assert all(got[k]["lang"] == lang for k, lang in enumerate([*WORDS] * 30))
 
 
-def test_a_host_prior_is_smoothed_by_its_domain_and_leaves_out_the_document_itself(spark):
-    unit = language.UNIT
-    row = lambda host, a, b: (host, "d", None, None, 10, [0.0, 0.0], [a * unit, b * unit])
-    rows = spark.createDataFrame([row("h", 1, 0), row("h", 0, 1), row("g", 1, 0)], "host string, domain string, declared string, suffix string, n long, evidence array<double>, belief array<long>")
-    got = {(r["host"], r["belief"][0]): r["prior"][0] for r in language.fuse(rows, ["x", "y"], prior_weight=2.0).collect()}
-    overall = (2 + 1) / (3 + 2)
-    wide = (2 + 2 * overall) / (3 + 2)
-    assert got["h", unit] == pytest.approx((0 + 2 * wide) / (1 + 2)) and got["h", 0] == pytest.approx((1 + 2 * wide) / (1 + 2)) and got["g", unit] == pytest.approx(wide)
+def brute_scores(rows, languages, weight, unit):
+    """Scores by Bayes' rule, each document's own belief left out of every sum; rows are (host, domain, declared, suffix, n, evidence, belief)."""
+    size, values = range(len(languages)), {k: len({r[k] for r in rows if r[k] is not None}) for k in (2, 3)}
+    out = []
+    for mine, row in enumerate(rows):
+        others = [r for k, r in enumerate(rows) if k != mine]
+        belief = lambda test: [sum(r[6][k] for r in others if test(r)) / unit for k in size]  # noqa: E731, B023
+        smooth = lambda found, above: [(found[k] + weight * above[k]) / (sum(found) + weight) for k in size]
+        every = belief(lambda r: True)
+        prior = [(every[k] + 1) / (sum(every) + len(languages)) for k in size]
+        for key in (1, 0):
+            if row[key] is not None:
+                prior = smooth(belief(lambda r: r[key] == row[key]), prior)  # noqa: B023
+        score = [np.log(max(prior[k], 1e-9)) + row[5][k] for k in size]
+        for key in (2, 3):
+            if row[key] is not None:
+                found = belief(lambda r: r[key] == row[key])  # noqa: B023
+                score = [score[k] + np.log((found[k] + 1) / (every[k] + max(1, values[key]))) for k in size]
+        out.append(score)
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    unit, languages, rows = language.UNIT, ["x", "y", "und"], []
+    for k in range(60):
+        belief = RANDOM.choices(range(1, 5), k=3)
+        rows.append((RANDOM.choice(["a.b", "c.b", "d.e", None]), RANDOM.choice(["b", "e", None]), RANDOM.choice(["x", "y", "z", None]), RANDOM.choice(["q", "r", None]), k % 7, [RANDOM.uniform(-9, 0) for _ in languages], [b * unit // sum(belief) for b in belief]))
+    rows += [rows[0], rows[0], ("only", "alone", "once", "here", 5, [-1.0, -2.0, -3.0], [unit, 0, 0])]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, host string, domain string, declared string, suffix string, n long, evidence array<double>, belief array<long>")
+    got = {r["id"]: r for r in language.fuse(frame, languages, prior_weight=2.5).collect()}
+    for k, want in enumerate(brute_scores(rows, languages, 2.5, unit)):
+        assert got[k]["score"] == pytest.approx(want, rel=1e-9)
+        assert got[k]["lang"] == languages[int(np.argmax(want))]
+        assert got[k]["confidence"] == pytest.approx(np.exp(max(want)) / np.exp(want).sum())
+
+
+def test_markup_in_one_pass():
+    pattern = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    parts = [b"<!--", b"-->", b"<script", b"<script>", b"</script>", b"</SCRIPT  >", b"</scripty>", b"<style x>", b"</style>", b"<", b">", b"a", b" b ", b"<p>", b"<!-->", b"\n", b"<scripts>"]
+    for _ in range(20_000):
+        raw = b"".join(RANDOM.choice(parts) for _ in range(RANDOM.randint(0, 12)))
+        assert language.visible(raw) == pattern.sub(b" ", raw)
+    began = time.perf_counter()
+    for part in (b"<!--", b"<script>", b"<style></styl", b"<!-- >"):
+        language.visible(part * 400_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_the_text_model_is_fitted_on_a_bounded_sample_that_repeated_rows_do_not_swell(spark):
+    rows = [(k, sentences("en", 5), "en", "s") for k in range(400)] + [(None, "die gleiche Zeile", "de", "s")] * 300
+    whole, part = language.fit(docs(spark, rows)), language.fit(docs(spark, rows), most_labelled=100)
+    assert whole.languages == ["de", "en", "und"] and part.languages[-1] == "und"
+    once = language.fit(docs(spark, rows[:401]))
+    assert np.array_equal(once.table, whole.table)  # repeated rows count once
+    assert language.fit(docs(spark, [])).languages == ["und"]
+
+
+def test_lines_replace_columns_of_the_same_names(spark):
+    table = docs(spark, [(k, "Menu\nown", "en", "a") for k in range(6)]).withColumn("_n_lines", F.lit("clash")).withColumn("_n_dropped", F.lit(None))
+    got = line_dedup.drop_lines(table)
+    assert got.columns == [c for c in table.columns if c[0] != "_"] + ["_n_lines", "_n_dropped"] and got.first()["_n_lines"] == 2
+    assert line_dedup.drop_lines(table, counts=False).columns == table.columns
 
 
 def test_declared_language_is_found_wherever_the_html_element_stands(spark):
@@ -365,3 +420,13 @@ def test_balls_hold_only_vectors_that_are_near_each_other():
     for leader in np.unique(led):
         members = vectors[led == leader]
         assert led[leader] == leader and (members @ members.T).min() >= 0.98 - 1e-9
+
+
+def test_operators_leave_the_session_as_it_was(spark):
+    held = lambda: {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")}
+    from tallyloom.llm import queries
+
+    before = held()
+    for name, run in queries.QUERIES.items():
+        run(spark, "/root/testdata/sf0.001")
+        assert held() == before, name

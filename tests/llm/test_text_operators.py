@@ -220,7 +220,7 @@ def groups(values, bits):
     return {frozenset(v for v in values if find(v) == r) for r in {find(v) for v in values}}
 
 
-@pytest.mark.parametrize(("bits", "most"), [(2, 4096), (2, 2), (1, 2), (0, 4096), (4, 4096)])
+@pytest.mark.parametrize(("bits", "most"), [(2, 4096), (2, 2), (1, 2), (0, 4096), (4, 4096), (4, 3)])
 def test_near_edges_connect_what_brute_force_links(spark, bits, most):
     bases, values = [RANDOM.getrandbits(64) for _ in range(12)], set()
     for base in bases:
@@ -287,9 +287,52 @@ def test_likeness_orders_texts():
     assert digests.likeness(d(a), d(b)) < 0.1 < digests.likeness(d(a), d(a[: len(a) // 2] + b[: len(b) // 2])) < 1
     assert digests.likeness(d(""), d("")) == 1 and digests.likeness(d(""), d(a)) == 0
     assert digests.likeness(d("aaaa" * 100), d("aaaa" * 100)) == 1
-
-
-def test_fingerprint_query(spark):
+    for k in range(40):
+        x, y = d(make(90 * k, 300)), d(make(90 * k, 150) + make(70_000 + 90 * k, 150))
+        y.features = x.features if len(x.filters) == len(y.filters) else y.features
+        assert digests.likeness(x, y) == digests.likeness(y, x)
+
+
+def brute_digest(raw, ranks):
+    """The digest window by window, without arrays or blocks."""
+    if not raw:
+        return 0, b""
+    width = digests.WIDTH
+    if len(raw) < width:
+        raw += bytes([len(raw)]) * (width - len(raw))
+    # a level at a time from single windows: that they are right is tested above
+    rank = [int(ranks[digests.entropy_levels(np.frombuffer(raw[k : k + width], np.uint8))[0]]) for k in range(len(raw) - width + 1)]
+    around = min(digests.AROUND, len(rank))
+    wins = [0] * len(rank)
+    for k in range(len(rank) - around + 1):
+        wins[min(range(k, k + around), key=lambda j: (rank[j], j))] += 1
+    chosen = [k for k in range(len(rank)) if wins[k] >= digests.POPULAR and rank[k] <= digests.LEVELS] if len(rank) > digests.AROUND else []
+    chosen = chosen or [max(range(len(rank)), key=lambda k: (wins[k], -k))]
+    out, mask = [], (1 << 64) - 1
+    for at in range(0, len(chosen), digests.FILTER_FEATURES):
+        bits = 0
+        for k in chosen[at : at + digests.FILTER_FEATURES]:
+            h = 0x9E3779B97F4A7C15
+            for j in range(0, width, 8):
+                h = (h ^ int.from_bytes(raw[k + j : k + j + 8], "little")) * 0xBF58476D1CE4E5B9 & mask
+                h ^= h >> 31
+            h = h * 0x94D049BB133111EB & mask
+            h ^= h >> 29
+            for j in range(digests.FEATURE_BITS):
+                bits |= 1 << (h >> 11 * j & digests.FILTER_BITS - 1)
+        out.append(bits.to_bytes(digests.FILTER_BITS // 8, "little"))
+    return len(chosen), b"".join(out)
+
+
+def test_digest_by_brute_force():
+    texts = ["", "short", "x" * 31, "x" * 32, "x" * 33, "ab" * 60, *["".join(RANDOM.choice(RANDOM.choice(["ab ", "abcdefghij klmn\n", "日é. 0123"])) for _ in range(n)) for n in (40, 63, 64, 65, 300, 4000)]]
+    ranks = digests.ranks_of(sum(digests.level_counts(t.encode()) for t in texts))
+    for text in texts:
+        found = digests.digest(text.encode(), ranks)
+        assert (found.features, found.filters.tobytes()) == brute_digest(text.encode(), ranks), text[:40]
+
+
+def test_fingerprint_query(spark, tmp_path):
     texts = [f"document {k} " + " ".join(RANDOM.choice(["red", "green", "blue", "white"]) + str(RANDOM.randint(0, 500)) for _ in range(40)) for k in range(30)] + [None, "", "日本", "short"]
     ids = [3 * k for k in range(34)]
     got = {r["doc_id"]: r for r in digests.compare_edits(rows(spark, texts, ids)).collect()}
@@ -302,6 +345,26 @@ def test_fingerprint_query(spark):
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
     assert sum(r["near_edited"] for r in got.values()) > 3 * sum(r["near_next"] for r in got.values())
     assert digests.compare_edits(rows(spark, [])).count() == 0
+    ranks = digests.fit_ranks(rows(spark, texts, ids))
+    own = {i: digests.digest((by_id[i] or "").encode(), ranks) for i in ids}
+    for at, i in enumerate(order):
+        text, following = by_id[i] or "", order[(at + 1) % len(order)]
+        changed = digests.digest((text[: len(text) - len(text) // 2] + (by_id[following] or "")[: len(text) // 2]).encode(), ranks)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (str(own[i]), str(changed))
+        assert got[i]["near_edited"] == digests.likeness(own[i], changed) and got[i]["near_next"] == digests.likeness(own[i], own[following])
+    folder = f"{tmp_path}/ranks"
+    digests.write_ranks(spark, ranks, folder)
+    assert (digests.read_ranks(spark, folder) == ranks).all()
+    clashing = digests.compare_edits(rows(spark, texts, ids).withColumnsRenamed({"fp": "range", "size": "tail"}))
+    assert table(clashing, *clashing.columns) == table(digests.compare_edits(rows(spark, texts, ids)), *clashing.columns)
     alone = digests.compare_edits(rows(spark, ["one text only, and no other"])).first()
     assert alone["near_next"] == 1
     assert digests.compare_edits(rows(spark, ["same", "same", "same"], [1, 1, None])).count() == 3
+
+
+def test_texts_of_megabytes(spark, pieces_model):
+    long = " ".join(f"word{k % 997} of text {k * k % 10_007}" for k in range(150_000))
+    got = digests.compare_edits(rows(spark, [long, "short text", None])).collect()
+    assert {r["doc_id"]: r["n_chars"] for r in got} == {0: len(long), 1: 10, 2: 0}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows(spark, [long, None]), vocab.path("piece_bpe_32k.model")).collect()}
+    assert counts == {0: len(pieces_model.encode(long)), 1: 0}
