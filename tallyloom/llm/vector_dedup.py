@@ -33,7 +33,7 @@ LOOSE = 1e-5
 NARROW = 8
 #: What is added to angles to leaders, many times the error of an arc cosine near 1, so that no certain link is wrong.
 SURE = 1e-7
-#: Kinds of rows that searches give: links counted, connected leaders, balls to compare, partners of audited leaders, visits.
+#: Kinds of rows that searches give: links counted, connected leaders, balls to compare, how many are in range of audited leaders, visits.
 COUNT, STAR, BALLS, AUDITED, VISIT = range(5)
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("cell", pa.string())])
 FOUND = "kind byte, a long, b long, n long, cell string"
@@ -211,8 +211,9 @@ def _searcher(threshold: float, beam: int):
             ball = np.stack([everyone[a[~one]], ids[nodes[~one]]], axis=1)
             ball = np.unique(np.sort(ball, axis=1), axis=0)
             out.append(_rows(BALLS, ball[:, 0], ball[:, 1]))
-            audited = asked[a] & here
-            out.append(_rows(AUDITED, everyone[a[audited]], ids[nodes[audited]]))
+            partners = np.bincount(rows[here], minlength=len(own))
+            some = np.nonzero(asked[own] & (partners > 0))[0]
+            out.append(_rows(AUDITED, everyone[own[some]], n=partners[some]))
             away = belongs[nodes] & ~belongs[a]
             if this >= 0:
                 away[:, this] = False
@@ -299,11 +300,12 @@ def _compare_all(heads: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(heads: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(grp, recall): by label how much of what is in range of its audited leaders ``found(a, b)`` holds.
+    """(grp, recall): by label how many of the leaders in range of its audited ones ``found(a, n)`` counts.
 
     The audited leaders are compared with all leaders of their label, block by block. For each that has others in range
-    the share of these that was found counts; recall is the mean of the shares. A label whose audited leaders have
-    nothing in range has no row. Cosines within 1e-12 of the bound are no misses.
+    the share of these that was found counts; as searches compare what they find exactly, all that they count is in
+    range, and counts show what is missing. Recall is the mean of the shares. A label whose audited leaders have nothing
+    in range has no row. Cosines within 1e-12 of the bound are no misses.
     """
     sizes, placed = _in_blocks(heads)
     asked = _blocks(placed.where("asked").withColumn("block", F.lit(0)), ["grp"], "node", "reach").drop("block")
@@ -313,13 +315,14 @@ def audit(heads: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, p, q, reach, too, left, right in _batches(batches):
             close = unit(left.reshape(len(p), -1)) @ unit(right.reshape(len(q), -1)).T
-            i, j = np.nonzero((close >= _bounds(threshold, reach[:, None] + too[None, :])[0] + 1e-12) & (p[:, None] != q[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array([group] * len(i), pa.string()), pa.array(p[i], pa.int64()), pa.array(q[j], pa.int64())], ["grp", "a", "b"])
+            true = ((close >= _bounds(threshold, reach[:, None] + too[None, :])[0] + 1e-12) & (p[:, None] != q[None, :])).sum(axis=1)
+            some = np.nonzero(true)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(some), pa.string()), pa.array(p[some], pa.int64()), pa.array(true[some], pa.int64())], ["grp", "a", "true"])
 
-    true = asked.join(every, ["grp", "block"]).select("grp", "node", "node_y", "reach", "reach_y", "vec", "vec_y").mapInArrow(run, "grp string, a long, b long")
-    held = found.select("a", "b", F.lit(1.0).alias("held")).distinct()
-    shares = true.join(held, ["a", "b"], "left").groupBy("grp", "a").agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("share"))
-    return checkpoint(shares.groupBy("grp").agg(F.avg("share").alias("recall")))
+    true = asked.join(every, ["grp", "block"]).select("grp", "node", "node_y", "reach", "reach_y", "vec", "vec_y").mapInArrow(run, "grp string, a long, true long").groupBy("grp", "a").agg(F.sum("true").alias("true"))
+    held = found.groupBy("a").agg(F.sum("n").alias("held"))
+    share = F.least(F.lit(1.0), F.coalesce("held", F.lit(0)) / F.col("true"))
+    return checkpoint(true.join(held, "a", "left").groupBy("grp").agg(F.avg(share).alias("recall")))
 
 
 def _verified(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -363,7 +366,7 @@ def _tried(nodes: DataFrame, threshold: float, shard: int, overlap: int, beam: i
     own = placed.select("node", "cell", "home").join(heads, "node")
     lists = checkpoint(_lists(own))
     found = _explore(checkpoint(own.join(lists, "node")), heads, threshold, beam)
-    recall = audit(heads, found.where(F.col("kind") == AUDITED).select("a", "b"), threshold)
+    recall = audit(heads, found.where(F.col("kind") == AUDITED).select("a", "n"), threshold)
     low = recall.where(F.col("recall") < LEAST_RECALL)
     if last and not low.isEmpty():
         grp = heads.select(F.col("node").alias("a"), "grp")
