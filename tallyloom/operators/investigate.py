@@ -29,8 +29,27 @@ def by_member(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filter
     """
     k = f.kpi(kpi_key)
     sums = f.pair(k, tf.parse(period_a), tf.parse(period_b), [f.dimension(dimension)], filters).withColumnRenamed(dimension, "member")
+    return _decomposed(k, sums, [])
+
+
+def by_members(f: Facts, kpi_key: str, dimensions: list[str], period_a, period_b, filters: dict | None = None) -> DataFrame:
+    """(dimension, ...): ``by_member`` of several dimensions, from one scan however many they are."""
+    k, anchor = f.kpi(kpi_key), f.load(set())
+    tests = {s: tf.parse(p).bind(anchor).predicate(F.col("date")) for s, p in (("_c", period_a), ("_b", period_b))}
+    rows = _by_dimension(f, k, dimensions, tests["_c"] | tests["_b"], filters)
+    sums = rows.groupBy("dimension", "member").agg(*[x for s, t in tests.items() for x in k.sums(t, s)])
+    return _decomposed(k, sums, ["dimension"])
+
+
+def _by_dimension(f: Facts, k, dimensions: list[str], scope, filters: dict | None = None) -> DataFrame:
+    """The facts once for each dimension with its name and member; partial sums shrink them before any shuffle."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in map(f.dimension, dimensions)])
+    return f.rows(set(dimensions) | k.fields(), scope, filters).withColumn("x", F.explode(pairs)).select("date", *sorted(k.fields()), "x.dimension", "x.member")
+
+
+def _decomposed(k, sums: DataFrame, within: list[str]) -> DataFrame:
     sums = sums.withColumns({"current": k.finish("_c"), "baseline": k.finish("_b")})
-    whole = Window.partitionBy()
+    whole = Window.partitionBy(*within)
     if k.additive:
         effect = F.coalesce("current", F.lit(0.0)) - F.coalesce("baseline", F.lit(0.0))
         sums = sums.withColumns({"rate": F.lit(None).cast("double"), "mix": F.lit(None).cast("double"), "effect": effect})
@@ -47,7 +66,7 @@ def by_member(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filter
     contribution = F.try_divide(F.col("effect"), F.sum("effect").over(whole)) * 100
     out = sums.withColumn("contribution_pct", contribution).withColumn("over_index", F.try_divide(F.col("contribution_pct"), F.col("share_b")))
     change = F.col("current") - F.col("baseline")
-    return out.select("member", "current", "baseline", change.alias("change"), robust.pct(F.col("current"), F.col("baseline")).alias("change_pct"), "effect", "rate", "mix", "contribution_pct", F.col("share_b").alias("baseline_share"), "over_index")
+    return out.select(*within, "member", "current", "baseline", change.alias("change"), robust.pct(F.col("current"), F.col("baseline")).alias("change_pct"), "effect", "rate", "mix", "contribution_pct", F.col("share_b").alias("baseline_share"), "over_index")
 
 
 def nested(f: Facts, kpi_key: str, outer_dimension: str, outer_member: str, inner_dimension: str, period_a, period_b, filters: dict | None = None) -> DataFrame:
@@ -263,40 +282,109 @@ def dispersion(f: Facts, kpi_key: str, dimension: str, period_a, grain: str = "q
     return rows.select("member", "change_pct", F.size("h").cast("long").alias("history"), z.alias("z"))
 
 
-def scored(rows: DataFrame, weights: tuple[float, ...] = (0.40, 0.25, 0.20, 0.15)) -> DataFrame:
+#: The robust z that starts to count and the one that counts in full, and the weights of a driver's size,
+#: over-index, unusualness and persistence.
+Z_FLOOR, Z_FULL, WEIGHTS = 1.0, 3.0, (0.40, 0.25, 0.20, 0.15)
+#: Periods before the asked one whose weeks are looked at, weeks in a row that make an onset, share and
+#: over-index of a member in focus, and dimensions in focus.
+LOOKBACK, IN_A_ROW, FOCUS_SHARE, FOCUS_DIMENSIONS = 3, 2, 25.0, 2
+
+
+def scored(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``rows(contribution_pct, over_index, z, persistence, axis)`` with their driver score: the weighted mean of the
     clipped parts that are known, times the axis weight. Only members that push the way of the change stay."""
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    parts = [clip(F.abs("contribution_pct") / 100), clip(F.col("over_index") - 1), clip(F.abs("z") - 1), clip(F.col("persistence"))]
-    known = [F.when(p.isNotNull() & c.isNotNull(), F.lit(w)).otherwise(0.0) for p, c, w in zip(parts, (F.col("contribution_pct"), F.col("over_index"), F.col("z"), F.col("persistence")), weights, strict=True)]
+    parts = [clip(F.abs("contribution_pct") / 100), clip(F.col("over_index") - 1), clip((F.abs("z") - Z_FLOOR) / (Z_FULL - Z_FLOOR)), clip(F.col("persistence"))]
+    known = [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in zip((F.col("contribution_pct"), F.col("over_index"), F.col("z"), F.col("persistence")), weights, strict=True)]
     top = sum((F.when(w > 0, w * p).otherwise(0.0) for p, w in zip(parts[1:], known[1:], strict=True)), F.when(known[0] > 0, known[0] * parts[0]).otherwise(0.0))
     return rows.where("contribution_pct > 0").withColumn("score", F.try_divide(top, sum(known[1:], known[0])) * F.coalesce("axis", F.lit(1.0)))
 
 
-def rank_drivers(f: Facts, kpi_key: str, period_a, period_b, dimensions: list[str] | None = None, filters: dict | None = None, limit: int | None = 6) -> DataFrame:
-    """Members of all dimensions by driver score: size, over-index, unusualness and how much the dimension explains."""
+def member_history(f: Facts, kpi_key: str, dimensions: list[str], period_a) -> DataFrame:
+    """(dimension, member, norm, spread, history): median and robust sigma of each member's changes between the quarters
+    it holds, before the first quarter of ``period_a``; null with fewer than three. Sigma widens by sqrt(1 + 1/n)."""
+    k, now = f.kpi(kpi_key), tf.parse(period_a).bind(f.load(set()))
+    first = f.rows(set(), now).agg(F.min(tf.ordinal(F.col("date"), "quarter"))).first()[0]
+    rows = _by_dimension(f, k, dimensions, None).withColumn("ord", tf.ordinal(F.col("date"), "quarter"))
+    points = rows.groupBy("dimension", "member", "ord").agg(*k.sums()).select("dimension", "member", "ord", k.finish().alias("value"))
+    change = robust.pct(F.col("value"), F.lag("value").over(Window.partitionBy("dimension", "member").orderBy("ord")))
+    lists = points.withColumn("change", change).groupBy("dimension", "member").agg(F.collect_list(F.when(F.col("ord") < F.lit(first), F.col("change"))).alias("h"))
+    enough = F.size("h") >= 3
+    spread = robust.sigma(F.col("h")) * F.sqrt(1 + F.try_divide(F.lit(1.0), F.size("h")))
+    return lists.select("dimension", "member", F.when(enough, robust.median(F.col("h"))).alias("norm"), F.when(enough & (spread > 0), spread).alias("spread"), F.size("h").cast("long").alias("history"))
+
+
+def member_persistence(f: Facts, kpi_key: str, dimensions: list[str], period_a, directions: DataFrame) -> DataFrame | None:
+    """(dimension, member, onset, outside, weeks): when each member left its earlier weeks' range the way of its change,
+    and how many of the period's weeks it stayed outside; none if the period is no single quarter or year.
+
+    The weeks looked at start LOOKBACK periods before. All of them but about the last make the range: median and one
+    robust sigma, else the standard deviation, else a twentieth of the median. ``directions(dimension, member, down)``.
+    """
+    now = tf.parse(period_a)
+    if now.kind not in ("quarter", "year"):
+        return None
+    k, start = f.kpi(kpi_key), now
+    for _ in range(LOOKBACK):
+        start = tf.previous(start)
+    anchor = f.load(set())
+    first, own = start.bind(anchor).predicate(F.col("date")), now.bind(anchor).predicate(F.col("date"))
+    ends = f.rows(set(), first | own).agg(F.min(F.when(first, F.col("date"))).alias("low"), F.min(F.when(own, F.col("date"))).alias("begin"), F.max(F.when(own, F.col("date"))).alias("high")).first()
+    if None in ends:
+        return None
+    base = max(4, (ends["begin"] - ends["low"]).days // 7 - 1)
+    rows = _by_dimension(f, k, dimensions, (F.col("date") >= F.lit(ends["low"])) & (F.col("date") <= F.lit(ends["high"]))).withColumn("week", tf.label(F.col("date"), "week"))
+    points = rows.groupBy("dimension", "member", "week").agg(*k.sums()).select("dimension", "member", F.struct("week", k.finish().alias("value")).alias("p"))
+    lists = points.groupBy("dimension", "member").agg(F.sort_array(F.collect_list("p")).alias("p")).join(directions, ["dimension", "member"])
+    held = F.filter(F.transform(F.slice("p", 1, base), lambda x: x["value"]), lambda v: v.isNotNull())
+    scaled, plain = robust.mad(F.col("held")) * robust.MAD_SCALE, F.coalesce(robust.deviation(F.col("held")), F.lit(0.0))
+    centre = robust.median(F.col("held"))
+    lists = lists.withColumn("held", held).withColumn("centre", centre).withColumn("spread", F.when(scaled != 0, scaled).when(plain != 0, plain).otherwise(F.abs("centre") * 0.05))
+    beyond = lambda v: F.coalesce(F.when(F.col("down"), v < F.col("centre") - F.col("spread")).otherwise(v > F.col("centre") + F.col("spread")), F.lit(False))
+    lists = lists.withColumn("out", F.transform("p", lambda x: beyond(x["value"])))
+    at = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: (i > base) & F.forall(F.slice("out", i, F.lit(IN_A_ROW)), lambda x: x) & (i + IN_A_ROW - 1 <= F.size("p")))
+    usable = (F.size("held") >= 3) & (F.col("spread") > 0) & (F.size("p") >= base + IN_A_ROW + 1)
+    lists = lists.withColumn("place", F.when(usable, F.get(at, F.lit(0))))
+    begin = str(ends["begin"].date())
+    weeks = F.size(F.filter("p", lambda x: x["week"] >= begin))
+    outside = F.size(F.filter(F.arrays_zip("p", "out"), lambda x: (x["p"]["week"] >= begin) & x["out"]))
+    return lists.select("dimension", "member", F.get("p", F.col("place") - 1)["week"].alias("onset"), F.when(F.col("place").isNull(), 0).otherwise(outside).cast("long").alias("outside"), weeks.cast("long").alias("weeks"))
+
+
+def rank_drivers(f: Facts, kpi_key: str, period_a, period_b, dimensions: list[str] | None = None, filters: dict | None = None, limit: int | None = 6, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """Members of all dimensions by driver score: size, over-index, unusualness, persistence, and how much the dimension explains.
+
+    Four scans, however many dimensions: the two periods' sums, the cells of the attribution, and each member's history
+    by quarter and by week, which ``filters`` do not narrow. z is that of the change between the two periods asked for.
+    """
     dims = list(dimensions or f.dimensions)
-    axis = shapley(f, kpi_key, period_a, period_b, dims, filters) if len(dims) > 1 and f.kpi(kpi_key).kind != "mean" else None
-    rows = None
-    for d in dims:
-        own = by_member(f, kpi_key, d, period_a, period_b, filters).join(dispersion(f, kpi_key, d, period_a, filters=filters).select("member", "z"), "member", "left").withColumn("dimension", F.lit(d))
-        rows = own if rows is None else rows.unionByName(own)
-    rows = rows.withColumn("persistence", F.lit(None).cast("double"))
-    if axis is not None:
+    rows = by_members(f, kpi_key, dims, period_a, period_b, filters)
+    past = member_history(f, kpi_key, dims, period_a)
+    rows = rows.join(past, ["dimension", "member"], "left").withColumn("z", F.try_divide(F.col("change_pct") - F.col("norm"), F.col("spread")))
+    held = member_persistence(f, kpi_key, dims, period_a, rows.select("dimension", "member", (F.coalesce("change", F.lit(0.0)) < 0).alias("down")))
+    if held is None:
+        none = {"onset": F.lit(None).cast("string"), "outside": F.lit(None).cast("long"), "weeks": F.lit(None).cast("long")}
+        rows = rows.withColumns(none)
+    else:
+        rows = rows.join(held, ["dimension", "member"], "left")
+    rows = rows.withColumn("persistence", F.when(F.col("weeks") > 0, F.col("outside") / F.col("weeks")))
+    if len(dims) > 1 and f.kpi(kpi_key).kind != "mean":
+        axis = shapley(f, kpi_key, period_a, period_b, dims, filters)
         rows = rows.join(axis.select("dimension", F.try_divide(F.col("phi"), F.max("phi").over(Window.partitionBy())).alias("axis")), "dimension", "left")
     else:
         rows = rows.withColumn("axis", F.lit(1.0))
-    out = scored(rows).select("dimension", "member", "effect", "contribution_pct", "over_index", "z", "axis", "score").orderBy(F.round("score", 4).desc(), F.desc("contribution_pct"), "dimension", "member")
+    out = scored(rows, weights).select("dimension", "member", "effect", "contribution_pct", "over_index", "z", "onset", "outside", "weeks", "axis", "score").orderBy(F.round("score", 4).desc(), F.desc("contribution_pct"), "dimension", "member")
     return out.limit(limit) if limit is not None else out
 
 
 def focus(f: Facts, kpi_key: str, period_a, period_b, dimensions: list[str] | None = None) -> DataFrame:
-    """Members with a quarter or more of the change and an over-index of 1.2 or more."""
-    rows = None
-    for d in dimensions or f.dimensions:
-        own = by_member(f, kpi_key, d, period_a, period_b).withColumn("dimension", F.lit(d))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.where((F.col("contribution_pct") >= 25) & (F.col("over_index") >= OVER_INDEX)).select("dimension", "member", "contribution_pct", "over_index")
+    """The member in focus of at most two dimensions: with a quarter or more of the change and an over-index of 1.2 or
+    more, or an unknown one, which counts as 1; the greatest over-index first, then the greatest share."""
+    rows = by_members(f, kpi_key, list(dimensions or f.dimensions), period_a, period_b)
+    rows = rows.where((F.col("contribution_pct") >= FOCUS_SHARE) & F.coalesce(F.col("over_index") >= OVER_INDEX, F.lit(True)))
+    by = [F.desc("weight"), F.desc("contribution_pct"), F.desc("dimension"), F.desc("member")]
+    first = rows.withColumn("weight", F.coalesce("over_index", F.lit(1.0))).withColumn("place", F.row_number().over(Window.partitionBy("dimension").orderBy(*by))).where("place = 1")
+    return first.orderBy(*by).limit(FOCUS_DIMENSIONS).select("dimension", "member", "contribution_pct", "over_index")
 
 
 def movement(f: Facts, keys: list[str], period_a, period_b, filters: dict | None = None) -> DataFrame:

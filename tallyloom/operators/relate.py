@@ -14,6 +14,9 @@ from tallyloom.sources.facts import Facts
 
 #: Fixed value: periods in a year of each grain that seasonality is looked for in.
 CYCLES = {"quarter": 4, "month": 12, "week": 52}
+#: The autocorrelation at a year from which a series counts as seasonal, years of history that a season
+#: takes, and points of a phase that it is compared with.
+LEAST_ACF, LEAST_CYCLES, LEAST_POINTS = 0.30, 2, 3
 
 
 def member_changes(f: Facts, keys: list[str], dimension: str, period_a, period_b, filters: dict | None = None) -> DataFrame:
@@ -124,29 +127,71 @@ def holdout(f: Facts, kpi_key: str, cause_kpi: str, dimension: str, period_a, pe
     return rows.select("*", gap.alias("difference_pct"), status.alias("status"), verdict.alias("verdict"))
 
 
-def seasonal_phases(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
-    """(phase, points, effect): the medians of a detrended series by phase of the year, centred on nil."""
-    cycle = CYCLES[grain]
-    points = long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value")
+def _line(points: DataFrame) -> DataFrame:
+    """``points(ord, value)`` with slope and intercept of Theil and Sen's line; a few hundred periods at most."""
     pairs = points.alias("p").join(points.alias("q"), F.col("p.ord") < F.col("q.ord"))
     slope = pairs.agg(F.median((F.col("q.value") - F.col("p.value")) / (F.col("q.ord") - F.col("p.ord"))).alias("slope"))
     met = points.crossJoin(F.broadcast(slope))
     level = met.agg(F.median(F.col("value") - F.col("slope") * F.col("ord")).alias("intercept"))
-    phase = F.pmod(F.col("ord") - 1, F.lit(cycle)) + 1 if grain != "week" else F.weekofyear(F.to_date("period"))
-    away = met.crossJoin(F.broadcast(level)).select(phase.cast("int").alias("phase"), (F.col("value") - F.col("intercept") - F.col("slope") * F.col("ord")).alias("away"))
-    medians = away.groupBy("phase").agg(F.count(F.lit(1)).alias("points"), F.median("away").alias("m"))
-    return medians.select("phase", "points", (F.col("m") - F.avg("m").over(Window.partitionBy())).alias("effect"))
+    return met.crossJoin(F.broadcast(level))
+
+
+def _phase(grain: str) -> Column:
+    return (F.weekofyear(F.to_date("period")) if grain == "week" else F.pmod(F.col("ord") - 1, F.lit(CYCLES[grain])) + 1).cast("int")
+
+
+def seasonal_points(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
+    """(ord, period, value, phase, trend, away, points, effect, left_out) of every period held: the trend, what is away
+    from it, its phase's number of points and effect, and that effect from the phase's other points alone.
+
+    Effects are the phases' medians, centred on the median of these.
+    """
+    points = _line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value"))
+    trend = F.col("intercept") + F.col("slope") * F.col("ord")
+    away = points.select("ord", "period", "value", _phase(grain).alias("phase"), trend.alias("trend"), (F.col("value") - trend).alias("away"))
+    medians = away.groupBy("phase").agg(F.count(F.lit(1)).alias("points"), F.median("away").alias("m"), F.collect_list(F.struct("ord", "away")).alias("peers"))
+    met = away.join(medians, "phase").crossJoin(F.broadcast(medians.agg(F.median("m").alias("centre"))))
+    others = F.transform(F.filter("peers", lambda p: p["ord"] != F.col("ord")), lambda p: p["away"])
+    return met.select("ord", "period", "value", "phase", "trend", "away", "points", (F.col("m") - F.col("centre")).alias("effect"), F.coalesce(robust.median(others) - F.col("centre"), F.lit(0.0)).alias("left_out"))
+
+
+def seasonal_phases(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
+    """(phase, points, effect): the medians of a detrended series by phase of the year, centred on their median."""
+    return seasonal_points(f, kpi_key, grain, filters).select("phase", "points", "effect").distinct()
+
+
+def seasonal_strength(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
+    """One row: points, robust sigma about the trend and about trend and season, and the season's strength.
+
+    Strength is 1 less what remains of the trend's sigma when each point's season comes from the other points of its
+    phase, so that noise does not look like a season; never below nil."""
+    listed = seasonal_points(f, kpi_key, grain, filters).agg(F.count(F.lit(1)).alias("points"), F.collect_list("away").alias("a"), F.collect_list(F.col("away") - F.col("left_out")).alias("o"), F.collect_list(F.col("away") - F.col("effect")).alias("r"))
+    sigmas = listed.select("points", robust.sigma(F.col("a")).alias("trend_sigma"), robust.sigma(F.col("o")).alias("out_sigma"), robust.sigma(F.col("r")).alias("residual_sigma"))
+    return sigmas.select("points", "trend_sigma", "residual_sigma", F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("out_sigma"), F.col("trend_sigma"))).alias("strength"))
+
+
+def seasonal_norm(f: Facts, kpi_key: str, time_filter, grain: str = "quarter", filters: dict | None = None, k_sigma: float = 2.0) -> DataFrame:
+    """A row for each period of ``time_filter``, which should be one: its value against trend and season over all periods held."""
+    wanted = series(f, [kpi_key], grain, time_filter, filters).select("ord")
+    strength, acf = seasonal_strength(f, kpi_key, grain, filters), autocorrelation(f, kpi_key, grain, filters).select("acf")
+    rows = seasonal_points(f, kpi_key, grain, filters).join(F.broadcast(wanted), "ord", "left_semi").crossJoin(F.broadcast(strength.select("residual_sigma", "strength"))).crossJoin(F.broadcast(acf))
+    expected, sigma = F.col("trend") + F.col("effect"), F.col("residual_sigma")
+    rows = rows.withColumn("expected", expected).withColumn("deviation_abs", F.col("value") - F.col("expected"))
+    z = F.when(sigma > 0, F.col("deviation_abs") / sigma)
+    normal = F.when(sigma > 0, F.abs(z) < k_sigma).otherwise(F.abs("deviation_abs") < 1e-9)
+    return rows.select(
+        "period", "phase", F.col("points").alias("phase_points"), F.col("value").alias("actual"), F.col("trend").alias("trend_level"), F.col("effect").alias("seasonal_index"), "expected", "deviation_abs",
+        robust.pct(F.col("value"), F.col("expected")).alias("deviation_pct"), z.alias("robust_z"), (F.col("expected") - k_sigma * sigma).alias("lower"), (F.col("expected") + k_sigma * sigma).alias("upper"),
+        normal.alias("is_normal_for_phase"), (F.col("acf") >= LEAST_ACF).alias("is_seasonal"), F.col("strength").alias("seasonal_strength"),
+    )
 
 
 def autocorrelation(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
     """One row: the autocorrelation at one year of the detrended series."""
-    cycle = CYCLES[grain]
-    points = long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value")
-    pairs = points.alias("p").join(points.alias("q"), F.col("p.ord") < F.col("q.ord"))
-    slope = pairs.agg(F.median((F.col("q.value") - F.col("p.value")) / (F.col("q.ord") - F.col("p.ord"))).alias("slope"))
-    away = points.crossJoin(F.broadcast(slope)).select("ord", (F.col("value") - F.col("slope") * F.col("ord")).alias("away"))
+    points = _line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value"))
+    away = points.select("ord", (F.col("value") - F.col("slope") * F.col("ord")).alias("away"))
     away = away.withColumn("away", F.col("away") - F.avg("away").over(Window.partitionBy()))
-    lag = away.alias("p").join(away.alias("q"), F.col("q.ord") == F.col("p.ord") - cycle, "left")
+    lag = away.alias("p").join(away.alias("q"), F.col("q.ord") == F.col("p.ord") - CYCLES[grain], "left")
     return lag.agg(F.count(F.lit(1)).alias("points"), F.try_divide(F.sum(F.col("p.away") * F.col("q.away")), F.sum(F.col("p.away") * F.col("p.away"))).alias("acf"))
 
 

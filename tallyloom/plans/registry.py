@@ -435,48 +435,30 @@ def segment_by_behavior(e: Engine, kpi_key: str, dimension: str, period_a, perio
     return {"bands": rows(investigate.behaviour_bands(e.facts, kpi_key, dimension, **own).orderBy("band"))["rows"], **rows(investigate.behaviour(e.facts, kpi_key, dimension, **own).orderBy("member"))}
 
 
-#: Fixed value: the autocorrelation at a year from which a series counts as seasonal.
-LEAST_ACF = 0.30
-
-
 @tool("investigate", "Whether a KPI has a season, and its shape.", kpi_key="kpi!", grain="grain", time_filter="time", filters="filters")
 def detect_seasonality(e: Engine, kpi_key: str, grain="quarter", time_filter=None, filters=None) -> dict:
     if grain not in relate.CYCLES:
         return {"status": "unsupported_grain"}
     phases = rows(relate.seasonal_phases(e.facts, kpi_key, grain, filters).orderBy("phase"))["rows"]
-    if len(phases) < relate.CYCLES[grain] or min(p["points"] for p in phases) < 3:
+    if sum(p["points"] for p in phases) < relate.LEAST_CYCLES * relate.CYCLES[grain]:
         return {"status": "insufficient_cycles", "phases": phases}
+    fit = row(relate.seasonal_strength(e.facts, kpi_key, grain, filters))
+    if not fit["trend_sigma"]:
+        return {"status": "degenerate_dispersion", "phases": phases}
     acf = row(relate.autocorrelation(e.facts, kpi_key, grain, filters))["acf"]
-    return {"status": "degenerate_dispersion" if acf is None else "ok", "phases": phases, "acf": acf, "seasonal": acf is not None and acf >= LEAST_ACF}
+    return {"phases": phases, "acf": acf, "seasonal": acf is not None and acf >= relate.LEAST_ACF, **fit}
 
 
 @tool("investigate", "A KPI against its trend and season.", kpi_key="kpi!", time_filter="time!", grain="grain", filters="filters", k="number")
 def compare_to_seasonal_norm(e: Engine, kpi_key: str, time_filter, grain="quarter", filters=None, k=2.0) -> dict:
-    import numpy as np
-
-    from tallyloom.functions import stats
-
-    if grain not in relate.CYCLES:
-        return {"status": "unsupported_grain"}
-    scope = tf.parse(time_filter)
-    points = relate.short(retrieve.series(e.facts, [kpi_key], grain, "all", filters), kpi_key)
-    cycle, wanted = relate.CYCLES[grain], {r["ord"] for r in retrieve.series(e.facts, [kpi_key], grain, scope, filters).select("ord").collect()}
-    past = [(o, v) for o, v in points if o not in wanted]
-    if len(past) < 2 * cycle:
-        return {"status": "insufficient_cycles", "points": len(past)}
-    at, values = np.array([o for o, _ in past], float), np.array([v for _, v in past])
-    slope, start = stats.theil_sen(at, values)
-    away = values - slope * at - start
-    season = {p: float(np.median(away[at % cycle == p])) for p in set((at % cycle).astype(int))}
-    spread = stats.robust_sigma(away - np.array([season[int(o % cycle)] for o in at]))
-    out = []
-    for o, v in points:
-        if o in wanted:
-            if o % cycle not in season:
-                return {"status": "phase_not_covered"}
-            expected = slope * o + start + season[o % cycle]
-            out.append({"period": tf.ordinal_label(o, grain), "value": v, "expected": expected, "z": (v - expected) / spread if spread else None, "low": expected - k * spread, "high": expected + k * spread})
-    return {"status": "ok" if spread else "degenerate_dispersion", "periods": out}
+    fit = detect_seasonality(e, kpi_key, grain, None, filters)
+    if fit.get("status", "ok") != "ok":
+        return {"status": fit["status"]}
+    found = relate.seasonal_norm(e.facts, kpi_key, time_filter, grain, filters, k).limit(2).collect()
+    if len(found) != 1:
+        raise InvalidArgument(f"time_filter must resolve to exactly one {grain}")
+    own = found[0].asDict()
+    return own if own["phase_points"] >= relate.LEAST_POINTS else {"status": "phase_not_covered", "period": own["period"], "phase": own["phase"], "phase_points": own["phase_points"]}
 
 
 @tool("investigate", "How two KPIs' changes go together.", kpi_a="kpi!", kpi_b="kpi!", min_n="integer", **SAMPLE)

@@ -219,18 +219,32 @@ _BEHAVE = f"""WITH v AS (SELECT nation AS member, {_v('revenue', C)} AS current,
 SELECT member, CASE WHEN baseline IS NULL THEN 'appeared' WHEN current IS NULL THEN 'disappeared' WHEN change_pct IS NULL THEN 'undetermined' WHEN change_pct >= 3 THEN 'grew' WHEN change_pct <= -3 THEN 'declined' ELSE 'flat' END AS band, current, baseline, current - baseline AS change, change_pct FROM p"""
 _add("segment_by_behavior", lambda f: investigate.behaviour(f, "revenue", "nation", Q2, Q1), _BEHAVE, "current baseline change change_pct")
 _add("behavior_bands", lambda f: investigate.behaviour_bands(f, "revenue", "nation", Q2, Q1), f"SELECT band, count(*) AS members, sum(current) AS current, sum(baseline) AS baseline FROM ({_BEHAVE}) GROUP BY band", "current baseline")
+_ALL_MEMBERS = " UNION ALL ".join(f"SELECT '{d}' AS dimension, * FROM ({_additive('revenue', d)})" for d in DIMS)
+_add("decompose_all_dimensions", lambda f: investigate.by_members(f, "revenue", DIMS, Q2, Q1), _ALL_MEMBERS, _MEMBER_D)
 _add("focus_members", lambda f: investigate.focus(f, "revenue", Q2, Q1, DIMS),
-     " UNION ALL ".join(f"SELECT '{d}' AS dimension, member, contribution_pct, over_index FROM ({_additive('revenue', d)}) WHERE contribution_pct >= 25 AND over_index >= 1.2" for d in DIMS), "contribution_pct over_index")
-
-
-def _driver_sql() -> str:
-    z = lambda d: _OUTLIERS.replace("nation AS member", f"{d} AS member").replace("GROUP BY nation", f"GROUP BY {d}")
-    rows = " UNION ALL ".join(f"SELECT '{d}' AS dimension, m.member, m.effect, m.contribution_pct, m.over_index, z.z FROM ({_additive('revenue', d)}) m LEFT JOIN ({z(d)}) z USING (member)" for d in DIMS)
-    return f"""WITH p AS ({_SHAPLEY}), x AS (SELECT dimension, phi / max(phi) OVER () AS axis FROM p), r AS ({rows}), c AS (SELECT r.*, axis, least(1, greatest(0, abs(contribution_pct) / 100)) AS m, least(1, greatest(0, over_index - 1)) AS o, least(1, greatest(0, abs(z) - 1)) AS g FROM r JOIN x USING (dimension) WHERE contribution_pct > 0)
-SELECT dimension, member, effect, contribution_pct, over_index, z, axis, (0.4 * m + CASE WHEN over_index IS NULL THEN 0 ELSE 0.25 * o END + CASE WHEN z IS NULL THEN 0 ELSE 0.2 * g END) / (0.4 + CASE WHEN over_index IS NULL THEN 0 ELSE 0.25 END + CASE WHEN z IS NULL THEN 0 ELSE 0.2 END) * axis AS score FROM c"""
-
-
-_add("rank_drivers", lambda f: investigate.rank_drivers(f, "revenue", Q2, Q1, DIMS, limit=None), _driver_sql(), "effect contribution_pct over_index z axis score")
+     f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY coalesce(over_index, 1) DESC, contribution_pct DESC, member DESC) AS p FROM ({_ALL_MEMBERS}) WHERE contribution_pct >= 25 AND (over_index IS NULL OR over_index >= 1.2))
+SELECT dimension, member, contribution_pct, over_index FROM m WHERE p = 1 ORDER BY coalesce(over_index, 1) DESC, contribution_pct DESC, dimension DESC LIMIT 2""", "contribution_pct over_index")
+
+
+def _each_dimension(columns: str, rest: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS member, {columns} FROM {F_SQL} {rest} GROUP BY ALL" for d in DIMS)
+
+
+_HISTORY = f"""h1 AS ({_each_dimension(f"qord AS ord, {_v('revenue')} AS value")}), h2 AS (SELECT dimension, member, ord, {_pct('value', 'lag(value) OVER (PARTITION BY dimension, member ORDER BY ord)')} AS change FROM h1),
+h AS (SELECT dimension, member, median(change) AS norm, ({_sigma('change')}) * sqrt(1 + 1.0 / count(change)) AS spread, count(change) AS history FROM h2 WHERE ord < 8006 GROUP BY ALL)"""
+_PERSISTENCE = f"""ends AS (SELECT min(date) FILTER (WHERE period = '2000-Q3') AS low, min(date) FILTER (WHERE {C}) AS begin, max(date) FILTER (WHERE {C}) AS high FROM {F_SQL}),
+w1 AS ({_each_dimension(f"week, {_v('revenue')} AS value", "WHERE date >= (SELECT low FROM ends) AND date <= (SELECT high FROM ends)")}),
+w2 AS (SELECT *, row_number() OVER (PARTITION BY dimension, member ORDER BY week) AS i, (SELECT greatest(4, datediff('day', low::DATE, begin::DATE) // 7 - 1) FROM ends) AS base FROM w1),
+w3 AS (SELECT dimension, member, median(value) AS centre, CASE WHEN mad(value) <> 0 THEN 1.4826 * mad(value) WHEN stddev_samp(value) <> 0 THEN stddev_samp(value) ELSE 0.05 * abs(median(value)) END AS sd FROM w2 WHERE i <= base GROUP BY ALL HAVING count(value) >= 3),
+w4 AS (SELECT w2.*, CASE WHEN coalesce(m.current - m.baseline, 0) < 0 THEN value < centre - sd ELSE value > centre + sd END AS away FROM w2 JOIN w3 USING (dimension, member) JOIN m USING (dimension, member)),
+w5 AS (SELECT *, away AND lead(away) OVER (PARTITION BY dimension, member ORDER BY week) AS lasts FROM w4),
+w AS (SELECT dimension, member, min(week) FILTER (WHERE i > base AND lasts) AS onset, count(*) FILTER (WHERE week >= strftime(begin, '%Y-%m-%d')) AS weeks, count(*) FILTER (WHERE away AND week >= strftime(begin, '%Y-%m-%d')) AS away FROM w5, ends GROUP BY ALL)"""
+_DRIVERS = f"""WITH m AS ({_ALL_MEMBERS}), {_HISTORY}, {_PERSISTENCE}, p AS ({_SHAPLEY}), x AS (SELECT dimension, phi / max(phi) OVER () AS axis FROM p),
+r AS (SELECT m.dimension, m.member, effect, contribution_pct, over_index, CASE WHEN history >= 3 THEN (change_pct - norm) / nullif(spread, 0) END AS z, onset, CASE WHEN onset IS NULL THEN 0 ELSE away END AS outside, weeks, axis FROM m LEFT JOIN h USING (dimension, member) LEFT JOIN w USING (dimension, member) LEFT JOIN x USING (dimension) WHERE contribution_pct > 0),
+c AS (SELECT *, least(1, contribution_pct / 100) AS c1, least(1, greatest(0, over_index - 1)) AS c2, least(1, greatest(0, (abs(z) - 1) / 2)) AS c3, CASE WHEN weeks > 0 THEN outside / weeks END AS c4 FROM r)
+SELECT dimension, member, effect, contribution_pct, over_index, z, onset, outside, weeks, axis,
+  (0.4 * c1 + coalesce(0.25 * c2 + over_index * 0, 0) + coalesce(0.2 * c3 + z * 0, 0) + coalesce(0.15 * c4, 0)) / (0.4 + CASE WHEN over_index IS NULL THEN 0 ELSE 0.25 END + CASE WHEN z IS NULL THEN 0 ELSE 0.2 END + CASE WHEN c4 IS NULL THEN 0 ELSE 0.15 END) * axis AS score FROM c"""
+_add("rank_drivers", lambda f: investigate.rank_drivers(f, "revenue", Q2, Q1, DIMS, limit=None), _DRIVERS, "effect contribution_pct over_index z axis score", "outside weeks")
 
 # -- contest ----------------------------------------------------------------------------------------------------------
 
@@ -260,7 +274,15 @@ _add("holdout_did", lambda f: relate.holdout(f, "revenue", "return_rate", "natio
      f"""WITH v AS (SELECT nation, {_v('revenue', C)} AS c, {_v('revenue', B)} AS b, coalesce(abs({_pct(_v('return_rate', C), _v('return_rate', B))}) >= 3, FALSE) AS hit FROM {F_SQL} WHERE {PAIR} GROUP BY nation), s AS (SELECT hit, count(*) AS n, {_pct('sum(c)', 'sum(b)')} AS p FROM v GROUP BY hit), t AS (SELECT coalesce(max(n) FILTER (WHERE hit), 0) AS affected, coalesce(max(n) FILTER (WHERE NOT hit), 0) AS unaffected, max(p) FILTER (WHERE hit) AS affected_pct, max(p) FILTER (WHERE NOT hit) AS unaffected_pct FROM s)
 SELECT *, affected_pct - unaffected_pct AS difference_pct, 'ok' AS status, CASE WHEN affected_pct <= -3 AND unaffected_pct > -3 THEN 'cause_explains_the_gap' WHEN unaffected_pct <= -3 THEN 'kpi_moved_regardless' ELSE 'undetermined' END AS verdict FROM t""", "affected_pct unaffected_pct difference_pct")
 _LINE = f"WITH s AS (SELECT qord AS ord, {_v('revenue')} AS value FROM {F_SQL} GROUP BY qord), l AS (SELECT median((b.value - a.value) / (b.ord - a.ord)) AS slope FROM s a JOIN s b ON a.ord < b.ord), i AS (SELECT median(value - slope * ord) AS intercept, any_value(slope) AS slope FROM s, l)"
-_add("seasonal_phases", lambda f: relate.seasonal_phases(f, "revenue"), f"{_LINE}, m AS (SELECT (ord - 1) % 4 + 1 AS phase, count(*) AS points, median(value - intercept - slope * ord) AS m FROM s, i GROUP BY 1) SELECT phase, points, m - avg(m) OVER () AS effect FROM m", "effect", "phase")
+_SEASON = f"""{_LINE}, a AS (SELECT ord, value, (ord - 1) % 4 + 1 AS phase, intercept + slope * ord AS trend, value - intercept - slope * ord AS away FROM s, i), m AS (SELECT phase, count(*) AS points, median(away) AS m FROM a GROUP BY phase), c AS (SELECT median(m) AS centre FROM m),
+p AS (SELECT a.*, points, m - centre AS effect, coalesce((SELECT median(b.away) FROM a b WHERE b.phase = a.phase AND b.ord <> a.ord) - centre, 0) AS left_out FROM a JOIN m USING (phase), c),
+g AS (SELECT count(*) AS points, {_sigma('away')} AS trend_sigma, {_sigma('(away - effect)')} AS residual_sigma, {_sigma('(away - left_out)')} AS out_sigma FROM p)"""
+_ACF = "d AS (SELECT ord, value - slope * ord - (SELECT avg(value - slope * ord) FROM s, l) AS away FROM s, l), acf AS (SELECT sum(p.away * q.away) / sum(p.away * p.away) AS acf FROM d p LEFT JOIN d q ON q.ord = p.ord - 4)"
+_add("seasonal_phases", lambda f: relate.seasonal_phases(f, "revenue"), f"{_SEASON} SELECT DISTINCT phase, points, effect FROM p", "effect", "phase")
+_add("seasonal_strength", lambda f: relate.seasonal_strength(f, "revenue"), f"{_SEASON} SELECT points, trend_sigma, residual_sigma, greatest(0, 1 - out_sigma / trend_sigma) AS strength FROM g", "trend_sigma residual_sigma strength")
+_add("seasonal_norm", lambda f: relate.seasonal_norm(f, "revenue", Q2),
+     f"{_SEASON}, {_ACF}, e AS (SELECT *, trend + effect AS expected FROM p WHERE ord = 8006) SELECT '2001-Q2' AS period, phase, e.points AS phase_points, value AS actual, trend AS trend_level, effect AS seasonal_index, expected, value - expected AS deviation_abs, {_pct('value', 'expected')} AS deviation_pct, (value - expected) / residual_sigma AS robust_z, expected - 2 * residual_sigma AS lower, expected + 2 * residual_sigma AS upper, abs(value - expected) / residual_sigma < 2 AS is_normal_for_phase, acf >= 0.3 AS is_seasonal, greatest(0, 1 - out_sigma / trend_sigma) AS seasonal_strength FROM e, g, acf",
+     "actual trend_level seasonal_index expected deviation_abs deviation_pct robust_z lower upper seasonal_strength", "phase phase_points")
 _add("seasonal_autocorrelation", lambda f: relate.autocorrelation(f, "revenue"), f"{_LINE}, d AS (SELECT ord, value - slope * ord - (SELECT avg(value - slope * ord) FROM s, l) AS away FROM s, l) SELECT count(*) AS points, sum(p.away * q.away) / sum(p.away * p.away) AS acf FROM d p LEFT JOIN d q ON q.ord = p.ord - 4", "acf")
 _add("left_out_correlation", lambda f: relate.left_out(f, "revenue", "avg_selling_price", "nation", Q2, Q1),
      f"WITH m AS (SELECT * FROM ({_changes(['revenue', 'avg_selling_price'], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL) SELECT a.member, corr(b.revenue, b.avg_selling_price) AS r_without FROM m a JOIN m b ON a.member <> b.member GROUP BY a.member", "r_without")
@@ -301,22 +323,32 @@ _add("reconcile_disagreement", lambda f: reconcile.disagreement(reconcile.cells(
 _add("coverage_withheld", lambda f: reconcile.coverage(reconcile.cells(_sources(f), ["region"]).where("region = 'EUROPE'"), {"margin": ["revenue", "gross"], "volume": ["quantity"]}),
      f"WITH c AS (SELECT * FROM ({_CELLS_SQL}) WHERE region = 'EUROPE'), h AS (SELECT measure, count(DISTINCT period) FILTER (WHERE value IS NOT NULL) AS covered FROM c GROUP BY measure), n AS (SELECT * FROM (VALUES ('margin', 'revenue'), ('margin', 'gross'), ('volume', 'quantity')) t(kpi, measure)), p AS (SELECT count(DISTINCT period) AS periods FROM c) SELECT kpi, periods, min(coalesce(covered, 0)) AS covered, min(coalesce(covered, 0)) < periods AS withheld FROM n LEFT JOIN h USING (measure), p GROUP BY kpi, periods")
 
-_BM_QUERY = "license apache thorreou"
-_BM_SQL = """WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_%.\\-]*'), lambda x: length(x) > 1 AND x NOT IN (STOP)) AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t),
-o AS (SELECT doc_id, len(t) AS dl, w, len(list_filter(t, lambda x: x = w)) AS tf FROM t, (VALUES ('license'), ('apache'), ('thorreou')) q(w)), d AS (SELECT w, count(*) FILTER (WHERE tf > 0) AS df FROM o GROUP BY w)
-SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, CAST(count(*) FILTER (WHERE tf > 0) AS BIGINT) AS hits FROM o JOIN d USING (w), s GROUP BY doc_id HAVING sum(tf) > 0""".replace("STOP", ", ".join(f"'{w}'" for w in documents.STOP_WORDS))
+_CHUNKS_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 170 THEN [0] ELSE range(0, len(w), 130) END) AS pos FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, CAST(pos AS BIGINT) AS chunk, list_slice(w, pos + 1, pos + 170) AS w FROM c WHERE pos = 0 OR len(w) - pos >= 25)"""
+_BM_QUERY, _BM_PHRASES = "License of the Apache thorreou apache", ["apache license", "version"]
+_BM_SQL = f"""WITH {_CHUNKS_SQL}, b AS (SELECT doc_id, chunk, lower(array_to_string(w, ' ')) AS blob FROM k),
+t AS (SELECT doc_id, chunk, CAST(contains(blob, 'apache license') AS INT) + CAST(contains(blob, 'version') AS INT) AS phrases, list_filter(regexp_extract_all(blob, '[a-z0-9][a-z0-9_%.\\-]*'), lambda x: length(x) > 1 AND x NOT IN (
+'a', 'an', 'the', 'and', 'or', 'but', 'if', 'then', 'than', 'that', 'this', 'these', 'those', 'of', 'in', 'on', 'at', 'to', 'for', 'from', 'by', 'with', 'as', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'it', 'its', 'we', 'our', 'us', 'they', 'their', 'them', 'he', 'she', 'his', 'her', 'you', 'your', 'not', 'no',
+'do', 'does', 'did', 'have', 'has', 'had', 'will', 'would', 'can', 'could', 'should', 'may', 'might', 'must', 'about', 'into', 'over', 'under', 'after', 'before', 'during', 'between', 'per', 'each', 'any', 'all', 'some', 'more', 'most', 'other', 'such', 'only', 'own', 'same', 'so', 'too', 'very', 'don', 'now')) AS t FROM b),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t), q AS (SELECT * FROM (VALUES ('license', 1), ('apache', 2), ('thorreou', 1)) q(word, times)),
+o AS (SELECT doc_id, chunk, phrases, len(t) AS dl, word, times, len(list_filter(t, lambda x: x = word)) AS tf FROM t, q), d AS (SELECT word, count(*) FILTER (WHERE tf > 0) AS df FROM o GROUP BY word),
+r AS (SELECT doc_id, chunk, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * (1 + 0.45 * any_value(phrases)) AS score, CAST(count(*) FILTER (WHERE tf > 0) AS BIGINT) AS hits FROM o JOIN d USING (word), s WHERE phrases > 0 GROUP BY doc_id, chunk HAVING sum(tf) > 0)
+SELECT doc_id, chunk, round(score, 4) AS score, hits, round(score / max(score) OVER (), 3) AS relevance, round(least(1, score / 9), 3) AS strength FROM r"""
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-QUERIES["bm25_search"] = Query(lambda spark, sf_dir: _exact(documents.bm25(_documents(spark, sf_dir), _BM_QUERY, limit=None)), f"SELECT * REPLACE (round(score, 4) + 0.0 AS score) FROM ({_BM_SQL})")
+QUERIES["bm25_search"] = Query(lambda spark, sf_dir: _exact(documents.bm25(documents.chunks(_documents(spark, sf_dir)), _BM_QUERY, must_include=_BM_PHRASES, limit=None)), f"SELECT * REPLACE (score + 0.0 AS score, relevance + 0.0 AS relevance, strength + 0.0 AS strength) FROM ({_BM_SQL})")
 QUERIES["chunk_documents"] = Query(
-    lambda spark, sf_dir: documents.chunks(_documents(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size(F.split("text", " "))).alias("words")),
-    "WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents WHERE text NOT LIKE '#%'), c AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 130)) AS pos FROM w WHERE n > 0), k AS (SELECT doc_id, least(n - pos, 170) AS size FROM c WHERE pos = 0 OR n - pos >= 25) SELECT doc_id, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS words FROM k GROUP BY doc_id",
+    lambda spark, sf_dir: documents.chunks(_documents(spark, sf_dir)).select("doc_id", "chunk", "heading", F.array_join(F.filter(F.split("text", "\\s+"), lambda w: w != ""), " ").alias("text")),
+    f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk, '' AS heading, array_to_string(w, ' ') AS text FROM k",
 )
 QUERIES["doc_types"] = Query(
     lambda spark, sf_dir: _documents(spark, sf_dir).select(documents.doc_type(F.col("source"), F.col("text")).alias("doc_type")).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT " + "CASE " + " ".join(f"WHEN regexp_matches(lower(source || ' ' || substr(text, 1, 1500)), '{'|'.join(words)}') THEN '{kind}'" for kind, words in documents.DOC_TYPES) + " ELSE 'other' END AS doc_type, count(*) AS n FROM documents GROUP BY ALL",
+    """SELECT CASE WHEN regexp_matches(own, 'feedback|verbatim|nps|review|survey|complaint') THEN 'customer_feedback' WHEN regexp_matches(own, 'operations|ops |incident|logistics|supply|fulfil|fulfill') THEN 'operations_report'
+WHEN regexp_matches(own, 'market|competitor|competitive|intelligence|share') THEN 'market_intelligence' WHEN regexp_matches(own, 'commentary|management|board|cfo|executive') THEN 'management_commentary'
+WHEN regexp_matches(own, 'sales|pipeline|quota|region review') THEN 'sales_report' WHEN regexp_matches(own, 'financial|p&l|income statement|budget|forecast') THEN 'financial_report' ELSE 'business_document' END AS doc_type, count(*) AS n
+FROM (SELECT lower(coalesce(source, '')) || chr(10) || lower(substr(coalesce(text, ''), 1, 1500)) AS own FROM documents) GROUP BY ALL""",
 )
