@@ -21,6 +21,8 @@ CLASSES, MOST_EVIDENCE = 1 << 16, 60
 MOST_LABELLED = 8000
 #: Probability of NOISE before any evidence, and the weight in documents of a coarser prior under a finer one.
 NOISE_PRIOR, PRIOR_WEIGHT = 0.01, 20.0
+#: Hosts, domains, declared languages or suffixes up to which their sums are broadcast (some 100 bytes each).
+MOST_SUMS = 100_000
 #: Posteriors are summed in millionths, so that sums do not depend on their order.
 UNIT = 1_000_000
 
@@ -147,14 +149,15 @@ def _each(size: int, value) -> Column:
     return F.array(*[value(k) for k in range(size)])
 
 
-def fuse(rows: DataFrame, languages: list[str], prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
+def fuse(rows: DataFrame, languages: list[str], prior_weight: float = PRIOR_WEIGHT, most_broadcast: int = MOST_SUMS) -> DataFrame:
     """Adds lang, confidence and n-best evidence to ``rows(host, domain, declared, suffix, n, evidence, belief)``.
 
     The prior of a host is its documents' summed beliefs over its domain's, these over all documents', each coarser one
     weighing as ``prior_weight`` documents. Declared language and address suffix each contribute how likely they are
     given the language, by the same sums with one document of smoothing for each value. A document's own belief is
     taken out of every sum, so its text does not count twice. What is null contributes nothing. All tables joined here hold a row for each host, domain,
-    declared language or suffix.
+    declared language or suffix; one of at most ``most_broadcast`` rows is broadcast, so that a hot host's documents need
+    not meet, a larger one is joined by shuffle, where adaptive execution splits what is hot.
     """
     size = len(languages)
     totals = rows.agg(*[F.coalesce(F.sum(F.col("belief")[k]), F.lit(0)).alias(f"t{k}") for k in range(size)], F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
@@ -162,7 +165,8 @@ def fuse(rows: DataFrame, languages: list[str], prior_weight: float = PRIOR_WEIG
     overall = lambda k: (totals[f"t{k}"] + UNIT - own[k]) / (whole - sum((own[j] for j in range(1, size)), own[0]))
     weight = F.lit(prior_weight * UNIT)
     for key in ("host", "domain", "declared", "suffix"):
-        rows = rows.join(_sums(rows, key, size), key, "left")
+        sums = checkpoint(_sums(rows, key, size))
+        rows = rows.join(F.broadcast(sums) if sums.count() <= most_broadcast else sums, key, "left")
 
     def share(sums: Column, above) -> Column:
         """The smoothed share of each language in ``sums`` less the document's own; that of ``above`` where there are none."""
