@@ -18,9 +18,15 @@ from tallyloom.sources.facts import Facts
 MOST_CAUSES, MOST_CONTROLS, ATTENUATED, EXPLAINED, NEGLIGIBLE = 8, 10, 15.0, 50.0, 0.05
 
 
+#: Members or periods of a sample that the driver takes.
+MOST_ENTITIES = 10_000
+
+
 def aligned(f: Facts, keys: list[str], **scope) -> dict[str, np.ndarray]:
-    """The sample's columns, with nan where a change is undefined, in the order of their entities."""
-    rows = relate.sample(f, keys, **scope).orderBy("entity").collect()
+    """The sample's columns, with nan where a change is undefined, in the order of their entities; more than MOST_ENTITIES are refused."""
+    rows = relate.sample(f, keys, **scope).orderBy("entity").limit(MOST_ENTITIES + 1).collect()
+    if len(rows) > MOST_ENTITIES:
+        raise InvalidArgument(f"a sample of more than {MOST_ENTITIES} members or periods", status="sample_too_large")
     return {k: np.array([np.nan if r[k] is None else r[k] for r in rows], float) for k in keys}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import robust
-from tallyloom.operators.retrieve import ALL, series
+from tallyloom.operators.retrieve import ALL, dimension_members, series
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Kpi
 from tallyloom.sources.facts import Facts
@@ -102,7 +102,7 @@ def data_quality(f: Facts, time_filter, baseline=None, dimension: str | None = N
     rows = f.rows({dimension} if dimension else set(), tests["current"] | tests["baseline"], filters)
     days = [F.count_distinct(F.when(t, F.col("date").cast("date"))).alias(f"{n}_dates") for n, t in tests.items()]
     counts = [F.count(F.when(t, 1)).alias(f"{n}_rows") for n, t in tests.items()]
-    out = rows.agg(*counts, *days).withColumn("window_ratio", F.try_divide(F.col("current_dates"), F.col("baseline_dates"))).withColumn("balanced", F.coalesce(F.abs(F.col("window_ratio") - 1) <= 0.1, F.lit(False)))
+    out = rows.agg(*counts, *days).withColumn("window_ratio", F.try_divide(F.col("current_dates"), F.col("baseline_dates"))).withColumn("balanced", F.coalesce(F.abs(F.col("window_ratio") - 1) <= 0.1, F.lit(False))).withColumn("row_change_pct", robust.pct(F.col("current_rows"), F.col("baseline_rows")))
     if dimension:
         held = rows.groupBy(dimension).agg(*[F.count(F.when(t, 1)).alias(n) for n, t in tests.items()])
         moved = held.agg(F.count(F.when((F.col("current") > 0) & (F.col("baseline") == 0), 1)).alias("appeared"), F.count(F.when((F.col("current") == 0) & (F.col("baseline") > 0), 1)).alias("disappeared"))
@@ -110,6 +110,25 @@ def data_quality(f: Facts, time_filter, baseline=None, dimension: str | None = N
     return out
 
 
+def quality_columns(f: Facts, time_filter=ALL, filters: dict | None = None) -> DataFrame:
+    """(column, rows, zero_rows, null_rows) of every measure in a scope, from one scan."""
+    wide = f.rows(set(f.measures), tf.parse(time_filter), filters).agg(F.count(F.lit(1)).alias("rows"), *[F.struct(F.count(F.when(F.col(m) == 0, 1)).alias("z"), F.count(F.when(F.col(m).isNull(), 1)).alias("n")).alias(m) for m in f.measures])
+    return wide.select("rows", F.explode(F.array(*[F.struct(F.lit(m).alias("column"), F.col(m).alias("c")) for m in f.measures])).alias("x")).select("x.column", "rows", F.col("x.c.z").alias("zero_rows"), F.col("x.c.n").alias("null_rows"))
+
+
+def quality_dimensions(f: Facts, time_filter, baseline, filters: dict | None = None, named: int = 10) -> DataFrame:
+    """(dimension, current_members, baseline_members, appeared, disappeared): members of every dimension in two scopes,
+    and the first ``named`` by name of those that came and went. One scan; what is gathered is the names shown."""
+    held = {}
+    for side, scope in (("current", time_filter), ("baseline", baseline)):
+        held[side] = dimension_members(f, tf.parse(scope), None, filters).where("member is not null").withColumn(side, F.lit(1))
+    met = held["current"].join(held["baseline"], ["dimension", "member"], "full_outer")
+    state = F.when(F.col("baseline").isNull(), "appeared").when(F.col("current").isNull(), "disappeared").otherwise("both")
+    placed = met.withColumn("state", state).withColumn("place", F.row_number().over(Window.partitionBy("dimension", "state").orderBy("member")))
+    names = lambda s: F.sort_array(F.collect_list(F.when((F.col("state") == s) & (F.col("place") <= named), F.col("member")))).alias(s)
+    return placed.groupBy("dimension").agg(F.count("current").alias("current_members"), F.count("baseline").alias("baseline_members"), names("appeared"), names("disappeared"))
+
+
 def trend(f: Facts, keys: list[str], grain: str = "quarter", time_filter=ALL, filters: dict | None = None, min_points: int = 5) -> DataFrame:
     """Theil and Sen's line for each KPI: the median slope over all pairs of periods, of which there are few."""
     points = long_series(f, keys, grain, filters, time_filter).where("value is not null").select("kpi", "higher_is_better", "ord", "value")

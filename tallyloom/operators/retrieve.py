@@ -74,6 +74,25 @@ def rank_entities(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, order
     return out.where(F.col("rank") <= limit) if limit is not None else out
 
 
+def other_entities(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, order: str = "desc", limit: int = 10, filters: dict | None = None) -> DataFrame:
+    """One row: members that ``rank_entities`` leaves out at ``limit``, with their value and share, which only additive KPIs have."""
+    rest = rank_entities(f, kpi_key, dimension, time_filter, order, None, filters).where(F.col("rank") > limit)
+    value = F.sum("value") if f.kpi(kpi_key).additive else F.lit(None).cast("double")
+    return rest.agg(F.count(F.lit(1)).alias("members"), value.alias("value"), F.sum("share").alias("share"))
+
+
+def dimension_members(f: Facts, scope: tf.TimeFilter | None = None, dimensions: list[str] | None = None, filters: dict | None = None) -> DataFrame:
+    """(dimension, member) distinct, for all dimensions in one scan; repeated members go before the shuffle."""
+    dims = list(dimensions or f.dimensions)
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in map(f.dimension, dims)])
+    return f.rows(set(dims), scope, filters).select(F.explode(pairs).alias("x")).select("x.dimension", "x.member").distinct()
+
+
+def dimension_sizes(f: Facts) -> DataFrame:
+    """(dimension, members): how many members each dimension has; null is none."""
+    return dimension_members(f).groupBy("dimension").agg(F.count("member").alias("members"))
+
+
 def distribution(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, percentiles: tuple[int, ...] = (10, 25, 50, 75, 90)) -> DataFrame:
     """One row over members' values: count, extremes, mean, median, robust sigma, spread and exact percentiles."""
     k = f.kpi(kpi_key)
@@ -94,13 +113,19 @@ def histogram(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters:
     return frame.join(counts, "bin", "left").select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("members", F.lit(0)).alias("members"))
 
 
-def cross_tabulate(f: Facts, kpi_key: str, dim_a: str, dim_b: str, time_filter=ALL, filters: dict | None = None) -> DataFrame:
+def cross_tabulate(f: Facts, kpi_key: str, dim_a: str, dim_b: str, time_filter=ALL, filters: dict | None = None, limit_a: int | None = None, limit_b: int | None = None) -> DataFrame:
     """(a, b, level, value, rows): cells, row and column totals and the grand total, each finished from its own sums.
 
-    The facts are grouped once; the cube is over that grid, and which keys are totals is told by grouping, not by null.
+    With ``limit_a`` and ``limit_b`` only the rows and columns of the greatest totals stay, by size whatever the sign;
+    totals are those of all. The facts are grouped once; the cube is over that grid, and which keys are totals is told by grouping, not by null.
     """
     k = f.kpi(kpi_key)
     grid = f.sums([k], [f.dimension(dim_a), f.dimension(dim_b)], tf.parse(time_filter), filters).select(F.col(dim_a).alias("a"), F.col(dim_b).alias("b"), *k.sum_names(), "rows")
     cube = grid.cube("a", "b").agg(*[F.sum(n).alias(n) for n in k.sum_names()], F.sum("rows").alias("rows"), F.grouping_id().alias("g"))
     level = F.element_at(F.array(*map(F.lit, ("cell", "total_a", "total_b", "total"))), (F.col("g") + 1).cast("int"))
-    return cube.select("a", "b", level.alias("level"), k.finish().alias("value"), "rows")
+    out = cube.select("a", "b", level.alias("level"), k.finish().alias("value"), "rows")
+    for side, limit in (("a", limit_a), ("b", limit_b)):
+        if limit is not None:
+            totals = out.where(F.col("level") == f"total_{side}").orderBy(F.abs("value").desc_nulls_last(), F.col(side).asc_nulls_last()).limit(limit).select(F.col(side).alias("kept"))
+            out = out.join(F.broadcast(totals), F.col(side).eqNullSafe(F.col("kept")), "left").where(F.col("kept").isNotNull() | ~F.col("level").isin("cell", f"total_{side}")).drop("kept")
+    return out

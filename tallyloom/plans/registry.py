@@ -159,8 +159,7 @@ def get_kpi_definition(e: Engine, kpi_key: str) -> dict:
 
 @tool("orient", "Every dimension and its number of members.")
 def list_dimensions(e: Engine) -> dict:
-    f = e.facts
-    return {"dimensions": row(f.load(set(f.dimensions)).agg(*[F.count_distinct(d).alias(d) for d in f.dimensions]))}
+    return {"dimensions": {r["dimension"]: r["members"] for r in retrieve.dimension_sizes(e.facts).collect()}}
 
 
 @tool("orient", "A page of a dimension's members.", dimension="dimension!", offset="integer", limit="integer")
@@ -226,7 +225,9 @@ def get_timeseries_multi(e: Engine, kpi_keys: list, grain="quarter", time_filter
 
 @tool("retrieve", "Members of a dimension by a KPI.", kpi_key="kpi!", dimension="dimension!", time_filter="time!", order="order", limit="integer", filters="filters")
 def rank_entities(e: Engine, kpi_key: str, dimension: str, time_filter, order="desc", limit=10, filters=None) -> dict:
-    return rows(retrieve.rank_entities(e.facts, kpi_key, dimension, time_filter, order, limit, filters).orderBy("rank", "member"))
+    out = rows(retrieve.rank_entities(e.facts, kpi_key, dimension, time_filter, order, limit, filters).orderBy("rank", "member"))
+    others = row(retrieve.other_entities(e.facts, kpi_key, dimension, time_filter, order, limit, filters)) if limit is not None else {"members": 0}
+    return {**out, "others": others if others["members"] else None}
 
 
 @tool("retrieve", "Spread of a KPI over members.", kpi_key="kpi!", dimension="dimension!", time_filter="time!", filters="filters", bins="integer", min_members="integer")
@@ -237,9 +238,9 @@ def get_distribution(e: Engine, kpi_key: str, dimension: str, time_filter, filte
     return {**own, "histogram": rows(retrieve.histogram(e.facts, kpi_key, dimension, time_filter, filters, bins).orderBy("bin"))["rows"]}
 
 
-@tool("retrieve", "A KPI by two dimensions with totals.", kpi_key="kpi!", dim_a="dimension!", dim_b="dimension!", time_filter="time!", filters="filters")
-def cross_tabulate(e: Engine, kpi_key: str, dim_a: str, dim_b: str, time_filter, filters=None) -> dict:
-    return rows(retrieve.cross_tabulate(e.facts, kpi_key, dim_a, dim_b, time_filter, filters).orderBy("level", "a", "b"))
+@tool("retrieve", "A KPI by two dimensions with totals.", kpi_key="kpi!", dim_a="dimension!", dim_b="dimension!", time_filter="time!", filters="filters", limit_a="integer", limit_b="integer")
+def cross_tabulate(e: Engine, kpi_key: str, dim_a: str, dim_b: str, time_filter, filters=None, limit_a=None, limit_b=None) -> dict:
+    return rows(retrieve.cross_tabulate(e.facts, kpi_key, dim_a, dim_b, time_filter, filters, limit_a, limit_b).orderBy("level", "a", "b"))
 
 
 # -- noise ------------------------------------------------------------------------------------------------------------
@@ -284,7 +285,10 @@ def filter_material_changes(e: Engine, candidates: list, min_pct=noise.MATERIAL,
 
 @tool("noise", "Rows, dates and members of a scope against its baseline.", time_filter="time!", baseline="time", dimension="dimension", filters="filters")
 def check_data_quality(e: Engine, time_filter, baseline=None, dimension=None, filters=None) -> dict:
-    return row(noise.data_quality(e.facts, time_filter, baseline, dimension, filters))
+    out = row(noise.data_quality(e.facts, time_filter, baseline, dimension, filters)) | {"columns": rows(noise.quality_columns(e.facts, time_filter, filters).orderBy("column"))["rows"]}
+    if baseline is not None:
+        out["dimensions"] = rows(noise.quality_dimensions(e.facts, time_filter, baseline, filters).orderBy("dimension"))["rows"]
+    return out
 
 
 @tool("noise", "The line through a KPI's history.", kpi_key="kpi!", grain="grain", time_filter="time", filters="filters", min_points="integer")

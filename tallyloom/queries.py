@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import normalised
 from tallyloom.operators import documents, investigate, noise, profile, reconcile, relate, retrieve
+from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.sources.facts import Facts, events, sales
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +44,7 @@ def _add(name: str, run: Callable[[Facts], DataFrame], sql: str, doubles: str =
 # -- SQL building blocks: written for DuckDB and independent of the column builders ----------------------------------
 
 F_SQL = """(SELECT o_orderdate AS date, r_name AS region, n_name AS nation, c_mktsegment AS segment, p_brand AS brand, o_orderpriority AS priority, l_returnflag AS returnflag,
-  l_extendedprice AS gross_amt, l_extendedprice * (1 - l_discount) AS net, l_discount AS discount, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END AS returned_qty,
+  l_extendedprice AS gross_amt, l_extendedprice * (1 - l_discount) AS net, l_discount AS discount, l_quantity AS quantity, l_extendedprice * (1 - l_discount) * l_tax AS tax_amt, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END AS returned_qty,
   year(o_orderdate) AS y, quarter(o_orderdate) AS q, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS period, strftime(o_orderdate, '%Y-%m') AS month, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS week,
   year(o_orderdate) * 4 + quarter(o_orderdate) AS qord, datediff('day', DATE '1969-12-29', date_trunc('week', o_orderdate)::DATE) // 7 AS word
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
@@ -108,6 +109,8 @@ _add("timeseries_gaps", lambda f: retrieve.gaps(retrieve.series(f, ["revenue"],
      f"WITH d AS (SELECT DISTINCT date::DATE AS d FROM {F_SQL} WHERE nation = 'NATION_3' AND returnflag = 'R') SELECT strftime(g, '%Y-%m-%d') AS period FROM (SELECT unnest(generate_series((SELECT min(d) FROM d), (SELECT max(d) FROM d), INTERVAL 1 DAY)) AS g) WHERE g::DATE NOT IN (SELECT d FROM d)")
 _add("rank_entities", lambda f: retrieve.rank_entities(f, "revenue", "nation", Q2, limit=None),
      f"WITH v AS (SELECT nation AS member, {_v('revenue')} AS value FROM {F_SQL} WHERE {C} GROUP BY nation) SELECT member, value, dense_rank() OVER (ORDER BY value DESC) AS rank, value / sum(value) OVER () * 100 AS share, sum(value) OVER (ORDER BY value DESC, member ROWS UNBOUNDED PRECEDING) / sum(value) OVER () * 100 AS cumulative_share FROM v", "value share cumulative_share", "rank")
+_add("rank_entities_others", lambda f: retrieve.other_entities(f, "revenue", "nation", Q2, limit=4),
+     f"WITH v AS (SELECT nation, {_v('revenue')} AS value FROM {F_SQL} WHERE {C} GROUP BY nation), r AS (SELECT *, dense_rank() OVER (ORDER BY value DESC) AS p, value / sum(value) OVER () * 100 AS share FROM v) SELECT count(*) AS members, sum(value) AS value, sum(share) AS share FROM r WHERE p > 4", "value share")
 _add("rank_entities_worst_ratio", lambda f: retrieve.rank_entities(f, "return_rate", "brand", Q2, order="worst", limit=5),
      f"WITH v AS (SELECT brand AS member, {_v('return_rate')} AS value FROM {F_SQL} WHERE {C} GROUP BY brand) SELECT member, value, dense_rank() OVER (ORDER BY value DESC) AS rank, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS DOUBLE) AS cumulative_share FROM v QUALIFY dense_rank() OVER (ORDER BY value DESC) <= 5", "value", "rank")
 _add("distribution_percentiles", lambda f: retrieve.distribution(f, "avg_selling_price", "nation", Q2),
@@ -117,6 +120,15 @@ _add("distribution_histogram", lambda f: retrieve.histogram(f, "revenue", "natio
 _add("cross_tabulate", lambda f: retrieve.cross_tabulate(f, "return_rate", "region", "segment", Q2),
      f"SELECT region AS a, segment AS b, CASE grouping(region, segment) WHEN 0 THEN 'cell' WHEN 1 THEN 'total_a' WHEN 2 THEN 'total_b' ELSE 'total' END AS level, {_v('return_rate')} AS value, count(*) AS rows FROM {F_SQL} WHERE {C} GROUP BY CUBE (region, segment)", "value", "rows")
 
+_add("cross_tabulate_limited", lambda f: retrieve.cross_tabulate(f, "revenue", "nation", "segment", Q2, limit_a=3, limit_b=2),
+     f"""WITH d AS (SELECT * FROM {F_SQL} WHERE {C}), a AS (SELECT nation FROM d GROUP BY nation ORDER BY abs({_v('revenue')}) DESC, nation LIMIT 3), b AS (SELECT segment FROM d GROUP BY segment ORDER BY abs({_v('revenue')}) DESC, segment LIMIT 2),
+c AS (SELECT nation AS a, segment AS b, CASE grouping(nation, segment) WHEN 0 THEN 'cell' WHEN 1 THEN 'total_a' WHEN 2 THEN 'total_b' ELSE 'total' END AS level, {_v('revenue')} AS value, count(*) AS rows FROM d GROUP BY CUBE (nation, segment))
+SELECT * FROM c WHERE (level IN ('total_b', 'total') OR a IN (SELECT nation FROM a)) AND (level IN ('total_a', 'total') OR b IN (SELECT segment FROM b))""", "value", "rows")
+_ASIAN = kpi("asian_units", "sum", "{quantity}", filters=(RowFilter("region", "in", ("ASIA", "EUROPE")), RowFilter("discount", "gte", 0.05)))
+_BULK = kpi("bulk_price", "ratio", "{net}", "{quantity}", filters=(RowFilter("quantity", "gt", 30), RowFilter("returnflag", "ne", "R"), RowFilter("segment", "not_in", ("BUILDING",))))
+_add("kpi_row_filters", lambda f: retrieve.query_kpi(replace(f, catalog=Catalog.of([_ASIAN, _BULK])), ["asian_units", "bulk_price"], Q2, group_by=["priority"]),
+     f"SELECT priority, sum(quantity) FILTER (WHERE region IN ('ASIA', 'EUROPE') AND discount >= 0.05) AS asian_units, sum(net) FILTER (WHERE quantity > 30 AND returnflag <> 'R' AND segment <> 'BUILDING') / nullif(sum(quantity) FILTER (WHERE quantity > 30 AND returnflag <> 'R' AND segment <> 'BUILDING'), 0) AS bulk_price, count(*) AS rows FROM {F_SQL} WHERE {C} GROUP BY priority", "asian_units bulk_price")
+
 # -- noise ------------------------------------------------------------------------------------------------------------
 
 _add("compare_periods", lambda f: noise.compare(f, "revenue", Q2, Q1, {"region": "ASIA"}),
@@ -139,7 +151,7 @@ _add("normal_range_week", lambda f: noise.normal_range(f, ["revenue", "return_ra
 _add("material_filter", lambda f: noise.filter_material(noise.significance(f, KEYS, Q2).select("kpi", "change_pct", "z")),
      f"SELECT kpi, change_pct, z, reason, reason IS NULL AS material, CASE WHEN z IS NOT NULL THEN 'magnitude_and_significance' ELSE 'magnitude_only' END AS basis FROM (SELECT kpi, change_pct, z, CASE WHEN change_pct IS NULL THEN 'no_change' WHEN abs(change_pct) < 3 THEN 'below_pct' WHEN abs(z) < 2 THEN 'below_z' END AS reason FROM ({_SIGNIFICANCE}))", "change_pct z")
 _add("data_quality_members", lambda f: noise.data_quality(f, Q3, Q2, "nation"),
-     f"WITH d AS (SELECT * FROM {F_SQL} WHERE period IN ('2001-Q3', '2001-Q2')), m AS (SELECT nation, count(*) FILTER (WHERE period = '2001-Q3') AS c, count(*) FILTER (WHERE period = '2001-Q2') AS b FROM d GROUP BY nation), t AS (SELECT count(*) FILTER (WHERE period = '2001-Q3') AS current_rows, count(*) FILTER (WHERE period = '2001-Q2') AS baseline_rows, count(DISTINCT date) FILTER (WHERE period = '2001-Q3') AS current_dates, count(DISTINCT date) FILTER (WHERE period = '2001-Q2') AS baseline_dates FROM d) SELECT *, current_dates / baseline_dates AS window_ratio, abs(current_dates / baseline_dates - 1) <= 0.1 AS balanced, (SELECT count(*) FROM m WHERE c > 0 AND b = 0) AS appeared, (SELECT count(*) FROM m WHERE c = 0 AND b > 0) AS disappeared FROM t", "window_ratio")
+     f"WITH d AS (SELECT * FROM {F_SQL} WHERE period IN ('2001-Q3', '2001-Q2')), m AS (SELECT nation, count(*) FILTER (WHERE period = '2001-Q3') AS c, count(*) FILTER (WHERE period = '2001-Q2') AS b FROM d GROUP BY nation), t AS (SELECT count(*) FILTER (WHERE period = '2001-Q3') AS current_rows, count(*) FILTER (WHERE period = '2001-Q2') AS baseline_rows, count(DISTINCT date) FILTER (WHERE period = '2001-Q3') AS current_dates, count(DISTINCT date) FILTER (WHERE period = '2001-Q2') AS baseline_dates FROM d) SELECT *, current_dates / baseline_dates AS window_ratio, abs(current_dates / baseline_dates - 1) <= 0.1 AS balanced, (current_rows - baseline_rows) / baseline_rows * 100 AS row_change_pct, (SELECT count(*) FROM m WHERE c > 0 AND b = 0) AS appeared, (SELECT count(*) FROM m WHERE c = 0 AND b > 0) AS disappeared FROM t", "window_ratio row_change_pct")
 _TREND = f"""WITH s AS ({_long(KEYS, 'qord', 'period')}), p AS (SELECT a.kpi, median((b.value - a.value) / (b.ord - a.ord)) AS slope FROM s a JOIN s b ON a.kpi = b.kpi AND a.ord < b.ord GROUP BY a.kpi),
 t AS (SELECT kpi, any_value(higher) AS higher, count(*) AS points, any_value(slope) AS slope, median(value - slope * ord) AS intercept, {_sigma('(value - slope * ord)')} AS residual_sigma, any_value(slope) * (max(ord) - min(ord)) / nullif(abs(median(value)), 0) * 100 AS total_pct FROM s JOIN p USING (kpi) GROUP BY kpi),
 u AS (SELECT *, CASE WHEN abs(total_pct) < 3 THEN 'flat' WHEN total_pct > 0 THEN 'rising' ELSE 'falling' END AS direction FROM t)
@@ -199,6 +211,10 @@ _add("bridge_members", lambda f: investigate.bridge(f, "revenue", Q2, Q1, "natio
      f"""WITH m AS ({_additive('revenue', 'nation')}), r AS (SELECT member, effect, row_number() OVER (ORDER BY abs(effect) DESC NULLS LAST, member) AS p FROM m), g AS (SELECT CASE WHEN p <= 5 THEN member ELSE 'others' END AS label, CASE WHEN p <= 5 THEN 'member' ELSE 'others' END AS kind, sum(effect) AS effect FROM r GROUP BY ALL),
 s AS (SELECT row_number() OVER (ORDER BY kind = 'others', abs(effect) DESC, label) AS step, label, kind, effect FROM g), a AS (SELECT 0 AS step, 'baseline' AS label, 'start' AS kind, (SELECT sum(baseline) FROM m) AS effect UNION ALL SELECT * FROM s UNION ALL SELECT (SELECT count(*) + 1 FROM s), 'unexplained', 'unexplained', 0.0)
 SELECT *, sum(effect) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS running FROM a""", "effect running", "step")
+_add("bridge_formula", lambda f: investigate.bridge(f, "net_price_pct", Q2, Q1, "formula"),
+     f"""WITH p AS ({_FORMULA}), s AS (SELECT row_number() OVER (ORDER BY abs(effect) DESC NULLS LAST, component) AS step, component AS label, 'component' AS kind, effect FROM p WHERE component <> 'unexplained'),
+v AS (SELECT {_v('net_price_pct', C)} AS c, {_v('net_price_pct', B)} AS b FROM {F_SQL}), a AS (SELECT 0 AS step, 'baseline' AS label, 'start' AS kind, b AS effect FROM v UNION ALL SELECT * FROM s UNION ALL SELECT (SELECT count(*) + 1 FROM s), 'unexplained', 'unexplained', c - b - (SELECT sum(effect) FROM s) FROM v)
+SELECT *, sum(effect) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS running FROM a""", "effect running", "step")
 _CONC = f"""WITH v AS (SELECT brand AS member, {_v('revenue')} AS value FROM {F_SQL} WHERE {C} GROUP BY brand), r AS (SELECT *, value / sum(value) OVER () AS share, row_number() OVER (ORDER BY value DESC, member) AS place, row_number() OVER (ORDER BY value, member) AS up FROM v), u AS (SELECT *, sum(share) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS running FROM r),
 a AS (SELECT count(*) AS members, sum(share * share) AS hhi, sum(up * value) AS w, sum(value) AS total, {', '.join(f'sum(share * 100) FILTER (WHERE place <= {t}) AS top_{t}_pct' for t in (1, 3, 5, 10))}, {', '.join(f'min(place) FILTER (WHERE running * 100 >= {c} - 1e-9) AS members_for_{c}' for c in (50, 80, 90))} FROM u)
 SELECT members, hhi, (hhi - 1.0 / members) / (1 - 1.0 / members) AS hhi_normalised, 1 / hhi AS effective_members, (2 * w / (members * total) - (members + 1.0) / members) * members / (members - 1.0) AS gini, top_1_pct, top_3_pct, top_5_pct, top_10_pct, members_for_50, members_for_80, members_for_90, 'ok' AS status FROM a"""
@@ -297,7 +313,12 @@ _add("subset_relations", lambda f: profile.subset_relations(f.load(set(_MEASURES
 _HIER = ["region", "nation", "segment"]
 _add("hierarchies", lambda f: profile.hierarchies(f.load(set(_HIER)), _HIER),
      " UNION ALL ".join(f"SELECT '{a}' AS child, '{b}' AS parent, members, violations FROM (SELECT count(*) AS members, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT {a}, count(DISTINCT {b}) AS n FROM {F_SQL} GROUP BY {a})) WHERE violations <= greatest(2, 0.25 * members) AND (SELECT count(DISTINCT {b}) FROM {F_SQL}) < members" for a in _HIER for b in _HIER if a != b))
-_add("list_dimensions", lambda f: f.load(set(f.dimensions)).agg(*[F.count_distinct(d).alias(d) for d in f.dimensions]), f"SELECT {', '.join(f'count(DISTINCT {d}) AS {d}' for d in ['region', 'nation', 'segment', 'brand', 'priority', 'returnflag'])} FROM {F_SQL}")
+_SIX = ["region", "nation", "segment", "brand", "priority", "returnflag"]
+_add("list_dimensions", retrieve.dimension_sizes, " UNION ALL ".join(f"SELECT '{d}' AS dimension, count(DISTINCT {d}) AS members FROM {F_SQL}" for d in _SIX))
+_add("data_quality_columns", lambda f: noise.quality_columns(f, Q3), " UNION ALL ".join(f"SELECT '{m}' AS column, count(*) AS rows, count(*) FILTER (WHERE {e} = 0) AS zero_rows, count(*) FILTER (WHERE {e} IS NULL) AS null_rows FROM {F_SQL} WHERE period = '2001-Q3'" for m, e in (("gross_amt", "gross_amt"), ("net", "net"), ("discount", "discount"), ("quantity", "quantity"), ("tax_amt", "tax_amt"), ("returned_qty", "returned_qty"))))
+_add("data_quality_dimensions", lambda f: noise.quality_dimensions(f, {"type": "range", "start": "2001-07-01", "end": "2001-07-03"}, {"type": "range", "start": "2001-04-01", "end": "2001-04-03"}).withColumns({c: F.array_join(c, ",") for c in ("appeared", "disappeared")}),
+     " UNION ALL ".join(f"""SELECT '{d}' AS dimension, count(*) FILTER (WHERE c) AS current_members, count(*) FILTER (WHERE b) AS baseline_members, array_to_string(list_slice(coalesce(list(m ORDER BY m) FILTER (WHERE c AND NOT b), []), 1, 10), ',') AS appeared, array_to_string(list_slice(coalesce(list(m ORDER BY m) FILTER (WHERE b AND NOT c), []), 1, 10), ',') AS disappeared
+FROM (SELECT {d} AS m, bool_or(date >= TIMESTAMP '2001-07-01') AS c, bool_or(date < TIMESTAMP '2001-07-01') AS b FROM {F_SQL} WHERE date >= TIMESTAMP '2001-07-01' AND date < TIMESTAMP '2001-07-04' OR date >= TIMESTAMP '2001-04-01' AND date < TIMESTAMP '2001-04-04' GROUP BY {d})""" for d in _SIX))
 _add("list_members_page", lambda f: f.load({"nation"}).select(F.col("nation").alias("member")).distinct().orderBy("member").offset(5).limit(10), f"SELECT DISTINCT nation AS member FROM {F_SQL} ORDER BY 1 LIMIT 10 OFFSET 5")
 _add("text_normalise", lambda f: f.load({"priority"}).select("priority", normalised(F.col("priority")).alias("normal")).distinct(), f"SELECT DISTINCT priority, array_to_string(regexp_extract_all(lower(priority), '[a-z0-9_]+'), '_') AS normal FROM {F_SQL}")
 _add("events_week", lambda f: retrieve.query_kpi(f, ["event_value", "events", "mean_value"], group_by=["event_type", "_week"]),
@@ -325,6 +346,11 @@ _add("coverage_withheld", lambda f: reconcile.coverage(reconcile.cells(_sources(
 
 _CHUNKS_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 170 THEN [0] ELSE range(0, len(w), 130) END) AS pos FROM w WHERE len(w) > 0),
 k AS (SELECT doc_id, CAST(pos AS BIGINT) AS chunk, list_slice(w, pos + 1, pos + 170) AS w FROM c WHERE pos = 0 OR len(w) - pos >= 25)"""
+_add("pending_tail", lambda f: reconcile.pending(reconcile.cells(_sources(f), ["region"]).where("measure <> 'gross' or period < '2001-06-01'")),
+     f"WITH c AS (SELECT * FROM ({_CELLS_SQL}) WHERE measure <> 'gross' OR period < '2001-06-01'), l AS (SELECT measure, max(period) FILTER (WHERE value IS NOT NULL) AS last FROM c GROUP BY measure) SELECT measure, period FROM l, (SELECT DISTINCT period FROM c) WHERE last IS NULL OR period > last")
+_add("prepare_frame", lambda f: profile.prepare(f.load({"region", "net", "quantity"}).withColumn("quantity", F.when(F.col("quantity") > 40, None).otherwise(F.col("quantity"))).withColumn("region", F.when(F.col("region") != "ASIA", F.col("region"))), profile.Schema("date", ["region"], ["net", "quantity"], [], 0)).groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("quantity"), F.sum("_imputed").alias("imputed")),
+     f"SELECT CASE WHEN region = 'ASIA' THEN 'Unknown' ELSE region END AS region, count(*) AS rows, sum(CASE WHEN quantity > 40 THEN 0 ELSE quantity END) AS quantity, CAST(count(*) FILTER (WHERE quantity > 40) AS BIGINT) AS imputed FROM {F_SQL} GROUP BY ALL", "quantity")
+
 _BM_QUERY, _BM_PHRASES = "License of the Apache thorreou apache", ["apache license", "version"]
 _BM_SQL = f"""WITH {_CHUNKS_SQL}, b AS (SELECT doc_id, chunk, lower(array_to_string(w, ' ')) AS blob FROM k),
 t AS (SELECT doc_id, chunk, CAST(contains(blob, 'apache license') AS INT) + CAST(contains(blob, 'version') AS INT) AS phrases, list_filter(regexp_extract_all(blob, '[a-z0-9][a-z0-9_%.\\-]*'), lambda x: length(x) > 1 AND x NOT IN (
