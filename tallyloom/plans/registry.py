@@ -22,6 +22,8 @@ from tallyloom.sources.facts import Facts
 MOST_ROWS = 500
 #: KPIs that one is correlated with at most; a payload says how many were considered and whether some were left out.
 MOST_CANDIDATES = 30
+#: Periods that a cause may be ahead or behind at most; more is refused.
+MOST_LAG = 60
 #: Kinds of arguments and what they accept.
 KINDS = {"kpi": str, "kpis": list, "dimension": str, "dimensions": list, "time": (str, dict), "filters": dict, "text": str, "integer": int, "number": (int, float), "flag": bool, "list": list, "grain": str, "mode": str, "order": str}
 
@@ -210,7 +212,8 @@ def query_kpi(e: Engine, kpi_keys: list, time_filter, filters=None, group_by=Non
 
 def _series(e: Engine, keys: list, grain: str, time_filter, filters) -> dict:
     points = retrieve.series(e.facts, keys, grain, time_filter or "all", filters)
-    return {"grain": grain, "gaps": [r["period"] for r in retrieve.gaps(points, grain).orderBy("period").limit(MOST_ROWS).collect()], **rows(points.orderBy("ord"))}
+    missing = rows(retrieve.gaps(points, grain).orderBy("period"))
+    return {"grain": grain, "gaps": [r["period"] for r in missing["rows"]], "gaps_truncated": missing["truncated"], **rows(points.orderBy("ord"))}
 
 
 @tool("retrieve", "A KPI's history with its gaps.", kpi_key="kpi!", grain="grain", time_filter="time", filters="filters")
@@ -500,7 +503,9 @@ LAGS = {"grain": "grain", "max_lag": "integer", "time_filter": "time", "filters"
 
 @tool("contest", "Correlation of two KPIs at lags.", kpi_key="kpi!", cause_kpi="kpi!", **LAGS)
 def cross_correlate_lagged(e: Engine, kpi_key: str, cause_kpi: str, grain="week", max_lag=5, time_filter=None, filters=None, min_n=8) -> dict:
-    lags = relate.lagged(e.facts, kpi_key, cause_kpi, grain, max(0, min(max_lag, 60)), time_filter or "all", filters, min_n)
+    if not 0 <= max_lag <= MOST_LAG:
+        raise InvalidArgument(f"max_lag is from 0 to {MOST_LAG}")
+    lags = relate.lagged(e.facts, kpi_key, cause_kpi, grain, max_lag, time_filter or "all", filters, min_n)
     found = rows(lags.orderBy("lag"))["rows"]
     best = relate.best_lag(lags).first()
     status = "ok" if best else "no_overlap" if not found else "insufficient_history" if all(r["n"] < min_n for r in found) else "no_usable_lag"
