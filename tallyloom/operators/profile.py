@@ -7,11 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.errors import InvalidArgument
 from tallyloom.functions.text import words
+from tallyloom.plans.kpi import Catalog
 
 #: Names of date columns, and words in a name that tell a measure's type, in order.
 DATE_NAMES = ("date", "period", "week", "day", "month", "timestamp", "order_date")
 SEMANTIC = (("flag", ("is", "has", "flag")), ("rate_pct", ("rate", "pct", "percent", "ratio", "share")), ("duration", ("hours", "days", "minutes", "duration", "time", "stay")), ("money", ("revenue", "cost", "price", "spend", "amount", "amt", "gross", "net", "profit", "value", "discount", "tax")), ("score", ("score", "rating", "nps")), ("count", ("count", "units", "orders", "customers", "qty", "quantity", "events", "number", "tickets", "returns")))
+#: Years that a column without a date's name must mostly lie in, and quarters that a history should have.
+YEARS, QUARTERS = (1990, 2100), 5
 #: Words in a name that tell a level at a time.
 STOCK = ("inventory", "balance", "headcount", "occupied", "backlog", "stock")
 
@@ -30,6 +34,14 @@ def _number(c: str, kind: str) -> Column:
     return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) if kind != "string" else F.expr(f"try_cast(`{c}` AS double)")
 
 
+def _dates(c: str, i: int, kind: str) -> list[Column]:
+    """How many values are dates, and how many lie in a plausible year."""
+    if kind != "string" and not kind.startswith(("date", "timestamp")):
+        return [F.lit(0).alias(f"t{i}"), F.lit(0).alias(f"y{i}")]
+    at = F.expr(f"try_cast(`{c}` AS timestamp)")
+    return [F.count(at).alias(f"t{i}"), F.count(F.when(F.year(at).between(*YEARS), 1)).alias(f"y{i}")]
+
+
 @dataclass(frozen=True)
 class Schema:
     date_column: str | None
@@ -40,18 +52,39 @@ class Schema:
 
 
 def detect_schema(df: DataFrame) -> Schema:
-    """Roles of columns: the date by its name or because nine in ten values parse as one; measures are mostly numbers;
-    dimensions have few values for the table. Two aggregates over the table."""
+    """Roles of columns: the date by its name, or because nine in ten values parse as one and nine in ten of these lie
+    in a plausible year; measures are mostly numbers; dimensions have few values for the table. One aggregate."""
     kinds = dict(df.dtypes)
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(_number(c, kinds[c])).alias(f"m{i}") if kinds[c] in ("string", "double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal") else F.lit(0).alias(f"m{i}"), F.count(F.expr(f"try_cast(`{c}` AS timestamp)")).alias(f"t{i}") if kinds[c] == "string" or kinds[c].startswith(("date", "timestamp")) else F.lit(0).alias(f"t{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(_number(c, kinds[c])).alias(f"m{i}") if kinds[c] in ("string", "double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal") else F.lit(0).alias(f"m{i}"), *_dates(c, i, kinds[c]), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
     numeric = {c for i, c in enumerate(df.columns) if first[f"n{i}"] and first[f"m{i}"] > 0.8 * first[f"n{i}"]}
-    dated = [c for i, c in enumerate(df.columns) if c not in numeric and first[f"n{i}"] and first[f"t{i}"] > 0.9 * first[f"n{i}"]]
-    date = next((c for c in DATE_NAMES if c in dated), dated[0] if dated else None)
+    dated = [c for i, c in enumerate(df.columns) if c not in numeric and first["rows"] and first[f"t{i}"] > 0.9 * first["rows"] and first[f"y{i}"] > 0.9 * first[f"t{i}"]]
+    date = next((c for c in DATE_NAMES if c in df.columns), dated[0] if dated else None)
+    numeric.discard(date)
     few = lambda i: first[f"d{i}"] <= max(60, 0.2 * first["rows"])
     dims = [c for i, c in enumerate(df.columns) if c != date and c not in numeric and few(i)]
     return Schema(date, dims, [c for c in df.columns if c in numeric], [c for c in df.columns if c != date and c not in numeric and c not in dims], first["rows"])
 
 
+def validate(df: DataFrame, catalog: Catalog | None = None) -> tuple[Schema, list[str], list[str]]:
+    """An upload's schema, the KPIs that it supports and warnings. A table without rows, dates or measures is refused."""
+    schema = detect_schema(df)
+    if not schema.rows:
+        raise InvalidArgument("the table has no rows")
+    if schema.date_column is None:
+        raise InvalidArgument("no column holds dates; add one named date, as YYYY-MM-DD")
+    at = F.expr(f"try_cast(`{schema.date_column}` AS timestamp)")
+    quarters = df.select((F.year(at) * 4 + F.quarter(at)).alias("q")).where("q is not null").agg(F.count_distinct("q").alias("n")).first()["n"]
+    if not quarters:
+        raise InvalidArgument(f"{schema.date_column} holds no dates")
+    own = catalog.available(schema.measures) if catalog else []
+    used = {c for k in own for c in catalog.resolve(k, schema.measures).fields()}
+    kpis = own + sorted(m for m in schema.measures if m not in used and m not in own)
+    if not kpis:
+        raise InvalidArgument("no column holds numbers")
+    notes = [(quarters < QUARTERS, f"only {quarters} quarters of history; {QUARTERS} are needed to tell a signal from noise"), (not schema.dimensions, "no dimensions, so nothing can be broken down"), ("revenue" not in kpis, "no revenue, so the first KPI takes its place")]
+    return schema, kpis, [text for holds, text in notes if holds]
+
+
 def prepare(df: DataFrame, schema: Schema, preserve_missing: bool = False) -> DataFrame:
     """The fact frame: date, text dimensions with Unknown for null, numeric measures with nil for null unless kept, and
     _imputed, the number of measures filled in a row. Rows without a date go."""
@@ -106,9 +139,11 @@ def hierarchies(df: DataFrame, dimensions: list[str]) -> DataFrame:
     return out
 
 
-def row_grain(df: DataFrame, candidates: list[str]) -> list[str]:
-    """A key of few columns, each chosen because it leaves the fewest repeated rows."""
-    rows, key, repeated = df.count(), [], None
+def row_grain(df: DataFrame, candidates: list[str], start: list[str] | None = None) -> list[str]:
+    """A key of few columns, each chosen because it leaves the fewest repeated rows; ``start`` is in it in any case."""
+    rows, key, repeated = df.count(), list(start or []), None
+    if key:
+        repeated = rows - df.select(*key).distinct().count()
     while True:
         rest = [c for c in candidates if c not in key]
         if not rest or repeated == 0:

@@ -2,15 +2,103 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.errors import InvalidArgument
+from tallyloom.operators import profile
 from tallyloom.plans import timefilter as tf
 
 #: Fixed value: spread in per cent of the greatest size up to which sources agree.
 AGREE_PCT = 0.5
+#: Grains from fine to coarse, the grain of rows that come at a cadence, and hours that a cadence may be late.
+GRAINS = ("day", "week", "month", "quarter", "year")
+CADENCES = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
+TOLERANCE = {"hourly": 2, "daily": 36, "weekly": 240, "monthly": 960}
+
+
+@dataclass(frozen=True)
+class Source:
+    """One table of several: what it holds, how finely its rows lie, and what is known of when it was refreshed."""
+
+    name: str
+    frame: DataFrame
+    schema: profile.Schema
+    grain: str
+    refreshed: str = ""
+    basis: str = "unknown"
+    cadence: str = "unknown"
+
+
+def row_grain(cadence: str) -> str:
+    """The grain of rows at a cadence; of rows some days apart the nearest one that holds them."""
+    days = re.fullmatch(r"(\d+)(?:\.\d+)?-day", cadence)
+    if cadence in CADENCES or not days:
+        return CADENCES.get(cadence, "day")
+    n = int(days[1])
+    return "day" if n <= 3 else "week" if n <= 10 else "month" if n <= 45 else "quarter"
+
+
+def describe_source(file_name: str, df: DataFrame, refreshed: str = "", cadence: str = "unknown", uploaded: str = "") -> Source:
+    """A table with its schema and grain. When it was refreshed is what its system reports, else its last date, else, as
+    a guess, when it came; how often it is refreshed is only what was declared."""
+    schema = profile.detect_schema(df)
+    if schema.date_column is None:
+        raise InvalidArgument(f"{file_name} has no dates")
+    dated = df.withColumn("_at", F.expr(f"try_cast(`{schema.date_column}` AS timestamp)")).where("_at is not null")
+    last = dated.agg(F.max(F.col("_at").cast("date")).alias("last")).first()["last"]
+    stamp, basis = next(((s, b) for s, b in ((refreshed, "source_reported"), (str(last or ""), "data_max"), (uploaded, "upload_time")) if s), ("", "unknown"))
+    stem = re.sub(r"\.[^.]*$", "", file_name.replace("\\", "/").rsplit("/", 1)[-1])
+    name = re.sub(r"[^a-z0-9]+", "_", stem.strip().lower()).strip("_") or "source"
+    return Source(name, df, schema, row_grain(profile.grain(dated, "_at")), stamp, basis, cadence)
+
+
+def compatibility(sources: list[Source]) -> tuple[list[str], list[str], list[dict]]:
+    """The keys that sources can be joined by, their measures, and what stands against it: other date columns, a name that
+    is a measure here and a dimension there, no measures. Columns are matched by name alone."""
+    if len(sources) < 2:
+        raise InvalidArgument("at least two sources are needed")
+    issues: list[dict] = []
+    if len({s.schema.date_column for s in sources}) > 1:
+        issues.append({"kind": "grain_mismatch", "fields": sorted({s.schema.date_column for s in sources}), "blocking": True})
+    measures = sorted({m for s in sources for m in s.schema.measures})
+    dimensions = [set(s.schema.dimensions) for s in sources]
+    issues += [{"kind": "unit_mismatch", "fields": [m], "blocking": True} for m in measures if any(m in d for d in dimensions)]
+    if not measures:
+        issues.append({"kind": "subset_check_failed", "fields": [], "blocking": True})
+    keys = [set(profile.row_grain(s.frame, s.schema.dimensions, [s.schema.date_column])) - {s.schema.date_column} for s in sources]
+    shared = set.intersection(*keys) or set.intersection(*dimensions)
+    return sorted(shared), measures, issues
+
+
+def target_grain(sources: list[Source], declared: list[str] = ()) -> tuple[str, str, list[str]]:
+    """The grain to build at, why, and sources too coarse for what was declared: the finest declared one, but none finer
+    than the coarsest source, as rows are never split up."""
+    floor = max((s.grain for s in sources), key=GRAINS.index, default="day")
+    known = [g for g in declared if g in GRAINS]
+    if not known:
+        return floor, "bootstrap_floor", []
+    wanted = min(known, key=GRAINS.index)
+    coarse = [s.name for s in sources if GRAINS.index(s.grain) > GRAINS.index(wanted)]
+    return max(wanted, floor, key=GRAINS.index), "contract_floored" if coarse else "contract", coarse
+
+
+def modes(decided: DataFrame) -> DataFrame:
+    """(measure, mode, single, overlapping, corroborated, disputed): how a measure's sources met, by one aggregate."""
+    n = lambda test: F.count(F.when(test, 1))
+    found = decided.groupBy("measure").agg(n(F.col("sources") == 1).alias("single"), n(F.col("sources") > 1).alias("overlapping"), n(F.col("state") == "corroborated").alias("corroborated"), n(F.col("state") == "disputed").alias("disputed"))
+    mode = F.when((F.col("overlapping") > 0) & (F.col("single") > 0), "mixed").when(F.col("overlapping") > 0, "overlap").otherwise("partition_or_complementary")
+    return found.select("measure", mode.alias("mode"), "single", "overlapping", "corroborated", "disputed")
+
+
+def freshness_of(age_hours: Column, cadence: Column, trusted: Column, rows: Column) -> Column:
+    """As ``freshness``, for a frame of sources; one without rows is missing, one without an age or a cadence unknown."""
+    allowed = F.try_element_at(F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv]), cadence)
+    return F.when(F.coalesce(rows, F.lit(0)) == 0, "missing").when(age_hours.isNull() | allowed.isNull() | ~F.coalesce(trusted, F.lit(False)), "freshness_unknown").when(age_hours > allowed, "stale").otherwise("current")
 
 
 def roll_up(source: DataFrame, name: str, place: int, keys: list[str], measures: dict[str, str], grain: str = "week", as_of: str | None = None) -> DataFrame:
@@ -58,7 +146,7 @@ def pending(decided: DataFrame) -> DataFrame:
 
 def freshness(age_hours: float | None, cadence: str, trusted: bool = True) -> str:
     """current, stale, missing or freshness_unknown by the age that each cadence allows."""
-    allowed = {"hourly": 2, "daily": 36, "weekly": 240, "monthly": 960}.get(cadence)
+    allowed = TOLERANCE.get(cadence)
     if age_hours is None:
         return "missing"
     return "freshness_unknown" if allowed is None or not trusted else "stale" if age_hours > allowed else "current"

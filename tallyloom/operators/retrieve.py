@@ -129,3 +129,8 @@ def cross_tabulate(f: Facts, kpi_key: str, dim_a: str, dim_b: str, time_filter=A
             totals = out.where(F.col("level") == f"total_{side}").orderBy(F.abs("value").desc_nulls_last(), F.col(side).asc_nulls_last()).limit(limit).select(F.col(side).alias("kept"))
             out = out.join(F.broadcast(totals), F.col(side).eqNullSafe(F.col("kept")), "left").where(F.col("kept").isNotNull() | ~F.col("level").isin("cell", f"total_{side}")).drop("kept")
     return out
+
+
+def preview(f: Facts, kpi_key: str, last: int = 8) -> DataFrame:
+    """(period, value): a KPI in the last quarters held, to four decimals; null where it is undefined."""
+    return series(f, [kpi_key]).orderBy(F.desc("ord")).limit(last).select("period", F.round(F.col(kpi_key).cast("double"), 4).alias("value"))

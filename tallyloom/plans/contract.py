@@ -138,6 +138,23 @@ def derive(measures: list[str], subsets: list[tuple[str, str]]) -> list[dict]:
     return out
 
 
+@dataclass(frozen=True)
+class Basis:
+    """What a KPI's values are of: the grain in time and of entities, the calendar, how often its source is refreshed."""
+
+    time_grain: str = "quarter"
+    entity_grain: tuple[str, ...] = ()
+    calendar: str = "gregorian"
+    cadence: str = "unknown"
+
+
+def comparability(bases: dict[str, Basis]) -> list[dict]:
+    """For each two KPIs of a contract, whether they may be compared, and if not in what their bases differ."""
+    parts = ("time_grain", "entity_grain", "calendar", "cadence")
+    differ = lambda a, b: [p for p in parts if getattr(bases[a], p) != getattr(bases[b], p)]
+    return [{"kpi": a, "other": b, "reasons": differ(a, b), "comparable": not differ(a, b)} for a in bases for b in bases if a != b]
+
+
 @dataclass
 class Entry:
     """A KPI of a contract: its definition and where its approval stands (proposed, needs_confirmation, approved, rejected)."""

@@ -8,9 +8,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import formula
 from tallyloom.functions.text import normalised
-from tallyloom.operators import documents, investigate, noise, profile, reconcile, relate, retrieve
+from tallyloom.operators import contest, documents, investigate, noise, observe, profile, reconcile, relate, retrieve, telemetry
+from tallyloom.plans import driver_graph
+from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, RowFilter, kpi
+from tallyloom.plans.registry import Engine
 from tallyloom.sources.facts import Facts, events, sales
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +382,113 @@ WHEN regexp_matches(own, 'market|competitor|competitive|intelligence|share') THE
 WHEN regexp_matches(own, 'sales|pipeline|quota|region review') THEN 'sales_report' WHEN regexp_matches(own, 'financial|p&l|income statement|budget|forecast') THEN 'financial_report' ELSE 'business_document' END AS doc_type, count(*) AS n
 FROM (SELECT lower(coalesce(source, '')) || chr(10) || lower(substr(coalesce(text, ''), 1, 1500)) AS own FROM documents) GROUP BY ALL""",
 )
+
+# -- contest: statistics of aggregated samples, as far as SQL has the distributions -------------------------------------
+
+
+def _frame(f: Facts, rows: list[tuple], schema: str) -> DataFrame:
+    """A small result as a frame."""
+    return f.load(set()).sparkSession.createDataFrame(rows, schema)
+
+
+_NATIONS = {"dimension": "nation", "period_a": Q2, "period_b": Q1}
+_LEAST_R = "CASE WHEN n > 3 THEN tanh((1.959963984540054 + 0.8416212335729143) / sqrt(n - 3)) END"
+_FISHER = "tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS high"
+_CAUSES = ["avg_selling_price", "units_sold"]
+_SAMPLE = f"m AS (SELECT revenue AS y, avg_selling_price AS a, units_sold AS b FROM ({_changes(['revenue', *_CAUSES], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL AND units_sold IS NOT NULL), k AS (SELECT count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM m)"
+_add("statistical_significance", lambda f: _frame(f, [(t["cause"], t["n"], t["r"], *t["ci"], t["least_detectable_r"]) for t in contest.statistical_significance(f, "revenue", candidates=_CAUSES, **_NATIONS)["tests"]], "cause string, n long, r double, low double, high double, least_detectable_r double"),
+     f"WITH {_SAMPLE}, t AS (SELECT 'avg_selling_price' AS cause, n, round(ya, 3) AS r FROM k UNION ALL SELECT 'units_sold', n, round(yb, 3) FROM k) SELECT cause, n, r, {_FISHER}, {_LEAST_R} AS least_detectable_r FROM t", "r low high least_detectable_r")
+_add("effect_size", lambda f: _frame(f, [(e["n"], e["r"], e["r_squared"], *e["ci"]) for e in [contest.effect_size(f, "revenue", "avg_selling_price", **_NATIONS)]], "n long, r double, r_squared double, low double, high double"),
+     f"WITH {_SAMPLE}, t AS (SELECT n, round(ya, 3) AS r FROM k) SELECT n, r, r * r AS r_squared, {_FISHER} FROM t", "r r_squared low high")
+_add("test_confounders", lambda f: _frame(f, [(c["controls"][0], c["n"], c["partial_r"], c["attenuation_pct"], c["effect"]) for c in contest.confounders(f, "revenue", "avg_selling_price", ["units_sold"], **_NATIONS)["each"]], "control string, n long, partial_r double, attenuation_pct double, effect string"),
+     f"""WITH {_SAMPLE}, p AS (SELECT n, ya, (ya - yb * ab) / sqrt((1 - yb * yb) * (1 - ab * ab)) AS r FROM k), w AS (SELECT *, CASE WHEN abs(ya) >= 0.05 THEN (1 - abs(r) / abs(ya)) * 100 END AS weaker FROM p)
+SELECT 'units_sold' AS control, n, round(r, 3) AS partial_r, weaker AS attenuation_pct, CASE WHEN weaker IS NULL THEN CASE WHEN abs(r) < 0.05 THEN 'unchanged' ELSE 'strengthened' END WHEN r * ya < 0 AND abs(r) >= 0.05 THEN 'sign_flipped' WHEN weaker >= 50 THEN 'explained_away' WHEN weaker >= 15 THEN 'attenuated' WHEN weaker <= -15 THEN 'strengthened' ELSE 'unchanged' END AS effect FROM w""", "partial_r attenuation_pct")
+_add("competing_explanations", lambda f: _frame(f, [(c["cause"], c["n"], c["r"], c["partial_r"]) for c in contest.competing(f, "revenue", _CAUSES, include_precedence=False, include_consistency=False, **_NATIONS)["causes"]], "cause string, n long, r double, partial_r double"),
+     f"WITH {_SAMPLE} SELECT 'avg_selling_price' AS cause, n, round(ya, 3) AS r, round((ya - yb * ab) / sqrt((1 - yb * yb) * (1 - ab * ab)), 3) AS partial_r FROM k UNION ALL SELECT 'units_sold', n, round(yb, 3), round((yb - ya * ab) / sqrt((1 - ya * ya) * (1 - ab * ab)), 3) FROM k", "r partial_r")
+
+
+def _spurious(f: Facts) -> DataFrame:
+    own = contest.spurious(f, "revenue", "avg_selling_price")
+    return _frame(f, [(own["level"]["n"], own["level"]["r"], own["detrended"]["r"], own["difference"]["n"], own["difference"]["r"], *own["slopes"])], "n long, level_r double, detrended_r double, steps long, difference_r double, kpi_slope double, cause_slope double")
+
+
+_add("spurious_correlation", _spurious, f"""WITH s AS (SELECT qord AS ord, {_v('revenue')} AS y, {_v('avg_selling_price')} AS x FROM {F_SQL} GROUP BY qord), l AS (SELECT median((b.y - a.y) / (b.ord - a.ord)) AS ys, median((b.x - a.x) / (b.ord - a.ord)) AS xs FROM s a JOIN s b ON a.ord < b.ord),
+d AS (SELECT ord - lag(ord) OVER w AS gap, y - lag(y) OVER w AS dy, x - lag(x) OVER w AS dx FROM s WINDOW w AS (ORDER BY ord)), e AS (SELECT count(*) AS steps, round(corr(dy, dx), 3) AS difference_r FROM d WHERE gap = 1)
+SELECT n, level_r, detrended_r, steps, difference_r, ys AS kpi_slope, xs AS cause_slope FROM (SELECT count(*) AS n, round(corr(y, x), 3) AS level_r, round(corr(y - ys * ord, x - xs * ord), 3) AS detrended_r, any_value(ys) AS ys, any_value(xs) AS xs FROM s, l), e""", "level_r detrended_r difference_r kpi_slope cause_slope")
+_add("sample_adequacy", lambda f: _frame(f, [(a["axis"], a["name"], a["n"], a["least_detectable_r"], a["verdict"]) for a in contest.adequacy(f, "revenue")["samples"]], "axis string, name string, n long, least_detectable_r double, verdict string"),
+     "WITH t AS (" + " UNION ALL ".join(f"SELECT 'dimension' AS axis, '{d}' AS name, count(DISTINCT {d}) AS n FROM {F_SQL}" for d in _SIX) + f" UNION ALL SELECT 'grain', 'quarter', count(DISTINCT qord) - 1 FROM {F_SQL}), l AS (SELECT *, {_LEAST_R} AS least_detectable_r FROM t) SELECT *, CASE WHEN n < 6 OR least_detectable_r IS NULL THEN 'inadequate' WHEN least_detectable_r <= 0.5 THEN 'adequate' ELSE 'marginal' END AS verdict FROM l", "least_detectable_r")
+_add("reverse_causation", lambda f: _frame(f, [(r["mechanical"], r["verdict"], r["lagged"]["best"]["lag"]) for r in [Engine(f).call("test_reverse_causation", {"kpi_key": "revenue", "cause_kpi": "return_rate"})]], "mechanical string, verdict string, lag long"),
+     f"SELECT 'none' AS mechanical, CASE WHEN lag > 0 THEN 'forward_supported' WHEN lag < 0 THEN 'reverse_supported' ELSE 'undetermined' END AS verdict, lag FROM ({_LAGS}) ORDER BY abs(r) DESC, abs(lag), lag LIMIT 1", longs="lag")
+_SIGNIFICANCE_Q3 = _SIGNIFICANCE.replace("8006", "8007").replace("8005", "8006").replace("ord % 4 = 2", "ord % 4 = 3")
+_add("scan_anomalies", lambda f: _frame(f, [(a["kpi"], a["change_pct"], a["z"], a["trend"]["direction"], a["changepoint"]["onset"]) for a in Engine(f).call("scan_anomalies", {"time_filter": Q3})["anomalies"]], "kpi string, change_pct double, z double, direction string, onset string"),
+     f"WITH a AS (SELECT kpi, change_pct, z FROM ({_SIGNIFICANCE_Q3}) WHERE abs(change_pct) >= 3 AND (z IS NULL OR abs(z) >= 2) ORDER BY abs(z) DESC NULLS LAST, kpi LIMIT 5) SELECT kpi, change_pct, z, t.direction, c.onset FROM a JOIN ({_TREND}) t USING (kpi) JOIN ({_CHANGE}) c USING (kpi)", "change_pct z")
+_PROPOSED = ["units_sold", "avg_discount", "return_rate"]
+_add("verify_edges", lambda f: driver_graph.verify(f, "revenue", _PROPOSED),
+     f"WITH s AS (SELECT qord AS ord, {', '.join(f'{_v(k)} AS {k}' for k in ['revenue', *_PROPOSED])} FROM {F_SQL} GROUP BY qord), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS cause, ord, {_pct('revenue', 'lag(revenue) OVER (ORDER BY ord)')} AS y, {_pct(k, f'lag({k}) OVER (ORDER BY ord)')} AS x FROM s QUALIFY lag(ord) OVER (ORDER BY ord) IS NOT NULL" for k in _PROPOSED) + """), l AS (SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1 FROM c WINDOW w AS (PARTITION BY cause ORDER BY ord)),
+g AS (SELECT cause, count(*) AS n, round(corr(y, x), 3) AS r, corr(y, x1) AS leads, corr(x, y1) AS trails FROM l GROUP BY cause),
+v AS (SELECT *, CASE WHEN n < 6 THEN 'insufficient_history' WHEN r IS NULL OR abs(r) < 0.5 THEN 'no_association' WHEN abs(trails) > abs(r) AND abs(trails) > coalesce(abs(leads), 0) THEN 'wrong_order' ELSE 'verified' END AS status FROM g)
+SELECT *, CASE status WHEN 'wrong_order' THEN -1 WHEN 'verified' THEN CASE WHEN abs(leads) > abs(r) THEN 1 ELSE 0 END END AS lag, CASE WHEN status = 'verified' THEN round(least(0.8, abs(r)), 3) ELSE 0.0 END AS weight FROM v""", "r leads trails weight", "lag")
+
+# -- what a table and a catalogue hold ----------------------------------------------------------------------------------
+
+_add("time_selection", lambda f: _frame(f, [(s["label"], s["rows"], s["start"][:10], s["end"][:10], ",".join(s["periods"]), ",".join(s["missing"])) for s in [f.selection(tf.parse({"type": "quarters", "values": [[1996, 1], [1998, 3], [2031, 1]]}))]], "label string, rows long, start string, `end` string, periods string, missing string").drop("label"),
+     f"SELECT count(*) AS rows, strftime(min(date), '%Y-%m-%d') AS start, strftime(max(date), '%Y-%m-%d') AS \"end\", array_to_string(list_sort(list(DISTINCT period)), ',') AS periods, '2031-Q1' AS missing FROM {F_SQL} WHERE period IN ('1996-Q1', '1998-Q3', '2031-Q1')")
+_add("list_kpis", lambda f: _frame(f, [(k, f.kpi(k).kind, f.kpi(k).unit, f.kpi(k).higher_is_better, ",".join(sorted(f.kpi(k).fields()))) for k in Engine(f).keys], "kpi string, kind string, unit string, higher boolean, fields string"),
+     "SELECT * FROM (VALUES ('revenue', 'sum', 'currency', TRUE, 'net'), ('gross', 'sum', 'currency', TRUE, 'gross_amt'), ('discount_given', 'sum', 'currency', FALSE, 'gross_amt,net'), ('units_sold', 'sum', 'count', TRUE, 'quantity'), ('returned_units', 'sum', 'count', FALSE, 'returned_qty'), ('net_price_pct', 'ratio', 'percent', TRUE, 'gross_amt,net'), ('avg_selling_price', 'ratio', 'currency', TRUE, 'net,quantity'), ('return_rate', 'ratio', 'percent', FALSE, 'quantity,returned_qty'), ('avg_discount', 'mean', 'ratio', FALSE, 'discount')) t(kpi, kind, unit, higher, fields)")
+_FORMULAS = ("{net} - {gross_amt} * 0.5", "({net} + {tax_amt}) / {quantity}", "{net} / ({quantity} - {quantity})", "-{discount} * 2 + 3")
+_add("formula_rows", lambda f: f.load({"net", "gross_amt", "tax_amt", "quantity", "discount", "region"}).groupBy("region").agg(*[F.sum(formula.column(formula.parse(t))).alias(f"f{i}") for i, t in enumerate(_FORMULAS)]),
+     f"SELECT region, sum(net - gross_amt * 0.5) AS f0, sum((net + tax_amt) / quantity) AS f1, CAST(NULL AS DOUBLE) AS f2, sum(-discount * 2 + 3) AS f3 FROM {F_SQL} GROUP BY region", "f0 f1 f3")
+_add("kpi_preview", lambda f: retrieve.preview(f, "net_price_pct"), f"SELECT period, {_v('net_price_pct')} AS value FROM {F_SQL} GROUP BY qord, period ORDER BY qord DESC LIMIT 8", "value")
+_add("observe_value", lambda f: observe.observe(f, dimensions=["region"])["value"].select("current", "baseline", "change"),
+     f"WITH v AS (SELECT qord, sum(net) AS net FROM {F_SQL} GROUP BY qord), m AS (SELECT max(qord) AS q FROM v) SELECT max(net) FILTER (WHERE qord = q) AS current, max(net) FILTER (WHERE qord = q - 1) AS baseline, max(net) FILTER (WHERE qord = q) - max(net) FILTER (WHERE qord = q - 1) AS change FROM v, m", "current baseline change")
+_add("describe_dataset", lambda f: _frame(f, [tuple(Engine(f).call("describe_dataset")[k] for k in ("rows",))], "rows long"), f"SELECT count(*) AS rows FROM {F_SQL}")
+_add("member_resolve", lambda f: f.rows({"region", "net"}, None, {"region": [" middle-east", "Europe "]}).groupBy("region").agg(F.count(F.lit(1)).alias("rows")), f"SELECT region, count(*) AS rows FROM {F_SQL} WHERE region IN ('MIDDLE EAST', 'EUROPE') GROUP BY region")
+
+
+def _table(name: str, run: Callable[[DataFrame], DataFrame], sql: str, table: str, **kinds: str) -> None:
+    _add(name, run, sql, facts=lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet"), **kinds)
+
+
+def _roles(df: DataFrame) -> DataFrame:
+    own, _, _ = profile.validate(df)
+    rows = [(own.date_column, "date"), *[(c, "dimension") for c in own.dimensions], *[(c, "measure") for c in own.measures], *[(c, "dropped") for c in own.dropped]]
+    return df.sparkSession.createDataFrame(rows, "field string, role string")
+
+
+_ORDER_KINDS = {"o_orderkey": 0, "o_custkey": 0, "o_totalprice": 0, "o_orderpriority": 1, "o_orderstatus": 1}
+_table("schema_roles", lambda df: _roles(df.select("o_orderdate", *_ORDER_KINDS)),
+       "SELECT 'o_orderdate' AS field, 'date' AS role UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', CASE WHEN count(try_cast({c} AS DOUBLE)) > 0.8 * count({c}) THEN 'measure' WHEN count(DISTINCT {c}) <= greatest(60, 0.2 * count(*)) THEN 'dimension' ELSE 'dropped' END FROM orders" for c in _ORDER_KINDS), "orders")
+_table("row_grain", lambda df: df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(profile.row_grain(df, ["l_returnflag", "l_linenumber", "l_orderkey"]))], "field string, place long"),
+       """WITH n AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linenumber) AS b, count(DISTINCT l_orderkey) AS c, count(DISTINCT (l_orderkey, l_returnflag)) AS ca, count(DISTINCT (l_orderkey, l_linenumber)) AS cb FROM lineitem)
+SELECT 'l_orderkey' AS field, 0 AS place FROM n WHERE c > a AND c > b UNION ALL SELECT CASE WHEN ca >= cb THEN 'l_returnflag' ELSE 'l_linenumber' END, 1 FROM n WHERE greatest(ca, cb) > c UNION ALL SELECT 'l_returnflag', 2 FROM n WHERE cb > ca AND cb < (SELECT count(DISTINCT (l_orderkey, l_linenumber, l_returnflag)) FROM lineitem)""", "lineitem", longs="place")
+_add("reconcile_modes", lambda f: reconcile.modes(reconcile.cells(_sources(f), ["region"])),
+     f"SELECT measure, CASE WHEN overlapping > 0 AND single > 0 THEN 'mixed' WHEN overlapping > 0 THEN 'overlap' ELSE 'partition_or_complementary' END AS mode, single, overlapping, corroborated, disputed FROM (SELECT measure, count(*) FILTER (WHERE sources = 1) AS single, count(*) FILTER (WHERE sources > 1) AS overlapping, count(*) FILTER (WHERE state = 'corroborated') AS corroborated, count(*) FILTER (WHERE state = 'disputed') AS disputed FROM ({_CELLS_SQL}) GROUP BY measure)")
+_table("source_freshness", lambda df: df.groupBy("event_type").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("rows")).select("event_type", reconcile.freshness_of((F.unix_timestamp(F.lit("2024-02-03 12:00:00")) - F.unix_timestamp("last")) / 3600, F.when(F.col("event_type") == "click", "daily").when(F.col("event_type") == "error", "weekly").when(F.col("event_type") == "view", "hourly"), F.lit(True), F.col("rows")).alias("state")),
+       "SELECT event_type, CASE WHEN event_type NOT IN ('click', 'error', 'view') THEN 'freshness_unknown' WHEN (epoch(TIMESTAMP '2024-02-03 12:00:00') - floor(epoch(max(ts)))) / 3600 > CASE event_type WHEN 'click' THEN 36 WHEN 'error' THEN 240 ELSE 2 END THEN 'stale' ELSE 'current' END AS state FROM events GROUP BY event_type", "events")
+
+
+def _described(df: DataFrame) -> DataFrame:
+    daily = df.groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.sum("value").alias("value"))
+    own = reconcile.describe_source("Daily Events.csv", daily, uploaded="2024-05-01")
+    grain, basis, _ = reconcile.target_grain([own], ["week", "month"])
+    return df.sparkSession.createDataFrame([(own.name, own.grain, own.refreshed, own.basis, grain, basis)], "name string, grain string, refreshed string, basis string, target string, target_basis string")
+
+
+_table("source_description", _described, "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), g AS (SELECT median(d - b) AS g FROM (SELECT d, lag(d) OVER (ORDER BY d) AS b FROM d) WHERE b IS NOT NULL) SELECT 'daily_events' AS name, CASE WHEN g <= 3 THEN 'day' WHEN g <= 10 THEN 'week' WHEN g <= 45 THEN 'month' ELSE 'quarter' END AS grain, CAST((SELECT max(d) FROM d) AS VARCHAR) AS refreshed, 'data_max' AS basis, 'week' AS target, 'contract' AS target_basis FROM g", "events")
+
+
+def _records(df: DataFrame) -> DataFrame:
+    """Events read as request records, with a null, an absent and an empty number among their columns."""
+    return df.select(
+        F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.floor(F.col("value") * 10).alias("latency_ms"), F.when(F.col("user_id") % 5 > 0, F.col("user_id") % 4).alias("model_calls"), (F.col("event_id") % 1000).alias("input_tokens"),
+        F.length("props").cast("long").alias("output_tokens"), (F.col("event_id") % 1000 + F.length("props")).alias("total_tokens"), F.lit(None).cast("long").alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"), (F.col("event_id") % 100 / 1024).alias("estimated_cost"),
+    )
+
+
+_table("telemetry_summary", lambda df: telemetry.summary(_records(df)),
+       """WITH r AS (SELECT event_type <> 'error' AS good, CAST(floor(value * 10) AS BIGINT) AS latency, CASE WHEN user_id % 5 > 0 THEN user_id % 4 ELSE 0 END AS calls, event_id % 1000 AS i, length(props) AS o, event_id % 7 AS c, event_id % 100 / 1024 AS cost FROM events),
+p AS (SELECT latency FROM (SELECT coalesce(latency, 0) AS latency, row_number() OVER (ORDER BY coalesce(latency, 0)) - 1 AS place, count(*) OVER () AS n FROM r) WHERE place = floor((n - 1) * 0.95))
+SELECT count(*) AS total_requests, count(*) FILTER (WHERE good) AS successful_requests, count(*) - count(*) FILTER (WHERE good) AS failed_requests, round_even(sum(latency) / count(*), 0) AS average_latency_ms, sum(calls) AS total_model_calls, round_even(sum(calls) / count(*), 2) AS average_model_calls,
+sum(i) AS total_input_tokens, sum(o) AS total_output_tokens, sum(i + o) AS total_tokens, sum(i) AS total_prompt_tokens, sum(c) AS total_completion_tokens, round_even(sum(i) / count(*), 0) AS average_input_tokens, round_even(sum(o) / count(*), 0) AS average_output_tokens, round_even(sum(i + o) / count(*), 0) AS average_total_tokens,
+round_even(sum(cost), 6) AS estimated_total_cost, round_even(sum(cost) / count(*), 6) AS average_cost_per_request, 0 AS total_llm_duration_ms, 0 AS total_non_llm_duration_ms, (SELECT latency FROM p) AS p95_latency_ms FROM r""", "events",
+       doubles="average_latency_ms average_model_calls average_input_tokens average_output_tokens average_total_tokens estimated_total_cost average_cost_per_request", longs="total_model_calls total_input_tokens total_output_tokens total_tokens total_prompt_tokens total_completion_tokens total_llm_duration_ms total_non_llm_duration_ms p95_latency_ms")

@@ -13,12 +13,17 @@ SEPARATORS, ENCODINGS = (",", ";", "\t"), ("UTF-8", "ISO-8859-1")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The file with every column as text, by the first separator and encoding that give more than one column; names in normal form."""
-    for encoding in ENCODINGS:
-        for separator in SEPARATORS:
+    """The file with every column as text, by the first separator that gives more than one column; names in normal form.
+
+    A file is read as UTF-8 unless that leaves replacement characters in its names or values, which takes one pass to tell."""
+    for separator in SEPARATORS:
+        for encoding in ENCODINGS:
             df = spark.read.csv(path, header=True, sep=separator, encoding=encoding, inferSchema=False)
-            if len(df.columns) > 1 and "�" not in "".join(df.columns):
-                return df.toDF(*[normalise(c) for c in df.columns])
+            if len(df.columns) < 2:
+                break
+            df = df.toDF(*[normalise(c) for c in df.columns])
+            if encoding == ENCODINGS[-1] or df.where(F.contains(F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]), F.lit("�"))).isEmpty():
+                return df
     raise InvalidArgument("no separator gives more than one column")
 
 
@@ -30,6 +35,7 @@ def write_canonical(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(document_name, text) of text files, one row for each."""
-    rows = spark.read.format("binaryFile").load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_name"), F.decode("content", "UTF-8").alias("text"))
+    """(document_name, text) of text files, one row for each that is not empty: UTF-16 by its mark, else UTF-8, else Latin-1."""
+    rows, head = spark.read.format("binaryFile").load(path), F.hex(F.substring("content", 1, 2))
+    text = F.when(head.isin("FFFE", "FEFF"), F.expr("try_validate_utf8(decode(content, 'UTF-16'))")).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_name"), text.alias("text"))
