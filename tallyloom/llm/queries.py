@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat, digests, language, line_dedup, mixing, simhash, token_counts, token_files, vector_dedup
+from tallyloom.llm import bpe, chat, conversation_repair, digests, language, line_dedup, mixing, simhash, token_counts, token_files, vector_codes, vector_dedup, warc
+from tallyloom.llm.common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +128,146 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(turns), every=turns)
+
+
+def _op11_step() -> str:
+    """The costs and edits from each of four states (nothing, system, user, assistant) on, one row before those in ``acc``."""
+    follows, states = {1: "u", 2: "u", 3: "a", 4: "u"}, {1: 3, 2: 3, 3: 4, 4: 3}
+    after = []
+    for state in states:
+        options, now = [], state
+        for inserted in range(3):
+            cost, run, then = 5 * inserted, "I" * inserted, states[now]
+            one = lambda paid, edit, to: f"{{'c': acc[{to}].c + {paid}, 'r': '{edit}' || acc[{to}].r}}"
+            late = "CASE WHEN upper(x) = x THEN 5 ELSE 0 END"
+            options.append(one(cost + 2, run + "D", now))
+            options.append(f"CASE WHEN x <> 'x' THEN {one(f'{cost + 1} + {late}', run + 'R', then)} END")
+            options.append(f"CASE WHEN lower(x) = '{follows[now]}' THEN {one(f'{cost} + {late}', run + 'K', then)} END")
+            if now == 1:
+                options.append(f"CASE WHEN lower(x) = 's' THEN {one(f'{cost} + {late}', run + 'K', 2)} END")
+            now = then
+        after.append(f"list_min([{', '.join(options)}])")
+    return f"[{', '.join(after)}]"
+
+
+OP11_SQL = (
+    r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS key
+  FROM conversations
+), drawn AS (
+  SELECT lots.*, xor(list_reduce(key, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS lot FROM lots, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE lot WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE lot <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS place, lag(turn) OVER w AS last_turn, lag(role) OVER w AS last_role FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text)
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM placed
+), faults AS MATERIALIZED (
+  SELECT *, CASE WHEN whole = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(whole, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial
+  FROM seen
+), signed AS (
+  SELECT conv_id, list(CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END ORDER BY place) AS letters,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (place > 1 AND last_role[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), solved AS (
+  SELECT letters, list_reduce(list_reverse(letters), lambda acc, x: """
+    + _op11_step()
+    + r""",
+    [{'c': CAST(0 AS BIGINT), 'r': ''}, {'c': CAST(10 AS BIGINT), 'r': 'II'}, {'c': CAST(5 AS BIGINT), 'r': 'I'}, {'c': CAST(0 AS BIGINT), 'r': ''}])[1] AS best
+  FROM (SELECT DISTINCT letters FROM signed)
+), audited AS MATERIALIZED (
+  SELECT signed.*, best.c AS cost, best.r AS audit FROM signed JOIN solved USING (letters)
+), edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS k FROM audited WHERE audit <> ''
+), counted AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS place, count(*) FILTER (edit <> 'D') OVER w AS nth FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), met AS (
+  SELECT c.conv_id, k, c.nth, edit, role, text FROM counted c LEFT JOIN faults f ON edit <> 'I' AND c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.place = f.place WHERE edit <> 'D'
+), led AS (
+  SELECT *, CASE WHEN first_value(CASE WHEN edit = 'K' THEN role[1] END) OVER (PARTITION BY conv_id ORDER BY k) = 's' THEN 1 ELSE 0 END AS system FROM met
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM led GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN audited a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op12_rounds(rounds: int) -> str:
+    """Rounds of Lloyd over the distinct parts, and the last assignment as ``near{rounds}``. Products of integers below 2^53 are exact."""
+    near = """near{k} AS MATERIALIZED (
+  SELECT did, min(CAST(list_inner_product(d.part, d.part) - 2 * list_inner_product(d.part, b.part) + list_inner_product(b.part, b.part) AS BIGINT) * 256 + e) AS best
+  FROM pieces d JOIN book{k} b USING (p) GROUP BY did
+)"""
+    moved = """sums{k} AS (
+  SELECT p, best % 256 AS e, j, CAST(floor(sum(weight * x) / sum(weight)) AS BIGINT) AS x
+  FROM (SELECT p, best, weight, unnest(range(len(part))) AS j, CAST(unnest(part) AS BIGINT) AS x FROM pieces JOIN near{k} USING (did)) GROUP BY p, best % 256, j
+), book{next} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(s.part, b.part) AS part FROM book{k} b LEFT JOIN (SELECT p, e, list(CAST(x AS DOUBLE) ORDER BY j) AS part FROM sums{k} GROUP BY p, e) s ON b.p = s.p AND b.e = s.e
+)"""
+    return ",\n".join([x for k in range(rounds) for x in (near.format(k=k), moved.format(k=k, next=k + 1))] + [near.format(k=rounds)])
+
+
+OP12_SQL = (
+    r"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS place, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT place, vec_id, label, p, list_slice(v, CAST(p * len(v) // 4 + 1 AS BIGINT), CAST((p + 1) * len(v) // 4 AS BIGINT)) AS part FROM kept, (SELECT unnest(range(4)) AS p)
+), pieces AS MATERIALIZED (
+  SELECT p, part, count(*) AS weight, row_number() OVER () AS did FROM parts GROUP BY p, part
+), book0 AS (
+  SELECT p, place - 1 AS e, part FROM parts WHERE place <= 256
+), """
+    + _op12_rounds(4)
+    + r""", coded AS (
+  SELECT vec_id, label, place, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM parts JOIN pieces USING (p, part) JOIN near4 USING (did) GROUP BY vec_id, label, place
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(part, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM coded
+"""
+)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.page_captures(spark, path)
+
+
+OP13_SQL = r"""
+WITH kept AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+  SELECT payload, min(page_id) AS first FROM kept GROUP BY payload
+)
+SELECT page_id, CAST(strlen(k.payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(1 + 10 * (k // 8) AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM kept k JOIN firsts f ON k.payload = f.payload
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_digests": op1_digests,
     "op2_token_counts": op2_token_counts,
@@ -138,10 +279,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
+    "op12_codes": op12_codes,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_chat": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_repair": OP11_SQL,
+    "op12_codes": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
