@@ -1,18 +1,12 @@
-"""Document types, chunks with their headings, and BM25 retrieval over chunks."""
+"""Words and types of documents, and chunks with their headings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tallyloom.functions.robust import let
 
 #: Words of a chunk and shared with the next, the least tail, characters kept of a text of headings only.
 CHUNK, SHARED, LEAST_TAIL, MOST_HEADINGS = 170, 40, 25, 4000
-#: BM25's constants, the boost for each phrase that must be there, the score that is full strength, and
-#: the least score of evidence.
-K1, B, BOOST, FULL, LEAST_SCORE = 1.5, 0.75, 0.45, 9.0, 4.0
 #: Words that say nothing about what a text is about.
 STOP_WORDS = """a an the and or but if then than that this these those of in on at to for from by with
 as is are was were be been being it its it's we our us they their them he she his her you your i not no
@@ -31,6 +25,7 @@ DOC_TYPES = (
 )
 OTHER_TYPE = "business_document"
 _HEADING = "[ \\t]{0,3}#{1,6}[ \\t]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def tokens(text: Column) -> Column:
@@ -59,8 +54,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     null texts have none.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = lambda t: F.filter(F.split(t, "\\s+"), lambda w: w != "")
-    block = lambda b: F.struct(F.trim(F.regexp_extract(b, f"^{_HEADING}([^\\n]*)", 1)).alias("heading"), F.regexp_replace(F.regexp_replace(b, f"^{_HEADING}[^\\n]*", ""), "^\\s+|\\s+$", "").alias("body"))
+    words = lambda t: F.array_remove(F.split(t, "\\s+"), "")
+    block = lambda b: F.struct(F.trim(F.regexp_extract(b, f"^{_HEADING}([^\\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(b, f"^{_HEADING}[^\\n]*", ""), F.lit(_BLANKS)).alias("body"))
     blocks = F.filter(F.transform(F.split(text, f"(?m)^(?={_HEADING})"), block), lambda b: b["body"] != "")
     whole = F.array(F.struct(F.lit("").alias("heading"), F.substring(F.trim("t"), 1, MOST_HEADINGS).alias("body")))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), blocks.alias("b")).select("doc_id", F.posexplode(F.when((F.size("b") == 0) & F.col("t").rlike("\\S"), whole).otherwise(F.col("b"))).alias("block", "x"))
@@ -70,45 +65,3 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     kept = cut.where((F.col("at") == 0) | (F.size("w") - F.col("at") >= LEAST_TAIL))
     piece = F.when(F.size("w") <= size, F.col("body")).otherwise(F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " "))
     return kept.select("doc_id", (F.col("block").cast("long") * 1_000_000_000 + F.col("at")).alias("chunk"), "heading", piece.alias("text"))
-
-
-def _is(word: str):
-    return lambda token: token == F.lit(word)
-
-
-def bm25(pieces: DataFrame, query: str, id_cols: tuple[str, ...] = ("doc_id", "chunk"), text_col: str = "text", heading_col: str | None = "heading", must_include: list[str] | None = None, exclude: Column | None = None, min_score: float | None = None, limit: int | None = 10) -> DataFrame:
-    """(ids, score, hits, relevance, strength): BM25 of each chunk, its heading too, that holds a word of the query.
-
-    A word asked twice counts twice. With ``must_include`` only chunks that hold one of these phrases stay, and each
-    held phrase adds BOOST to the score's factor. ``exclude`` marks chunks that are not wanted but count in the
-    statistics. Relevance is the score's share of the best one, strength its share of FULL, at most 1; both have three
-    places, the score four. ``min_score`` is the floor of evidence (LEAST_SCORE). Null texts are empty.
-
-    Each text is cut into words once a pass: one pass sums lengths and document frequencies, one scores.
-    """
-    asked = [r[0] for r in pieces.sparkSession.range(1).select(F.explode(tokens(F.lit(query)))).collect()]
-    terms = {t: asked.count(t) for t in asked}
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = F.concat(F.coalesce(F.col(heading_col).cast("string"), F.lit("")), F.lit(" "), text) if heading_col else text
-    counts = lambda t: F.struct(F.size(t).alias("dl"), *[F.size(F.filter(t, _is(n))).alias(f"tf{i}") for i, n in enumerate(terms)])
-    phrases = sum((F.contains(F.lower(whole), F.lit(p.lower())).cast("int") for p in must_include or [] if p), F.lit(0))
-    kept = F.lit(True) if exclude is None else ~F.coalesce(exclude, F.lit(False))
-    counted = pieces.select(*id_cols, let(tokens(whole), counts).alias("c"), phrases.alias("phrases"), kept.alias("kept")).select(*id_cols, "c.*", "phrases", "kept")
-    places = range(len(terms))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in places])
-    rows = counted.where(" or ".join([f"tf{i} > 0" for i in places]) or "false").where("kept").crossJoin(F.broadcast(stats))
-    score, hits = F.lit(0.0), F.lit(0)
-    for i, times in enumerate(terms.values()):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + times * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        hits = hits + (tf > 0).cast("int")
-    if any(must_include or []):
-        rows, score = rows.where("phrases > 0"), score * (1 + BOOST * F.col("phrases"))
-    out = rows.select(*id_cols, score.alias("score"), hits.alias("hits")).where("score > 0")
-    if limit is not None:
-        out = out.orderBy(F.desc("score"), *[F.desc(c) for c in id_cols]).limit(limit).withColumn("best", F.max("score").over(Window.partitionBy()))
-    else:
-        out = out.crossJoin(F.broadcast(out.agg(F.max("score").alias("best"))))
-    shown = out.select(*id_cols, F.round("score", 4).alias("score"), "hits", F.round(F.col("score") / F.col("best"), 3).alias("relevance"), F.round(F.least(F.lit(1.0), F.col("score") / FULL), 3).alias("strength"))
-    return shown if min_score is None else shown.where(F.col("score") >= min_score)

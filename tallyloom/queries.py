@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import formula
 from tallyloom.functions.text import normalised
-from tallyloom.operators import contest, documents, investigate, noise, observe, profile, reconcile, relate, retrieve, telemetry
+from tallyloom.operators import contest, documents, investigate, noise, observe, postings, profile, reconcile, relate, retrieve, telemetry
 from tallyloom.plans import driver_graph
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.plans.registry import Engine
 from tallyloom.sources.facts import Facts, events, sales
+from tallyloom.sources.scratch import scratch_path
 
 Run = Callable[[SparkSession, str], DataFrame]
 Q2, Q1, Q3 = "2001-Q2", "2001-Q1", "2001-Q3"
@@ -356,10 +357,11 @@ _add("prepare_frame", lambda f: profile.prepare(f.load({"region", "net", "quanti
      f"SELECT CASE WHEN region = 'ASIA' THEN 'Unknown' ELSE region END AS region, count(*) AS rows, sum(CASE WHEN quantity > 40 THEN 0 ELSE quantity END) AS quantity, CAST(count(*) FILTER (WHERE quantity > 40) AS BIGINT) AS imputed FROM {F_SQL} GROUP BY ALL", "quantity")
 
 _BM_QUERY, _BM_PHRASES = "License of the Apache thorreou apache", ["apache license", "version"]
-_BM_SQL = f"""WITH {_CHUNKS_SQL}, b AS (SELECT doc_id, chunk, lower(array_to_string(w, ' ')) AS blob FROM k),
+_BM_WORDS = f"""{_CHUNKS_SQL}, b AS (SELECT doc_id, chunk, lower(array_to_string(w, ' ')) AS blob FROM k),
 t AS (SELECT doc_id, chunk, CAST(contains(blob, 'apache license') AS INT) + CAST(contains(blob, 'version') AS INT) AS phrases, list_filter(regexp_extract_all(blob, '[a-z0-9][a-z0-9_%.\\-]*'), lambda x: length(x) > 1 AND x NOT IN (
 'a', 'an', 'the', 'and', 'or', 'but', 'if', 'then', 'than', 'that', 'this', 'these', 'those', 'of', 'in', 'on', 'at', 'to', 'for', 'from', 'by', 'with', 'as', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'it', 'its', 'we', 'our', 'us', 'they', 'their', 'them', 'he', 'she', 'his', 'her', 'you', 'your', 'not', 'no',
-'do', 'does', 'did', 'have', 'has', 'had', 'will', 'would', 'can', 'could', 'should', 'may', 'might', 'must', 'about', 'into', 'over', 'under', 'after', 'before', 'during', 'between', 'per', 'each', 'any', 'all', 'some', 'more', 'most', 'other', 'such', 'only', 'own', 'same', 'so', 'too', 'very', 'don', 'now')) AS t FROM b),
+'do', 'does', 'did', 'have', 'has', 'had', 'will', 'would', 'can', 'could', 'should', 'may', 'might', 'must', 'about', 'into', 'over', 'under', 'after', 'before', 'during', 'between', 'per', 'each', 'any', 'all', 'some', 'more', 'most', 'other', 'such', 'only', 'own', 'same', 'so', 'too', 'very', 'don', 'now')) AS t FROM b)"""
+_BM_SQL = f"""WITH {_BM_WORDS},
 s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t), q AS (SELECT * FROM (VALUES ('license', 1), ('apache', 2), ('thorreou', 1)) q(word, times)),
 o AS (SELECT doc_id, chunk, phrases, len(t) AS dl, word, times, len(list_filter(t, lambda x: x = word)) AS tf FROM t, q), d AS (SELECT word, count(*) FILTER (WHERE tf > 0) AS df FROM o GROUP BY word),
 r AS (SELECT doc_id, chunk, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * (1 + 0.45 * any_value(phrases)) AS score, CAST(count(*) FILTER (WHERE tf > 0) AS BIGINT) AS hits FROM o JOIN d USING (word), s WHERE phrases > 0 GROUP BY doc_id, chunk HAVING sum(tf) > 0)
@@ -370,10 +372,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-QUERIES["bm25_search"] = Query(lambda spark, sf_dir: _exact(documents.bm25(documents.chunks(_documents(spark, sf_dir)), _BM_QUERY, must_include=_BM_PHRASES, limit=None)), f"SELECT * REPLACE (score + 0.0 AS score, relevance + 0.0 AS relevance, strength + 0.0 AS strength) FROM ({_BM_SQL})")
+def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    return postings.build(documents.chunks(_documents(spark, sf_dir)), scratch_path(spark, "postings"))
+
+
+QUERIES["bm25_search"] = Query(lambda spark, sf_dir: _exact(_index(spark, sf_dir).search(_BM_QUERY, must_include=_BM_PHRASES, limit=None)), f"SELECT * REPLACE (score + 0.0 AS score, relevance + 0.0 AS relevance, strength + 0.0 AS strength) FROM ({_BM_SQL})")
+QUERIES["bm25_postings"] = Query(
+    lambda spark, sf_dir: _index(spark, sf_dir).postings(["license", "apache", "thorreou"]),
+    f"WITH {_BM_WORDS} SELECT word AS term, doc_id, chunk, len(list_filter(t, lambda x: x = word)) AS tf, len(t) AS dl FROM t, (SELECT unnest(['license', 'apache', 'thorreou']) AS word) WHERE list_contains(t, word)",
+)
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their source as a first heading, and their language as that of the text's repetition."""
+    head = lambda mark, c: F.concat(F.lit(mark), F.coalesce(c, F.lit("none")), F.lit("\n"))
+    return _documents(spark, sf_dir).select("doc_id", F.concat(head("# ", "source"), "text", head("\n ### ", "lang"), "text").alias("text"))
+
+
 QUERIES["chunk_documents"] = Query(
-    lambda spark, sf_dir: documents.chunks(_documents(spark, sf_dir)).select("doc_id", "chunk", "heading", F.array_join(F.filter(F.split("text", "\\s+"), lambda w: w != ""), " ").alias("text")),
-    f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk, '' AS heading, array_to_string(w, ' ') AS text FROM k",
+    lambda spark, sf_dir: documents.chunks(_headed(spark, sf_dir)).select("doc_id", "chunk", "heading", F.array_join(F.array_remove(F.split("text", "\\s+"), ""), " ").alias("text")),
+    f"""WITH {_CHUNKS_SQL}, h AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang FROM documents)
+SELECT doc_id, chunk + 1000000000 * unnest([0, 1]) AS chunk, unnest([source, lang]) AS heading, array_to_string(w, ' ') AS text FROM k JOIN h USING (doc_id)""",
 )
 QUERIES["doc_types"] = Query(
     lambda spark, sf_dir: _documents(spark, sf_dir).select(documents.doc_type(F.col("source"), F.col("text")).alias("doc_type")).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n")),

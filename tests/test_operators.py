@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.errors import InvalidArgument, UnknownMember
 from tallyloom.functions import stats
-from tallyloom.operators import documents, investigate, noise, profile, reconcile, relate, retrieve
+from tallyloom.operators import documents, investigate, noise, postings, profile, reconcile, relate, retrieve
 from tallyloom.plans.kpi import kpi
 from tallyloom.plans.registry import TOOLS, Engine
 from tallyloom.sources.facts import from_frame, sales
+from tallyloom.sources.scratch import scratch_path
 
 A, B = "2026-Q2", "2026-Q1"
 
@@ -187,25 +190,87 @@ def test_chunks_overlap_and_short_tails_go(spark):
     assert {r["doc_id"]: r["count"] for r in documents.chunks(edge).groupBy("doc_id").count().collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def test_long_blanks_and_hostile_headings_stay_linear(spark):
+    hostile = ["x" + " " * 5_000_000 + "y", "\n" * 3_000_000, "#" * 2_000_000, "# " * 2_000_000, "a\n   # " + " " * 3_000_000]
+    docs = spark.createDataFrame(list(enumerate(hostile)), "doc_id int, text string")
+    began = time.monotonic()
+    got = documents.chunks(docs).groupBy("doc_id").count().collect()
+    assert time.monotonic() - began < 20 and {r["doc_id"] for r in got} >= {0, 2, 3}
+
+
+def brute_bm25(texts, query, phrases=()):
+    """Scores by the definition, over (ids, heading, text)."""
+    cut = lambda t: [x for x in re.findall(r"[a-z0-9][a-z0-9_%.\-]*", t.lower()) if len(x) > 1 and x not in documents.STOP_WORDS]
+    docs = {ids: cut(f"{h or ''} {t or ''}") for ids, h, t in texts}
+    average, out = sum(map(len, docs.values())) / max(1, len(docs)), {}
+    for ids, h, t in texts:
+        own, score = docs[ids], 0.0
+        for word in cut(query):
+            df, tf = sum(word in d for d in docs.values()), own.count(word)
+            if tf:
+                score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / average))
+        held = sum(p.lower() in f"{h or ''} {t or ''}".lower() for p in phrases)
+        if score > 0 and (held or not phrases):
+            out[ids] = score * (1 + 0.45 * held)
+    return out
+
+
+def index(pieces, spark, **more):
+    return postings.build(pieces, scratch_path(spark, "postings"), **more)
+
+
+def test_bm25_by_brute_force(spark):
+    picks = random.Random(4)
+    words = ["stock", "level", "the", "north", "q3", "x", "5%", "out-of-stock", "Stock", "fell", "é"]
+    texts = [((d, c), picks.choice([None, "", "Stock levels", "North"]), picks.choice([None, "", " ".join(picks.choice(words) for _ in range(picks.randint(0, 60)))])) for d in range(60) for c in range(3)]
+    texts += [((900 + k, 0), None, "stock") for k in range(200)]  # one word in most pieces
+    pieces = spark.createDataFrame([(*ids, h, t) for ids, h, t in texts], "doc_id long, chunk long, heading string, text string")
+    for buckets in (1, 7):
+        found = index(pieces, spark, buckets=buckets)
+        for query, phrases in (("stock level level", []), ("north 5% nowhere", ["q3", "stock"]), ("out-of-stock", ["missing"]), ("the x", []), ("", [])):
+            got = {(r["doc_id"], r["chunk"]): r["score"] for r in found.search(query, must_include=phrases, limit=None).collect()}
+            assert got == pytest.approx(brute_bm25(texts, query, phrases), abs=6e-5), (query, phrases)
+        top = [(r["doc_id"], r["chunk"]) for r in found.search("stock north", limit=5).collect()]
+        want = brute_bm25(texts, "stock north")
+        assert top == sorted(want, key=lambda k: (round(want[k], 9), k), reverse=True)[:5]
+
+
+def test_bm25_reads_the_buckets_of_its_terms_only(spark):
+    pieces = spark.createDataFrame([(k, 0, "", f"word{k} common") for k in range(500)], "doc_id long, chunk long, heading string, text string")
+    found = index(pieces, spark)
+    plan = found.postings(["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,word7)]" in plan
+    assert [(r["doc_id"], r["tf"], r["dl"]) for r in found.postings(["word7"]).collect()] == [(7, 1, 2)]
+    again = postings.read(spark, found.path)
+    assert again == found and again.n == 500 and again.average == 2.0 and again.frequencies(["common", "none"]) == {"common": 500}
+
+
+def test_bm25_of_nothing(spark):
+    none = index(spark.createDataFrame([], "doc_id long, chunk long, heading string, text string"), spark)
+    assert none.n == 0 and none.search("stock").collect() == [] and none.search("").columns == ["doc_id", "chunk", "score", "hits", "relevance", "strength"]
+    empty = index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), spark, ids=("doc_id",), heading_col=None)
+    assert empty.n == 2 and empty.search("stock").collect() == []
+
+
 def test_bm25_counts_a_word_asked_twice_twice(spark):
     docs = spark.createDataFrame([(1, "stock stock level"), (2, "level of service"), (3, "nothing here")], "doc_id long, text string")
-    docs = documents.chunks(docs)
-    one = {r["doc_id"]: r["score"] for r in documents.bm25(docs, "level").collect()}
-    two = {r["doc_id"]: r["score"] for r in documents.bm25(docs, "level level").collect()}
+    found = index(documents.chunks(docs), spark)
+    one = {r["doc_id"]: r["score"] for r in found.search("level").collect()}
+    two = {r["doc_id"]: r["score"] for r in found.search("level level").collect()}
     assert set(one) == {1, 2} and two == pytest.approx({k: 2 * v for k, v in one.items()}, abs=1e-4)
-    assert documents.bm25(docs, "the of").count() == 0
+    assert found.search("the of").count() == 0
 
 
 def test_bm25_phrases_headings_floor_and_shares(spark):
-    docs = documents.chunks(spark.createDataFrame([(1, "# Stock levels\nlow in the north"), (2, "stock was low\n## South\nstock fine"), (3, "Low stock in the NORTH")], "doc_id long, text string"))
-    found = documents.bm25(docs, "stock", must_include=["the north", "low"]).collect()
+    docs = index(documents.chunks(spark.createDataFrame([(1, "# Stock levels\nlow in the north"), (2, "stock was low\n## South\nstock fine"), (3, "Low stock in the NORTH")], "doc_id long, text string")), spark)
+    found = docs.search("stock", must_include=["the north", "low"]).collect()
     assert {(r["doc_id"], r["chunk"]) for r in found} == {(1, 0), (2, 0), (3, 0)} and found[0]["relevance"] == 1
-    plain = {(r["doc_id"], r["chunk"]): r["score"] for r in documents.bm25(docs, "stock").collect()}
+    plain = {(r["doc_id"], r["chunk"]): r["score"] for r in docs.search("stock").collect()}
     for r in found:
         assert r["score"] == pytest.approx(plain[r["doc_id"], r["chunk"]] * (1.9 if r["doc_id"] != 2 else 1.45), abs=2e-4)
         assert r["strength"] == pytest.approx(r["score"] / 9, abs=1e-3)
-    assert documents.bm25(docs, "stock", min_score=documents.LEAST_SCORE).count() == 0
-    assert documents.bm25(docs, "stock", exclude=F.col("doc_id") == 2).count() == 2
+    assert docs.search("stock", min_score=postings.LEAST_SCORE).count() == 0
+    assert docs.search("stock", exclude=F.col("doc_id") == 2).count() == 2
 
 
 def test_document_types(spark):
