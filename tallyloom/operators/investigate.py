@@ -12,9 +12,11 @@ from pyspark.sql.window import Window
 from tallyloom.errors import InvalidArgument
 from tallyloom.functions import formula, robust
 from tallyloom.operators.noise import MATERIAL, unfavourable
+from tallyloom.operators.order import placed, spread, totals
 from tallyloom.operators.retrieve import ALL
 from tallyloom.plans import timefilter as tf
 from tallyloom.sources.facts import Facts
+from tallyloom.sources.scratch import kept
 
 #: Over-index and contribution that make a member stand out, and dimensions of an exact attribution.
 OVER_INDEX, MOST_DIMENSIONS = 1.2, 8
@@ -25,7 +27,7 @@ def by_member(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filter
 
     Additive KPIs: a member's effect is its change. Ratios: rate effect at the current weight plus mix effect at the
     baseline's value; both add up to the total change exactly, and a side that is missing counts as 0. Means have a
-    change for each member but no effects. One scan for both periods; totals are windows over the members.
+    change for each member but no effects. One scan for both periods; totals are aggregated apart.
     """
     k = f.kpi(kpi_key)
     sums = f.pair(k, tf.parse(period_a), tf.parse(period_b), [f.dimension(dimension)], filters).withColumnRenamed(dimension, "member")
@@ -49,21 +51,21 @@ def _by_dimension(f: Facts, k, dimensions: list[str], scope, filters: dict | Non
 
 def _decomposed(k, sums: DataFrame, within: list[str]) -> DataFrame:
     sums = sums.withColumns({"current": k.finish("_c"), "baseline": k.finish("_b")})
-    whole = Window.partitionBy(*within)
     if k.additive:
         effect = F.coalesce("current", F.lit(0.0)) - F.coalesce("baseline", F.lit(0.0))
         sums = sums.withColumns({"rate": F.lit(None).cast("double"), "mix": F.lit(None).cast("double"), "effect": effect})
-        sums = sums.withColumn("share_b", F.try_divide(F.col("baseline"), F.sum("baseline").over(whole)) * 100)
+        sums = totals(sums, within, whole_b=F.sum("baseline"), moved=F.sum("effect")).withColumn("share_b", F.try_divide(F.col("baseline"), F.col("whole_b")) * 100)
     elif k.kind == "ratio":
         d = {s: F.coalesce(F.col(f"{k.key}__d{s}"), F.lit(0.0)) for s in ("_c", "_b")}
-        weight = {s: F.coalesce(F.try_divide(d[s], F.sum(d[s]).over(whole)), F.lit(0.0)) for s in d}
+        sums = totals(sums, within, whole_c=F.sum(d["_c"]), whole_b=F.sum(d["_b"]))
+        weight = {s: F.coalesce(F.try_divide(d[s], F.col(f"whole{s}")), F.lit(0.0)) for s in d}
         r = {"_c": F.coalesce("current", F.lit(0.0)), "_b": F.coalesce("baseline", F.lit(0.0))}
         sums = sums.withColumns({"rate": weight["_c"] * (r["_c"] - r["_b"]), "mix": r["_b"] * (weight["_c"] - weight["_b"]), "share_b": weight["_b"] * 100})
-        sums = sums.withColumn("effect", F.col("rate") + F.col("mix"))
+        sums = totals(sums.withColumn("effect", F.col("rate") + F.col("mix")), within, moved=F.sum("effect"))
     else:
         none = F.lit(None).cast("double")
-        sums = sums.withColumns({"rate": none, "mix": none, "effect": none, "share_b": none})
-    contribution = F.try_divide(F.col("effect"), F.sum("effect").over(whole)) * 100
+        sums = sums.withColumns({"rate": none, "mix": none, "effect": none, "share_b": none, "moved": none})
+    contribution = F.try_divide(F.col("effect"), F.col("moved")) * 100
     out = sums.withColumn("contribution_pct", contribution).withColumn("over_index", F.try_divide(F.col("contribution_pct"), F.col("share_b")))
     change = F.col("current") - F.col("baseline")
     return out.select(*within, "member", "current", "baseline", change.alias("change"), robust.pct(F.col("current"), F.col("baseline")).alias("change_pct"), "effect", "rate", "mix", "contribution_pct", F.col("share_b").alias("baseline_share"), "over_index")
@@ -169,7 +171,7 @@ def shapley_of(cells: DataFrame, dims: list[str]) -> DataFrame:
     return phi.select("dimension", "phi", (F.try_divide(F.col("phi"), F.sum("phi").over(Window.partitionBy())) * 100).alias("share_pct"))
 
 
-def bridge(f: Facts, kpi_key: str, period_a, period_b, by: str = "formula", filters: dict | None = None, max_items: int | None = 5) -> DataFrame:
+def bridge(f: Facts, kpi_key: str, period_a, period_b, by: str = "formula", filters: dict | None = None, max_items: int | None = 5, most: int | None = None) -> DataFrame:
     """(step, label, kind, effect, running): a waterfall from the baseline to the current value that closes exactly.
 
     By formula or by a dimension, its largest effects first and the rest as one step; a mean can't be bridged by members.
@@ -183,26 +185,29 @@ def bridge(f: Facts, kpi_key: str, period_a, period_b, by: str = "formula", filt
             raise InvalidArgument("a mean can't be bridged by members", status="unsupported_kind")
         parts = by_member(f, kpi_key, by, period_a, period_b, filters).select(F.col("member").alias("label"), "effect").withColumn("kind", F.lit("member"))
         if max_items is not None:
-            place = F.row_number().over(Window.orderBy(F.abs("effect").desc_nulls_last(), "label"))
-            parts = parts.withColumn("label", F.when(place <= max_items, F.col("label")).otherwise("others")).withColumn("kind", F.when(F.col("label") == "others", "others").otherwise("member")).groupBy("label", "kind").agg(F.sum("effect").alias("effect"))
+            parts = placed(parts, [F.abs("effect").desc_nulls_last(), F.col("label")], most=most)
+            own = F.col("place") <= max_items
+            parts = parts.select(F.when(own, F.col("label")).otherwise("others").alias("label"), F.when(own, "member").otherwise("others").alias("kind"), "effect").groupBy("label", "kind").agg(F.sum("effect").alias("effect"))
     order = F.when(F.col("kind") == "others", 1).otherwise(0)
-    steps = parts.withColumn("step", F.row_number().over(Window.orderBy(order, F.abs("effect").desc_nulls_last(), "label")).cast("long"))
+    steps = placed(parts, [order, F.abs("effect").desc_nulls_last(), F.col("label")], "step", running={"upto": "effect"}, most=most)
     last = steps.agg(F.max("step").alias("n"), F.coalesce(F.sum("effect"), F.lit(0.0)).alias("sum")).crossJoin(ends)
-    start = ends.select(F.lit(0).cast("long").alias("step"), F.lit("baseline").alias("label"), F.lit("start").alias("kind"), F.col("baseline").alias("effect"))
-    rest = last.select((F.coalesce("n", F.lit(0)) + 1).alias("step"), F.lit("unexplained").alias("label"), F.lit("unexplained").alias("kind"), (F.col("current") - F.col("baseline") - F.col("sum")).alias("effect"))
-    rows = start.unionByName(steps.select("step", "label", "kind", "effect")).unionByName(rest)
-    return rows.withColumn("running", F.sum("effect").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    steps = steps.crossJoin(F.broadcast(ends)).select("step", "label", "kind", "effect", (F.coalesce("baseline", F.lit(0.0)) + F.coalesce("upto", F.lit(0.0))).alias("running"))
+    start = ends.select(F.lit(0).cast("long").alias("step"), F.lit("baseline").alias("label"), F.lit("start").alias("kind"), F.col("baseline").alias("effect"), F.col("baseline").alias("running"))
+    rest = F.col("current") - F.col("baseline") - F.col("sum")
+    ended = last.select((F.coalesce("n", F.lit(0)) + 1).alias("step"), F.lit("unexplained").alias("label"), F.lit("unexplained").alias("kind"), rest.alias("effect"), (F.coalesce("baseline", F.lit(0.0)) + F.col("sum") + F.coalesce(rest, F.lit(0.0))).alias("running"))
+    return start.unionByName(steps).unionByName(ended)
 
 
-def concentration(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, top_k: tuple[int, ...] = (1, 3, 5, 10), coverage: tuple[int, ...] = (50, 80, 90)) -> DataFrame:
+def concentration(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, top_k: tuple[int, ...] = (1, 3, 5, 10), coverage: tuple[int, ...] = (50, 80, 90), most: int | None = None) -> DataFrame:
     """One row: members, Herfindahl index plain and normalised, effective number, sample Gini, shares of the top, and members for a share."""
     k = f.kpi(kpi_key)
     if not k.additive:
         raise InvalidArgument(f"{kpi_key} is not additive", status="not_additive")
     values = f.sums([k], [f.dimension(dimension)], tf.parse(time_filter), filters).select(F.col(dimension).alias("member"), F.coalesce(k.finish(), F.lit(0.0)).alias("value"))
-    whole, down = Window.partitionBy(), Window.orderBy(F.desc("value"), "member")
-    ranked = values.select("value", F.try_divide(F.col("value"), F.sum("value").over(whole)).alias("share"), F.row_number().over(down).alias("place"), F.row_number().over(Window.orderBy("value", "member")).alias("up"))
-    ranked = ranked.withColumn("running", F.sum("share").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    values = totals(values, [], whole=F.sum("value"), of=F.count(F.lit(1))).withColumn("share", F.try_divide(F.col("value"), F.col("whole")))
+    ranked = placed(values, [F.desc("value"), F.col("member")], running={"running": "share"}, most=most)
+    # places from below are those from above turned round: members of one value share the same places either way
+    ranked = ranked.withColumn("up", F.col("of") + 1 - F.col("place"))
     n = F.count(F.lit(1))
     out = ranked.agg(
         n.alias("members"), F.sum(F.col("share") * F.col("share")).alias("hhi"), F.sum(F.col("up") * F.col("value")).alias("w"), F.sum("value").alias("total"), F.min("value").alias("least"),
@@ -214,12 +219,11 @@ def concentration(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filte
     return out.select("members", "hhi", F.try_divide(F.col("hhi") - 1 / m, 1 - 1 / m).alias("hhi_normalised"), F.try_divide(F.lit(1.0), F.col("hhi")).alias("effective_members"), gini.alias("gini"), *[f"top_{t}_pct" for t in top_k], *[f"members_for_{c}" for c in coverage], status.alias("status"))
 
 
-def outlier_contributors(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filters: dict | None = None, min_members: int = 4) -> DataFrame:
+def outlier_contributors(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filters: dict | None = None, min_members: int = 4, most: int | None = None) -> DataFrame:
     """Members with the robust z of their over-index among all members."""
-    rows = by_member(f, kpi_key, dimension, period_a, period_b, filters)
-    known = rows.where("over_index is not null").agg(F.collect_list("over_index").alias("v"))
-    norm = known.select(robust.median(F.col("v")).alias("centre"), robust.sigma(F.col("v")).alias("spread"), F.size("v").alias("n"))
-    z = F.when(F.col("n") >= min_members, F.try_divide(F.col("over_index") - F.col("centre"), F.col("spread")))
+    rows = kept(by_member(f, kpi_key, dimension, period_a, period_b, filters))
+    norm = spread(rows, "over_index", most)
+    z = F.when(F.col("members") >= min_members, F.try_divide(F.col("over_index") - F.col("centre"), F.col("sigma")))
     return rows.crossJoin(F.broadcast(norm)).select("member", "effect", "contribution_pct", "over_index", z.alias("z"), F.coalesce(F.abs(z) >= 2, F.lit(False)).alias("outlier"))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.errors import InvalidArgument
 from tallyloom.functions.text import words
+from tallyloom.operators.order import counted, quantiles
 from tallyloom.plans.kpi import Catalog
+from tallyloom.sources.scratch import kept
 
 #: Names of date columns, and words in a name that tell a measure's type, in order.
 DATE_NAMES = ("date", "period", "week", "day", "month", "timestamp", "order_date")
@@ -105,15 +107,22 @@ def grain(df: DataFrame, date: str = "date") -> str:
     return "unknown" if gap is None else "daily" if gap == 1 else "weekly" if gap == 7 else "monthly" if 28 <= gap <= 31 else f"{gap:g}-day"
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, rows, nulls, distinct, min, max, median, whole): numeric fields' profiles from one aggregate."""
+def profile(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """(field, rows, nulls, distinct, min, max, median, whole): numeric fields' profiles from one scan.
+
+    The scan counts each field's values; distinct counts, extremes and the exact median come from these counts, a range of
+    values at a time, so no task holds a column. A table without rows gives each field a row of nil and null.
+    """
     kinds = dict(df.dtypes)
-    aggs = []
-    for i, c in enumerate(columns):
-        n = _number(c, kinds[c])
-        aggs += [F.count(F.lit(1)).alias(f"rows{i}"), F.count(F.when(n.isNull(), 1)).alias(f"nulls{i}"), F.count_distinct(n).alias(f"distinct{i}"), F.min(n).alias(f"min{i}"), F.max(n).alias(f"max{i}"), F.median(n).alias(f"median{i}"), F.coalesce(F.bool_and(n == F.floor(n)), F.lit(False)).alias(f"whole{i}")]
-    names = ("rows", "nulls", "distinct", "min", "max", "median", "whole")
-    return df.agg(*aggs).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    counts = counted(df, {c: _number(c, kinds[c]) for c in columns})
+    facts = counts.groupBy("field").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.bool_and(F.col("value") == F.floor("value")).alias("whole"),
+    )
+    fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    met = fields.join(facts, "field", "left").join(quantiles(counts, {"median": 0.5}, most), "field", "left")
+    nil = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return met.select("field", nil("rows"), nil("nulls"), nil("distinct"), "min", "max", "median", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def subset_relations(df: DataFrame, measures: list[str], least: float = 0.95) -> DataFrame:
@@ -125,18 +134,20 @@ def subset_relations(df: DataFrame, measures: list[str], least: float = 0.95) ->
 
 
 def hierarchies(df: DataFrame, dimensions: list[str]) -> DataFrame:
-    """(child, parent, members, violations): dimensions whose members nearly all lie in one member of a coarser one."""
-    combos = df.select(*dimensions).distinct()
-    out = None
-    for child in dimensions:
-        for parent in dimensions:
-            if child == parent:
-                continue
-            of = combos.groupBy(child).agg(F.count_distinct(parent).alias("n")).agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("n") > 1, 1)).alias("violations"))
-            coarse = combos.agg(F.count_distinct(parent).alias("parents"))
-            own = of.crossJoin(coarse).where((F.col("violations") <= F.greatest(F.lit(2), 0.25 * F.col("members"))) & (F.col("parents") < F.col("members"))).select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "members", "violations")
-            out = own if out is None else out.unionByName(own)
-    return out
+    """(child, parent, members, violations): dimensions whose members nearly all lie in one member of a coarser one.
+
+    All pairs come from one aggregate over the combinations that occur; a null member is one of its own as a child, none as a parent.
+    """
+    combos = kept(df.select(*[F.col(d).cast("string").alias(d) for d in dimensions]).distinct())
+    pairs = F.array(*[F.struct(F.lit(c).alias("child"), F.lit(p).alias("parent"), F.col(c).alias("c"), F.col(p).alias("p")) for c in dimensions for p in dimensions if c != p])
+    if len(dimensions) < 2:
+        return df.sparkSession.createDataFrame([], "child string, parent string, members long, violations long")
+    of = combos.select(F.explode(pairs).alias("x")).groupBy("x.child", "x.parent", "x.c").agg(F.count_distinct("x.p").alias("n"))
+    of = of.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("n") > 1, 1)).alias("violations"))
+    each = F.array(*[F.struct(F.lit(d).alias("parent"), F.col(d).alias("p")) for d in dimensions])
+    coarse = combos.select(F.explode(each).alias("x")).groupBy("x.parent").agg(F.count_distinct("x.p").alias("parents"))
+    met = of.join(F.broadcast(coarse), "parent").where((F.col("violations") <= F.greatest(F.lit(2), 0.25 * F.col("members"))) & (F.col("parents") < F.col("members")))
+    return met.select("child", "parent", "members", "violations")
 
 
 def row_grain(df: DataFrame, candidates: list[str], start: list[str] | None = None) -> list[str]:

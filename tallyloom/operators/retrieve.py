@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom.errors import InvalidArgument
-from tallyloom.functions import robust
+from tallyloom.operators.order import counted, placed, quantiles, spread, totals
 from tallyloom.plans import timefilter as tf
 from tallyloom.sources.facts import PERIODS, Facts
+from tallyloom.sources.scratch import kept
 
 ALL = tf.TimeFilter("all", "all")
 
@@ -59,18 +59,18 @@ def gaps(points: DataFrame, grain: str) -> DataFrame:
     return missing.select(tf.ordinal_name(F.col("ord"), grain).alias("period"))
 
 
-def rank_entities(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, order: str = "desc", limit: int | None = 10, filters: dict | None = None) -> DataFrame:
-    """Dense rank of members with share and running share of the total, which only additive KPIs have."""
+def rank_entities(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, order: str = "desc", limit: int | None = 10, filters: dict | None = None, most: int | None = None) -> DataFrame:
+    """Dense rank of members with share and running share of the total, which only additive KPIs have; members without a value come last, one by one."""
     k = f.kpi(kpi_key)
     if order in ("best", "worst"):
         order = "desc" if (order == "best") == k.higher_is_better else "asc"
     values = f.sums([k], [f.dimension(dimension)], tf.parse(time_filter), filters).select(F.col(dimension).alias("member"), k.finish().alias("value"))
+    values = totals(values, [], whole=F.sum("value"), known=F.count("value"))
     by = F.col("value").desc_nulls_last() if order == "desc" else F.col("value").asc_nulls_last()
-    whole = F.sum("value").over(Window.partitionBy())
-    share = F.when(whole != 0, F.try_divide(F.col("value"), whole) * 100) if k.additive else F.lit(None).cast("double")
-    ranked = values.withColumn("rank", F.dense_rank().over(Window.orderBy(by)) + F.when(F.col("value").isNull(), F.row_number().over(Window.partitionBy("value").orderBy("member")) - 1).otherwise(0)).withColumn("share", share)
-    running = F.sum("share").over(Window.orderBy(by, "member").rowsBetween(Window.unboundedPreceding, 0)) if k.additive else F.lit(None).cast("double")
-    out = ranked.withColumn("cumulative_share", running)
+    share = F.when(F.col("whole") != 0, F.try_divide(F.col("value"), F.col("whole")) * 100) if k.additive else F.lit(None).cast("double")
+    out = placed(values.withColumn("share", share), [by, F.col("member")], running={"cumulative_share": "share"}, dense=("rank", "value"), most=most)
+    rank = F.col("rank") + F.when(F.col("value").isNull(), F.col("place") - F.col("known") - 1).otherwise(0)
+    out = out.select("member", "value", rank.cast("int").alias("rank"), "share", "cumulative_share")
     return out.where(F.col("rank") <= limit) if limit is not None else out
 
 
@@ -93,12 +93,15 @@ def dimension_sizes(f: Facts) -> DataFrame:
     return dimension_members(f).groupBy("dimension").agg(F.count("member").alias("members"))
 
 
-def distribution(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, percentiles: tuple[int, ...] = (10, 25, 50, 75, 90)) -> DataFrame:
+def distribution(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, percentiles: tuple[int, ...] = (10, 25, 50, 75, 90), most: int | None = None) -> DataFrame:
     """One row over members' values: count, extremes, mean, median, robust sigma, spread and exact percentiles."""
     k = f.kpi(kpi_key)
     values = f.sums([k], [f.dimension(dimension)], tf.parse(time_filter), filters).select(k.finish().alias("value")).where("value is not null")
-    wide = values.agg(F.count(F.lit(1)).alias("members"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.sort_array(F.collect_list("value")).alias("all"), *[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in percentiles])
-    return wide.withColumn("sigma", robust.sigma(F.col("all"))).withColumn("spread", F.col("max") - F.col("min")).drop("all")
+    values = kept(values)
+    plain = values.agg(F.count(F.lit(1)).alias("members"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+    names = {"median": 0.5, **{f"p{p}": p / 100 for p in percentiles}}
+    cut = plain.join(quantiles(counted(values, {"value": F.col("value")}), names, most), F.lit(True), "left").drop("field")
+    return cut.join(spread(values, "value", most).select("sigma"), F.lit(True), "left").withColumn("spread", F.col("max") - F.col("min"))
 
 
 def histogram(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, bins: int = 10) -> DataFrame:

@@ -10,10 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom.errors import AnalyticsError, InvalidArgument
 from tallyloom.operators import contest, investigate, noise, relate, retrieve
+from tallyloom.operators.order import placed
 from tallyloom.plans import catalogue
 from tallyloom.plans import timefilter as tf
 from tallyloom.sources.facts import Facts
@@ -357,8 +357,8 @@ def scan_dimension_outliers(e: Engine, kpi_key: str, dimension: str, time_filter
 def _folded(df: DataFrame, most: int | None) -> dict:
     """The largest effects, and the rest as one; Spark folds them, so what is collected is a row more than asked for."""
     most = 5 if most is None else min(max(most, 0), 2**31 - 2)
-    place = F.row_number().over(Window.orderBy(F.abs("effect").desc_nulls_last(), "member"))
-    own = df.select(F.struct(*df.columns).alias("member"), "effect", F.least(place, F.lit(most + 1)).alias("place"))
+    own = placed(df.select(F.struct(*df.columns).alias("member"), "effect", F.col("member").alias("label")), [F.abs("effect").desc_nulls_last(), F.col("label")])
+    own = own.select("member", "effect", F.least("place", F.lit(most + 1).cast("long")).alias("place"))
     found = own.groupBy("place").agg(F.first("member").alias("member"), F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("effect"), F.lit(0.0)).alias("effect")).orderBy("place").collect()
     rest = found[most] if len(found) > most else None
     return {"members": [r["member"].asDict(recursive=True) for r in found[:most]], "others": {"members": rest["members"], "effect": rest["effect"]} if rest else None}

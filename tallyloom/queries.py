@@ -15,7 +15,7 @@ from tallyloom.plans import driver_graph
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.plans.registry import Engine
-from tallyloom.sources.facts import Facts, events, sales
+from tallyloom.sources.facts import Facts, events, from_frame, sales
 from tallyloom.sources.scratch import scratch_path
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +228,23 @@ _add("outlier_contributors", lambda f: investigate.outlier_contributors(f, "reve
      f"WITH m AS ({_additive('revenue', 'nation')}), n AS (SELECT median(over_index) AS c, {_sigma('over_index')} AS s FROM m), z AS (SELECT member, effect, contribution_pct, over_index, (over_index - c) / nullif(s, 0) AS z FROM m, n) SELECT *, coalesce(abs(z) >= 2, FALSE) AS outlier FROM z", "effect contribution_pct over_index z")
 
 
+def wide(spark: SparkSession, sf_dir: str) -> Facts:
+    """Order lines by part: a dimension of very many members, of which several have the same value."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    frame = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderdate").alias("date"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("double").alias("quantity"))
+    return from_frame(frame, ["part"], ["quantity"], [kpi("units", "sum", "{quantity}")])
+
+
+# the same operators by ranges: a bound far below the number of members makes them take the way of large columns
+_PARTS = "WITH v AS (SELECT CAST(l_partkey AS VARCHAR) AS member, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY l_partkey)"
+_add("rank_entities_by_range", lambda f: retrieve.rank_entities(f, "units", "part", limit=None, most=100),
+     f"{_PARTS} SELECT member, value, dense_rank() OVER (ORDER BY value DESC) AS rank, value / sum(value) OVER () * 100 AS share, sum(value) OVER (ORDER BY value DESC, member ROWS UNBOUNDED PRECEDING) / sum(value) OVER () * 100 AS cumulative_share FROM v", "value share cumulative_share", "rank", facts=wide)
+_add("distribution_by_range", lambda f: retrieve.distribution(f, "units", "part", most=100),
+     f"{_PARTS} SELECT count(*) AS members, min(value) AS min, max(value) AS max, avg(value) AS mean, median(value) AS median, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90, {_sigma('value')} AS sigma, max(value) - min(value) AS spread FROM v", "min max mean median p10 p25 p50 p75 p90 sigma spread", facts=wide)
+_add("concentration_by_range", lambda f: investigate.concentration(f, "units", "part", most=100),
+     _CONC.replace(f"WITH v AS (SELECT brand AS member, {_v('revenue')} AS value FROM {F_SQL} WHERE {C} GROUP BY brand)", _PARTS), "hhi hhi_normalised effective_members gini top_1_pct top_3_pct top_5_pct top_10_pct", facts=wide)
+
+
 def _groups(key: str, a: str, b: str) -> str:
     return f"""WITH v AS (SELECT {_v(key, f'({C}) AND ({a})')} AS ac, {_v(key, f'({B}) AND ({a})')} AS ab, {_v(key, f'({C}) AND ({b})')} AS bc, {_v(key, f'({B}) AND ({b})')} AS bb FROM {F_SQL})
 SELECT ac AS value_a, bc AS value_b, ac - bc AS gap, {_pct('ac', 'bc')} AS gap_pct, ac / nullif(bc, 0) AS ratio, ab AS baseline_a, bb AS baseline_b, ac - bc - (ab - bb) AS divergence FROM v"""
@@ -313,6 +330,8 @@ _add("left_out_correlation", lambda f: relate.left_out(f, "revenue", "avg_sellin
 _MEASURES = ["gross_amt", "net", "quantity", "returned_qty"]
 _add("profile_fields", lambda f: profile.profile(f.load(set(f.measures)), ["gross_amt", "net", "quantity", "discount"]),
      " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\", min({c}) AS min, max({c}) AS max, median({c}) AS median, bool_and({c} = floor({c})) AS whole FROM {F_SQL}" for c in ("gross_amt", "net", "quantity", "discount")), "min max median")
+_add("profile_fields_by_range", lambda f: profile.profile(f.load(set(f.measures)), ["gross_amt", "net", "quantity", "discount"], most=1000),
+     " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\", min({c}) AS min, max({c}) AS max, median({c}) AS median, bool_and({c} = floor({c})) AS whole FROM {F_SQL}" for c in ("gross_amt", "net", "quantity", "discount")), "min max median")
 _add("subset_relations", lambda f: profile.subset_relations(f.load(set(_MEASURES)), _MEASURES),
      " UNION ALL ".join(f"SELECT '{a}' AS part, '{b}' AS whole, avg(({a} <= {b})::INT) AS share FROM {F_SQL} HAVING avg(({a} <= {b})::INT) >= 0.95 AND sum({a}) < sum({b})" for a in _MEASURES for b in _MEASURES if a != b), "share")
 _HIER = ["region", "nation", "segment"]
