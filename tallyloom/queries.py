@@ -17,6 +17,7 @@ from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.plans.registry import Engine
 from tallyloom.sources.facts import Facts, events, from_frame, sales
 from tallyloom.sources.scratch import scratch_path
+from tallyloom.sources.small import dealt
 
 Run = Callable[[SparkSession, str], DataFrame]
 Q2, Q1, Q3 = "2001-Q2", "2001-Q1", "2001-Q3"
@@ -388,7 +389,7 @@ SELECT doc_id, chunk, round(score, 4) AS score, hits, round(score / max(score) O
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
