@@ -211,10 +211,13 @@ def from_documents(docs: DataFrame, *extra: Column, text_col: str = "text", host
 
 
 def from_pages(pages: DataFrame, *extra: Column, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Items of web pages: host, its last two labels as domain, the last as suffix, and the html element's language."""
+    """Items of web pages: host, its last two labels as domain, the last as suffix, and the language of the first html element that names one."""
     host = F.lower(F.try_parse_url(named(pages, url_col).cast("string"), F.lit("HOST")))
-    declared = F.lower(F.regexp_extract(named(pages, html_col).cast("string"), "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([a-z]+)", 1))
-    domain, suffix = F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1), F.regexp_extract(host, "([^.]+)$", 1)
+    # every html element once, then its attribute: an expression over both at once would go over the page again at each element
+    elements = F.regexp_extract_all(named(pages, html_col).cast("string"), F.lit("(?i)<html[^>]*"), F.lit(0))
+    languages = F.transform(elements, lambda x: F.regexp_extract(x, "(?is)^.*\\blang\\s*=\\s*[\"']?([a-z]+)", 1))
+    declared = F.lower(F.get(F.filter(languages, lambda x: x != ""), F.lit(0)))
+    domain, suffix = F.regexp_extract(F.substring_index(host, ".", -2), "^([^.]+\\.[^.]+)$", 1), F.substring_index(host, ".", -1)
     some = lambda x: F.when(x != "", x)
     return pages.select(*extra, utf8(named(pages, html_col)).alias("text"), F.lit(True).alias("markup"), some(host).alias("host"), some(domain).alias("domain"), some(declared).alias("declared"), some(suffix).alias("suffix"))
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, chat, conversation_repair, digests, language, line_dedup, mixing, simhash, token_counts, token_files, vector_codes, vector_dedup, warc
 from tallyloom.llm.common import scratch_path
+from tallyloom.sources.small import dealt
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _tokenizer(name: str) -> str:

@@ -296,6 +296,28 @@ def test_lines_replace_columns_of_the_same_names(spark):
     assert line_dedup.drop_lines(table, counts=False).columns == table.columns
 
 
+def test_hostile_pages_take_linear_time(spark):
+    """10 MB each: html elements without an end, with one, a tag of blanks, and an address of one long label."""
+    pages = ["<html " * 1_700_000, "<html>" * 1_700_000, "<html" + " " * 10_000_000 + "lang=de>", "<html lang" + " " * 10_000_000 + ">", "<html " + "lang " * 2_000_000 + "x=lang=fr>"]
+    rows = [(k, "http://a.b/", html) for k, html in enumerate(pages)] + [(9, "http://" + "a" * 300_000 + "/", "<html lang=it>"), (10, "http://" + "." * 300_000, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(len(rows)).cache()
+    frame.count()
+    began = time.monotonic()
+    got = {r["page_id"]: r["declared"] for r in language.from_pages(frame, F.col("page_id")).select("page_id", "declared", "domain", "suffix").collect()}
+    assert time.monotonic() - began < 15 and got == {0: None, 1: None, 2: "de", 3: None, 4: "fr", 9: "it", 10: None}
+    frame.unpersist()
+
+
+def test_declared_language_of_several_elements(spark):
+    cases = {"<html lang='en' xml:lang=DE>": "de", "<!-- <html> --><HTML class=a LANG = \"fr-CA\">": "fr", "<htmllang=en>": None, "<html lang=>en": None, "<html lang='9'><html lang=it>": "it", "": None}
+    rows = [(k, u, html) for k, html in enumerate(cases) for u in ("http://x.y.co.uk/a",)]
+    got = language.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), F.col("page_id")).orderBy("page_id").collect()
+    assert [r["declared"] for r in got] == list(cases.values()) and {(r["domain"], r["suffix"]) for r in got} == {("co.uk", "uk")}
+    hosts = {"http://localhost/": (None, "localhost"), "http://a..b/": (None, "b"), "http://b.c./": (None, None)}
+    got = language.from_pages(spark.createDataFrame([(k, u, "") for k, u in enumerate(hosts)], "page_id long, url string, html string"), F.col("page_id")).orderBy("page_id").collect()
+    assert [(r["domain"], r["suffix"]) for r in got if r["host"] is not None] == [v for r, v in zip(got, hosts.values(), strict=True) if r["host"] is not None]
+
+
 def test_declared_language_is_found_wherever_the_html_element_stands(spark):
     late = "<!-- " + "licence " * 1000 + "-->" + " " * 5000 + "<html class=x lang='De-at'><p>Text</p></html>"
     pages = spark.createDataFrame([(1, "http://a.b.at/x", late), (2, "http://a.b.at/y", "<html><p>Text</p></html>")], "page_id long, url string, html string")
