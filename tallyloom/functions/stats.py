@@ -1,12 +1,10 @@
-"""Distribution tails, intervals and resampling on the driver, for samples of a few hundred values at most."""
+"""Distribution tails and intervals of single values on the driver; ``tails`` has them as columns."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import numpy as np
-
 _NORMAL = NormalDist()
 
 
@@ -66,59 +64,3 @@ def q_values(p: list[float | None]) -> list[float | None]:
         least = min(least, x * len(known) / rank)
         out[k] = least
     return out
-
-
-def pearson(x: np.ndarray, y: np.ndarray) -> float | None:
-    if len(x) < 2:
-        return None
-    a, b = x - x.mean(), y - y.mean()
-    spread = math.sqrt(float(a @ a) * float(b @ b))
-    scale = max(float(np.abs(x).max()), 1.0) * max(float(np.abs(y).max()), 1.0)
-    return None if spread <= 1e-12 * scale else float(np.clip(a @ b / spread, -1, 1))
-
-
-def partial(columns: list[np.ndarray]) -> float | None:
-    """Correlation of the first two columns given all others, from the inverse of their correlation matrix; null if that is singular."""
-    matrix = np.corrcoef(np.array(columns))
-    if not np.isfinite(matrix).all() or np.linalg.cond(matrix) > 1e8:
-        return None
-    inverse = np.linalg.inv(matrix)
-    return float(np.clip(-inverse[0, 1] / math.sqrt(inverse[0, 0] * inverse[1, 1]), -1, 1))
-
-
-def bca_interval(x: np.ndarray, y: np.ndarray, alpha: float = 0.05, draws: int = 4000, seed: int = 0) -> tuple[float, float] | None:
-    """A bias-corrected and accelerated bootstrap interval of r; null if resamples have no r."""
-    n, random = len(x), np.random.default_rng(seed)
-    picks = random.integers(0, n, (draws, n))
-    a, b = x[picks], y[picks]
-    a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
-    spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-    found = (a * b).sum(axis=1)[spread > 0] / spread[spread > 0]
-    r = pearson(x, y)
-    if r is None or len(found) < draws // 2:
-        return None
-    share = float(np.clip((found < r).mean(), 1 / draws, 1 - 1 / draws))
-    bias = _NORMAL.inv_cdf(share)
-    left = [pearson(np.delete(x, k), np.delete(y, k)) for k in range(n)]
-    if any(v is None for v in left):
-        return None
-    away = np.mean(left) - np.array(left)
-    scale = float((away**2).sum()) ** 1.5
-    speed = float((away**3).sum()) / (6 * scale) if scale > 0 else 0.0
-
-    def cut(level: float) -> float:
-        z = bias + _NORMAL.inv_cdf(level)
-        return float(np.quantile(found, _NORMAL.cdf(bias + z / (1 - speed * z))))
-
-    return cut(alpha / 2), cut(1 - alpha / 2)
-
-
-def theil_sen(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    i, j = np.triu_indices(len(x), 1)
-    slope = float(np.median((y[j] - y[i]) / (x[j] - x[i])))
-    return slope, float(np.median(y - slope * x))
-
-
-def robust_sigma(x: np.ndarray) -> float:
-    scaled = 1.4826 * float(np.median(np.abs(x - np.median(x))))
-    return scaled if scaled > 1e-9 else float(np.std(x, ddof=1)) if len(x) > 1 else 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import robust
+from tallyloom.operators import moments
 from tallyloom.operators.noise import MATERIAL, changepoint, long_series
 from tallyloom.operators.retrieve import ALL, series
 from tallyloom.plans import timefilter as tf
@@ -127,7 +128,7 @@ def holdout(f: Facts, kpi_key: str, cause_kpi: str, dimension: str, period_a, pe
     return rows.select("*", gap.alias("difference_pct"), status.alias("status"), verdict.alias("verdict"))
 
 
-def _line(points: DataFrame) -> DataFrame:
+def line(points: DataFrame) -> DataFrame:
     """``points(ord, value)`` with slope and intercept of Theil and Sen's line; a few hundred periods at most."""
     pairs = points.alias("p").join(points.alias("q"), F.col("p.ord") < F.col("q.ord"))
     slope = pairs.agg(F.median((F.col("q.value") - F.col("p.value")) / (F.col("q.ord") - F.col("p.ord"))).alias("slope"))
@@ -146,7 +147,7 @@ def seasonal_points(f: Facts, kpi_key: str, grain: str = "quarter", filters: dic
 
     Effects are the phases' medians, centred on the median of these.
     """
-    points = _line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value"))
+    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value"))
     trend = F.col("intercept") + F.col("slope") * F.col("ord")
     away = points.select("ord", "period", "value", _phase(grain).alias("phase"), trend.alias("trend"), (F.col("value") - trend).alias("away"))
     medians = away.groupBy("phase").agg(F.count(F.lit(1)).alias("points"), F.median("away").alias("m"), F.collect_list(F.struct("ord", "away")).alias("peers"))
@@ -188,7 +189,7 @@ def seasonal_norm(f: Facts, kpi_key: str, time_filter, grain: str = "quarter", f
 
 def autocorrelation(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
     """One row: the autocorrelation at one year of the detrended series."""
-    points = _line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value"))
+    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value"))
     away = points.select("ord", (F.col("value") - F.col("slope") * F.col("ord")).alias("away"))
     away = away.withColumn("away", F.col("away") - F.avg("away").over(Window.partitionBy()))
     lag = away.alias("p").join(away.alias("q"), F.col("q.ord") == F.col("p.ord") - CYCLES[grain], "left")
@@ -197,15 +198,8 @@ def autocorrelation(f: Facts, kpi_key: str, grain: str = "quarter", filters: dic
 
 def left_out(f: Facts, kpi_key: str, cause_kpi: str, dimension: str, period_a, period_b, filters: dict | None = None) -> DataFrame:
     """(member, r_without): the correlation over all members but one, from the sums less its own terms."""
-    rows = member_changes(f, [kpi_key, cause_kpi], dimension, period_a, period_b, filters).select("member", F.col(kpi_key).alias("y"), F.col(cause_kpi).alias("x")).where("x is not null and y is not null")
-    whole = Window.partitionBy()
-    centred = rows.select("member", (F.col("x") - F.avg("x").over(whole)).alias("x"), (F.col("y") - F.avg("y").over(whole)).alias("y"))
-    rest = {n: F.sum(e).over(whole) - e for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))}
-    n = F.count(F.lit(1)).over(whole) - 1
-    own = centred.select("member", n.alias("n"), *[c.alias(f"s{a}") for a, c in rest.items()])
-    top = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    under = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
-    return own.select("member", F.when((F.col("n") > 1) & (under > 1e-12), top / F.sqrt(under)).alias("r_without"))
+    rows = sample(f, [kpi_key, cause_kpi], dimension=dimension, period_a=period_a, period_b=period_b, filters=filters)
+    return moments.left_out(rows, cause_kpi, kpi_key).withColumnRenamed("entity", "member")
 
 
 def short(series_like: DataFrame, key: str) -> list[tuple[int, float]]:

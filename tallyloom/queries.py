@@ -435,13 +435,31 @@ _LEAST_R = "CASE WHEN n > 3 THEN tanh((1.959963984540054 + 0.8416212335729143) /
 _FISHER = "tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS high"
 _CAUSES = ["avg_selling_price", "units_sold"]
 _SAMPLE = f"m AS (SELECT revenue AS y, avg_selling_price AS a, units_sold AS b FROM ({_changes(['revenue', *_CAUSES], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL AND units_sold IS NOT NULL), k AS (SELECT count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM m)"
-_add("statistical_significance", lambda f: _frame(f, [(t["cause"], t["n"], t["r"], *t["ci"], t["least_detectable_r"]) for t in contest.statistical_significance(f, "revenue", candidates=_CAUSES, **_NATIONS)["tests"]], "cause string, n long, r double, low double, high double, least_detectable_r double"),
-     f"WITH {_SAMPLE}, t AS (SELECT 'avg_selling_price' AS cause, n, round(ya, 3) AS r FROM k UNION ALL SELECT 'units_sold', n, round(yb, 3) FROM k) SELECT cause, n, r, {_FISHER}, {_LEAST_R} AS least_detectable_r FROM t", "r low high least_detectable_r")
+
+
+def _p_sql(r: str, df: str) -> str:
+    """The two-sided p of r by the finite series of Student's t for whole degrees of freedom, as a check that shares nothing with the continued fraction."""
+    terms = lambda up, below: f"list_sum(list_transform(range(({df} - {{}}) // 2 + 1), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: ({up}) / ({below}))), 1) * pow(cos(th), {{}})))"
+    odd = f"2 / pi() * (th + CASE WHEN {df} > 1 THEN sin(th) * {terms('2.0 * j', '2.0 * j + 1').format(3, '2 * k + 1')} ELSE 0 END)"
+    even = f"sin(th) * {terms('2.0 * j - 1', '2.0 * j').format(2, '2 * k')}"
+    both = f"1 - CASE WHEN {df} % 2 = 1 THEN {odd} ELSE {even} END"
+    return both.replace("cos(th)", f"cos(atan(abs({r}) / sqrt(1 - {r} * {r})))").replace("sin(th)", f"sin(atan(abs({r}) / sqrt(1 - {r} * {r})))").replace("(th ", f"(atan(abs({r}) / sqrt(1 - {r} * {r})) ")
+
+
+_TESTED = ["avg_selling_price", "units_sold", "return_rate", "avg_discount"]
+_add("statistical_significance", lambda f: contest.significance(f, "revenue", _TESTED, **_NATIONS).drop("status"),
+     f"WITH m AS ({_changes(['revenue', *_TESTED], 'nation')}), t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS cause, count(*) FILTER (WHERE revenue IS NOT NULL AND {c} IS NOT NULL) AS n, round(corr(revenue, {c}), 3) AS r FROM m" for c in _TESTED)
+     + f"""), p AS (SELECT *, {_p_sql('r', '(n - 2)')} AS p_value FROM t), q AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM p)
+SELECT cause, n, r, p_value, least(1, min(p_value * m / k) OVER (ORDER BY p_value DESC, k DESC ROWS UNBOUNDED PRECEDING)) AS q_value, {_FISHER}, {_LEAST_R} AS least_detectable_r FROM q""", "r p_value q_value low high least_detectable_r")
 _add("effect_size", lambda f: _frame(f, [(e["n"], e["r"], e["r_squared"], *e["ci"]) for e in [contest.effect_size(f, "revenue", "avg_selling_price", **_NATIONS)]], "n long, r double, r_squared double, low double, high double"),
      f"WITH {_SAMPLE}, t AS (SELECT n, round(ya, 3) AS r FROM k) SELECT n, r, r * r AS r_squared, {_FISHER} FROM t", "r r_squared low high")
-_add("test_confounders", lambda f: _frame(f, [(c["controls"][0], c["n"], c["partial_r"], c["attenuation_pct"], c["effect"]) for c in contest.confounders(f, "revenue", "avg_selling_price", ["units_sold"], **_NATIONS)["each"]], "control string, n long, partial_r double, attenuation_pct double, effect string"),
+_add("test_confounders", lambda f: _frame(f, [(c["controls"][0], c["n"], c["partial_r"], c["attenuation_pct"], c["effect"], c["p_value"]) for c in contest.confounders(f, "revenue", "avg_selling_price", ["units_sold"], **_NATIONS)["each"]], "control string, n long, partial_r double, attenuation_pct double, effect string, p_value double"),
      f"""WITH {_SAMPLE}, p AS (SELECT n, ya, (ya - yb * ab) / sqrt((1 - yb * yb) * (1 - ab * ab)) AS r FROM k), w AS (SELECT *, CASE WHEN abs(ya) >= 0.05 THEN (1 - abs(r) / abs(ya)) * 100 END AS weaker FROM p)
-SELECT 'units_sold' AS control, n, round(r, 3) AS partial_r, weaker AS attenuation_pct, CASE WHEN weaker IS NULL THEN CASE WHEN abs(r) < 0.05 THEN 'unchanged' ELSE 'strengthened' END WHEN r * ya < 0 AND abs(r) >= 0.05 THEN 'sign_flipped' WHEN weaker >= 50 THEN 'explained_away' WHEN weaker >= 15 THEN 'attenuated' WHEN weaker <= -15 THEN 'strengthened' ELSE 'unchanged' END AS effect FROM w""", "partial_r attenuation_pct")
+SELECT 'units_sold' AS control, n, round(r, 3) AS partial_r, weaker AS attenuation_pct, CASE WHEN weaker IS NULL THEN CASE WHEN abs(r) < 0.05 THEN 'unchanged' ELSE 'strengthened' END WHEN r * ya < 0 AND abs(r) >= 0.05 THEN 'sign_flipped' WHEN weaker >= 50 THEN 'explained_away' WHEN weaker >= 15 THEN 'attenuated' WHEN weaker <= -15 THEN 'strengthened' ELSE 'unchanged' END AS effect, {_p_sql('r', '(n - 3)')} AS p_value FROM w""", "partial_r attenuation_pct p_value")
+_add("outlier_sensitivity", lambda f: contest.without_one(f, "revenue", "avg_selling_price", "nation", Q2, Q1, contest.outlier_sensitivity(f, "revenue", "avg_selling_price", Q2, Q1, "nation")["baseline"]),
+     f"""WITH m AS (SELECT member, revenue AS y, avg_selling_price AS x FROM ({_changes(['revenue', 'avg_selling_price'], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL), b AS (SELECT count(*) AS n, round(corr(y, x), 3) AS r FROM m), w AS (SELECT a.member, (SELECT corr(y, x) FROM m o WHERE o.member <> a.member) AS r_without FROM m a),
+p AS (SELECT member, r_without, n, b.r AS base, {_p_sql('b.r', '(n - 2)')} AS p, round(r_without, 3) AS r3 FROM w, b), q AS (SELECT *, {_p_sql('r3', '(n - 3)')} AS p_without FROM p)
+SELECT member, r_without, r_without * base < 0 OR abs(r_without) <= abs(base) / 2 OR (p < 0.05 AND p_without >= 0.05) AS drives FROM q""", "r_without")
 _add("competing_explanations", lambda f: _frame(f, [(c["cause"], c["n"], c["r"], c["partial_r"]) for c in contest.competing(f, "revenue", _CAUSES, include_precedence=False, include_consistency=False, **_NATIONS)["causes"]], "cause string, n long, r double, partial_r double"),
      f"WITH {_SAMPLE} SELECT 'avg_selling_price' AS cause, n, round(ya, 3) AS r, round((ya - yb * ab) / sqrt((1 - yb * yb) * (1 - ab * ab)), 3) AS partial_r FROM k UNION ALL SELECT 'units_sold', n, round(yb, 3), round((yb - ya * ab) / sqrt((1 - ya * ya) * (1 - ab * ab)), 3) FROM k", "r partial_r")
 
