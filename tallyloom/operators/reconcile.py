@@ -144,12 +144,12 @@ def pending(decided: DataFrame) -> DataFrame:
     return decided.select("period").distinct().crossJoin(last).where("last is null or period > last").select("measure", "period")
 
 
-def freshness(age_hours: float | None, cadence: str, trusted: bool = True) -> str:
-    """current, stale, missing or freshness_unknown by the age that each cadence allows."""
+def freshness(age_hours: float | None, cadence: str, trusted: bool = True, rows: int = 1) -> str:
+    """current, stale, missing or freshness_unknown by the age that each cadence allows; only a source without rows is missing."""
     allowed = TOLERANCE.get(cadence)
-    if age_hours is None:
+    if rows == 0:
         return "missing"
-    return "freshness_unknown" if allowed is None or not trusted else "stale" if age_hours > allowed else "current"
+    return "freshness_unknown" if age_hours is None or allowed is None or not trusted else "stale" if age_hours > allowed else "current"
 
 
 def disagreement(decided: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.errors import InvalidArgument
 from tallyloom.functions import robust
 from tallyloom.operators import moments
 from tallyloom.operators.noise import MATERIAL, changepoint, long_series
@@ -18,6 +21,9 @@ CYCLES = {"quarter": 4, "month": 12, "week": 52}
 #: The autocorrelation at a year from which a series counts as seasonal, years of history that a season
 #: takes, and points of a phase that it is compared with.
 LEAST_ACF, LEAST_CYCLES, LEAST_POINTS = 0.30, 2, 3
+#: Members in both periods that a dimension has to have to be picked, and the part of what was searched in
+#: which an onset is at the edge.
+SHARED, AT_EDGE = (3, 200), 0.2
 
 
 def member_changes(f: Facts, keys: list[str], dimension: str, period_a, period_b, filters: dict | None = None) -> DataFrame:
@@ -69,15 +75,51 @@ def best_lag(lags: DataFrame) -> DataFrame:
     return known.select("lag", "n", "r", verdict.alias("verdict"))
 
 
-def precedence(f: Facts, kpi_key: str, cause_kpi: str, grain: str = "week", time_filter=ALL, filters: dict | None = None, **onset) -> DataFrame:
-    """One row: when each of two KPIs first left its early range, and by how many periods the cause was ahead."""
-    found = changepoint(f, [kpi_key, cause_kpi], grain, time_filter, filters, **onset)
+def shared_members(f: Facts, period_a, period_b, filters: dict | None = None) -> DataFrame:
+    """(dimension, shared): how many members each dimension has in both of two periods, within filters; one scan for all dimensions.
+
+    Null is no member; a dimension without a shared one has a row of 0 as long as it has any member in the two periods.
+    """
+    anchor = f.load(set())
+    tests = [tf.parse(p).bind(anchor).predicate(F.col("date")) for p in (period_a, period_b)]
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in f.dimensions])
+    rows = f.rows(set(f.dimensions), tests[0] | tests[1], filters).withColumn("x", F.explode(pairs)).select("date", "x.dimension", "x.member").where("member is not null")
+    held = rows.groupBy("dimension", "member").agg(*[F.max(t.cast("int")).alias(f"in_{k}") for k, t in enumerate(tests)])
+    return held.groupBy("dimension").agg(F.sum(F.col("in_0") * F.col("in_1")).cast("long").alias("shared"))
+
+
+def usable_dimension(f: Facts, period_a, period_b, filters: dict | None = None) -> str:
+    """The dimension of most members shared by two periods, of equal ones the first by name; it has to have some and not very many."""
+    found = shared_members(f, period_a, period_b, filters).where(F.col("shared").between(*SHARED)).orderBy(F.desc("shared"), "dimension").first()
+    if found is None:
+        raise InvalidArgument(f"no dimension has from {SHARED[0]} to {SHARED[1]} members in both periods, within the filters")
+    return found["dimension"]
+
+
+def precedence(f: Facts, kpi_key: str, cause_kpi: str, grain: str = "week", time_filter=ALL, filters: dict | None = None, kpi_direction: str = "any", cause_direction: str = "any", baseline_periods: int = 8, persistence: int = 2, k_sigma: float = 1.0) -> DataFrame:
+    """One row: when each of two KPIs first left its early range, and by how many periods the cause was ahead.
+
+    ``gaps_between``: periods between the two that hold no rows. ``kpi_at_edge`` and ``cause_at_edge``: the onset comes so
+    early in what was searched that the move may have begun before it. ``searched``: periods that hold rows.
+    """
+    ways = {kpi_key: kpi_direction, cause_kpi: cause_direction}
+    if not set(ways.values()) <= {"any", "up", "down"}:
+        raise InvalidArgument("a direction is any, up or down")
+    of = lambda way: changepoint(f, [k for k in ways if ways[k] == way], grain, time_filter, filters, way, baseline_periods, persistence, k_sigma)
+    found = reduce(DataFrame.unionByName, [of(way) for way in sorted(set(ways.values()))])
     at = lambda key, c: F.max(F.when(F.col("kpi") == key, F.col(c)))
-    rows = found.agg(at(kpi_key, "onset").alias("kpi_onset"), at(cause_kpi, "onset").alias("cause_onset"), (at(kpi_key, "onset_ord") - at(cause_kpi, "onset_ord")).alias("lag"))
+    rows = found.agg(at(kpi_key, "onset").alias("kpi_onset"), at(cause_kpi, "onset").alias("cause_onset"), at(kpi_key, "onset_ord").alias("k"), at(cause_kpi, "onset_ord").alias("c"))
+    lo, hi = F.least("k", "c"), F.greatest("k", "c")
+    periods = series(f, [kpi_key, cause_kpi], grain, time_filter, filters).crossJoin(F.broadcast(rows.select("k", "c")))
+    first = lambda key: F.min(F.when(F.col(key).isNotNull(), F.col("ord")))
+    span = periods.agg(F.count(F.lit(1)).alias("searched"), first(kpi_key).alias("k0"), first(cause_kpi).alias("c0"), F.count(F.when((F.col("ord") > lo) & (F.col("ord") < hi), 1)).alias("between"))
+    rows = rows.crossJoin(F.broadcast(span)).withColumn("lag", F.col("k") - F.col("c"))
+    edge = lambda o, start: (F.col(o) - F.col(start) < baseline_periods + persistence) | (F.col(o) - F.col(start) < AT_EDGE * F.col("searched"))
     none = F.col("kpi_onset").isNull(), F.col("cause_onset").isNull()
     status = F.when(none[0] & none[1], "both_undetermined").when(none[0], "kpi_undetermined").when(none[1], "cause_undetermined").otherwise("ok")
     verdict = F.when(F.col("lag") > 0, "cause_precedes_kpi").when(F.col("lag") < 0, "kpi_precedes_cause").when(F.col("lag") == 0, "simultaneous")
-    return rows.select("*", status.alias("status"), verdict.alias("verdict"))
+    gaps = F.when(F.coalesce(F.col("lag") != 0, F.lit(False)), F.abs("lag") - 1 - F.col("between")).otherwise(0).cast("long")
+    return rows.select("kpi_onset", "cause_onset", "lag", status.alias("status"), verdict.alias("verdict"), gaps.alias("gaps_between"), edge("k", "k0").alias("kpi_at_edge"), edge("c", "c0").alias("cause_at_edge"), "searched")
 
 
 def consistency(f: Facts, kpi_key: str, cause_kpi: str, dimension: str, period_a, period_b, filters: dict | None = None, move_pct: float = MATERIAL) -> DataFrame:

@@ -476,24 +476,26 @@ def correlate_kpis(e: Engine, kpi_a: str, kpi_b: str, min_n=6, **scope) -> dict:
 
 @tool("investigate", "How a KPI's changes go with those of many.", kpi_key="kpi!", candidates="kpis", min_n="integer", limit="integer", **SAMPLE)
 def correlate_kpi_matrix(e: Engine, kpi_key: str, candidates=None, min_n=6, limit=None, **scope) -> dict:
-    own = candidates or catalogue.neighbours(e.facts.catalog, kpi_key, e.facts.measures) or [k for k in e.keys if k != kpi_key]
-    found = rows(relate.correlations(e.facts, kpi_key, own[:MOST_CANDIDATES], min_n, **_scope(e, scope)).orderBy(F.abs("r").desc_nulls_last(), "other"), limit or MOST_ROWS)
-    return found | {"considered": len(own), "truncated": found["truncated"] or len(own) > MOST_CANDIDATES}
+    own = [c for c in candidates if c != kpi_key] if candidates is not None else catalogue.neighbours(e.facts.catalog, kpi_key, e.facts.measures) or [k for k in e.keys if k != kpi_key]
+    most = MOST_CANDIDATES if limit is None else min(MOST_CANDIDATES, max(0, limit))
+    scope = _scope(e, scope)
+    found = rows(relate.correlations(e.facts, kpi_key, own[:most], min_n, **scope).orderBy(F.abs("r").desc_nulls_last(), "other")) if own[:most] else {"rows": [], "truncated": False}
+    return found | {"considered": len(own), "truncated": found["truncated"] or len(own) > most, "dimension": scope.get("dimension")}
 
 
 def _scope(e: Engine, scope: dict) -> dict:
-    """Sample arguments: a cross-section needs two periods and takes the first dimension if none is given."""
+    """Sample arguments: a cross-section needs two periods, and takes the dimension of most members that both hold if none is given."""
     if scope.get("mode", "cross_sectional") == "cross_sectional":
         if scope.get("period_a") is None or scope.get("period_b") is None:
             raise InvalidArgument("a cross-section needs period_a and period_b")
-        return {k: v for k, v in scope.items() if k in ("mode", "period_a", "period_b", "filters")} | {"dimension": scope.get("dimension") or e.facts.dimensions[0]}
+        return {k: v for k, v in scope.items() if k in ("mode", "period_a", "period_b", "filters")} | {"dimension": scope.get("dimension") or relate.usable_dimension(e.facts, scope["period_a"], scope["period_b"], scope.get("filters"))}
     return {k: v for k, v in scope.items() if k in ("mode", "time_filter", "grain", "filters")}
 
 
 # -- contest ----------------------------------------------------------------------------------------------------------
 
 
-@tool("contest", "Which of two KPIs left its range first.", kpi_key="kpi!", cause_kpi="kpi!", grain="grain", time_filter="time", filters="filters", **ONSET)
+@tool("contest", "Which of two KPIs left its range first.", kpi_key="kpi!", cause_kpi="kpi!", grain="grain", time_filter="time", filters="filters", kpi_direction="text", cause_direction="text", **ONSET)
 def check_temporal_precedence(e: Engine, kpi_key: str, cause_kpi: str, grain="week", time_filter=None, filters=None, **onset) -> dict:
     return row(relate.precedence(e.facts, kpi_key, cause_kpi, grain, time_filter or "all", filters, **onset))
 

@@ -303,7 +303,12 @@ _LAGS = f"WITH s AS (SELECT word AS ord, {_v('revenue')} AS y, {_v('return_rate'
 _add("cross_correlate_lagged", lambda f: relate.lagged(f, "revenue", "return_rate"), _LAGS, "r", "lag n")
 _add("best_lag", lambda f: relate.best_lag(relate.lagged(f, "revenue", "return_rate")), f"SELECT *, CASE WHEN lag > 0 THEN 'cause_leads' WHEN lag < 0 THEN 'kpi_leads' ELSE 'simultaneous' END AS verdict FROM ({_LAGS}) ORDER BY abs(r) DESC, abs(lag), lag LIMIT 1", "r", "lag n")
 _add("temporal_precedence", lambda f: relate.precedence(f, "revenue", "return_rate"),
-     f"WITH c AS ({_CHANGE}), o AS (SELECT max(onset) FILTER (WHERE kpi = 'revenue') AS kpi_onset, max(onset) FILTER (WHERE kpi = 'return_rate') AS cause_onset, max(onset_ord) FILTER (WHERE kpi = 'revenue') - max(onset_ord) FILTER (WHERE kpi = 'return_rate') AS lag FROM c) SELECT *, 'ok' AS status, CASE WHEN lag > 0 THEN 'cause_precedes_kpi' WHEN lag < 0 THEN 'kpi_precedes_cause' ELSE 'simultaneous' END AS verdict FROM o", longs="lag")
+     f"""WITH c AS ({_CHANGE}), o AS (SELECT max(onset) FILTER (WHERE kpi = 'revenue') AS kpi_onset, max(onset) FILTER (WHERE kpi = 'return_rate') AS cause_onset, max(onset_ord) FILTER (WHERE kpi = 'revenue') AS k, max(onset_ord) FILTER (WHERE kpi = 'return_rate') AS c FROM c),
+s AS (SELECT word AS ord, {_v('revenue')} AS y, {_v('return_rate')} AS x FROM {F_SQL} GROUP BY word), p AS (SELECT count(*) AS searched, min(ord) FILTER (WHERE y IS NOT NULL) AS k0, min(ord) FILTER (WHERE x IS NOT NULL) AS c0, count(*) FILTER (WHERE ord > least(k, c) AND ord < greatest(k, c)) AS held FROM s, o)
+SELECT kpi_onset, cause_onset, k - c AS lag, 'ok' AS status, CASE WHEN k > c THEN 'cause_precedes_kpi' WHEN k < c THEN 'kpi_precedes_cause' ELSE 'simultaneous' END AS verdict, CASE WHEN k = c THEN 0 ELSE abs(k - c) - 1 - held END AS gaps_between,
+k - k0 < 10 OR k - k0 < {relate.AT_EDGE} * searched AS kpi_at_edge, c - c0 < 10 OR c - c0 < {relate.AT_EDGE} * searched AS cause_at_edge, searched FROM o, p""", longs="lag gaps_between searched")
+_add("shared_members", lambda f: relate.shared_members(f, Q2, Q1, {"region": ["ASIA", "EUROPE"]}),
+     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST(count(*) FILTER (WHERE a AND b) AS BIGINT) AS shared FROM (SELECT {d}, bool_or({C}) AS a, bool_or({B}) AS b FROM {F_SQL} WHERE region IN ('ASIA', 'EUROPE') AND ({PAIR}) GROUP BY {d})" for d in ("region", "nation", "segment", "brand", "priority", "returnflag")) + ")")
 _BUCKETS = f"""WITH m AS (SELECT member, revenue AS kpi_pct, return_rate AS cause_pct FROM ({_changes(['revenue', 'return_rate'], 'nation')})) SELECT *, CASE WHEN kpi_pct IS NULL OR cause_pct IS NULL THEN 'undetermined' WHEN abs(cause_pct) < 3 THEN 'cause_flat' WHEN abs(kpi_pct) < 3 THEN 'kpi_flat' WHEN sign(kpi_pct) = sign(cause_pct) THEN 'same_sign' ELSE 'opposite_sign' END AS bucket FROM m"""
 _add("consistency", lambda f: relate.consistency(f, "revenue", "return_rate", "nation", Q2, Q1), _BUCKETS, "kpi_pct cause_pct")
 _add("consistency_rate", lambda f: relate.consistency_rate(relate.consistency(f, "revenue", "return_rate", "nation", Q2, Q1)),

@@ -159,7 +159,7 @@ def test_cells_agree_dispute_and_resolve(spark):
     assert got == {"a": (100.0, "corroborated"), "b": (None, "disputed"), "c": (5.0, "single"), "d": (None, "missing")}
     ruled = {r["k"]: (r["value"], r["state"]) for r in reconcile.cells([one, two], ["k"], {"m": "finance"}).collect()}
     assert ruled["b"] == (120.0, "resolved") and ruled["a"] == (100.0, "corroborated")
-    assert [reconcile.freshness(*x) for x in ((None, "daily"), (1, "daily"), (40, "daily"), (1, "yearly"))] == ["missing", "current", "stale", "freshness_unknown"]
+    assert [reconcile.freshness(*x) for x in ((None, "daily"), (1, "daily"), (40, "daily"), (1, "yearly"), (1, "daily", True, 0), (1, "daily", False))] == ["freshness_unknown", "current", "stale", "freshness_unknown", "missing", "freshness_unknown"]
 
 
 def test_chunks_overlap_and_short_tails_go(spark):
@@ -361,6 +361,39 @@ def test_candidates_are_not_cut_unseen(spark):
     assert (whole["considered"], whole["truncated"], len(whole["rows"])) == (4, False, 4)
 
 
+def test_matrix_leaves_the_kpi_out_and_caps_candidates_first(spark):
+    frame = spark.createDataFrame([(d, m, float(k + 1) * v) for k, m in enumerate("abcdefgh") for d, v in (("2026-02-01", 1.0), ("2026-05-01", 1.0 + (k * k % 5) / 10))], "date string, item string, amount double")
+    engine = Engine(from_frame(frame, ["item"], ["amount"], [kpi(f"k{n}", "sum", "{amount}") for n in range(6)]))
+    found = engine.call("correlate_kpi_matrix", {"kpi_key": "k0", "candidates": ["k5", "k0", "k1", "k2"], "limit": 2, "period_a": A, "period_b": B})
+    assert {r["other"] for r in found["rows"]} == {"k5", "k1"} and (found["considered"], found["truncated"], found["dimension"]) == (3, True, "item")
+
+
+def test_the_dimension_of_most_shared_members_is_picked(spark):
+    rows = [(d, f"z{k % 6}", f"b{k % 4}", f"only{k}{d}", "one", float(k)) for d in ("2026-02-01", "2026-05-01") for k in range(24)] + [("2026-05-01", "new", None, "x", "one", 1.0)]
+    f = from_frame(spark.createDataFrame(rows, "date string, z string, b string, apart string, same string, v double"), ["z", "b", "apart", "same"], ["v"], [kpi("v", "sum", "{v}")])
+    assert {r["dimension"]: r["shared"] for r in relate.shared_members(f, A, B).collect()} == {"z": 6, "b": 4, "apart": 0, "same": 1}
+    assert relate.usable_dimension(f, A, B) == "z"
+    with pytest.raises(InvalidArgument, match="no dimension"):
+        relate.usable_dimension(f, A, B, {"z": ["z0"]})
+    wide = from_frame(spark.createDataFrame([(d, f"m{k}", f"n{k % 3}", 1.0) for d in ("2026-02-01", "2026-05-01") for k in range(201)], "date string, m string, n string, v double"), ["m", "n"], ["v"], [kpi("v", "sum", "{v}")])
+    assert relate.usable_dimension(wide, A, B) == "n"
+
+
+def test_precedence_names_edges_gaps_and_directions(spark):
+    weeks = [dt.date(2025, 1, 6) + dt.timedelta(weeks=k) for k in range(60)]
+    value = lambda k, at, up: 100.0 + k % 3 + (30.0 if up else -30.0) * (k >= at)
+    rows = [(str(w), value(k, 40, True), value(k, 30, False), value(k, 11, True)) for k, w in enumerate(weeks) if k not in (33, 36, 50)]
+    f = from_frame(spark.createDataFrame(rows, "date string, y double, x double, z double"), [], ["y", "x", "z"], [kpi(k, "sum", "{" + k + "}") for k in "yxz"])
+    got = relate.precedence(f, "y", "x").first()
+    assert (got["lag"], got["verdict"], got["gaps_between"], got["kpi_at_edge"], got["cause_at_edge"], got["searched"]) == (10, "cause_precedes_kpi", 2, False, False, 57)
+    early = relate.precedence(f, "y", "z").first()
+    assert early["cause_at_edge"] and not early["kpi_at_edge"] and early["lag"] == 29
+    assert relate.precedence(f, "y", "x", cause_direction="up").first()["status"] == "cause_undetermined"
+    assert relate.precedence(f, "x", "y", kpi_direction="down").first()["verdict"] == "kpi_precedes_cause"
+    with pytest.raises(InvalidArgument):
+        relate.precedence(f, "y", "x", kpi_direction="sideways")
+
+
 def test_typed_errors(weekly):
     engine = Engine(weekly)
     code = lambda name, **a: engine.call(name, a)["error"]["code"]
