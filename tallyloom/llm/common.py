@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,21 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that ``checkpoint`` writes in it, but for those that stay; nothing may read them later."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def checkpoint(df: DataFrame, stays: bool = False) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder; later reads survive the loss of any executor.
 
     A table is read back with the size that its files have. Spark's own checkpoints keep the size that their plan was
-    guessed to have, which each join multiplies: in loops the guesses grow to numbers of millions of digits.
+    guessed to have, which each join multiplies: in loops the guesses grow to numbers of millions of digits. With
+    ``stays`` it outlives the ``steps`` that it is written in.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
+    scopes = _open[:-1] if stays else _open
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import flat_graph as graph
-from tallyloom.llm.common import checkpoint, named
+from tallyloom.llm.common import checkpoint, named, steps
 from tallyloom.llm.components import connected_components
 
 #: Vectors that a shard should hold and shards of a cluster that a vector is put into; a cluster of more than twice the
@@ -164,13 +164,29 @@ def _linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return _rows(STAR, ids[some], ids[root[some]])
 
 
+def _completed(walked: tuple[np.ndarray, np.ndarray, np.ndarray], close: np.ndarray, bound, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a walk found, and what of its shard is in range besides: an exact check of a bounded shard, so that a range whose graph falls into parts is whole.
+
+    ``close`` has the cosines of the queries with all of the shard, ``least`` the lowest bound of each query. The walk's own
+    finds stay as they are.
+    """
+    rows, nodes, value = walked
+    left = close >= least[:, None]
+    left[rows, nodes] = False
+    more, at = np.nonzero(left)
+    keep = close[more, at] >= bound(more, at)
+    more, at = more[keep], at[keep]
+    return np.concatenate([rows, more]), np.concatenate([nodes, at]), np.concatenate([value, close[more, at]])
+
+
 def _searcher(threshold: float, beam: int):
     """The search of one shard, for its own leaders or for guests from other shards.
 
     The walk goes over the united lists, as far as they lead inside the shard, from its medoid and from the query's own
     place, or from a guest's partner. A leader so near that its whole ball is linked with the query's is counted where it
     is at home, so each pair is counted once for each side; one whose members may be linked is named. Where a leader
-    in range belongs to other shards, its list leads there: the query is to visit these.
+    in range belongs to other shards, its list leads there: the query is to visit these. What a walk leaves out of its
+    shard is found by an exact check of the shard, which is bounded, so that visits lead on along everything in range.
     """
 
     def search(table: pa.Table) -> pa.Table:
@@ -181,7 +197,7 @@ def _searcher(threshold: float, beam: int):
         asked, single_precision = table["asked"].to_numpy(), vectors.astype(np.float32)
         lists = table["near"].slice(0, m).combine_chunks()
         edges = graph.local_edges(ids, lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
-        start = graph.medoid(single_precision[:m])
+        start, widest = graph.medoid(single_precision[:m]), reach[:m].max()
         edges = graph._joined(single_precision[:m], edges, start)
         queries = np.arange(m, len(table)) if m < len(table) else np.arange(m)
         entry = np.searchsorted(ids, table["entry"].slice(m).to_numpy()) if m < len(table) else queries
@@ -196,7 +212,8 @@ def _searcher(threshold: float, beam: int):
             own = queries[at : at + graph.TOGETHER]
             bound = lambda rows, nodes, own=own: _bounds(threshold, reach[own[rows]] + reach[nodes])[0]
             starts = np.stack([np.full(len(own), start), entry[at : at + len(own)]], axis=1)
-            rows, nodes, value = graph.walk(single_precision[:m], edges, starts, single_precision[own], lambda r, c: bound(r, c) - LOOSE, beam)
+            walked = graph.walk(single_precision[:m], edges, starts, single_precision[own], lambda r, c: bound(r, c) - LOOSE, beam)
+            rows, nodes, value = _completed(walked, single_precision[own] @ single_precision[:m].T, lambda r, c: bound(r, c) - LOOSE, _bounds(threshold, reach[own] + widest)[0] - LOOSE)
             some, whole = _bounds(threshold, reach[own[rows]] + reach[nodes])
             exact = value.astype(np.float64)
             unsure = np.nonzero((np.abs(exact - some) < LOOSE) | (np.abs(exact - whole) < LOOSE))[0]
@@ -391,8 +408,19 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     no partners). Labels with a recall below LEAST_RECALL are built anew with twice the overlap and searched
     twice as widely, and those that still miss links are compared in full.
 
-    A repeated id is a vector of its own with that id. An empty table gives no rows.
+    A repeated id is a vector of its own with that id. An empty table gives no rows. The tables of all steps but the last are
+    deleted.
     """
+    with steps(table.sparkSession):
+        rows, counted = _counted(table, id_col, vector_col, label_col, threshold, shard, overlap)
+    linked = rows.where("ok").join(counted, ["grp", "h", "vec"]).select("vec_id", "n_links", "component_id", "recall")
+    none = F.lit(None).cast("double")
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), none.alias("recall"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")
+
+
+def _counted(table: DataFrame, id_col: str, vector_col: str, label_col: str, threshold: float, shard: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table``, and their distinct vectors with links, component and recall, the only step that stays."""
     vector = named(table, vector_col)
     if dict(table.dtypes)[vector_col] != "array<float>":
         vector = vector.cast("array<double>")
@@ -425,8 +453,4 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     counted = counted.select("node", others.alias("n_links"), F.coalesce("component", "leader").alias("component"), "recall")
     counted = checkpoint(counted.join(nodes.select("node", "grp", "h", "vec", "least"), "node"))
     smallest = counted.groupBy("component").agg(F.min("least").alias("component_id"))
-    counted = counted.join(smallest, "component").select("grp", "h", "vec", "n_links", "component_id", "recall")
-    linked = rows.where("ok").join(counted, ["grp", "h", "vec"]).select("vec_id", "n_links", "component_id", "recall")
-    none = F.lit(None).cast("double")
-    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), none.alias("recall"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")
+    return rows, checkpoint(counted.join(smallest, "component").select("grp", "h", "vec", "n_links", "component_id", "recall"), stays=True)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, flat_graph, language, line_dedup, mixing, vector_dedup
+from tallyloom.llm import chat, common, flat_graph, language, line_dedup, mixing, vector_dedup
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.ranges import bounds, range_of
 
@@ -419,6 +419,27 @@ def test_a_dense_label_over_many_shards_is_searched_whole(spark, monkeypatch):
     assert [r["component_id"] for r in got].count(0) >= 0.98 * [c for _, c in want.values()].count(0)
 
 
+@pytest.mark.parametrize(("n", "shard"), [(3000, 250), (6000, 2000)])
+def test_no_link_is_lost_along_a_circle(spark, n, shard):
+    """One dense label that goes round through many shards: every count and the component are those of brute force."""
+    plane = np.linalg.qr(np.random.default_rng(1).normal(size=(32, 2)))[0]
+    at = np.random.default_rng(2).uniform(0, 2 * np.pi, n)
+    vectors = np.stack([np.cos(at), np.sin(at)], axis=1) @ plane.T
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {k: int((unit[k] @ unit.T >= 0.98).sum()) - 1 for k in range(n)}
+    rows = [(k, v, 1) for k, v in enumerate(vectors.tolist())]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4), shard=shard).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want and {r["component_id"] for r in got} == {0} and all(r["recall"] == 1 for r in got)
+
+
+def test_steps_are_deleted_but_the_last(spark, tmp_path, monkeypatch):
+    own = np.random.default_rng(4)
+    monkeypatch.setattr(common, "scratch_path", lambda session, name: f"{tmp_path}/{name}-{own.integers(1 << 60)}")
+    rows = [(k, own.normal(size=8).tolist(), 1) for k in range(60)] * 2
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert len(list(tmp_path.iterdir())) == 1 and got.count() == 120 and {r["n_links"] for r in got.collect()} == {1}
+
+
 def test_search_finds_what_is_in_range():
     own = np.random.default_rng(8)
     vectors = own.normal(size=(700, 24))
