@@ -122,3 +122,43 @@ def placed(node: Node, place: str = "term", sign: int = 1) -> list[dict]:
         inner = place if place in ("numerator", "denominator") else "factor"
         return placed(node.left, inner, sign) + placed(node.right, inner, sign)
     return placed(node.left, place, sign) + placed(node.right, place, -sign if node.sign == "-" else sign)
+
+
+#: A product's parts: the factors above and below the line, in order.
+_Product = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def _summands(node: Node) -> dict[_Product, float]:
+    """A tree as a sum of products with their coefficients; a sum inside a product stays one factor."""
+    if isinstance(node, Num):
+        return {((), ()): node.value}
+    if isinstance(node, Ref):
+        return {(("{" + node.name + "}",), ()): 1.0}
+    left, right = _summands(node.left), _summands(node.right)
+    if node.sign in "+-":
+        out = dict(left)
+        for product, k in right.items():
+            out[product] = out.get(product, 0.0) + (k if node.sign == "+" else -k)
+        return {p: k for p, k in out.items() if k} or {((), ()): 0.0}
+
+    def single(own: dict[_Product, float]) -> tuple[float, _Product]:
+        if len(own) == 1:
+            (product, k), = own.items()
+            return k, product
+        return 1.0, ((_written(own),), ())
+
+    (a, (up, below)), (b, (more, under)) = single(left), single(right)
+    if node.sign == "*":
+        return {(tuple(sorted(up + more)), tuple(sorted(below + under))): a * b}
+    # a division by a constant 0 is undefined, whatever stands above
+    return {(tuple(sorted(up + under)), tuple(sorted(below + more))): a / b} if b else {(up, (*below, "0")): a}
+
+
+def _written(own: dict[_Product, float]) -> str:
+    part = lambda p, k: f"{k:+.12g}" + "".join(f"*{x}" for x in p[0]) + "".join(f"/{x}" for x in p[1])
+    return "(" + " ".join(sorted(part(p, k) for p, k in own.items())) + ")"
+
+
+def canonical(node: Node) -> str:
+    """One text for all ways to write a formula that differ in order, brackets, signs or constants only."""
+    return _written(_summands(node))

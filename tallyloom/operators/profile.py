@@ -133,6 +133,25 @@ def subset_relations(df: DataFrame, measures: list[str], least: float = 0.95) ->
     return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*").where((F.col("share") >= least) & F.col("less")).drop("less")
 
 
+def containment(df: DataFrame, measures: list[str], least: float = 0.95) -> DataFrame:
+    """(part, whole, n, rows_within, contained): of each two flows of one family, money or counts, how often one is at most the other.
+
+    Rows in which both are known count; contained: in nearly all of them, and less in sum. One aggregate for all pairs; pairs
+    that never meet have no row.
+    """
+    family = {m: "money" if semantic_type(m) == "money" else "count" for m in measures if semantic_type(m) in ("money", "count", "flag") and additivity(m) == "flow"}
+    pairs = [(a, b) for a in family for b in family if a != b and family[a] == family[b]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "part string, whole string, n long, rows_within double, contained boolean")
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.count(F.when(both, 1)).alias(f"n{i}"), F.avg(F.when(both, (x <= y).cast("double"))).alias(f"w{i}"), (F.sum(F.when(both, x)) < F.sum(F.when(both, y))).alias(f"l{i}")]
+    rows = F.array(*[F.struct(F.lit(a).alias("part"), F.lit(b).alias("whole"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("rows_within"), ((F.col(f"w{i}") >= least) & F.col(f"l{i}")).alias("contained")) for i, (a, b) in enumerate(pairs)])
+    return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*").where("n > 0")
+
+
 def hierarchies(df: DataFrame, dimensions: list[str]) -> DataFrame:
     """(child, parent, members, violations): dimensions whose members nearly all lie in one member of a coarser one.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -46,6 +47,10 @@ CONCEPTS = {
     "defects": ("count", "flow", ("defects", "defective_units", "rejects", "scrap_units")),
     "downtime": ("duration", "", ("downtime_hours", "downtime", "unplanned_downtime")),
 }
+# Words in names of money that goes out or comes in, and of what a business counts its activity by.
+OUTFLOW = set("cost costs cogs expense expenses spend spending fee fees charge charges salary wage wages budget payment payments refund refunds discount discounts tax taxes".split())
+INFLOW = set("revenue sales income turnover gmv billed billing receipts collections premium reimbursement value amount".split())
+POPULATIONS = set("orders customers transactions purchases bookings admissions discharges patients shipments subscribers visits sessions users cases applications claims employees students enrolments enrollments accounts clients trips calls".split())
 # Library KPIs by pack: key, kind, numerator, denominator, scale, unit, whether higher is better.
 PACKS = {
     "general": (
@@ -121,21 +126,65 @@ def domain(found: dict[str, dict]) -> dict:
     return {"domain": name if first else "general", "certain": first >= LEAD and first - second >= LEAD, "bound": {p: n for n, p in counts}}
 
 
-def derive(measures: list[str], subsets: list[tuple[str, str]]) -> list[dict]:
-    """KPIs that follow from the table itself: money less cost, a part over the whole it lies in, money for each unit, mean durations."""
-    out, money, counts = [], [m for m in measures if semantic_type(m) == "money"], [m for m in measures if semantic_type(m) == "count" and additivity(m) == "flow"]
-    costs = [m for m in money if set(words(m.replace("_", " "))) & {"cost", "spend", "expense", "cogs"}]
-    for income in [m for m in money if m not in costs and set(words(m.replace("_", " "))) & {"revenue", "sales", "income", "turnover"}]:
-        for cost in costs:
-            out += [{"key": f"{income}_less_{cost}", "kind": "sum", "numerator": f"{{{income}}} - {{{cost}}}", "denominator": "", "scale": 1.0, "rule": "inflow_less_outflow"}, {"key": f"{income}_margin_over_{cost}", "kind": "ratio", "numerator": f"{{{income}}} - {{{cost}}}", "denominator": f"{{{income}}}", "scale": 100.0, "rule": "margin"}]
-    for part, whole in subsets:
-        if part in counts and whole in counts:
-            out.append({"key": f"{part}_rate_of_{whole}", "kind": "ratio", "numerator": f"{{{part}}}", "denominator": f"{{{whole}}}", "scale": 100.0, "rule": "outcome_rate"})
-    for income in [m for m in money if m not in costs]:
-        for unit in counts:
-            out.append({"key": f"{income}_per_{unit}", "kind": "ratio", "numerator": f"{{{income}}}", "denominator": f"{{{unit}}}", "scale": 1.0, "rule": "unit_economics"})
-    out += [{"key": f"avg_{m}", "kind": "mean", "numerator": f"{{{m}}}", "denominator": "", "scale": 1.0, "rule": "mean_duration"} for m in measures if semantic_type(m) == "duration"]
-    return out
+def direction(measure: str) -> str | None:
+    """Whether money comes in or goes out, by the name."""
+    own = set(words(measure.replace("_", " ")))
+    return "outflow" if own & OUTFLOW else "inflow" if own & INFLOW else None
+
+
+def closure(subsets: Iterable[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The order that part-and-whole pairs make: what lies in a part of a whole lies in the whole."""
+    inside = set(subsets)
+    while more := {(a, d) for a, b in inside for c, d in inside if b == c and a != d} - inside:
+        inside |= more
+    return inside
+
+
+def derive(measures: list[str], subsets: Iterable[tuple[str, str]], most: dict[str, float] | None = None) -> tuple[list[dict], list[dict]]:
+    """(KPIs that follow from a table, those that seem to and don't, with the reason).
+
+    ``subsets`` are (part, whole) as ``profile.containment`` finds them, ``most`` each measure's greatest value. Money in less
+    money out; a margin where the first lies within the second; an outcome over the broadest primary population that it lies
+    in; money for each of the broadest population of all; mean durations. A rate wants its part inside its whole.
+    """
+    inside, size = closure(subsets), lambda m: ((most or {}).get(m) or 0.0, m)
+    tokens = {m: set(words(m.replace("_", " "))) for m in measures}
+    money = [m for m in measures if semantic_type(m) == "money" and additivity(m) == "flow"]
+    counts = [m for m in measures if semantic_type(m) in ("count", "flag") and additivity(m) == "flow"]
+    primary = [m for m in counts if tokens[m] & POPULATIONS]
+    out, rejected = [], []
+
+    def emit(key: str, kind: str, top: str, bottom: str, scale: float, rule: str, verdict: str = "valid") -> None:
+        out.append({"key": key, "kind": kind, "numerator": top, "denominator": bottom, "scale": scale, "rule": rule, "verdict": verdict})
+
+    def reject(a: str, b: str, rule: str, reason: str) -> None:
+        rejected.append({"numerator": a, "denominator": b, "rule": rule, "reason": reason})
+
+    flows = [(a, b) for a in money for b in money if a != b and direction(a) == "inflow" and direction(b) == "outflow"]
+    for a, b in flows:
+        emit(f"{a}_less_{b}", "sum", f"{{{a}}} - {{{b}}}", "", 1.0, "inflow_less_outflow", "valid" if (a, b) in inside else "questionable")
+        if (a, b) in inside:
+            emit(f"{a}_less_{b}_pct", "ratio", f"{{{a}}} - {{{b}}}", f"{{{a}}}", 100.0, "margin")
+        elif (b, a) not in inside:
+            reject(a, b, "money_over_money", f"{b} is no part of {a} on the rows, so their ratio is no margin")
+    for a in counts:
+        for b in primary:
+            if a != b and (a, b) not in inside and a not in primary:
+                reject(a, b, "outcome_rate", f"{a} does not lie within {b} on the rows, so their quotient is no rate")
+        if wholes := [b for b in primary if b != a and (a, b) in inside]:
+            whole = max(wholes, key=size)
+            emit(f"{a}_per_{whole}_rate", "ratio", f"{{{a}}}", f"{{{whole}}}", 100.0, "outcome_rate")
+    if primary:
+        base = max(primary, key=size)
+        for m in money:
+            emit(f"{m}_per_{base}", "ratio", f"{{{m}}}", f"{{{base}}}", 1.0, "unit_economics")
+    for m in measures:
+        if semantic_type(m) == "duration":
+            emit(f"avg_{m}", "mean", f"{{{m}}}", "", 1.0, "mean_duration")
+    rates = [m for m in measures if additivity(m) == "rate"]
+    for m in rates[1:]:
+        reject(m, rates[0], "rate_over_rate", "one rate over another has no meaning")
+    return out, rejected
 
 
 @dataclass(frozen=True)
@@ -174,8 +223,9 @@ class Entry:
         return kpi(self.key, self.kind, self.numerator, self.denominator or None, scale=self.scale, unit=self.unit, higher_is_better=self.higher_is_better, label=self.label or self.key.replace("_", " ").capitalize())
 
     def meaning(self) -> tuple:
+        """What is computed, alike for all ways to write it."""
         own = self.compiled()
-        return own.kind, repr(own.numerator), repr(own.denominator), own.scale
+        return own.kind, formula.canonical(own.numerator), own.denominator and formula.canonical(own.denominator), own.scale
 
 
 @dataclass
@@ -185,6 +235,20 @@ class Conflict:
     message: str
     blocking: bool = True
     resolved: str = ""
+    fields: list[str] = field(default_factory=list)
+    measured: float | None = None
+
+
+def definitions(entries: Iterable[Entry]) -> list[Conflict]:
+    """Names that several computations claim, and computations that have several keys, compared in their canonical form."""
+    by_name: dict[str, list[Entry]] = {}
+    by_meaning: dict[tuple, list[Entry]] = {}
+    for e in entries:
+        by_name.setdefault(e.compiled().label.strip().lower(), []).append(e)
+        by_meaning.setdefault(e.meaning(), []).append(e)
+    keys = lambda group: sorted(e.key for e in group)
+    out = [Conflict("formula_disagreement", keys(g), f"{len(g)} KPIs named {n!r} are computed differently") for n, g in by_name.items() if len({e.meaning() for e in g}) > 1]
+    return out + [Conflict("duplicate_definition", keys(g), "the same formula under several keys", blocking=False) for g in by_meaning.values() if len(g) > 1]
 
 
 @dataclass
@@ -198,7 +262,7 @@ class Contract:
     log: list[str] = field(default_factory=list)
 
     @classmethod
-    def discover(cls, measures: list[str], subsets: list[tuple[str, str]] = (), quarters: int = HISTORY) -> Contract:
+    def discover(cls, measures: list[str], subsets: list[tuple[str, str]] = (), quarters: int = HISTORY, most: dict[str, float] | None = None) -> Contract:
         """Library KPIs that bind and KPIs that follow from the table, with what is unclear about them."""
         own, (found, _) = cls(state="proposed"), bind_library(measures)
         for f in found.values():
@@ -206,7 +270,7 @@ class Contract:
             if f["ambiguous"]:
                 own.conflicts.append(Conflict("ambiguous_binding", [f["key"]], f"several columns fit {', '.join(f['ambiguous'])}"))
         known = {e.meaning() for e in own.entries.values()}
-        for d in derive(measures, list(subsets)):
+        for d in derive(measures, subsets, most)[0]:
             entry = Entry(d["key"], d["kind"], d["numerator"], d["denominator"], d["scale"], origin=d["rule"], state="needs_confirmation")
             if entry.meaning() not in known:
                 own.entries[entry.key] = entry
@@ -217,10 +281,8 @@ class Contract:
         return own
 
     def duplicates(self) -> list[Conflict]:
-        by_meaning: dict[tuple, list[str]] = {}
-        for e in self.entries.values():
-            by_meaning.setdefault(e.meaning(), []).append(e.key)
-        return [Conflict("duplicate_definition", sorted(keys), "the same formula under several keys", blocking=False) for keys in by_meaning.values() if len(keys) > 1]
+        """The same computation under several keys, and one name for several computations; the latter blocks."""
+        return definitions(self.entries.values())
 
     def _of(self, key: str) -> Entry:
         if key not in self.entries:

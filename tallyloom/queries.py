@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import formula
 from tallyloom.functions.text import normalised
-from tallyloom.operators import contest, documents, investigate, noise, observe, postings, profile, reconcile, relate, retrieve, telemetry
-from tallyloom.plans import driver_graph
+from tallyloom.operators import conflicts, contest, documents, investigate, noise, observe, postings, profile, reconcile, relate, retrieve, telemetry
+from tallyloom.plans import contract, driver_graph
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.plans.registry import Engine
@@ -331,6 +331,11 @@ _add("seasonal_autocorrelation", lambda f: relate.autocorrelation(f, "revenue"),
 _add("left_out_correlation", lambda f: relate.left_out(f, "revenue", "avg_selling_price", "nation", Q2, Q1),
      f"WITH m AS (SELECT * FROM ({_changes(['revenue', 'avg_selling_price'], 'nation')}) WHERE revenue IS NOT NULL AND avg_selling_price IS NOT NULL) SELECT a.member, corr(b.revenue, b.avg_selling_price) AS r_without FROM m a JOIN m b ON a.member <> b.member GROUP BY a.member", "r_without")
 
+def _frame(f: Facts, rows: list[tuple], schema: str) -> DataFrame:
+    """A small result as a frame."""
+    return f.load(set()).sparkSession.createDataFrame(rows, schema)
+
+
 # -- profiles, sources, text -------------------------------------------------------------------------------------------
 
 _MEASURES = ["gross_amt", "net", "quantity", "returned_qty"]
@@ -343,6 +348,40 @@ _add("subset_relations", lambda f: profile.subset_relations(f.load(set(_MEASURES
 _HIER = ["region", "nation", "segment"]
 _add("hierarchies", lambda f: profile.hierarchies(f.load(set(_HIER)), _HIER),
      " UNION ALL ".join(f"SELECT '{a}' AS child, '{b}' AS parent, members, violations FROM (SELECT count(*) AS members, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT {a}, count(DISTINCT {b}) AS n FROM {F_SQL} GROUP BY {a})) WHERE violations <= greatest(2, 0.25 * members) AND (SELECT count(DISTINCT {b}) FROM {F_SQL}) < members" for a in _HIER for b in _HIER if a != b))
+
+
+def _planted(f: Facts) -> DataFrame:
+    """Sales with an area that one nation breaks, and with names of a part and its whole."""
+    broken = F.when((F.col("nation") == "NATION_3") & (F.col("quantity") > 25), "ELSEWHERE").otherwise(F.col("region"))
+    return f.load({"region", "nation", "quantity", "returned_qty", "net", "gross_amt"}).withColumns({"area": broken, "orders": F.col("quantity"), "returns_count": F.col("returned_qty"), "units": F.col("quantity") + F.col("returned_qty") / 2})
+
+
+_DEFINED = [
+    contract.Entry("net_a", "ratio", "{net}", "{gross_amt}", 100.0, "percent", label="Net share"), contract.Entry("net_b", "ratio", "{net}", "{net} + {gross_amt}", 100.0, "percent", label="net share"),
+    contract.Entry("both", "sum", "{net} + {gross_amt}"), contract.Entry("twice", "sum", "{gross_amt} + {net}"), contract.Entry("returned", "ratio", "{returned_qty}", "{quantity}", 100.0, "percent"), contract.Entry("inverse", "ratio", "{quantity}", "{returned_qty}", 100.0, "percent"),
+]
+_add("contract_conflicts", lambda f: _frame(f, [(c.kind, ",".join(c.keys), ",".join(c.fields), c.blocking, c.measured) for c in conflicts.detect(_planted(f), _DEFINED, ["nation", "area", "region"], ["date", "nation"])], "kind string, kpis string, fields string, blocking boolean, measured double"),
+     f"""WITH p AS (SELECT *, CASE WHEN nation = 'NATION_3' AND quantity > 25 THEN 'ELSEWHERE' ELSE region END AS area FROM {F_SQL})
+SELECT 'formula_disagreement' AS kind, 'net_a,net_b' AS kpis, '' AS fields, TRUE AS blocking, CAST(NULL AS DOUBLE) AS measured UNION ALL SELECT 'duplicate_definition', 'both,twice', '', FALSE, NULL
+UNION ALL SELECT 'subset_check_failed', 'inverse', 'quantity,returned_qty', TRUE, w FROM (SELECT avg((quantity <= returned_qty)::INT) AS w, sum(quantity) < sum(returned_qty) AS l FROM p) WHERE w < 0.95 OR NOT l
+UNION ALL SELECT 'unit_mismatch', 'inverse', '', FALSE, v FROM (SELECT sum(quantity) / sum(returned_qty) * 100 AS v FROM p) WHERE v > 100.001
+UNION ALL SELECT 'hierarchy_violation', '', 'nation,area', TRUE, n FROM (SELECT CAST(count(*) FILTER (WHERE k > 1) AS DOUBLE) AS n FROM (SELECT nation, count(DISTINCT area) AS k FROM p GROUP BY nation)) WHERE n > 0
+UNION ALL SELECT 'grain_mismatch', '', 'date,nation', FALSE, CAST(count(*) AS DOUBLE) FROM (SELECT date, nation FROM p GROUP BY date, nation HAVING count(*) > 1)""", "measured")
+_FLOWS = {"orders": "quantity", "returns_count": "returned_qty", "units": "quantity + returned_qty / 2"}
+_add("containment", lambda f: profile.containment(_planted(f), list(_FLOWS)),
+     " UNION ALL ".join(f"SELECT '{a}' AS part, '{b}' AS whole, count(*) AS n, avg(({x} <= {y})::INT) AS rows_within, avg(({x} <= {y})::INT) >= 0.95 AND sum({x}) < sum({y}) AS contained FROM {F_SQL}" for a, x in _FLOWS.items() for b, y in _FLOWS.items() if a != b), "rows_within")
+
+
+def _derived(f: Facts) -> DataFrame:
+    df = _planted(f)
+    most = {r["field"]: r["max"] for r in profile.profile(df, list(_FLOWS)).collect()}
+    found, rejected = contract.derive(list(_FLOWS), [(r["part"], r["whole"]) for r in profile.containment(df, list(_FLOWS)).where("contained").collect()], most)
+    return _frame(f, [(d["numerator"].strip("{}"), d["denominator"].strip("{}"), d["verdict"]) for d in found] + [(d["numerator"], d["denominator"], "rejected") for d in rejected], "part string, whole string, verdict string")
+
+
+_add("derived_rates", _derived,
+     f"""WITH c AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS part, avg(({x} <= quantity)::INT) >= 0.95 AND sum({x}) < sum(quantity) AS inside FROM {F_SQL}" for a, x in _FLOWS.items() if a != "orders") + """)
+SELECT part, 'orders' AS whole, CASE WHEN inside THEN 'valid' ELSE 'rejected' END AS verdict FROM c""")
 _SIX = ["region", "nation", "segment", "brand", "priority", "returnflag"]
 _add("list_dimensions", retrieve.dimension_sizes, " UNION ALL ".join(f"SELECT '{d}' AS dimension, count(DISTINCT {d}) AS members FROM {F_SQL}" for d in _SIX))
 _add("data_quality_columns", lambda f: noise.quality_columns(f, Q3), " UNION ALL ".join(f"SELECT '{m}' AS column, count(*) AS rows, count(*) FILTER (WHERE {e} = 0) AS zero_rows, count(*) FILTER (WHERE {e} IS NULL) AS null_rows FROM {F_SQL} WHERE period = '2001-Q3'" for m, e in (("gross_amt", "gross_amt"), ("net", "net"), ("discount", "discount"), ("quantity", "quantity"), ("tax_amt", "tax_amt"), ("returned_qty", "returned_qty"))))
@@ -430,11 +469,6 @@ FROM (SELECT lower(coalesce(source, '')) || chr(10) || lower(substr(coalesce(tex
 # -- contest: statistics of aggregated samples, as far as SQL has the distributions -------------------------------------
 
 
-def _frame(f: Facts, rows: list[tuple], schema: str) -> DataFrame:
-    """A small result as a frame."""
-    return f.load(set()).sparkSession.createDataFrame(rows, schema)
-
-
 _NATIONS = {"dimension": "nation", "period_a": Q2, "period_b": Q1}
 _LEAST_R = "CASE WHEN n > 3 THEN tanh((1.959963984540054 + 0.8416212335729143) / sqrt(n - 3)) END"
 _FISHER = "tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS high"
