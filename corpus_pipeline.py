@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, language, line_dedup, mixing, simhash
-from tallyloom.llm.common import named, remove, scratch_path
+from tallyloom.llm.common import named, remove, scratch_path, steps
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -70,12 +70,14 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each result written to the shared folder and read again.
 
-    A stage's table is deleted once the next one is written; the last one stays, as the result is read from it.
+    A stage's own steps are deleted once it is written, and its table once the next one is; the last one stays, as the result
+    is read from it.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with steps(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)

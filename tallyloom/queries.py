@@ -529,15 +529,26 @@ SELECT *, CASE status WHEN 'wrong_order' THEN -1 WHEN 'verified' THEN CASE WHEN
 
 _add("time_selection", lambda f: _frame(f, [(s["label"], s["rows"], s["start"][:10], s["end"][:10], ",".join(s["periods"]), ",".join(s["missing"])) for s in [f.selection(tf.parse({"type": "quarters", "values": [[1996, 1], [1998, 3], [2031, 1]]}))]], "label string, rows long, start string, `end` string, periods string, missing string").drop("label"),
      f"SELECT count(*) AS rows, strftime(min(date), '%Y-%m-%d') AS start, strftime(max(date), '%Y-%m-%d') AS \"end\", array_to_string(list_sort(list(DISTINCT period)), ',') AS periods, '2031-Q1' AS missing FROM {F_SQL} WHERE period IN ('1996-Q1', '1998-Q3', '2031-Q1')")
-_add("list_kpis", lambda f: _frame(f, [(k, f.kpi(k).kind, f.kpi(k).unit, f.kpi(k).higher_is_better, ",".join(sorted(f.kpi(k).fields()))) for k in Engine(f).keys], "kpi string, kind string, unit string, higher boolean, fields string"),
-     "SELECT * FROM (VALUES ('revenue', 'sum', 'currency', TRUE, 'net'), ('gross', 'sum', 'currency', TRUE, 'gross_amt'), ('discount_given', 'sum', 'currency', FALSE, 'gross_amt,net'), ('units_sold', 'sum', 'count', TRUE, 'quantity'), ('returned_units', 'sum', 'count', FALSE, 'returned_qty'), ('net_price_pct', 'ratio', 'percent', TRUE, 'gross_amt,net'), ('avg_selling_price', 'ratio', 'currency', TRUE, 'net,quantity'), ('return_rate', 'ratio', 'percent', FALSE, 'quantity,returned_qty'), ('avg_discount', 'mean', 'ratio', FALSE, 'discount')) t(kpi, kind, unit, higher, fields)")
+
+
+def _listed(f: Facts) -> DataFrame:
+    """Each KPI's definition as the tool lists it, with its value over the table."""
+    values, own = retrieve.query_kpi(f, Engine(f).keys).first(), Engine(f).call("list_kpis", {})["kpis"]
+    return _frame(f, [(k["kpi"], k["kind"], k["unit"], k["higher_is_better"], ",".join(sorted(k["fields"])), float(values[k["kpi"]])) for k in own], "kpi string, kind string, unit string, higher boolean, fields string, value double")
+
+
+_KINDS = """('revenue', 'sum', 'currency', TRUE, 'net'), ('gross', 'sum', 'currency', TRUE, 'gross_amt'), ('discount_given', 'sum', 'currency', FALSE, 'gross_amt,net'), ('units_sold', 'sum', 'count', TRUE, 'quantity'), ('returned_units', 'sum', 'count', FALSE, 'returned_qty'), ('net_price_pct', 'ratio', 'percent', TRUE, 'gross_amt,net'), ('avg_selling_price', 'ratio', 'currency', TRUE, 'net,quantity'), ('return_rate', 'ratio', 'percent', FALSE, 'quantity,returned_qty'), ('avg_discount', 'mean', 'ratio', FALSE, 'discount')"""
+_add("list_kpis", _listed, f"SELECT t.*, v.value FROM (VALUES {_KINDS}) t(kpi, kind, unit, higher, fields) JOIN (" + " UNION ALL ".join(f"SELECT '{k}' AS kpi, {_v(k)} AS value FROM {F_SQL}" for k in KEYS) + ") v USING (kpi)", "value")
 _FORMULAS = ("{net} - {gross_amt} * 0.5", "({net} + {tax_amt}) / {quantity}", "{net} / ({quantity} - {quantity})", "-{discount} * 2 + 3")
 _add("formula_rows", lambda f: f.load({"net", "gross_amt", "tax_amt", "quantity", "discount", "region"}).groupBy("region").agg(*[F.sum(formula.column(formula.parse(t))).alias(f"f{i}") for i, t in enumerate(_FORMULAS)]),
      f"SELECT region, sum(net - gross_amt * 0.5) AS f0, sum((net + tax_amt) / quantity) AS f1, CAST(NULL AS DOUBLE) AS f2, sum(-discount * 2 + 3) AS f3 FROM {F_SQL} GROUP BY region", "f0 f1 f3")
 _add("kpi_preview", lambda f: retrieve.preview(f, "net_price_pct"), f"SELECT period, {_v('net_price_pct')} AS value FROM {F_SQL} GROUP BY qord, period ORDER BY qord DESC LIMIT 8", "value")
 _add("observe_value", lambda f: observe.observe(f, dimensions=["region"])["value"].select("current", "baseline", "change"),
      f"WITH v AS (SELECT qord, sum(net) AS net FROM {F_SQL} GROUP BY qord), m AS (SELECT max(qord) AS q FROM v) SELECT max(net) FILTER (WHERE qord = q) AS current, max(net) FILTER (WHERE qord = q - 1) AS baseline, max(net) FILTER (WHERE qord = q) - max(net) FILTER (WHERE qord = q - 1) AS change FROM v, m", "current baseline change")
-_add("describe_dataset", lambda f: _frame(f, [tuple(Engine(f).call("describe_dataset")[k] for k in ("rows",))], "rows long"), f"SELECT count(*) AS rows FROM {F_SQL}")
+_add("observe_quarters", lambda f: observe.observe(f, dimensions=["region"])["quarters"], f"SELECT qord AS ord, period, {_v('revenue')} AS revenue, count(*) AS rows FROM {F_SQL} GROUP BY qord, period", "revenue", "ord")
+_add("observe_weeks", lambda f: observe.observe(f, dimensions=["region"])["weeks"].drop("ord"), f"SELECT week AS period, {_v('revenue')} AS revenue, count(*) AS rows FROM {F_SQL} WHERE qord > (SELECT max(qord) FROM {F_SQL}) - 3 GROUP BY week", "revenue")
+_add("describe_dataset", lambda f: _frame(f, [(d["rows"], str(d["start"])[:10], str(d["end"])[:10], q, ",".join(d["dimensions"]), len(d["kpis"])) for d in [Engine(f).call("describe_dataset", {})] for q in d["quarters"]], "rows long, start string, `end` string, quarter string, dimensions string, kpis long"),
+     f"SELECT (SELECT count(*) FROM {F_SQL}) AS rows, (SELECT strftime(min(date), '%Y-%m-%d') FROM {F_SQL}) AS start, (SELECT strftime(max(date), '%Y-%m-%d') FROM {F_SQL}) AS \"end\", period AS quarter, 'region,nation,segment,brand,priority,returnflag' AS dimensions, 9 AS kpis FROM {F_SQL} GROUP BY period", longs="kpis")
 _add("member_resolve", lambda f: f.rows({"region", "net"}, None, {"region": [" middle-east", "Europe "]}).groupBy("region").agg(F.count(F.lit(1)).alias("rows")), f"SELECT region, count(*) AS rows FROM {F_SQL} WHERE region IN ('MIDDLE EAST', 'EUROPE') GROUP BY region")
 
 

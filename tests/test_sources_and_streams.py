@@ -1,11 +1,13 @@
 """Files in and out, and KPIs over a stream against the same KPIs over the whole table."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.errors import InvalidArgument
 from tallyloom.plans.kpi import kpi
-from tallyloom.sources import files
+from tallyloom.sources import cache, files
 from tallyloom.streaming.incremental import finish, windowed_sums
 
 
@@ -26,6 +28,42 @@ def test_one_column_is_refused_and_tables_round_trip(spark, tmp_path):
     assert files.read_documents(spark, str(tmp_path / "d.md")).first().asDict() == {"document_name": "d.md", "text": "# Title\nbody"}
 
 
+def write(path, rows, at):
+    path.write_text("date,region,revenue\n" + "\n".join(f"2024-01-{d:02},{r},{v}" for d, r, v in rows) + "\n")
+    os.utime(path, (at, at))
+
+
+def test_a_frame_is_kept_until_its_file_changes(spark, tmp_path):
+    path, frames = tmp_path / "x.csv", cache.Frames(spark, most=2)
+    persisted = lambda: spark._jsparkSession.sharedState().cacheManager().numCachedEntries()
+    before = persisted()
+    write(path, [(1, "a", 5), (2, "b", 7)], 1_700_000_000)
+    first, schema = frames.load(str(path))
+    assert first.agg(F.sum("revenue")).first()[0] == 12 and first.storageLevel.useMemory and (schema.date_column, schema.dimensions, schema.measures) == ("date", ["region"], ["revenue"])
+    assert frames.load(str(path))[0] is first
+    write(path, [(1, "a", 6), (2, "b", 7)], 1_700_000_060)  # as long as before, only later
+    second, _ = frames.load(str(path))
+    assert second is not first and second.agg(F.sum("revenue")).first()[0] == 13 and persisted() == before + 1
+    write(path, [(1, "a", 6), (2, "b", 7), (3, "c", 1)], 1_700_000_060)  # in the same moment, but longer
+    third, _ = frames.load(str(path))
+    assert third.count() == 3 and frames.load(str(path), preserve_missing=True)[0] is not third
+    write(tmp_path / "y.csv", [(1, "a", 1), (2, "b", 2)], 1_700_000_000)
+    frames.load(str(tmp_path / "y.csv"))
+    assert persisted() == before + 2 and (str(path), False) not in frames._held  # the longest unused is given up
+    frames.release(str(path), True)
+    frames.release(str(tmp_path / "y.csv"))
+    assert persisted() == before and not frames._held
+
+
+def test_a_folder_of_files_is_one_state(spark, tmp_path):
+    for k in range(2):
+        write(tmp_path / f"{k}.csv", [(1 + k, "a", k), (3 + k, "b", 7)], 1_700_000_000)
+    before = cache.stamp(spark, str(tmp_path))
+    assert before.files == 2 and cache.stamp(spark, str(tmp_path)) == before
+    write(tmp_path / "2.csv", [(9, "z", 1)], 1_600_000_000)
+    assert cache.stamp(spark, str(tmp_path)) != before
+
+
 def test_a_stream_gives_what_the_table_gives(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("date"), "event_type", "value")
     own = [kpi("total", "sum", "{value}"), kpi("each", "mean", "{value}")]
