@@ -177,7 +177,7 @@ def bridge(f: Facts, kpi_key: str, period_a, period_b, by: str = "formula", filt
     By formula or by a dimension, its largest effects first and the rest as one step; a mean can't be bridged by members.
     """
     k = f.kpi(kpi_key)
-    ends = f.pair(k, tf.parse(period_a), tf.parse(period_b), filters=filters).select(k.finish("_c").alias("current"), k.finish("_b").alias("baseline"))
+    ends = kept(f.pair(k, tf.parse(period_a), tf.parse(period_b), filters=filters).select(k.finish("_c").alias("current"), k.finish("_b").alias("baseline")))
     if by == "formula":
         parts = by_formula(f, kpi_key, period_a, period_b, filters).where("component <> 'unexplained'").select(F.col("component").alias("label"), "effect").withColumn("kind", F.lit("component"))
     else:

@@ -18,12 +18,13 @@ MOST_RANGES = 20_000
 def totals(df: DataFrame, within: list[str], **sums: Column) -> DataFrame:
     """``df`` with aggregates of all its rows, or of the rows of each group of the few that ``within`` has.
 
-    Aggregated apart and broadcast, so that no task gathers the rows; the shuffle below is computed once for both.
+    Aggregated apart and broadcast, so that no task gathers the rows; these are computed once, and kept, for both.
     """
+    table = kept(df)
     if not within:
-        return df.crossJoin(F.broadcast(df.agg(*[v.alias(k) for k, v in sums.items()])))
-    own = df.groupBy(*[F.col(c).alias(f"of_{c}") for c in within]).agg(*[v.alias(k) for k, v in sums.items()])
-    met = df.join(F.broadcast(own), [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in within])
+        return table.crossJoin(F.broadcast(table.agg(*[v.alias(k) for k, v in sums.items()])))
+    own = table.groupBy(*[F.col(c).alias(f"of_{c}") for c in within]).agg(*[v.alias(k) for k, v in sums.items()])
+    met = table.join(F.broadcast(own), [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in within])
     return met.drop(*[f"of_{c}" for c in within])
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.errors import InvalidArgument
-from tallyloom.operators.order import counted, placed, quantiles, spread, totals
+from tallyloom.functions import robust
+from tallyloom.operators.order import MOST_AT_ONCE, counted, placed, quantiles, spread, totals
 from tallyloom.plans import timefilter as tf
 from tallyloom.sources.facts import PERIODS, Facts
 from tallyloom.sources.scratch import kept
@@ -97,11 +98,15 @@ def distribution(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filter
     """One row over members' values: count, extremes, mean, median, robust sigma, spread and exact percentiles."""
     k = f.kpi(kpi_key)
     values = f.sums([k], [f.dimension(dimension)], tf.parse(time_filter), filters).select(k.finish().alias("value")).where("value is not null")
-    values = kept(values)
-    plain = values.agg(F.count(F.lit(1)).alias("members"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
-    names = {"median": 0.5, **{f"p{p}": p / 100 for p in percentiles}}
-    cut = plain.join(quantiles(counted(values, {"value": F.col("value")}), names, most), F.lit(True), "left").drop("field")
-    return cut.join(spread(values, "value", most).select("sigma"), F.lit(True), "left").withColumn("spread", F.col("max") - F.col("min"))
+    values, most = kept(values), MOST_AT_ONCE if most is None else most
+    cuts = {"median": 0.5, **{f"p{p}": p / 100 for p in percentiles}}
+    plain = [F.count(F.lit(1)).alias("members"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")]
+    if values.count() <= most:
+        out = values.agg(*plain, F.collect_list("value").alias("all"), *[F.percentile("value", F.lit(p)).alias(k) for k, p in cuts.items()]).withColumn("sigma", robust.sigma(F.col("all"))).drop("all")
+    else:
+        out = values.agg(*plain).join(quantiles(counted(values, {"value": F.col("value")}), cuts, most), F.lit(True), "left").drop("field")
+        out = out.join(spread(values, "value", most).select("sigma"), F.lit(True), "left")
+    return out.withColumn("spread", F.col("max") - F.col("min"))
 
 
 def histogram(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filters: dict | None = None, bins: int = 10) -> DataFrame:

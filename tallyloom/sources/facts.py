@@ -13,7 +13,7 @@ from tallyloom.functions.text import normalise, normalised
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, Kpi, kpi
 
-#: Members of a dimension that are indexed on the driver for lookups by spelling; others are looked up in the frame.
+#: Members of a dimension that are indexed on the driver, for search in free text and for suggestions.
 MOST_INDEXED = 10_000
 PERIODS = {"_year": "year", "_period": "quarter", "_month": "month", "_week": "week", "_day": "day"}
 
@@ -31,7 +31,7 @@ class Facts:
     measures: list[str]
     catalog: Catalog
     _members: dict[str, dict[str, str]] = field(default_factory=dict)
-    _wide: set[str] = field(default_factory=set)
+    _sought: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def kpi(self, key: str) -> Kpi:
         return self.catalog.resolve(key, self.measures)
@@ -44,22 +44,19 @@ class Facts:
     def members(self, dimension: str) -> dict[str, str]:
         """Normal form to smallest spelling of a dimension's members, up to MOST_INDEXED of them; for search in free text."""
         if dimension not in self._members:
-            rows = self._spellings(dimension).distinct().orderBy("m").limit(MOST_INDEXED + 1).collect()
-            if len(rows) > MOST_INDEXED:
-                self._wide.add(dimension)
-            self._members[dimension] = {normalise(r["m"]): r["m"] for r in reversed(rows[:MOST_INDEXED])}
+            rows = self._spellings(dimension).distinct().orderBy("m").limit(MOST_INDEXED).collect()
+            self._members[dimension] = {normalise(r["m"]): r["m"] for r in reversed(rows)}
         return self._members[dimension]
 
     def _spellings(self, dimension: str) -> DataFrame:
         return self.load({self.dimension(dimension)}).select(F.col(dimension).cast("string").alias("m")).where("m is not null")
 
     def spellings(self, dimension: str, texts: Iterable[str]) -> list[str]:
-        """The frame's own spelling of each member, the smallest of several; those beyond the index are sought in the frame."""
-        wanted = {str(t): normalise(str(t)) for t in texts}
-        known = self.members(dimension)
-        if dimension in self._wide and (rest := sorted(set(wanted.values()) - known.keys())):
+        """The frame's own spelling of each member, the smallest of several; what was asked for is sought in the frame, and remembered."""
+        wanted, known = {str(t): normalise(str(t)) for t in texts}, self._sought.setdefault(self.dimension(dimension), {})
+        if rest := sorted(set(wanted.values()) - known.keys()):
             found = self._spellings(dimension).select(normalised(F.col("m")).alias("n"), "m").where(F.col("n").isin(rest)).groupBy("n").agg(F.min("m").alias("m")).collect()
-            known = known | {r["n"]: r["m"] for r in found}
+            known |= {r["n"]: r["m"] for r in found}
         for text, form in wanted.items():
             if form not in known:
                 raise UnknownMember(dimension, text, list(self.members(dimension).values()))
