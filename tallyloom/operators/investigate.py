@@ -185,11 +185,11 @@ def bridge(f: Facts, kpi_key: str, period_a, period_b, by: str = "formula", filt
             raise InvalidArgument("a mean can't be bridged by members", status="unsupported_kind")
         parts = by_member(f, kpi_key, by, period_a, period_b, filters).select(F.col("member").alias("label"), "effect").withColumn("kind", F.lit("member"))
         if max_items is not None:
-            parts = placed(parts, [F.abs("effect").desc_nulls_last(), F.col("label")], most=most)
+            parts = placed(parts, [F.abs("effect").desc_nulls_last(), F.col("label")], most=most, cheap=True)
             own = F.col("place") <= max_items
             parts = parts.select(F.when(own, F.col("label")).otherwise("others").alias("label"), F.when(own, "member").otherwise("others").alias("kind"), "effect").groupBy("label", "kind").agg(F.sum("effect").alias("effect"))
     order = F.when(F.col("kind") == "others", 1).otherwise(0)
-    steps = placed(parts, [order, F.abs("effect").desc_nulls_last(), F.col("label")], "step", running={"upto": "effect"}, most=most)
+    steps = placed(parts, [order, F.abs("effect").desc_nulls_last(), F.col("label")], "step", running={"upto": "effect"}, most=most, cheap=by != "formula")
     last = steps.agg(F.max("step").alias("n"), F.coalesce(F.sum("effect"), F.lit(0.0)).alias("sum")).crossJoin(ends)
     steps = steps.crossJoin(F.broadcast(ends)).select("step", "label", "kind", "effect", (F.coalesce("baseline", F.lit(0.0)) + F.coalesce("upto", F.lit(0.0))).alias("running"))
     start = ends.select(F.lit(0).cast("long").alias("step"), F.lit("baseline").alias("label"), F.lit("start").alias("kind"), F.col("baseline").alias("effect"), F.col("baseline").alias("running"))
@@ -205,7 +205,7 @@ def concentration(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filte
         raise InvalidArgument(f"{kpi_key} is not additive", status="not_additive")
     values = f.sums([k], [f.dimension(dimension)], tf.parse(time_filter), filters).select(F.col(dimension).alias("member"), F.coalesce(k.finish(), F.lit(0.0)).alias("value"))
     values = totals(values, [], whole=F.sum("value"), of=F.count(F.lit(1))).withColumn("share", F.try_divide(F.col("value"), F.col("whole")))
-    ranked = placed(values, [F.desc("value"), F.col("member")], running={"running": "share"}, most=most)
+    ranked = placed(values, [F.desc("value"), F.col("member")], running={"running": "share"}, most=most, cheap=True)
     # places from below are those from above turned round: members of one value share the same places either way
     ranked = ranked.withColumn("up", F.col("of") + 1 - F.col("place"))
     n = F.count(F.lit(1))
@@ -221,8 +221,8 @@ def concentration(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filte
 
 def outlier_contributors(f: Facts, kpi_key: str, dimension: str, period_a, period_b, filters: dict | None = None, min_members: int = 4, most: int | None = None) -> DataFrame:
     """Members with the robust z of their over-index among all members."""
-    rows = kept(by_member(f, kpi_key, dimension, period_a, period_b, filters))
-    norm = spread(rows, "over_index", most)
+    rows = by_member(f, kpi_key, dimension, period_a, period_b, filters)  # over kept sums
+    norm = spread(rows, "over_index", most, cheap=True)
     z = F.when(F.col("members") >= min_members, F.try_divide(F.col("over_index") - F.col("centre"), F.col("sigma")))
     return rows.crossJoin(F.broadcast(norm)).select("member", "effect", "contribution_pct", "over_index", z.alias("z"), F.coalesce(F.abs(z) >= 2, F.lit(False)).alias("outlier"))
 

@@ -32,14 +32,16 @@ def _ranges(rows: int, most: int) -> int:
     return min(MOST_RANGES, max(2, -(-4 * rows // max(1, most))))
 
 
-def placed(df: DataFrame, order: list[Column], place: str = "place", running: dict[str, str] | None = None, dense: tuple[str, str] | None = None, most: int | None = None) -> DataFrame:
+def placed(df: DataFrame, order: list[Column], place: str = "place", running: dict[str, str] | None = None, dense: tuple[str, str] | None = None, most: int | None = None, cheap: bool = False) -> DataFrame:
     """``df`` with each row's place in an order, from 1; running sums (name: column) up to it; and the dense rank of a column.
 
     ``order`` has to tell all rows apart. ``dense`` names the rank and its column, which has to be the first of ``order``;
     nulls are one value. More than ``most`` rows are dealt to ranges of the order: rows are placed and summed inside
     each, and what lies before a range, a row for each range, is added. Equal values may lie in several ranges.
+
+    ``df`` is kept first, as it is counted and read; not if it is ``cheap``, reading a kept table itself.
     """
-    table, running, most = kept(df), running or {}, MOST_AT_ONCE if most is None else most
+    table, running, most = df if cheap else kept(df), running or {}, MOST_AT_ONCE if most is None else most
     rows = table.count()
 
     def columns(over: list[str]) -> dict[str, Column]:
@@ -107,10 +109,11 @@ def quantiles(counts: DataFrame, fractions: dict[str, float], most: int | None =
     return hit.groupBy("field").agg(*[quantile(k) for k in fractions])
 
 
-def spread(values: DataFrame, value: str = "value", most: int | None = None) -> DataFrame:
+def spread(values: DataFrame, value: str = "value", most: int | None = None, cheap: bool = False) -> DataFrame:
     """One row (members, centre, sigma) over the values that aren't null: median and robust sigma, as of ``robust`` for any number of rows."""
     most = MOST_AT_ONCE if most is None else most
-    own = kept(values.select(F.col(value).cast("double").alias("value")).where("value is not null"))
+    own = values.select(F.col(value).cast("double").alias("value")).where("value is not null")
+    own = own if cheap else kept(own)
     if own.count() <= most:
         listed = own.agg(F.collect_list("value").alias("v"))
         return listed.select(F.size("v").cast("long").alias("members"), robust.median(F.col("v")).alias("centre"), robust.sigma(F.col("v")).alias("sigma"))

@@ -69,7 +69,7 @@ def rank_entities(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, order
     values = totals(values, [], whole=F.sum("value"), known=F.count("value"))
     by = F.col("value").desc_nulls_last() if order == "desc" else F.col("value").asc_nulls_last()
     share = F.when(F.col("whole") != 0, F.try_divide(F.col("value"), F.col("whole")) * 100) if k.additive else F.lit(None).cast("double")
-    out = placed(values.withColumn("share", share), [by, F.col("member")], running={"cumulative_share": "share"}, dense=("rank", "value"), most=most)
+    out = placed(values.withColumn("share", share), [by, F.col("member")], running={"cumulative_share": "share"}, dense=("rank", "value"), most=most, cheap=True)
     rank = F.col("rank") + F.when(F.col("value").isNull(), F.col("place") - F.col("known") - 1).otherwise(0)
     out = out.select("member", "value", rank.cast("int").alias("rank"), "share", "cumulative_share")
     return out.where(F.col("rank") <= limit) if limit is not None else out
@@ -105,7 +105,7 @@ def distribution(f: Facts, kpi_key: str, dimension: str, time_filter=ALL, filter
         out = values.agg(*plain, F.collect_list("value").alias("all"), *[F.percentile("value", F.lit(p)).alias(k) for k, p in cuts.items()]).withColumn("sigma", robust.sigma(F.col("all"))).drop("all")
     else:
         out = values.agg(*plain).join(quantiles(counted(values, {"value": F.col("value")}), cuts, most), F.lit(True), "left").drop("field")
-        out = out.join(spread(values, "value", most).select("sigma"), F.lit(True), "left")
+        out = out.join(spread(values, "value", most, cheap=True).select("sigma"), F.lit(True), "left")
     return out.withColumn("spread", F.col("max") - F.col("min"))
 
 
