@@ -94,7 +94,7 @@ def spurious(f: Facts, kpi_key: str, cause_kpi: str, grain: str = "quarter", tim
     points = kept(series(f, [kpi_key, cause_kpi], grain, time_filter, filters).select("ord", F.col(kpi_key).cast("double").alias("y"), F.col(cause_kpi).cast("double").alias("x")).where("y is not null and x is not null"))
     if (n := points.count()) < min_n:
         return {"status": "ok", "verdict": "insufficient", "n": n}
-    lines = {c: relate.line(points.select("ord", F.col(c).alias("value"))).select("slope", "intercept").first() for c in ("y", "x")}
+    lines = {c: relate.line(points.select("ord", F.col(c).alias("value")), grain).select("slope", "intercept").first() for c in ("y", "x")}
     by_time = Window.orderBy("ord")
     near = F.col("ord") - F.lag("ord").over(by_time) == 1
     away = {f"{c}_flat": F.col(c) - F.lit(s["slope"]) * F.col("ord") - F.lit(s["intercept"]) for c, s in lines.items()}

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import robust
 from tallyloom.operators.retrieve import ALL, dimension_members, series
+from tallyloom.operators.slopes import slopes
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Kpi
 from tallyloom.sources.facts import Facts
@@ -130,11 +131,9 @@ def quality_dimensions(f: Facts, time_filter, baseline, filters: dict | None = N
 
 
 def trend(f: Facts, keys: list[str], grain: str = "quarter", time_filter=ALL, filters: dict | None = None, min_points: int = 5) -> DataFrame:
-    """Theil and Sen's line for each KPI: the median slope over all pairs of periods, of which there are few."""
+    """Theil and Sen's line for each KPI: the median slope over all pairs of periods, without listing them for weeks and days."""
     points = long_series(f, keys, grain, filters, time_filter).where("value is not null").select("kpi", "higher_is_better", "ord", "value")
-    left, right = points.alias("p"), points.select("kpi", "ord", "value").alias("q")
-    slopes = left.join(right, (F.col("p.kpi") == F.col("q.kpi")) & (F.col("p.ord") < F.col("q.ord"))).groupBy(F.col("p.kpi").alias("kpi")).agg(F.median((F.col("q.value") - F.col("p.value")) / (F.col("q.ord") - F.col("p.ord"))).alias("slope"))
-    met = points.join(slopes, "kpi", "left")
+    met = points.join(slopes(points, grain), "kpi", "left")
     rows = met.groupBy("kpi", "higher_is_better", "slope").agg(F.count(F.lit(1)).alias("points"), F.median(F.col("value") - F.col("slope") * F.col("ord")).alias("intercept"), F.median("value").alias("level"), F.min("ord").alias("a"), F.max("ord").alias("b"), F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("all"))
     away = F.transform("all", lambda p: p["value"] - F.col("slope") * p["ord"])
     total = F.try_divide(F.col("slope") * (F.col("b") - F.col("a")), F.abs("level")) * 100

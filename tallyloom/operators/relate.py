@@ -13,6 +13,7 @@ from tallyloom.functions import robust
 from tallyloom.operators import moments
 from tallyloom.operators.noise import MATERIAL, changepoint, long_series
 from tallyloom.operators.retrieve import ALL, series
+from tallyloom.operators.slopes import slopes
 from tallyloom.plans import timefilter as tf
 from tallyloom.sources.facts import Facts
 
@@ -170,10 +171,9 @@ def holdout(f: Facts, kpi_key: str, cause_kpi: str, dimension: str, period_a, pe
     return rows.select("*", gap.alias("difference_pct"), status.alias("status"), verdict.alias("verdict"))
 
 
-def line(points: DataFrame) -> DataFrame:
-    """``points(ord, value)`` with slope and intercept of Theil and Sen's line; a few hundred periods at most."""
-    pairs = points.alias("p").join(points.alias("q"), F.col("p.ord") < F.col("q.ord"))
-    slope = pairs.agg(F.median((F.col("q.value") - F.col("p.value")) / (F.col("q.ord") - F.col("p.ord"))).alias("slope"))
+def line(points: DataFrame, grain: str = "quarter") -> DataFrame:
+    """``points(ord, value)`` with slope and intercept of Theil and Sen's line."""
+    slope = slopes(points.select(F.lit("").alias("kpi"), "ord", "value"), grain).agg(F.max("slope").alias("slope"))
     met = points.crossJoin(F.broadcast(slope))
     level = met.agg(F.median(F.col("value") - F.col("slope") * F.col("ord")).alias("intercept"))
     return met.crossJoin(F.broadcast(level))
@@ -189,7 +189,7 @@ def seasonal_points(f: Facts, kpi_key: str, grain: str = "quarter", filters: dic
 
     Effects are the phases' medians, centred on the median of these.
     """
-    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value"))
+    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "period", "value"), grain)
     trend = F.col("intercept") + F.col("slope") * F.col("ord")
     away = points.select("ord", "period", "value", _phase(grain).alias("phase"), trend.alias("trend"), (F.col("value") - trend).alias("away"))
     medians = away.groupBy("phase").agg(F.count(F.lit(1)).alias("points"), F.median("away").alias("m"), F.collect_list(F.struct("ord", "away")).alias("peers"))
@@ -231,7 +231,7 @@ def seasonal_norm(f: Facts, kpi_key: str, time_filter, grain: str = "quarter", f
 
 def autocorrelation(f: Facts, kpi_key: str, grain: str = "quarter", filters: dict | None = None) -> DataFrame:
     """One row: the autocorrelation at one year of the detrended series."""
-    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value"))
+    points = line(long_series(f, [kpi_key], grain, filters).where("value is not null").select("ord", "value"), grain)
     away = points.select("ord", (F.col("value") - F.col("slope") * F.col("ord")).alias("away"))
     away = away.withColumn("away", F.col("away") - F.avg("away").over(Window.partitionBy()))
     lag = away.alias("p").join(away.alias("q"), F.col("q.ord") == F.col("p.ord") - CYCLES[grain], "left")

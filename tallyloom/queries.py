@@ -158,11 +158,13 @@ _add("material_filter", lambda f: noise.filter_material(noise.significance(f, KE
      f"SELECT kpi, change_pct, z, reason, reason IS NULL AS material, CASE WHEN z IS NOT NULL THEN 'magnitude_and_significance' ELSE 'magnitude_only' END AS basis FROM (SELECT kpi, change_pct, z, CASE WHEN change_pct IS NULL THEN 'no_change' WHEN abs(change_pct) < 3 THEN 'below_pct' WHEN abs(z) < 2 THEN 'below_z' END AS reason FROM ({_SIGNIFICANCE}))", "change_pct z")
 _add("data_quality_members", lambda f: noise.data_quality(f, Q3, Q2, "nation"),
      f"WITH d AS (SELECT * FROM {F_SQL} WHERE period IN ('2001-Q3', '2001-Q2')), m AS (SELECT nation, count(*) FILTER (WHERE period = '2001-Q3') AS c, count(*) FILTER (WHERE period = '2001-Q2') AS b FROM d GROUP BY nation), t AS (SELECT count(*) FILTER (WHERE period = '2001-Q3') AS current_rows, count(*) FILTER (WHERE period = '2001-Q2') AS baseline_rows, count(DISTINCT date) FILTER (WHERE period = '2001-Q3') AS current_dates, count(DISTINCT date) FILTER (WHERE period = '2001-Q2') AS baseline_dates FROM d) SELECT *, current_dates / baseline_dates AS window_ratio, abs(current_dates / baseline_dates - 1) <= 0.1 AS balanced, (current_rows - baseline_rows) / baseline_rows * 100 AS row_change_pct, (SELECT count(*) FROM m WHERE c > 0 AND b = 0) AS appeared, (SELECT count(*) FROM m WHERE c = 0 AND b > 0) AS disappeared FROM t", "window_ratio row_change_pct")
+_DAY = "datediff('day', DATE '1970-01-01', date::DATE)"
 _TREND = f"""WITH s AS ({_long(KEYS, 'qord', 'period')}), p AS (SELECT a.kpi, median((b.value - a.value) / (b.ord - a.ord)) AS slope FROM s a JOIN s b ON a.kpi = b.kpi AND a.ord < b.ord GROUP BY a.kpi),
 t AS (SELECT kpi, any_value(higher) AS higher, count(*) AS points, any_value(slope) AS slope, median(value - slope * ord) AS intercept, {_sigma('(value - slope * ord)')} AS residual_sigma, any_value(slope) * (max(ord) - min(ord)) / nullif(abs(median(value)), 0) * 100 AS total_pct FROM s JOIN p USING (kpi) GROUP BY kpi),
 u AS (SELECT *, CASE WHEN abs(total_pct) < 3 THEN 'flat' WHEN total_pct > 0 THEN 'rising' ELSE 'falling' END AS direction FROM t)
 SELECT kpi, points, slope, intercept, residual_sigma, total_pct, direction, CASE WHEN direction <> 'flat' THEN CAST((direction = 'rising') = higher AS VARCHAR) END AS improving, 'ok' AS status FROM u"""
 _add("theil_sen_trend", lambda f: noise.trend(f, KEYS).withColumn("improving", F.col("improving").cast("string")), _TREND, "slope intercept residual_sigma total_pct")
+_add("trend_by_day", lambda f: noise.trend(f, KEYS[:3], "day").withColumn("improving", F.col("improving").cast("string")), _TREND.replace(_long(KEYS, "qord", "period"), _long(KEYS[:3], _DAY, "strftime(date, '%Y-%m-%d')")), "slope intercept residual_sigma total_pct")
 _CHANGE = f"""WITH s AS ({_long(KEYS, 'word', 'week')}), i AS (SELECT *, row_number() OVER (PARTITION BY kpi ORDER BY ord) AS i FROM s),
 b AS (SELECT kpi, median(value) AS centre, CASE WHEN 1.4826 * mad(value) > 1e-9 THEN 1.4826 * mad(value) WHEN stddev_samp(value) > 1e-9 THEN stddev_samp(value) ELSE 0.05 * abs(median(value)) END AS spread FROM i WHERE i <= 8 GROUP BY kpi),
 g AS (SELECT *, CASE WHEN value > centre + spread THEN 1 WHEN value < centre - spread THEN -1 ELSE 0 END AS side FROM i JOIN b USING (kpi)),
