@@ -17,8 +17,9 @@ BITS = 64
 SEED = 42
 #: Hashes whose bits are counted at once; bounds memory for a very long text.
 BLOCK = 1 << 15
-#: Fingerprints of a bucket that are compared in one task. Larger buckets take the exact way of ``_ball_edges``.
-MOST_COMPARED = 4096
+#: Fingerprints of a bucket that are compared in one task. Larger buckets are split by ``_refined``, exactly, and what is
+#: still larger takes the exact way of ``_ball_edges``, so the work of a fingerprint doesn't grow with the table.
+MOST_COMPARED = 512
 
 
 def simhash64(raw: bytes, width: int = 3) -> int:
@@ -136,34 +137,59 @@ def _ball_edges(rows: DataFrame, max_bits: int) -> DataFrame:
     return near.join(least, "centre").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _refined(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, k, v, j, w): members of the buckets (k, v) dealt out by a further segment.
+
+    The bits outside segment k are cut into ``max_bits + 1`` parts. Two members within ``max_bits`` are alike in one of
+    them, so that all links of a bucket are in its smaller ones, which hold what agrees in part j too.
+    """
+    def outside(segment: tuple[int, int]) -> list[int]:
+        rest = [x for x in range(BITS) if not segment[0] <= x < sum(segment)]
+        return [sum(1 << x for x in part.tolist()) for part in np.array_split(rest, max_bits + 1)]
+
+    masks = [outside(s) for s in _segments(max_bits + 1)]
+    of = lambda j: F.get(F.array(*[F.lit(_signed(m[j])).cast("long") for m in masks]), F.col("k"))
+    keys = [F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(of(j)).alias("w")) for j in range(max_bits + 1)]
+    return rows.select("fp", "k", "v", F.explode(F.array(*keys)).alias("key")).select("fp", "k", "v", "key.j", "key.w")
+
+
+def _split(rows: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members of buckets of at most ``most``, and those of larger ones with their number n; None if there are none."""
+    large = checkpoint(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    return (rows, None) if large.isEmpty() else (rows.join(large, by, "left_anti"), rows.join(large, by))
+
+
 def near_edges(prints: DataFrame, max_bits: int = 2, most_compared: int = MOST_COMPARED) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints of ``prints(fp)``, distinct, that links of ``max_bits`` connect.
 
     The fingerprint is cut into ``max_bits + 1`` segments on a ring. Of two fingerprints within ``max_bits``, some chain
     of segments starts with an equal one and keeps all its running sums within budget, so each fingerprint is dealt
     once for each segment by that segment's value, and ``ring_forest`` follows the chain inside the bucket. Buckets of
-    more than ``most_compared`` take the way of ``_ball_edges`` if ``max_bits`` is 2 or less; otherwise they are cut into
-    pieces, any two of which are compared in one task. Sizes are counted before anything is gathered.
+    more than ``most_compared`` are dealt out again by a further segment. Those that are still larger take the way of
+    ``_ball_edges`` if ``max_bits`` is 2 or less; otherwise they are cut into pieces, any two of which are compared in one
+    task. Sizes are counted before anything is gathered.
     """
-    parts = max_bits + 1
-    keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(_mask(s))).cast("long")), s[0]).alias("v")) for k, s in enumerate(_segments(parts))]
+    keys = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(_mask(s))).cast("long")), s[0]).alias("v")) for k, s in enumerate(_segments(max_bits + 1))]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.v")
-    large = checkpoint(dealt.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_compared))
-    some = not large.isEmpty()
-    small = dealt.join(large, ["k", "v"], "left_anti") if some else dealt
-    buckets = small.groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    forest = lambda rows: rows.select(F.explode(_forest_udf(max_bits)("k", "fps")).alias("e")).select("e.a", "e.b")
-    if not some:
-        return forest(buckets)
-    hot = dealt.join(large, ["k", "v"])
+    forest = lambda buckets: buckets.where(F.size("fps") > 1).select(F.explode(_forest_udf(max_bits)("k", "fps")).alias("e")).select("e.a", "e.b")
+    gathered = lambda rows, by: rows.groupBy(*by).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    coarse, fine = ["k", "v"], ["k", "v", "j", "w"]
+    small, hot = _split(dealt, coarse, most_compared)
+    edges = forest(gathered(small, coarse))
+    if hot is None:
+        return edges
+    small, hot = _split(_refined(hot, max_bits), fine, most_compared)
+    edges = edges.unionByName(forest(gathered(small, fine)))
+    if hot is None:
+        return edges
     if max_bits <= 2:
-        return forest(buckets).unionByName(_ball_edges(hot, max_bits))
+        return edges.unionByName(_ball_edges(hot, max_bits))
     pieces = F.ceil(2 * F.col("n") / most_compared).cast("int")
-    cut = checkpoint(hot.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int")).groupBy("k", "v", "piece", "n").agg(F.collect_list("fp").alias("own")))
+    cut = checkpoint(hot.withColumn("piece", F.pmod(F.xxhash64("fp"), pieces).cast("int")).groupBy(*fine, "piece").agg(F.collect_list("fp").alias("own")))
     first = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("piece"))))
-    second = cut.select("k", "v", F.col("piece").alias("other"), F.col("own").alias("others"))
-    both = first.join(second, ["k", "v", "other"]).select("k", F.sort_array(F.array_union("own", "others")).alias("fps"))
-    return forest(buckets).unionByName(forest(both))
+    second = cut.select(*fine, F.col("piece").alias("other"), F.col("own").alias("others"))
+    both = first.join(second, [*fine, "other"]).select("k", F.sort_array(F.array_union("own", "others")).alias("fps"))
+    return edges.unionByName(forest(both))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3, most_compared: int = MOST_COMPARED) -> DataFrame:

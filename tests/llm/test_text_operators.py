@@ -220,7 +220,7 @@ def groups(values, bits):
     return {frozenset(v for v in values if find(v) == r) for r in {find(v) for v in values}}
 
 
-@pytest.mark.parametrize(("bits", "most"), [(2, 4096), (2, 2), (1, 2), (0, 4096), (4, 4096), (4, 3)])
+@pytest.mark.parametrize(("bits", "most"), [(2, 4096), (2, 8), (2, 5), (2, 2), (1, 6), (1, 2), (0, 4096), (4, 4096), (4, 6), (4, 3)])
 def test_near_edges_connect_what_brute_force_links(spark, bits, most):
     bases, values = [RANDOM.getrandbits(64) for _ in range(12)], set()
     for base in bases:
@@ -238,6 +238,16 @@ def test_near_edges_connect_what_brute_force_links(spark, bits, most):
     assert joined == {g for g in groups(values, bits) if len(g) > 1}
 
 
+def test_a_large_bucket_is_split_by_a_further_segment(spark):
+    near = [(RANDOM.getrandbits(42) << 22) | 5 for _ in range(1500)]
+    near += [v ^ (1 << 30) ^ (1 << 63) for v in near[:100]]
+    prints = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(near)], "fp long")
+    fine = simhash._refined(prints.selectExpr("fp", "0 AS k", "5L AS v"), 2)
+    assert fine.count() == 3 * len(set(near)) and fine.groupBy("j", "w").count().where("count > 12").isEmpty()
+    found = {(min(r["a"], r["b"]) % (1 << 64), max(r["a"], r["b"]) % (1 << 64)) for r in simhash.near_edges(prints, 2, 50).collect()}
+    assert {frozenset(e) for e in found} >= {frozenset((v, v ^ (1 << 30) ^ (1 << 63))) for v in near[:100]}
+
+
 def test_near_duplicates_query(spark):
     texts = ["the same text of some words", "the same text of some words", "The SAME text of some words", None, "", "other words altogether here", "  ", None]
     got = {r["doc_id"]: r for r in simhash.near_duplicates(rows(spark, texts, [7, 3, 9, 5, 6, 1, None, None])).collect() if r["doc_id"] is not None}
