@@ -28,6 +28,14 @@ def contains_phrase(text: str, phrase: str) -> bool:
     return any(inside[k : k + len(wanted)] == wanted for k in range(len(inside) - len(wanted) + 1)) if phrase else False
 
 
+def has_phrase(text: Column, phrase: str) -> Column:
+    """``contains_phrase`` as a column: words are runs of letters and digits of any script; null for a null text, false for a
+    phrase without words."""
+    wanted = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    return spaced.contains(f" {' '.join(wanted)} ") if wanted else F.when(text.isNotNull(), F.lit(False))
+
+
 def ngrams(text: str, most: int) -> list[str]:
     """Word n-grams, the longest first."""
     own = words(text)

@@ -55,15 +55,19 @@ class Schema:
 
 def detect_schema(df: DataFrame) -> Schema:
     """Roles of columns: the date by its name, or because nine in ten values parse as one and nine in ten of these lie
-    in a plausible year; measures are mostly numbers; dimensions have few values for the table. One aggregate."""
+    in a plausible year; measures are mostly numbers; dimensions have few values for the table. One aggregate, and one of (column, value) pairs
+    over what is neither number nor date."""
     kinds = dict(df.dtypes)
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(_number(c, kinds[c])).alias(f"m{i}") if kinds[c] in ("string", "double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal") else F.lit(0).alias(f"m{i}"), *_dates(c, i, kinds[c]), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]).first()
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(_number(c, kinds[c])).alias(f"m{i}") if kinds[c] in ("string", "double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal") else F.lit(0).alias(f"m{i}"), *_dates(c, i, kinds[c]))]).first()
     numeric = {c for i, c in enumerate(df.columns) if first[f"n{i}"] and first[f"m{i}"] > 0.8 * first[f"n{i}"]}
     dated = [c for i, c in enumerate(df.columns) if c not in numeric and first["rows"] and first[f"t{i}"] > 0.9 * first["rows"] and first[f"y{i}"] > 0.9 * first[f"t{i}"]]
     date = next((c for c in DATE_NAMES if c in df.columns), dated[0] if dated else None)
     numeric.discard(date)
-    few = lambda i: first[f"d{i}"] <= max(60, 0.2 * first["rows"])
-    dims = [c for i, c in enumerate(df.columns) if c != date and c not in numeric and few(i)]
+    texts = [c for c in df.columns if c != date and c not in numeric]
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(texts)])).alias("x")).select("x.i", "x.v").where("v is not null").distinct() if texts else None
+    distinct = {texts[r["i"]]: r["count"] for r in values.groupBy("i").count().collect()} if texts else {}
+    few = {c for c in texts if distinct.get(c, 0) <= max(60, 0.2 * first["rows"])}
+    dims = [c for c in texts if c in few]
     return Schema(date, dims, [c for c in df.columns if c in numeric], [c for c in df.columns if c != date and c not in numeric and c not in dims], first["rows"])
 
 

@@ -43,12 +43,16 @@ def periods(text: str) -> list[dict]:
 
 
 def members(f: Facts, text: str) -> list[dict]:
-    """Members that a text names, by its longest word runs first; a word is used once. A name of several dimensions is ambiguous."""
-    found, used = [], set()
-    for gram in ngrams(text, 4):
+    """Members that a text names, by its longest word runs first; a word is used once. A name of several dimensions is ambiguous.
+
+    The runs are sought in the frame, once for each dimension, so any number of members will do.
+    """
+    grams, found, used = ngrams(text, 4), [], set()
+    known = {d: f.held(d, map(normalise, grams)) for d in f.dimensions}
+    for gram in grams:
         if used & set(gram.split()):
             continue
-        hits = [(d, f.members(d)[normalise(gram)]) for d in f.dimensions if normalise(gram) in f.members(d)]
+        hits = [(d, own[normalise(gram)]) for d, own in known.items() if normalise(gram) in own]
         if hits:
             used |= set(gram.split())
             found.append({"text": gram, "dimension": hits[0][0], "member": hits[0][1], "ambiguous": [d for d, _ in hits[1:]]})

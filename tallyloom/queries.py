@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formula
-from tallyloom.functions.text import normalised
+from tallyloom.functions.text import has_phrase, normalised
 from tallyloom.operators import conflicts, contest, documents, investigate, noise, observe, postings, profile, reconcile, relate, retrieve, telemetry
-from tallyloom.plans import contract, driver_graph
+from tallyloom.plans import contract, driver_graph, grounding
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, RowFilter, kpi
 from tallyloom.plans.registry import Engine
+from tallyloom.sources import files
 from tallyloom.sources.facts import Facts, events, from_frame, sales
 from tallyloom.sources.scratch import scratch_path
 from tallyloom.sources.small import dealt
@@ -567,6 +568,51 @@ def _roles(df: DataFrame) -> DataFrame:
 _ORDER_KINDS = {"o_orderkey": 0, "o_custkey": 0, "o_totalprice": 0, "o_orderpriority": 1, "o_orderstatus": 1}
 _table("schema_roles", lambda df: _roles(df.select("o_orderdate", *_ORDER_KINDS)),
        "SELECT 'o_orderdate' AS field, 'date' AS role UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', CASE WHEN count(try_cast({c} AS DOUBLE)) > 0.8 * count({c}) THEN 'measure' WHEN count(DISTINCT {c}) <= greatest(60, 0.2 * count(*)) THEN 'dimension' ELSE 'dropped' END FROM orders" for c in _ORDER_KINDS), "orders")
+
+
+def _round_trip(customers: DataFrame) -> DataFrame:
+    """Customers written as text with semicolons, read by the CSV scan, kept as a canonical table and summed."""
+    path = scratch_path(customers.sparkSession, "upload")
+    customers.write.option("header", True).option("sep", ";").csv(path)
+    table = files.write_canonical(files.read_csv(customers.sparkSession, path), scratch_path(customers.sparkSession, "canonical"))
+    return table.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.sum(F.col("c_acctbal").cast("double")).alias("balance"), F.max("c_name").alias("last"))
+
+
+_table("csv_round_trip", _round_trip, "SELECT c_mktsegment, count(*) AS customers, sum(c_acctbal) AS balance, max(c_name) AS last FROM customer GROUP BY c_mktsegment", "customer", doubles="balance")
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    _, kpis, notes = profile.validate(df.select("ts", "event_type", "value"))
+    return df.sparkSession.createDataFrame([("kpi", k) for k in kpis] + [("note", n) for n in notes], "part string, entry string")
+
+
+_table("upload_notes", _checked,
+       "WITH q AS (SELECT count(DISTINCT (year(ts), quarter(ts))) AS n, count(DISTINCT event_type) AS kinds, count(*) AS rows FROM events) SELECT 'kpi' AS part, 'value' AS entry UNION ALL SELECT 'note', 'no revenue, so the first KPI takes its place' UNION ALL SELECT 'note', 'only ' || n || ' quarters of history; 5 are needed to tell a signal from noise' FROM q WHERE n < 5 UNION ALL SELECT 'note', 'no dimensions, so nothing can be broken down' FROM q WHERE kinds > greatest(60, 0.2 * rows)", "events")
+
+
+def _compatible(df: DataFrame) -> DataFrame:
+    """Events as two sources: one sums values, the other counts and holds a band of the same name."""
+    day = F.to_date("ts").alias("date")
+    one = df.groupBy(day, "event_type").agg(F.sum("value").alias("value"))
+    other = df.groupBy(day, "event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("value")).agg(F.count(F.lit(1)).alias("hits"))
+    keys, measures, issues = reconcile.compatibility([reconcile.describe_source("sums.csv", one), reconcile.describe_source("hits.csv", other)])
+    return df.sparkSession.createDataFrame([("key", k) for k in keys] + [("measure", m) for m in measures] + [(i["kind"], ",".join(i["fields"])) for i in issues], "part string, entry string")
+
+
+_table("source_compatibility", _compatible,
+       "SELECT 'key' AS part, 'event_type' AS entry FROM events HAVING count(DISTINCT (ts::DATE, event_type)) > count(DISTINCT ts::DATE) UNION ALL SELECT 'measure', 'hits' UNION ALL SELECT 'measure', 'value' UNION ALL SELECT 'unit_mismatch', 'value' FROM events HAVING count(*) FILTER (WHERE value > 50) > 0 OR count(*) FILTER (WHERE value <= 50) > 0", "events")
+_table("phrase_documents", lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), *[F.count(F.when(has_phrase(F.col("text"), p), 1)).alias(n) for n, p in (("reserved", "all rights"), ("of_the", "of the"), ("umlaut", "für"))]),
+       "SELECT source, count(*) AS documents, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}]){p}([^\\p{{L}}\\p{{N}}]|$)')) AS {n}" for n, p in (("reserved", "all[^\\p{L}\\p{N}]+rights"), ("of_the", "of[^\\p{L}\\p{N}]+the"), ("umlaut", "für"))) + " FROM documents GROUP BY source", "documents")
+
+
+def _grounded(f: Facts) -> DataFrame:
+    """Members that a question names, which asks for each nation, each region and one of no dimension."""
+    named = [r["m"] for r in f.rows({"nation", "region"}).select(F.explode(F.array("nation", "region")).alias("m")).distinct().orderBy("m").collect()]
+    question = "Why did revenue fall in " + ", ".join(n.lower() for n in named) + " and Atlantis?"
+    return _frame(f, [(m["dimension"], m["member"]) for m in grounding.members(f, question)], "dimension string, member string")
+
+
+_add("ground_members", _grounded, f"SELECT DISTINCT 'nation' AS dimension, nation AS member FROM {F_SQL} UNION SELECT DISTINCT 'region', region FROM {F_SQL}")
 _table("row_grain", lambda df: df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(profile.row_grain(df, ["l_returnflag", "l_linenumber", "l_orderkey"]))], "field string, place long"),
        """WITH n AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linenumber) AS b, count(DISTINCT l_orderkey) AS c, count(DISTINCT (l_orderkey, l_returnflag)) AS ca, count(DISTINCT (l_orderkey, l_linenumber)) AS cb FROM lineitem)
 SELECT 'l_orderkey' AS field, 0 AS place FROM n WHERE c > a AND c > b UNION ALL SELECT CASE WHEN ca >= cb THEN 'l_returnflag' ELSE 'l_linenumber' END, 1 FROM n WHERE greatest(ca, cb) > c UNION ALL SELECT 'l_returnflag', 2 FROM n WHERE cb > ca AND cb < (SELECT count(DISTINCT (l_orderkey, l_linenumber, l_returnflag)) FROM lineitem)""", "lineitem", longs="place")

@@ -51,12 +51,18 @@ class Facts:
     def _spellings(self, dimension: str) -> DataFrame:
         return self.load({self.dimension(dimension)}).select(F.col(dimension).cast("string").alias("m")).where("m is not null")
 
-    def spellings(self, dimension: str, texts: Iterable[str]) -> list[str]:
-        """The frame's own spelling of each member, the smallest of several; what was asked for is sought in the frame, and remembered."""
-        wanted, known = {str(t): normalise(str(t)) for t in texts}, self._sought.setdefault(self.dimension(dimension), {})
-        if rest := sorted(set(wanted.values()) - known.keys()):
+    def held(self, dimension: str, forms: Iterable[str]) -> dict[str, str]:
+        """Those of the normal forms that are members, with the frame's smallest spelling; sought in the frame, and remembered."""
+        asked, known = set(forms), self._sought.setdefault(self.dimension(dimension), {})
+        if rest := sorted(asked - known.keys()):
             found = self._spellings(dimension).select(normalised(F.col("m")).alias("n"), "m").where(F.col("n").isin(rest)).groupBy("n").agg(F.min("m").alias("m")).collect()
-            known |= {r["n"]: r["m"] for r in found}
+            known |= dict.fromkeys(rest) | {r["n"]: r["m"] for r in found}
+        return {form: known[form] for form in asked if known[form] is not None}
+
+    def spellings(self, dimension: str, texts: Iterable[str]) -> list[str]:
+        """The frame's own spelling of each member, the smallest of several."""
+        wanted = {str(t): normalise(str(t)) for t in texts}
+        known = self.held(dimension, wanted.values())
         for text, form in wanted.items():
             if form not in known:
                 raise UnknownMember(dimension, text, list(self.members(dimension).values()))

@@ -110,3 +110,24 @@ def test_edges_name_relatives_and_what_may_not_be_compared(spark):
     assert comparability({"a": Basis(), "b": Basis()}) == [{"kpi": "a", "other": "b", "reasons": [], "comparable": True}, {"kpi": "b", "other": "a", "reasons": [], "comparable": True}]
     known, refused = driver_graph.attach(f, "out", [], ["cause", "out"])
     assert known == [] and [r["source"] for r in refused] == ["cause"]
+
+
+def test_phrases_are_found_as_whole_words_in_columns(spark):
+    from tallyloom.functions.text import contains_phrase, has_phrase
+
+    texts = ["Net revenue, by region", "net_revenue", "netrevenue", "internet revenue", "", "  ", "für die NET  --revenue", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for phrase in ("net revenue", "Für die", "revenue", "", "--"):
+        got = [r[0] for r in df.select(has_phrase(df["t"], phrase)).collect()]
+        assert got == [None if t is None else bool(phrase.strip("-")) and contains_phrase(t, phrase) for t in texts]
+
+
+def test_members_are_sought_in_the_frame_and_remembered(spark):
+    from tallyloom.plans.grounding import members
+    from tallyloom.sources.facts import from_frame
+
+    rows = spark.createDataFrame([("2026-01-01", "New York", "north", 1.0), ("2026-01-02", "York", "new york", 2.0)], "date string, city string, area string, net double").selectExpr("CAST(date AS timestamp_ntz) AS date", "city", "area", "net")
+    f = from_frame(rows, ["city", "area"], ["net"])
+    assert members(f, "sales in new york and York") == [{"text": "new york", "dimension": "city", "member": "New York", "ambiguous": ["area"]}]
+    assert f.held("city", ["york", "paris"]) == {"york": "York"} and f.held("city", ["paris"]) == {}
+    assert members(f, "") == []
