@@ -8,8 +8,8 @@ import numpy as np
 DEGREE, POOL, BEAM, SLACK = 20, 48, 32, 1.5
 #: Nearest others of a node that always have an edge to it.
 KEPT = 3
-#: Queries that walk the graph together; bounds memory.
-TOGETHER = 256
+#: Queries that walk the graph together, and edges that they follow at once when they widen; both bound memory.
+TOGETHER, FOLLOWED = 256, 1 << 20
 
 
 def medoid(vectors: np.ndarray) -> int:
@@ -76,11 +76,14 @@ def walk(vectors: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np
         if len(rows):
             rank(rows, nodes, value)
     front = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    most = max(1, FOLLOWED // max(1, edges.shape[1]))
     while len(front[0]):
-        near = edges[front[1]]
-        r, c = np.nonzero(near >= 0)
-        meet(front[0][r], near[r, c])
-        front = found[-1]
+        before = len(found)
+        for at in range(0, len(front[0]), most):
+            near = edges[front[1][at : at + most]]
+            r, c = np.nonzero(near >= 0)
+            meet(front[0][at : at + most][r], near[r, c])
+        front = tuple(np.concatenate(x) for x in zip(*found[before:], strict=True))
     rows, nodes, value = (np.concatenate(x) for x in zip(*found, strict=True))
     return rows, nodes, value
 

@@ -22,8 +22,8 @@ SHARD, OVERLAP = 2000, 2
 CHILDREN, SAMPLE, DEEPEST = 64, 32, 8
 #: Vectors that one task deals to clusters, and searches from elsewhere that one task takes in.
 MOST_ROUTED, MOST_GUESTS = 16_384, 4096
-#: Vectors of a block that are compared with another block's at once.
-BLOCK = 1024
+#: Vectors of a block that are compared with another block's at once, and pairs times shards that are looked at at once.
+BLOCK, MOST_LOOKED = 1024, 1 << 22
 #: Queries of the recall audit in a label, about, and the recall of a label below which it is searched anew.
 MOST_AUDITED, LEAST_RECALL, ATTEMPTS = 500, 0.995, 3
 #: How far single precision may be off: what a walk finds this near its bound is compared in double precision.
@@ -159,11 +159,29 @@ def _rows(kind: int, a, b=None, n=None, cell=None) -> pa.RecordBatch:
 
 def _linked(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Links among places of ``ids`` as stars around the smallest place of each connected part."""
-    root = graph.stars(len(ids), a, b)
+    return _stars(ids, graph.stars(len(ids), a, b))
+
+
+def _stars(ids: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     some = np.nonzero(root != np.arange(len(ids)))[0]
     return _rows(STAR, ids[some], ids[root[some]])
 
 
+def _visits(a: np.ndarray, nodes: np.ndarray, belongs: np.ndarray, this: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, node) the first for each a and shard that the node belongs to and a does not, and that shard; a slice of the pairs at a time."""
+    names, keys, pairs = belongs.shape[1], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = max(1, MOST_LOOKED // max(1, names))
+    for at in range(0, len(a), most):
+        away = belongs[nodes[at : at + most]] & ~belongs[a[at : at + most]]
+        if this >= 0:
+            away[:, this] = False
+        p, code = np.nonzero(away)
+        every = np.concatenate([keys, a[at + p] * names + code])
+        keys, first = np.unique(every, return_index=True)
+        pairs = np.concatenate([pairs, at + p])[first]
+    return pairs, keys % max(1, names)
+
+
 def _completed(walked: tuple[np.ndarray, np.ndarray, np.ndarray], close: np.ndarray, bound, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What a walk found, and what of its shard is in range besides: an exact check of a bounded shard, so that a range whose graph falls into parts is whole.
 
@@ -187,10 +205,13 @@ def _searcher(threshold: float, beam: int):
     is at home, so each pair is counted once for each side; one whose members may be linked is named. Where a leader
     in range belongs to other shards, its list leads there: the query is to visit these. What a walk leaves out of its
     shard is found by an exact check of the shard, which is bounded, so that visits lead on along everything in range.
+
+    What TOGETHER queries find leaves the task before the next ones search, and their links are folded into stars, so
+    that a dense shard, in which all are in range of all, takes no memory by its pairs.
     """
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("guest", "ascending"), ("node", "ascending")])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by([("guest", "ascending"), ("node", "ascending")])
         everyone, m = table["node"].to_numpy(), len(table) - int(np.count_nonzero(table["guest"].to_numpy()))
         vectors, reach = _matrix(table["vec"], len(table)), table["reach"].to_numpy()
         ids, home, weight = everyone[:m], table["home"].to_numpy()[:m], table["weight"].to_numpy()[:m]
@@ -207,7 +228,7 @@ def _searcher(threshold: float, beam: int):
         for k, row in enumerate(own_cells):
             belongs[k, row] = True
         this = names.get(table["cell"][0].as_py(), -1)
-        out, pairs = [], [np.zeros((0, 2), np.int64)]
+        root = np.arange(len(table))
         for at in range(0, len(queries), graph.TOGETHER):
             own = queries[at : at + graph.TOGETHER]
             bound = lambda rows, nodes, own=own: _bounds(threshold, reach[own[rows]] + reach[nodes])[0]
@@ -223,23 +244,18 @@ def _searcher(threshold: float, beam: int):
             a, here = own[rows], home[nodes]
             counts = np.bincount(rows[one & here], weight[nodes[one & here]], len(own)).astype(np.int64)
             some = np.nonzero(counts)[0]
-            out.append(_rows(COUNT, everyone[own[some]], n=counts[some]))
-            pairs.append(np.stack([a[one], nodes[one]], axis=1))
+            yield _rows(COUNT, everyone[own[some]], n=counts[some])
+            tied = np.nonzero(root != np.arange(len(root)))[0]
+            root = graph.stars(len(root), np.concatenate([tied, a[one]]), np.concatenate([root[tied], nodes[one]]))
             ball = np.stack([everyone[a[~one]], ids[nodes[~one]]], axis=1)
             ball = np.unique(np.sort(ball, axis=1), axis=0)
-            out.append(_rows(BALLS, ball[:, 0], ball[:, 1]))
+            yield _rows(BALLS, ball[:, 0], ball[:, 1])
             partners = np.bincount(rows[here], minlength=len(own))
             some = np.nonzero(asked[own] & (partners > 0))[0]
-            out.append(_rows(AUDITED, everyone[own[some]], n=partners[some]))
-            away = belongs[nodes] & ~belongs[a]
-            if this >= 0:
-                away[:, this] = False
-            p, code = np.nonzero(away)
-            _, first = np.unique(a[p] * len(names) + code, return_index=True)
-            out.append(_rows(VISIT, everyone[a[p[first]]], ids[nodes[p[first]]], cell=by_code[code[first]]))
-        linked = np.concatenate(pairs)
-        out.append(_linked(everyone, linked[:, 0], linked[:, 1]))
-        return pa.Table.from_batches(out)
+            yield _rows(AUDITED, everyone[own[some]], n=partners[some])
+            first, code = _visits(a, nodes, belongs, this)
+            yield _rows(VISIT, everyone[a[first]], ids[nodes[first]], cell=by_code[code])
+        yield _stars(everyone, root)
 
     return search
 

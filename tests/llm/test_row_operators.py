@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,3 +475,23 @@ def test_operators_leave_the_session_as_it_was(spark):
     for name, run in queries.QUERIES.items():
         run(spark, "/root/testdata/sf0.001")
         assert held() == before, name
+
+
+def test_a_dense_shard_is_searched_in_bounded_memory():
+    n, random = 1000, np.random.default_rng(3)
+    vectors = vector_dedup.unit(random.normal(size=(1, 16)) + 0.01 * random.normal(size=(n, 16)))
+    hub = [np.array([j for j in range(n) if j != i]) if i % 10 == 0 else np.array([i - i % 10]) for i in range(n)]
+    columns = {"cell": ["c"] * n, "node": np.arange(n), "vec": pa.array(list(vectors)), "weight": np.ones(n, np.int64), "reach": np.zeros(n), "home": np.ones(n, bool), "asked": np.ones(n, bool)}
+    table = pa.table({**columns, "cells": [["c", f"d{k % 100}"] for k in range(n)], "near": pa.array(hub), "guest": np.zeros(n, bool), "entry": pa.nulls(n, pa.int64())})
+    tracemalloc.start()
+    found = list(vector_dedup._searcher(0.98, flat_graph.BEAM)(iter(table.to_batches())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = pa.Table.from_batches(found).to_pandas()
+    counts = rows[rows["kind"] == vector_dedup.COUNT].set_index("a")["n"]
+    assert len(counts) == n and (counts == n - 1).all()
+    stars = rows[rows["kind"] == vector_dedup.STAR]
+    assert sorted(stars["a"]) == list(range(1, n)) and (stars["b"] == 0).all()
+    visits = rows[rows["kind"] == vector_dedup.VISIT]
+    assert set(zip(visits["a"], visits["cell"])) == {(a, f"d{k}") for a in range(n) for k in range(100) if k != a % 100}
+    assert peak < 400 << 20, peak
