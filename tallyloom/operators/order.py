@@ -76,6 +76,12 @@ def counted(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return kept(df.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending cuts are below a value, by halving: a few steps a row however many there are."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
 def quantiles(counts: DataFrame, fractions: dict[str, float], most: int | None = None) -> DataFrame:
     """(field, names of fractions): exact quantiles of each field of ``counts``, between two values by linear interpolation.
 
@@ -90,7 +96,7 @@ def quantiles(counts: DataFrame, fractions: dict[str, float], most: int | None =
     parts = min(1024, _ranges(rows, most))
     cuts = own.groupBy("field").agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"), F.sum("n").alias("total"))
     cuts = kept(cuts)
-    ranged = own.join(F.broadcast(cuts.select("field", "cuts")), "field").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    ranged = own.join(F.broadcast(cuts.select("field", "cuts")), "field").withColumn("range", _below(F.col("cuts"), F.col("value"), parts - 1)).drop("cuts")
     held = ranged.groupBy("field", "range").agg(F.sum("n").alias("held"))
     held = held.withColumn("before", F.sum("held").over(Window.partitionBy("field").orderBy("range")) - F.col("held"))
     at = lambda p: F.lit(float(p)) * (F.col("total") - 1)

@@ -1,5 +1,6 @@
 """Places, running sums, order statistics and totals by ranges against plain arithmetic."""
 
+import bisect
 import random
 from itertools import accumulate
 
@@ -99,3 +100,10 @@ def test_operators_are_alike_by_ranges(spark):
 def test_profile_of_a_table_without_rows(spark):
     got = profile.profile(spark.createDataFrame([], "a double, b string"), ["a", "b"]).collect()
     assert sorted((r["field"], r["rows"], r["nulls"], r["distinct"], r["median"], r["whole"]) for r in got) == [("a", 0, 0, 0, None, False), ("b", 0, 0, 0, None, False)]
+
+
+def test_ranges_of_values_are_found_by_halving(spark):
+    cuts = [sorted(RANDOM.choices(range(40), k=k)) for k in (0, 1, 2, 3, 7, 8, 40)]
+    rows = [(list(map(float, c)), v / 2) for c in cuts for v in range(-2, 84)]
+    df = spark.createDataFrame(rows, "cuts array<double>, value double").withColumn("below", order._below(F.col("cuts"), F.col("value"), 40))
+    assert all(r["below"] == bisect.bisect_left(r["cuts"], r["value"]) for r in df.collect())
