@@ -434,6 +434,21 @@ def test_the_overview_holds_together(weekly):
     assert got["focus"].where("member = 'North'").count() == 1 and got["weeks"].count() <= 41
 
 
+def test_one_frame_of_the_overview_runs_no_other(weekly, monkeypatch):
+    from tallyloom.operators import observe
+
+    def refused(*args, **kwargs):
+        raise AssertionError("nobody asked for this")
+
+    for name in ("rank_drivers", "shapley", "focus", "by_member", "movement"):
+        monkeypatch.setattr(observe.investigate, name, refused)
+    got = observe.observe(weekly)
+    assert got["quarters"].count() > 1 and got["weeks"].count() <= 41 and got["value"].count() == 1
+    assert {"attribution", "drivers", "focus", "members_region", "scoreboard"} <= set(got)
+    with pytest.raises(AssertionError):
+        got["drivers"]
+
+
 def test_questions_are_grounded(weekly):
     from tallyloom.plans.grounding import ground, periods
 
