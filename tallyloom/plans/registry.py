@@ -333,13 +333,15 @@ def rank_kpis_by_movement(e: Engine, time_filter, baseline=None, filters=None, o
 
 @tool("scan", "Moves that are material and unusual, with their trend and onset.", time_filter="time!", filters="filters", grain="grain", max_followups="integer")
 def scan_anomalies(e: Engine, time_filter, filters=None, grain="quarter", max_followups=5) -> dict:
-    found = _scan(e, time_filter, filters)
-    if found is None:
+    own = _single(time_filter)
+    if own is None:
         return {"status": "unsupported_baseline"}
+    daily = e.facts.daily(e.keys, filters)
+    found = noise.significance(daily, e.keys, own[0], own[1])
     marked = noise.filter_material(found).where("material").orderBy(F.abs("z").desc_nulls_last(), "kpi").limit(max(0, max_followups)).collect()
     keys = [r["kpi"] for r in marked]
-    trends = {r["kpi"]: r.asDict() for r in noise.trend(e.facts, keys, grain, "all", filters).collect()} if keys else {}
-    onsets = {r["kpi"]: r.asDict() for r in noise.changepoint(e.facts, keys, "week", "all", filters).collect()} if keys else {}
+    trends = {r["kpi"]: r.asDict() for r in noise.trend(daily, keys, grain).collect()} if keys else {}
+    onsets = {r["kpi"]: r.asDict() for r in noise.changepoint(daily, keys, "week").collect()} if keys else {}
     return {"anomalies": [{**r.asDict(), "trend": trends.get(r["kpi"]), "changepoint": onsets.get(r["kpi"])} for r in marked]}
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.errors import EmptyPeriod, InvalidArgument, UnknownDimension, UnknownMember
+from tallyloom.functions import formula
 from tallyloom.functions.text import normalise, normalised
 from tallyloom.plans import timefilter as tf
 from tallyloom.plans.kpi import Catalog, Kpi, kpi
+from tallyloom.sources.scratch import kept
 
 #: Members of a dimension that are indexed on the driver, for search in free text and for suggestions.
 MOST_INDEXED = 10_000
@@ -110,6 +112,18 @@ class Facts:
         counts = [F.count(F.when(test, 1)).alias(f"rows{suffix}") for suffix, test in tests.items()]
         return frame.groupBy(*group).agg(*sums, *counts)
 
+    def daily(self, keys: Iterable[str], filters: dict | None = None) -> Facts:
+        """Facts of the KPIs' sums by day: one scan, kept, a row for each day held, from which series of any grain come.
+
+        KPIs have their keys and values; a row of these facts is a day, so counts of rows are counts of days.
+        """
+        kpis = [self.kpi(k) for k in keys]
+        rows = self.rows({c for k in kpis for c in k.fields()}, None, filters)
+        sums = kept(rows.groupBy(F.date_trunc("day", F.col("date")).alias("date")).agg(*[s for k in kpis for s in k.sums()]), "daily")
+        tops = {k.key: k.sum_names() for k in kpis}
+        own = [replace(k, kind="sum" if k.additive else "ratio", numerator=formula.Ref(tops[k.key][0]), denominator=None if k.additive else formula.Ref(tops[k.key][1]), filters=()) for k in kpis]
+        return from_frame(sums, [], [n for names in tops.values() for n in names], own)
+
     def scope(self, spec: object) -> tf.TimeFilter:
         return tf.parse(spec)
 

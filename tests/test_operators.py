@@ -449,6 +449,21 @@ def test_one_frame_of_the_overview_runs_no_other(weekly, monkeypatch):
         got["drivers"]
 
 
+def test_anomalies_come_from_one_scan(weekly):
+    from dataclasses import replace
+
+    from tallyloom.plans.registry import Engine
+
+    keys, loads = list(weekly.catalog.kpis), []
+    for grain in ("day", "week", "quarter"):
+        names = ["ord", *keys]
+        want, got = (sorted(map(tuple, noise.series(f, keys, grain).select(*names).collect())) for f in (weekly, weekly.daily(keys)))
+        assert len(want) == len(got) and all(a == pytest.approx(b) for a, b in zip(want, got, strict=True))
+    counting = replace(weekly, load=lambda columns: (loads.append(columns), weekly.load(columns))[1])
+    assert Engine(counting).call("scan_anomalies", {"time_filter": A})["anomalies"] is not None
+    assert len(loads) == 1
+
+
 def test_questions_are_grounded(weekly):
     from tallyloom.plans.grounding import ground, periods
 
