@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,9 +79,12 @@ def counted(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 
 def _below(cuts: Column, value: Column, most: int) -> Column:
-    """How many of at most ``most`` ascending cuts are below a value, by halving: a few steps a row however many there are."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+    """How many of at most ``most`` ascending cuts are below a value: first of every so many, then of those between two of
+    these. Some twice the square root of ``most`` comparisons a row, which are compiled; a loop over an array is not."""
+    step = math.isqrt(most) + 1
+    under = lambda at: F.coalesce((F.get(cuts, at) < value).cast("int"), F.lit(0))
+    first = sum((under(F.lit(at)) for at in range(step - 1, most, step)), F.lit(0)) * step
+    return sum((under(first + k) for k in range(step - 1)), first)
 
 
 def quantiles(counts: DataFrame, fractions: dict[str, float], most: int | None = None) -> DataFrame:
@@ -101,16 +106,19 @@ def quantiles(counts: DataFrame, fractions: dict[str, float], most: int | None =
     held = held.withColumn("before", F.sum("held").over(Window.partitionBy("field").orderBy("range")) - F.col("held"))
     at = lambda p: F.lit(float(p)) * (F.col("total") - 1)
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(e).alias("end"), f(at(p)).cast("long").alias("rank"), at(p).alias("at")) for k, p in fractions.items() for e, f in (("low", F.floor), ("high", F.ceil))]))
-    wanted = cuts.select("field", ends.alias("w")).select("field", "w.*").join(held, "field").where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("held")))
-    wanted = F.broadcast(kept(wanted.select("field", "range", "name", "end", "at", (F.col("rank") - F.col("before")).alias("rank"))))
-    inside = ranged.join(wanted.select("field", "range").distinct(), ["field", "range"], "left_semi")
+    wanted = cuts.select("field", "cuts", ends.alias("w")).select("field", "cuts", "w.*").join(held, "field").where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("held")))
+    over, last = F.get("cuts", F.col("range") - 1).alias("over"), F.get("cuts", F.col("range")).alias("last")
+    wanted = F.broadcast(kept(wanted.select("field", "range", over, last, "name", "end", "at", (F.col("rank") - F.col("before")).alias("rank"))))
+    # the few ranges wanted are told by their ends, so that no value's range is sought again
+    within = F.coalesce(F.col("value") > F.col("over"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("last"), F.lit(True))
+    inside = own.join(F.broadcast(wanted.select("field", "range", "over", "last").distinct()), "field").where(within).select("field", "range", "value", "n")
     inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("field", "range").orderBy("value")))
     hit = inside.join(wanted, ["field", "range"]).where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
 
     def quantile(name: str) -> Column:
         end = lambda e, c: F.max(F.when((F.col("name") == name) & (F.col("end") == e), F.col(c)))
         low, high, where = end("low", "value"), end("high", "value"), end("low", "at")
-        return (low + (high - low) * (where - F.floor(where))).alias(name)
+        return F.when(low == high, low).otherwise(low + (high - low) * (where - F.floor(where))).alias(name)  # equal ends may be infinite
 
     return hit.groupBy("field").agg(*[quantile(k) for k in fractions])
 

@@ -123,7 +123,7 @@ def profile(df: DataFrame, columns: list[str], most: int | None = None) -> DataF
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.bool_and(F.col("value") == F.floor("value")).alias("whole"),
     )
-    fields = df.sparkSession.createDataFrame([(c,) for c in columns], "field string")
+    fields = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("field"))
     met = fields.join(facts, "field", "left").join(quantiles(counts, {"median": 0.5}, most), "field", "left")
     nil = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return met.select("field", nil("rows"), nil("nulls"), nil("distinct"), "min", "max", "median", F.coalesce("whole", F.lit(False)).alias("whole"))

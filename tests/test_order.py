@@ -107,3 +107,14 @@ def test_ranges_of_values_are_found_by_halving(spark):
     rows = [(list(map(float, c)), v / 2) for c in cuts for v in range(-2, 84)]
     df = spark.createDataFrame(rows, "cuts array<double>, value double").withColumn("below", order._below(F.col("cuts"), F.col("value"), 40))
     assert all(r["below"] == bisect.bisect_left(r["cuts"], r["value"]) for r in df.collect())
+
+
+def test_wanted_ranges_are_told_by_their_ends(spark):
+    """A value's range is sought once, to count the ranges; the rows of the wanted ones come from comparisons with two ends."""
+    values = [float("-inf"), -0.0, 0.0, 0.0, None, float("inf"), *[float(k // 3) for k in range(300)]]
+    counts = order.counted(spark.createDataFrame([(v,) for v in values], "v double"), {"v": F.col("v")})
+    found = order.quantiles(counts, {"low": 0.0, "half": 0.5, "high": 1.0}, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "cuts" not in plan
+    row = found.first()
+    assert (row["low"], row["high"]) == (float("-inf"), float("inf")) and row["half"] == np.quantile([v for v in values if v is not None and abs(v) < 1e9], 0.5)
