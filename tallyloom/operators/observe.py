@@ -50,11 +50,13 @@ def observe(f: Facts, kpi_key: str | None = None, period: str | None = None, dim
     """Frames by name. The period is the latest quarter held unless given; it is compared with the one before."""
     key = kpi_key or default_kpi(f)
     dims, keys = list(dimensions or f.dimensions), f.catalog.available(f.measures)
-    now = lru_cache(maxsize=None)(lambda: tf.parse(period) if period else latest(f))
+    # values and histories come from the KPI's sums by day, which tell the latest quarter too: the facts are scanned and joined once
+    day = lru_cache(maxsize=None)(lambda: f.daily([key]))
+    now = lru_cache(maxsize=None)(lambda: tf.parse(period) if period else latest(day()))
     pair = lambda: (now(), tf.previous(now()))
     out: dict[str, Callable[[], DataFrame]] = {
-        "value": lambda: noise.compare(f, key, *pair()), "significance": lambda: noise.significance(f, [key], now().name, now().kind), "quarters": lambda: retrieve.series(f, [key], "quarter"),
-        "weeks": lambda: retrieve.series(f, [key], "week", {"type": "latest", "grain": "quarter", "n": 3}), "scoreboard": lambda: investigate.movement(f, keys, *pair()),
+        "value": lambda: noise.compare(day(), key, *pair()), "significance": lambda: noise.significance(day(), [key], now().name, now().kind), "quarters": lambda: retrieve.series(day(), [key], "quarter"),
+        "weeks": lambda: retrieve.series(day(), [key], "week", {"type": "latest", "grain": "quarter", "n": 3}), "scoreboard": lambda: investigate.movement(f, keys, *pair()),
     }
     if f.kpi(key).kind != "mean":
         out |= {f"members_{d}": partial(lambda d: investigate.by_member(f, key, d, *pair()), d) for d in dims}

@@ -46,10 +46,10 @@ def series(f: Facts, kpi_keys: list[str], grain: str = "quarter", time_filter=AL
     if grain not in tf.GRAINS:
         raise InvalidArgument(f"no grain {grain!r}")
     kpis = [f.kpi(k) for k in kpi_keys]
-    need = {c for k in kpis for c in k.fields()} | ({group} if group else set())
+    need = f.needed(kpis) | ({group} if group else set())
     keys = ([group] if group else []) + ["ord"]
     rows = f.rows(need, tf.parse(time_filter), filters).withColumn("ord", tf.ordinal(F.col("date"), grain))
-    sums = rows.groupBy(*keys).agg(*[s for k in kpis for s in k.sums()], F.count(F.lit(1)).alias("rows"))
+    sums = rows.groupBy(*keys).agg(*[s for k in kpis for s in k.sums()], f.count().alias("rows"))
     return sums.select(*keys, tf.ordinal_name(F.col("ord"), grain).alias("period"), *[k.finish().alias(k.key) for k in kpis], "rows")
 
 

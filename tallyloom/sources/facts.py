@@ -25,13 +25,14 @@ class Facts:
     """A fact frame that is read for the columns a query needs.
 
     ``load`` returns the frame with at least the given columns and ``date``; joins that only bring other columns are
-    left out of the plan.
+    left out of the plan. ``weight`` is the column that says how many rows one stands for, where rows are sums already.
     """
 
     load: Callable[[set[str]], DataFrame]
     dimensions: list[str]
     measures: list[str]
     catalog: Catalog
+    weight: str | None = None
     _members: dict[str, dict[str, str]] = field(default_factory=dict)
     _sought: dict[str, dict[str, str]] = field(default_factory=dict)
 
@@ -95,34 +96,44 @@ class Facts:
             frame = frame.where(test)
         return frame.withColumns({k: tf.label(F.col("date"), grain) for k, grain in PERIODS.items() if k in columns})
 
+    def count(self, when: Column | None = None) -> Column:
+        """How many rows there are, or how many of them pass a test."""
+        one = F.lit(1) if self.weight is None else F.col(self.weight)
+        own = one if when is None else F.when(when, one)
+        return F.count(own) if self.weight is None else F.coalesce(F.sum(own), F.lit(0))
+
+    def needed(self, kpis: Iterable[Kpi]) -> set[str]:
+        """The columns that KPIs' sums and counts take."""
+        return {c for k in kpis for c in k.fields()} | ({self.weight} if self.weight else set())
+
     def sums(self, kpis: Iterable[Kpi], group: Iterable[str] = (), scope: tf.TimeFilter | Column | None = None, filters: dict | None = None) -> DataFrame:
         """The sums of each KPI and the rows by group: one scan, one shuffle of partial sums."""
         kpis, group = list(kpis), list(group)
-        need = set(group) | {c for k in kpis for c in k.fields()}
-        return self.rows(need, scope, filters).groupBy(*group).agg(*[s for k in kpis for s in k.sums()], F.count(F.lit(1)).alias("rows"))
+        need = set(group) | self.needed(kpis)
+        return self.rows(need, scope, filters).groupBy(*group).agg(*[s for k in kpis for s in k.sums()], self.count().alias("rows"))
 
     def pair(self, k: Kpi, current: tf.TimeFilter, baseline: tf.TimeFilter, group: Iterable[str] = (), filters: dict | None = None, others: Iterable[Kpi] = ()) -> DataFrame:
         """Sums of a KPI in two scopes side by side (suffixes _c and _b) by group, in one scan and without a join."""
         group, kpis = list(group), [k, *others]
         anchor = self.load(set())
         tests = {"_c": current.bind(anchor).predicate(F.col("date")), "_b": baseline.bind(anchor).predicate(F.col("date"))}
-        need = set(group) | {c for x in kpis for c in x.fields()}
+        need = set(group) | self.needed(kpis)
         frame = self.rows(need, tests["_c"] | tests["_b"], filters)
         sums = [s for suffix, test in tests.items() for x in kpis for s in x.sums(test, suffix)]
-        counts = [F.count(F.when(test, 1)).alias(f"rows{suffix}") for suffix, test in tests.items()]
+        counts = [self.count(test).alias(f"rows{suffix}") for suffix, test in tests.items()]
         return frame.groupBy(*group).agg(*sums, *counts)
 
     def daily(self, keys: Iterable[str], filters: dict | None = None) -> Facts:
         """Facts of the KPIs' sums by day: one scan, kept, a row for each day held, from which series of any grain come.
 
-        KPIs have their keys and values; a row of these facts is a day, so counts of rows are counts of days.
+        KPIs have their keys, values and counts of rows. Means are ratios here.
         """
         kpis = [self.kpi(k) for k in keys]
         rows = self.rows({c for k in kpis for c in k.fields()}, None, filters)
-        sums = kept(rows.groupBy(F.date_trunc("day", F.col("date")).alias("date")).agg(*[s for k in kpis for s in k.sums()]), "daily")
+        sums = kept(rows.groupBy(F.date_trunc("day", F.col("date")).alias("date")).agg(*[s for k in kpis for s in k.sums()], F.count(F.lit(1)).alias("_rows")), "daily")
         tops = {k.key: k.sum_names() for k in kpis}
         own = [replace(k, kind="sum" if k.additive else "ratio", numerator=formula.Ref(tops[k.key][0]), denominator=None if k.additive else formula.Ref(tops[k.key][1]), filters=()) for k in kpis]
-        return from_frame(sums, [], [n for names in tops.values() for n in names], own)
+        return replace(from_frame(sums, [], [n for names in tops.values() for n in names], own), weight="_rows")
 
     def scope(self, spec: object) -> tf.TimeFilter:
         return tf.parse(spec)

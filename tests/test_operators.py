@@ -471,3 +471,24 @@ def test_questions_are_grounded(weekly):
     assert got["kpi"] == "revenue" and got["members"][0]["member"] == "North" and [p["quarter"] for p in got["periods"]] == [2, 1] and len(got["sides"]) == 2
     assert periods("from 1999 to 2001, May 2000 and the last 3 weeks") == [{"type": "years", "values": [1999, 2000, 2001]}, {"type": "months", "start": "2000-05", "end": "2000-05"}, {"type": "latest", "grain": "week", "n": 3}]
     assert ground(weekly, "nothing known here")["kpi"] is None
+
+
+def test_values_and_histories_of_the_overview_come_from_one_scan(weekly):
+    from dataclasses import replace
+
+    from tallyloom.operators.observe import latest, observe
+    from tallyloom.plans import timefilter as tf
+
+    loads = []
+    counting = replace(weekly, load=lambda columns: (loads.append(columns), weekly.load(columns))[1])
+    got = observe(counting)
+    names = ("quarters", "weeks", "value", "significance")
+    found = {n: got[n].collect() for n in names}
+    assert len(loads) == 1
+    now = latest(weekly)
+    want = {"quarters": retrieve.series(weekly, ["revenue"], "quarter"), "weeks": retrieve.series(weekly, ["revenue"], "week", {"type": "latest", "grain": "quarter", "n": 3}), "value": noise.compare(weekly, "revenue", now, tf.previous(now)), "significance": noise.significance(weekly, ["revenue"], now.name)}
+    for n in names:
+        rows, plain = (sorted(x, key=str) for x in (found[n], want[n].collect()))
+        assert want[n].columns == got[n].columns and len(rows) == len(plain) > 0
+        for a, b in zip(rows, plain, strict=True):
+            assert all(x == pytest.approx(y) if isinstance(y, float) else x == y for x, y in zip(a, b, strict=True)), n
