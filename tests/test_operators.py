@@ -492,3 +492,14 @@ def test_values_and_histories_of_the_overview_come_from_one_scan(weekly):
         assert want[n].columns == got[n].columns and len(rows) == len(plain) > 0
         for a, b in zip(rows, plain, strict=True):
             assert all(x == pytest.approx(y) if isinstance(y, float) else x == y for x, y in zip(a, b, strict=True)), n
+
+
+def test_bm25_shuffles_and_sorts_a_row_for_each_term_of_a_batch(spark):
+    """A term's pieces of one Arrow batch are one row of lists, from the counting on; null and text ids come back as they are."""
+    rows = [(None if k == 7 else f"d{k}", f"word{k % 50} common common") for k in range(400)]
+    found = index(spark.createDataFrame(rows, "name string, text string").coalesce(1), spark, ids=("name",), heading_col=None)
+    held = spark.read.parquet(f"{found.path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("df"), F.sum("words").alias("words")).collect()
+    assert {r["term"]: (r["rows"], r["df"], r["words"]) for r in held} == {"common": (1, 400, 800), **{f"word{k}": (1, 8, 8) for k in range(50)}}
+    got = found.postings(["common", "word7"]).collect()
+    assert sorted((r["term"], str(r["name"]), r["tf"], r["dl"]) for r in got) == sorted([("common", str(n), 2, 3) for n, _ in rows] + [("word7", str(n), 1, 3) for n, t in rows if t.startswith("word7 ")])
+    assert found.n == 400 and found.average == 3.0 and found.frequencies(["common", "word7"]) == {"common": 400, "word7": 8}
