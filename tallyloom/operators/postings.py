@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tallyloom.operators.documents import STOP_WORDS, TOKEN, tokens
+from tallyloom.sources.scratch import kept
 
 #: BM25's constants, the boost for each phrase that must be there, the score that is full strength, and
 #: the least score of evidence.
@@ -79,6 +80,7 @@ class Index:
             found = found.join(gated, same).select(*self.ids, (F.col("score") * (1 + BOOST * F.col("phrases"))).alias("score"), "hits")
         best = F.col("best")
         if limit is None:
+            found = kept(found)  # read for the best score and for the rows
             found = found.crossJoin(F.broadcast(found.agg(F.max("score").alias("best"))))
         else:
             found = found.orderBy(F.desc("score"), *[F.desc(c) for c in self.ids]).limit(limit).withColumn("best", F.max("score").over(Window.partitionBy()))

@@ -503,3 +503,10 @@ def test_bm25_shuffles_and_sorts_a_row_for_each_term_of_a_batch(spark):
     got = found.postings(["common", "word7"]).collect()
     assert sorted((r["term"], str(r["name"]), r["tf"], r["dl"]) for r in got) == sorted([("common", str(n), 2, 3) for n, _ in rows] + [("word7", str(n), 1, 3) for n, t in rows if t.startswith("word7 ")])
     assert found.n == 400 and found.average == 3.0 and found.frequencies(["common", "word7"]) == {"common": 400, "word7": 8}
+
+
+def test_bm25_reads_the_pieces_once_for_scores_and_best(spark):
+    found = index(spark.createDataFrame([(k, f"word{k % 5} common thing") for k in range(40)], "doc_id long, text string"), spark, ids=("doc_id",), heading_col=None)
+    got = found.search("word3", must_include=["common thing"], limit=None)
+    assert not any("/pieces/" in f for f in got.inputFiles())  # they were read before, into what is shown
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(3, 40, 5)) and {r["relevance"] for r in got.collect()} == {1.0}
