@@ -26,6 +26,8 @@ class Facts:
 
     ``load`` returns the frame with at least the given columns and ``date``; joins that only bring other columns are
     left out of the plan. ``weight`` is the column that says how many rows one stands for, where rows are sums already.
+    ``parts``, where dates come from a join, gives named sums of the same rows by the join's key, with ``date``, summed
+    before the join, or None where a column is joined too.
     """
 
     load: Callable[[set[str]], DataFrame]
@@ -33,6 +35,7 @@ class Facts:
     measures: list[str]
     catalog: Catalog
     weight: str | None = None
+    parts: Callable[[set[str], dict[str, Column], Column | None], DataFrame | None] | None = None
     _members: dict[str, dict[str, str]] = field(default_factory=dict)
     _sought: dict[str, dict[str, str]] = field(default_factory=dict)
 
@@ -126,11 +129,18 @@ class Facts:
     def daily(self, keys: Iterable[str], filters: dict | None = None) -> Facts:
         """Facts of the KPIs' sums by day: one scan, kept, a row for each day held, from which series of any grain come.
 
-        KPIs have their keys, values and counts of rows. Means are ratios here.
+        KPIs have their keys, values and counts of rows. Means are ratios here. A join that only brings the date takes a
+        row for each of its keys, not one for each fact, so less is shuffled.
         """
         kpis = [self.kpi(k) for k in keys]
-        rows = self.rows({c for k in kpis for c in k.fields()}, None, filters)
-        sums = kept(rows.groupBy(F.date_trunc("day", F.col("date")).alias("date")).agg(*[s for k in kpis for s in k.sums()], F.count(F.lit(1)).alias("_rows")), "daily")
+        fields = {c for k in kpis for c in k.fields()}
+        aggs = {n: s for k in kpis for n, s in zip(k.sum_names(), k.sums(), strict=True)} | {"_rows": F.count(F.lit(1))}
+        rows = self.parts(fields | set(filters or {}), aggs, self.filter(filters)) if self.parts else None
+        if rows is None:
+            rows = self.rows(fields, None, filters)
+        else:
+            aggs = {n: F.sum(n) for n in aggs}
+        sums = kept(rows.groupBy(F.date_trunc("day", F.col("date")).alias("date")).agg(*[s.alias(n) for n, s in aggs.items()]), "daily")
         tops = {k.key: k.sum_names() for k in kpis}
         own = [replace(k, kind="sum" if k.additive else "ratio", numerator=formula.Ref(tops[k.key][0]), denominator=None if k.additive else formula.Ref(tops[k.key][1]), filters=()) for k in kpis]
         return replace(from_frame(sums, [], [n for names in tops.values() for n in names], own), weight="_rows")
@@ -193,7 +203,14 @@ def sales(spark: SparkSession, sf_dir: str) -> Facts:
         found = own | extra
         return frame.select(F.col("o_orderdate").alias("date"), *[found[c].alias(c) for c in sorted(columns & set(found))])
 
-    return Facts(load, ["region", "nation", "segment", "brand", "priority", "returnflag"], ["gross_amt", "net", "discount", "quantity", "tax_amt", "returned_qty"], Catalog.of(SALES_KPIS))
+    def parts(columns: set[str], sums: dict[str, Column], test: Column | None) -> DataFrame | None:
+        if not columns <= own.keys():
+            return None
+        lines = table("lineitem").select("l_orderkey", *[own[c].alias(c) for c in sorted(columns)])
+        by_order = (lines if test is None else lines.where(test)).groupBy("l_orderkey").agg(*[s.alias(n) for n, s in sums.items()])
+        return by_order.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderdate").alias("date"), *sums)
+
+    return Facts(load, ["region", "nation", "segment", "brand", "priority", "returnflag"], ["gross_amt", "net", "discount", "quantity", "tax_amt", "returned_qty"], Catalog.of(SALES_KPIS), parts=parts)
 
 
 def events(spark: SparkSession, sf_dir: str) -> Facts:

@@ -510,3 +510,35 @@ def test_bm25_reads_the_pieces_once_for_scores_and_best(spark):
     got = found.search("word3", must_include=["common thing"], limit=None)
     assert not any("/pieces/" in f for f in got.inputFiles())  # they were read before, into what is shown
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(3, 40, 5)) and {r["relevance"] for r in got.collect()} == {1.0}
+
+
+def test_sums_by_day_join_orders_once_their_lines_are_summed(spark, sf_dir, tmp_path, monkeypatch):
+    """The join that brings the date takes a row of sums for each order; nulls, lines without an order and filters count as they do line by line."""
+    from dataclasses import replace
+
+    from tallyloom.operators.observe import observe
+    from tallyloom.plans.kpi import Catalog, RowFilter
+    from tallyloom.sources import facts
+
+    planned = []
+    with monkeypatch.context() as m:
+        m.setattr(facts, "kept", lambda df, name: (planned.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
+        observe(sales(spark, sf_dir))["value"]
+    plan = planned[0]
+    assert len(planned) == 1 and plan.count("Join ") == 1 and plan.index("Join ") < plan.index("Aggregate [l_orderkey")
+
+    for table in ("customer", "nation", "region"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{sf_dir}/{table}.parquet")
+    days = [dt.datetime(2026, 1, 31, 23), dt.datetime(2026, 1, 31), dt.datetime(2026, 4, 1), None]
+    orders = [(k, k % 3, days[k], "1-URGENT") for k in range(4)]
+    lines = [(key, price, rate, quantity, flag) for key in (0, 1, 2, 3, 9, None) for price, rate, quantity, flag in ((100.0, 0.5, 3.0, "R"), (None, 0.1, 2.0, "N"), (8.0, None, None, "A"), (7.0, 0.0, 1.0, None))][:-1] + [(2, None, None, None, "R")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double, l_discount double, l_quantity double, l_returnflag string").withColumn("l_tax", F.lit(0.1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    f = sales(spark, str(tmp_path))
+    f = replace(f, catalog=Catalog.of([*f.catalog.kpis.values(), kpi("kept_units", "sum", "{quantity}", filters=(RowFilter("returnflag", "ne", "R"),)), kpi("urgent", "mean", "{net}", filters=(RowFilter("priority", "eq", "1-URGENT"),))]))
+    own = [k for k in f.catalog.kpis if k != "urgent"]
+    for keys, filters in ((own, None), (own, {"returnflag": ["r", "N"]}), (own, {"region": f.load({"region"}).first()["region"]}), ([*own, "urgent"], None)):
+        got, plain = (sorted(x.daily(keys, filters).load({"_rows", *(n for k in keys for n in f.kpi(k).sum_names())}).collect(), key=str) for x in (f, replace(f, parts=None)))
+        assert len(got) == len(plain) > 1
+        for a, b in zip(got, plain, strict=True):
+            assert a.asDict().keys() == b.asDict().keys() and all(a[c] == (pytest.approx(b[c]) if isinstance(b[c], float) else b[c]) for c in b.asDict()), (keys, filters)
