@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, without copying; a part's values in ``column`` take less than ``size`` bytes before its last row."""
+    lengths = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // size)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, stop - start)
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """Applies ``batch`` to slices of the Arrow batches on the executors; nothing is kept from one to the next."""
     return df.mapInArrow(lambda batches: map(batch, slices(batches)), schema)

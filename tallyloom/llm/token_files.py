@@ -10,11 +10,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import checkpoint, named, scratch_path, slices, utf8
+from tallyloom.llm.common import checkpoint, named, portions, scratch_path, slices, utf8
 from tallyloom.llm.pieces import Pieces
 from tallyloom.llm.ranges import bounds, range_count, range_of
 
@@ -27,6 +28,8 @@ HEADER = struct.Struct("<8sQQQ")
 BLOCK_IDS = 1 << 20
 #: Ids below this are counted in a table; larger ones are sorted.
 MOST_COUNTED = 1 << 22
+#: Bytes of text that are encoded at once, a last text apart. Bounds the memory, some ten times as much.
+GROUP_BYTES = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -95,6 +98,15 @@ def unpack_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if gone else x for x, gone in zip(numbers, missing, strict=True)], lengths.astype(np.int64), table[ranks]
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``sizes`` that follow each other in ``flat``, those at ``places`` in a row, and their sizes."""
+    counts = sizes[places]
+    total = int(counts.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shifts = (np.cumsum(sizes) - sizes)[places] - (np.cumsum(counts) - counts)
+    return flat[np.repeat(shifts.astype(kind), counts) + np.arange(total, dtype=kind)], counts
+
+
 @lru_cache(maxsize=1)
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes as: visible Latin-1 characters stand for themselves, other bytes for those from 256 on."""
@@ -119,7 +131,13 @@ class Encoder:
         self.space = _byte_letters()[32]
         self.packed = [struct.pack("<I", k) for k in range(self.library.get_vocab_size())]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(pattern, self._piece, b"".join)
+        self.pieces = Pieces(pattern, self._piece, b"".join, self._words)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        letters = {k: x for k, x in _byte_letters().items() if k != 10}
+        others = iter("\n".join(w for w in words if not w.isascii()).encode().decode("latin-1").translate(letters).split("\n"))
+        merge, packed, space = self.merge, self.packed, self.space
+        return [b"".join([packed[t.id] for t in merge(space + (w if w.isascii() else next(others)))]) for w in words]
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
@@ -137,9 +155,32 @@ class Encoder:
             return self._bytes(text)
         return b"".join(self.pieces.values(text))
 
+    def encode_all(self, texts: pa.StringArray, end_id: int) -> list[np.ndarray]:
+        """The ids of each text and ``end_id`` after them; a word that the texts share is looked up once."""
+        end, alone = struct.pack("<I", end_id), np.ones(len(texts), bool)
+        out = [np.zeros(0, "<u4")] * len(texts)
+        if self.pieces.by_word:
+            alone = pc.match_substring_regex(texts, BEYOND).to_numpy(zero_copy_only=False).copy()
+            for x in self.added:
+                alone |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if len(rest := np.flatnonzero(~alone)):
+            found, parts, places, stops, uneven = self.pieces.many(texts.filter(pa.array(~alone)))
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            words, took = gathered(np.frombuffer(b"".join(found), "<u4"), sizes, parts.reshape(-1))
+            words, took = np.append(words, np.frombuffer(end, "<u4")), np.append(took.reshape(-1, 2).sum(1), 1)
+            ids, took = gathered(words, took, np.insert(places, stops, len(parts)))
+            ends = np.cumsum(took)[stops + np.arange(len(rest))]
+            for k, own in zip(rest.tolist(), np.split(ids, ends[:-1]), strict=True):
+                out[k] = own
+            alone[rest[uneven]] = True
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = np.frombuffer(self.encode(texts[k].as_py()) + end, "<u4")
+        return out
+
 
 #: Below U+0370 all Unicode versions in use agree on letters, numbers and spaces.
 BEYOND_PLAIN = re.compile("[^\x00-\u036f]").search
+BEYOND = r"[\x{370}-\x{10FFFF}]"
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +191,7 @@ def encoder(model: bytes, pattern: str) -> Encoder:
 def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of every whole text, each followed by ``end_id``, as blocks under ``path`` in ascending order of the id.
 
-    Texts are dealt out by ranges of the id and sorted inside them; each task encodes its range, one text at a time, and
+    Texts are dealt out by ranges of the id and sorted inside them; each task encodes its range, some texts at a time, and
     gives a block whenever it holds ``block_ids`` ids. A block is a row (range, part, n_docs, n_ids, payload) of Parquet
     files, which Spark's own writers commit, in whatever store and whichever executors are lost. The ranks are those
     of the block, so no pass over all documents precedes. Null ids come first; of equal ids the smaller text does.
@@ -164,22 +205,23 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, pattern: str,
         shared = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(shared.value, pattern), struct.pack("<I", end_id)
+        own = encoder(shared.value, pattern)
         now, part, held, doc_ids, ids = None, 0, 0, [], []
 
         def block() -> pa.RecordBatch:
             row = [[now], [part], [len(doc_ids)], [held], [pack_block(doc_ids, ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "part", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches):
-            for where, doc_id, raw in zip(*[batch.column(k).to_pylist() for k in (2, 0, 1)], strict=True):
+        for batch in (x for whole in batches for x in portions(whole, 1, GROUP_BYTES)):
+            coded = own.encode_all(batch.column(1).cast(pa.string()), end_id)
+            for where, doc_id, one in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), coded, strict=True):
                 if doc_ids and (where != now or held >= block_ids):
                     yield block()
                     part, held, doc_ids, ids = part + 1 if where == now else 0, 0, [], []
                 now = where
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(own.encode(raw.decode()) + end, "<u4"))
-                held += len(ids[-1])
+                ids.append(one)
+                held += len(one)
         if doc_ids:
             yield block()
 

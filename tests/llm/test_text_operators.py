@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as vocab
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tallyloom.llm import bpe, digests, simhash, token_counts, token_files
+from tallyloom.llm import bpe, digests, pieces, simhash, token_counts, token_files
+from tallyloom.llm.common import portions
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, ids_crc32 string, size int"
 RANDOM = random.Random(5)
@@ -164,6 +166,38 @@ def test_file_encoder_equals_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_file_encoder_looks_a_word_of_several_texts_up_once():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    own = token_files.Encoder(open(vocab.path("byte_bpe_50k.json"), "rb").read(), vocab.PATTERN)
+    merged, merge = [], own.merge
+    own.merge = lambda letters: merged.append(letters) or merge(letters)
+    ends = ["", "two  spaces", "at the end ", " at the start", " \tmixed", "a.\nB é!! naïve, naïve. it's 3rd |", "\u00a0x \u00a0y", "x<|endoftext|> y", "x \u4e00", "-- ..", "\x00 \x00a"]
+    texts = [*ODD, *MIXED, *ends, *ends]
+    for group in (texts, texts[::-1], [""], [" "], []):
+        for got, text in zip(own.encode_all(pa.array(group, pa.string()), 7), group, strict=True):
+            assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 7], repr(text)
+    words = [f"q{chr(97 + a)}{chr(97 + b)}x" for a in range(26) for b in range(26)]
+    counted, get = [], own.pieces.words.get
+    merged.clear()
+    own.pieces.words.get = lambda word: counted.append(word) or get(word)
+    own.encode_all(pa.array([" " + mark.join(words) for mark in (" ", ", ", "! ", " ")] * 5), 0)
+    assert 676 <= len(counted) <= 677 and sum(x[1:] in words for x in merged) == 676
+
+
+def test_words_of_groups_stay_bounded():
+    kept = pieces.PieceCache(str.upper, 5)
+    kept.keep([(str(k), k) for k in range(12)] + [("x" * 100, 0)])
+    assert list(kept) == ["10", "11"] and list(kept.older) == ["5", "6", "7", "8", "9"]
+
+
+def test_portions_of_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"", b"x" * 9, b"y", b"z" * 40, b"", b"w"])], ["k", "v"])
+    assert [x.column(0).to_pylist() for x in portions(batch, 1, 10)] == [[0, 1, 2], [3], [4, 5]]
+    assert [x.num_rows for x in portions(batch.slice(2, 0), 1, 10)] == [0]
+
+
 @pytest.mark.parametrize("block_ids", [3, 1 << 20])
 def test_file_query(spark, block_ids):
     from tokenizers import Tokenizer
