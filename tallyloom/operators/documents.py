@@ -50,12 +50,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(doc_id, chunk, heading, text): windows of words that share some with the next, within the block of a heading.
 
     A block of at most ``size`` words is one chunk with its text as it is. Of a longer one a tail of fewer than
-    LEAST_TAIL words is dropped. Every chunk has its block's heading; a text of headings only is one chunk. Blank and
-    null texts have none.
+    LEAST_TAIL words is dropped. Every chunk has its block's heading, which is one line, whatever breaks it; a text of
+    headings only is one chunk. Blank and null texts have none.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = lambda t: F.array_remove(F.split(t, "\\s+"), "")
-    block = lambda b: F.struct(F.trim(F.regexp_extract(b, f"^{_HEADING}([^\\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(b, f"^{_HEADING}[^\\n]*", ""), F.lit(_BLANKS)).alias("body"))
+    block = lambda b: F.struct(F.trim(F.regexp_extract(b, f"^{_HEADING}(.*)", 1)).alias("heading"), F.trim(F.regexp_replace(b, f"^{_HEADING}.*", ""), F.lit(_BLANKS)).alias("body"))
     blocks = F.filter(F.transform(F.split(text, f"(?m)^(?={_HEADING})"), block), lambda b: b["body"] != "")
     whole = F.array(F.struct(F.lit("").alias("heading"), F.substring(F.trim("t"), 1, MOST_HEADINGS).alias("body")))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), blocks.alias("b")).select("doc_id", F.posexplode(F.when((F.size("b") == 0) & F.col("t").rlike("\\S"), whole).otherwise(F.col("b"))).alias("block", "x"))

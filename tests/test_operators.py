@@ -185,6 +185,15 @@ def test_chunks_overlap_and_short_tails_go(spark):
     assert {r["doc_id"]: r["count"] for r in documents.chunks(edge).groupBy("doc_id").count().collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def test_a_heading_ends_with_its_line_whatever_breaks_it(spark):
+    breaks = ["\n", "\r\n", "\r", "\x85", "\u2028", "\u2029"]
+    docs = spark.createDataFrame([(k, f"before{b}# One two{b}body here{b}  ## Three {b}more{b}{b}body") for k, b in enumerate(breaks)], "doc_id int, text string")
+    got = {}
+    for r in documents.chunks(docs).orderBy("chunk").collect():
+        got.setdefault(r["doc_id"], []).append((r["heading"], r["text"].split()))
+    assert got == {k: [("", ["before"]), ("One two", ["body", "here"]), ("Three", ["more", "body"])] for k in range(len(breaks))}
+
+
 def test_long_blanks_and_hostile_headings_stay_linear(spark):
     hostile = ["x" + " " * 5_000_000 + "y", "\n" * 3_000_000, "#" * 2_000_000, "# " * 2_000_000, "a\n   # " + " " * 3_000_000]
     docs = spark.createDataFrame(list(enumerate(hostile)), "doc_id int, text string")
